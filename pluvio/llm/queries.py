@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pluvio.llm import quality_rules
+from pluvio.llm import quality_rules, substring_dedup
 from pluvio.llm.shared import read
 
 
@@ -13,6 +14,13 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.BASE, "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op9_quality_rules,)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    cleaned = substring_dedup.clean_texts(docs)
+    digests = cleaned.select("t1", "t2", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return substring_dedup.attach(docs, digests)
+
+
+QUERIES = {f.__name__: f for f in (op9_quality_rules, op10_substring_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pluvio.llm import quality_rules, substring_dedup
+from pluvio.llm import ngram_join, quality_rules, substring_dedup
 from pluvio.llm.shared import read
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.link_components(docs, k=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(read(spark, sf_dir, "documents"), carry=["doc_id", "lang", "source"])
     return judged.select("doc_id", *quality_rules.BASE, "base_failed", "kept")
@@ -21,6 +26,6 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.attach(docs, digests)
 
 
-QUERIES = {f.__name__: f for f in (op9_quality_rules, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op7_ngram_join, op9_quality_rules, op10_substring_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}

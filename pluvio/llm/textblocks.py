@@ -121,6 +121,13 @@ def split_words(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> Word
     return Words(data, start, end, h, np.searchsorted(start, at), at)
 
 
+def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 bytes, and the byte where each begins (one more at the end)."""
+    points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+    at = np.flatnonzero((data & 0xC0) != 0x80) if len(points) < len(data) else np.arange(len(data))
+    return points, np.append(at, len(data))
+
+
 def slices(table: pa.Table | pa.RecordBatch, column: str, size: int) -> Iterator[pa.Table | pa.RecordBatch]:
     """``table`` in runs of rows of about ``size`` bytes of text, one row at least."""
     n = table.num_rows

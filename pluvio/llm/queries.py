@@ -5,15 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pluvio.llm import ngram_join, quality_rules, substring_dedup
+from pluvio.llm import bpe, mixing, ngram_join, quality_rules, substring_dedup, unigram_counts
 from pluvio.llm.shared import read
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scores = unigram_counts.sentencepiece_scores(vocabulary("piece_bpe_32k.model"))
+    return unigram_counts.count_tokens(docs, scores).drop("text")
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return ngram_join.link_components(docs, k=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.round_trip(docs, vocabulary("byte_bpe_50k.json")).drop("text")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(read(spark, sf_dir, "documents"), carry=["doc_id", "lang", "source"])
     return judged.select("doc_id", *quality_rules.BASE, "base_failed", "kept")
@@ -26,6 +48,6 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.attach(docs, digests)
 
 
-QUERIES = {f.__name__: f for f in (op7_ngram_join, op9_quality_rules, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op3_token_counts, op6_mixing, op7_ngram_join, op8_bpe, op9_quality_rules, op10_substring_dedup)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.MIX_SQL}

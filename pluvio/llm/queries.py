@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pluvio.llm import bpe, mixing, ngram_join, quality_rules, substring_dedup, unigram_counts
+from pluvio.llm import bpe, chat_format, mixing, ngram_join, quality_rules, substring_dedup, toxicity, unigram_counts
 from pluvio.llm.shared import read
 
 
@@ -22,6 +22,21 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram_counts.count_tokens(docs, scores).drop("text")
 
 
+#: A conversation whose texts hold control strings.
+CONTROL_CONVERSATION = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_format.digests(rows.union(spark.createDataFrame(CONTROL_CONVERSATION, "conv_id long, turn long, role string, text string")))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).drop("text")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -48,6 +63,6 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.attach(docs, digests)
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op6_mixing, op7_ngram_join, op8_bpe, op9_quality_rules, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op3_token_counts, op4_chat_format, op5_toxicity, op6_mixing, op7_ngram_join, op8_bpe, op9_quality_rules, op10_substring_dedup)}
 
 ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.MIX_SQL}

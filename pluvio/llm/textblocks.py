@@ -86,8 +86,8 @@ def text_buffers(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> tup
     return raw, at - at[0]
 
 
-def _spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    solid = ~_SPACE[data]
+def _spans(data: np.ndarray, at: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    solid = table[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[at] = True
     start = solid.copy()
@@ -109,9 +109,10 @@ def _hash_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix(np.add.reduceat(value, begin) + length.astype(U64))
 
 
-def split_words(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> Words:
+def split_words(column: pa.Array | pa.ChunkedArray, lower: bool = False, solid: np.ndarray | None = None) -> Words:
+    """``solid`` has for each byte whether it belongs to words; white space alone doesn't by default."""
     data, at = text_buffers(column, lower)
-    start, end = _spans(data, at) if len(data) else (np.empty(0, np.int64), np.empty(0, np.int64))
+    start, end = _spans(data, at, ~_SPACE if solid is None else solid) if len(data) else (np.empty(0, np.int64), np.empty(0, np.int64))
     h = np.empty(len(start), U64)
     done = 0
     while done < len(start):  # a slice holds one word at least, however long

@@ -461,3 +461,17 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     ids = per_set.join(per_comp, "comp").select(F.col("s1").alias("_s1"), F.col("s2").alias("_s2"), "component_id")
     out = rows.join(ids, (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "s1", "s2")
+
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, one of each group of linked documents: that with the least id.
+
+    Rows whose text is null or without words link with nothing and stay. Rows without an id stay
+    too, as no other row can stand for them. Of rows that repeat an id one stays."""
+    groups = cut(link_components(docs, k, percent).select("doc_id", "component_id"))
+    least = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_least"))
+    repeated = least.groupBy("_least").count().filter("count > 1").isEmpty()
+    kept = docs.join(least.distinct(), F.col("doc_id").cast("long") == F.col("_least"), "left_semi")
+    if not repeated:
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.union(docs.filter(F.col("doc_id").isNull()))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pluvio.llm import bpe, chat_format, mixing, ngram_join, quality_rules, substring_dedup, toxicity, unigram_counts
+from pluvio.llm import ann, bpe, chat_format, html_wrappers, mixing, ngram_join, quality_rules, substring_dedup, toxicity, unigram_counts
 from pluvio.llm.shared import read
 
 
@@ -16,6 +16,14 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrappers.extract_main_text(read(spark, sf_dir, "pages"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     scores = unigram_counts.sentencepiece_scores(vocabulary("piece_bpe_32k.model"))
@@ -63,6 +71,6 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.attach(docs, digests)
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op4_chat_format, op5_toxicity, op6_mixing, op7_ngram_join, op8_bpe, op9_quality_rules, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ann, op2_html, op3_token_counts, op4_chat_format, op5_toxicity, op6_mixing, op7_ngram_join, op8_bpe, op9_quality_rules, op10_substring_dedup)}
 
 ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.MIX_SQL}

@@ -470,8 +470,8 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     too, as no other row can stand for them. Of rows that repeat an id one stays."""
     groups = cut(link_components(docs, k, percent).select("doc_id", "component_id"))
     least = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_least"))
-    repeated = least.groupBy("_least").count().filter("count > 1").isEmpty()
+    repeated = not least.groupBy("_least").count().filter("count > 1").isEmpty()
     kept = docs.join(least.distinct(), F.col("doc_id").cast("long") == F.col("_least"), "left_semi")
-    if not repeated:
+    if repeated:
         kept = kept.dropDuplicates(["doc_id"])
     return kept.union(docs.filter(F.col("doc_id").isNull()))

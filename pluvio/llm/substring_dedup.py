@@ -30,7 +30,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pluvio.llm import textblocks as tb
@@ -260,6 +260,11 @@ def attach(docs: DataFrame, cleaned: DataFrame) -> DataFrame:
     return rows.join(cleaned, (F.col("_t1") == F.col("t1")) & (F.col("_t2") == F.col("t2")), "left").drop("_t1", "_t2", "t1", "t2")
 
 
+def length_of(column: str) -> Column:
+    """Code points of a text, 0 for null."""
+    return F.length(F.coalesce(F.col(column), F.lit(""))).cast("long")
+
+
 def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     """``docs`` with ``text`` cleaned, and n_words and n_removed beside the other columns."""
     done = attach(docs.drop("n_words", "n_removed", "kept"), clean_texts(docs, window)).withColumnRenamed("kept", "text")

@@ -99,8 +99,8 @@ def probes(block: int, parts: int) -> Callable[[pa.Table], pa.Table]:
         w = tb.split_words(table.column("text"))
         at, h = w.windows(block)
         who = w.row[at]
-        # five bytes and the partition: a false hit only makes a candidate
-        return _rows(list(_entries(tb.part_of(h, parts), h, 5, who, at - w.first[who], table)), PACKED_ARROW)
+        # four bytes and the partition: a false hit only makes a candidate
+        return _rows(list(_entries(tb.part_of(h, parts), h, 4, who, at - w.first[who], table)), PACKED_ARROW)
 
     return emit
 
@@ -246,7 +246,7 @@ def clean_texts(docs: DataFrame, window: int = 35, buckets: int | None = None) -
     base = base.mapInArrow(join_copies, base.schema).withColumn("b", F.pmod("t1", F.lit(n)).cast("int"))
     texts = base.groupBy("b")  # one exchange of the texts, which the three uses below share
     blocks = texts.applyInArrow(probes(block, n), PACKED)
-    anchors = blocks.groupBy("part").applyInArrow(hits(block, 5, n), HITS)
+    anchors = blocks.groupBy("part").applyInArrow(hits(block, 4, n), HITS)
     windows = texts.cogroup(anchors.groupBy("b")).applyInArrow(extend(window, block, n), PACKED)
     repeats = windows.groupBy("part").applyInArrow(hits(1, 8, n), HITS)
     return texts.cogroup(repeats.groupBy("b")).applyInArrow(removal(window), CLEAN)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pluvio.config import Detector
 from pluvio.operators import arrival, components, filters, tracking
 from pluvio.operators.tracking import TRACK
+from pluvio.sources.state import stage
 
 
 @dataclass
@@ -28,9 +29,10 @@ def analyse(pixels: DataFrame, d: Detector, frames: int = 8) -> Analysis:
     labelled = components.label(filters.threshold(pixels, d.intensity))
     if d.min_area > 1:
         labelled = components.label(filters.by_area(labelled, d.min_area).drop("label"))
+    labelled = stage(labelled)  # four branches read it
     cells = components.cells(labelled)
     matches = tracking.match(cells, d.max_match_px)
-    entries = tracking.tracks(cells, matches, frames)
+    entries = stage(tracking.tracks(cells, matches, frames))
     return Analysis(labelled, cells, matches, entries, tracking.steps(entries, d.frame_s))
 
 

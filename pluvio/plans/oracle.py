@@ -135,6 +135,6 @@ COLOURS = """colours as (select f as frame_idx, (event_id//256)::int as row, (ev
 NEAREST = f"""{PALETTE}, {COLOURS},
 distinct_rgb as (select distinct r, g, b from colours),
 nearest as (select r, g, b, min(d2) as d2, arg_min(tier, d2*100+tier) as tier, arg_min(intensity, d2*100+tier) as intensity from (select *, ((r-pr)*(r-pr)+(g-pg)*(g-pg)+(b-pb)*(b-pb))::int as d2 from distinct_rgb, palette) group by r, g, b)"""
-GEO = "geo as (select n_nationkey::bigint as location_id, n_nationkey*6.37-70.0 as lat, n_nationkey*13.7-160.0 as lon from nation), geod as (select location_id, lat::double as lat, lon::double as lon from geo)"
-OBS = "obs as (select (user_id%25) as station, (ceil(epoch(ts)/900)*900)::bigint as obs, value/100 as rain_mm from events where event_type='purchase')"
-PRED = "pred as (select event_id, (user_id%25) as station, epoch(ts)::bigint as t, value > 50 as predicted from events where event_type='click')"
+GEO = "geo as (select n_nationkey::bigint as location_id, n_nationkey*6.37::double-70.0 as lat, n_nationkey*13.7::double-160.0 as lon from nation), geod as (select location_id, lat::double as lat, lon::double as lon from geo)"
+OBS = "obs as (select (user_id%25) as station, (ceil(floor(epoch(ts))/900)*900)::bigint as obs, value/100 as rain_mm from events where event_type='purchase')"
+PRED = "pred as (select event_id, (user_id%25) as station, floor(epoch(ts))::bigint as t, value > 50 as predicted from events where event_type='click')"

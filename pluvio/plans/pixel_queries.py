@@ -206,7 +206,7 @@ def earliest_arrival(spark, sf_dir):
 
 @query(sql("pcmtla", """select session_id, location_id,
   case when confidence='unavailable' then null else rain_incoming end as imminent, case when confidence='unavailable' then null else rain_at_location end as raining_now,
-  (1704067200 + session_id*86400 + 7*600 + arrival_s)::bigint as arrival_epoch,
+  floor(1704067200 + session_id*86400 + 7*600 + round(arrival_s,6))::bigint as arrival_epoch,
   case when max_intensity<=0 then 'none' when max_intensity<=0.2 then 'light' when max_intensity<=0.45 then 'moderate' when max_intensity<=0.75 then 'heavy' else 'extreme' end as intensity,
   confidence <> 'unavailable' as available from detections"""))
 def sensor_states(spark, sf_dir):
@@ -214,7 +214,7 @@ def sensor_states(spark, sf_dir):
 
     d = QUERIES["detect"](spark, sf_dir)
     on = F.col("confidence") != "unavailable"
-    when = (tables.frame_epoch(F.col("session_id"), F.lit(LAST)) + F.col("arrival_s")).cast("long")
+    when = F.floor(tables.frame_epoch(F.col("session_id"), F.lit(LAST)) + F.col("arrival_s"))
     return d.select("session_id", "location_id", F.when(on, F.col("rain_incoming")).alias("imminent"), F.when(on, F.col("rain_at_location")).alias("raining_now"), when.alias("arrival_epoch"), intensity_label(F.col("max_intensity")).alias("intensity"), on.alias("available"))
 
 

@@ -381,13 +381,14 @@ def decode_ids(ids: np.ndarray, v: Vocabulary) -> bytes:
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded`` with ``decoded``, the text that its ``ids`` stand for (null: empty)."""
-    rows = encoded.select(*[c for c in encoded.columns if c != "decoded"])
+    carry = [c for c in encoded.columns if c != "decoded"]
+    rows = encoded.select(*carry)
     held = encoded.sparkSession.sparkContext.broadcast(load(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [decode_ids(np.array(x or [], np.int64), held.value).decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*rows.columns, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*carry, "decoded"])
 
     return rows.mapInArrow(run, rows.withColumn("decoded", F.lit("")).schema)
 

@@ -136,7 +136,7 @@ def format_turns(rows: DataFrame) -> DataFrame:
     """conv_id, turn, role, formatted, loss_start, loss_length: the output of each turn, in order
     within its conversation; joined, a conversation's outputs are its formatted text. The loss
     span is in code points of ``formatted``, null where the turn isn't an assistant's."""
-    schema = rows.select(F.col("conv_id").cast("long"), "turn", "role").schema.add("formatted", "string").add("loss_start", "int").add("loss_length", "int")
+    schema = rows.select(F.col("conv_id").cast("long"), "turn", "role").schema.add("formatted", "string").add("loss_start", "integer").add("loss_length", "integer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opening, closing = FRAMES["assistant"]

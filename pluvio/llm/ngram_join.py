@@ -6,11 +6,15 @@ A document is the set of its word shingles. Two sets link where their Jaccard si
 orders: the first order, common shingles last, indexes the prefixes; pairs that meet there must
 also share a prefix shingle under the hash orders, and only then are the sets compared whole.
 
-Equal sets are one node, so exact copies never multiply. The list of a shingle is not paired
-out: its members of like size are compared with one leader. What a leader leaves open (members
-of a list that it doesn't link, in other components) is compared in a second pass, which emits
-only pairs between different components. The result is the components of all links; no link
-between different components is left out, and links inside one component need no comparison.
+Equal sets are one node, so exact copies never multiply. Of two sets, all
+that the prefix that ends first in the order shares with the other set is in the other's prefix;
+so lists of one tell each node how many of its shingles may be common at most with sets whose
+prefixes end no sooner, and pairs whose bound falls short of the threshold are never formed. The list
+of a shingle is not paired out: runs of members of like size are compared with one leader, the
+member that is most common. The components of these links go back to the lists, and a second pass
+compares every pair of a list that lies in two components and that sizes and bounds leave open.
+The result is the components of all links; no link between different components is left out, and
+links inside one component need no comparison.
 
 Commonness comes from a count sketch of fixed size, summed over all documents. Any function of
 a shingle gives a valid order; its accuracy only moves how long the lists are.
@@ -28,12 +32,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, GroupedData
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from pluvio.llm import textblocks as tb
 from pluvio.llm.components import connected
-from pluvio.llm.shared import cut
+from pluvio.llm.shared import cut, shared_dir
 
 U64 = np.uint64
 BUCKET_BYTES = 8 << 20
@@ -171,98 +175,141 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n - (percent * n + 99) // 100 + 1
 
 
-LISTED = "part int, fp binary, who binary, n binary, keys binary"
-LISTED_ARROW = pa.schema([("part", pa.int32()), ("fp", pa.binary()), ("who", pa.binary()), ("n", pa.binary()), ("keys", pa.binary())])
+def node_ids(b: int, n: int) -> np.ndarray:
+    """A node's id: its bucket, and its place in the bucket by key."""
+    return (np.int64(b) << 32) | np.arange(n, dtype=np.int64)
 
 
-def _prefixes(nodes: pa.Table, comp: np.ndarray | None, k: int, percent: int, parts: int, classes: np.ndarray) -> pa.Table:
-    """The prefix shingles of a bucket under the first order, packed for their partitions."""
-    h, who, done = [], [], 0
+def least_common(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Shingles that sets of sizes ``n`` and ``m`` share at least if they link."""
+    return (percent * (n + m) + 99 + percent) // (100 + percent)
+
+
+@dataclass
+class Prefixes:
+    """The prefix shingles of a bucket's nodes under the first order, by the part they go to: hashes,
+    nodes, where parts begin; and the rank at which each node's prefix ends."""
+
+    h: np.ndarray
+    who: np.ndarray
+    ends: np.ndarray
+    last: np.ndarray
+
+
+def _prefix_entries(nodes: pa.Table, k: int, percent: int, parts: int, classes: np.ndarray) -> Prefixes:
+    """The order of the entries is the same whenever they are computed."""
+    h, who, last, done = [np.empty(0, U64)], [np.empty(0, np.int64)], [np.empty(0, U64)], 0
     for piece in tb.slices(nodes, "text", tb.SLICE_BYTES):
         s = shingle_sets(piece.column("text"), k, classes)
         within = np.arange(len(s.h)) - np.repeat(s.first[:-1], s.n)
         use = within < np.repeat(prefix_length(s.n, percent), s.n)
         h.append(s.h[use])
         who.append(np.repeat(np.arange(len(s.n)), s.n)[use] + done)
+        last.append(s.rank[s.first[:-1] + prefix_length(s.n, percent) - 1])
         done += len(s.n)
-    if not h:
-        return pa.Table.from_pylist([], schema=LISTED_ARROW)
     h, who = np.concatenate(h), np.concatenate(who)
     part = tb.part_of(h, parts)
     order = np.argsort(part, kind="stable")
-    ends = np.append(tb.runs(part[order]), len(order))
-    keys = np.stack([nodes.column("s1").to_numpy(), nodes.column("s2").to_numpy()] + ([] if comp is None else list(comp.T)))
-    n = nodes.column("n").to_numpy()
-    rows = []
-    for lo, hi in zip(ends[:-1], ends[1:], strict=True):
-        own = order[lo:hi]
-        used, local = np.unique(who[own], return_inverse=True)
-        rows.append({"part": int(part[own[0]]), "fp": tb.fingerprints(h[own], 5), "who": tb.pack(local.astype(np.uint32), delta=True), "n": n[used].tobytes(), "keys": keys[:, used].tobytes()})
-    return pa.Table.from_pylist(rows, schema=LISTED_ARROW)
-
-
-PAIRS = "b int, who binary, lead binary, keys binary"
-PAIRS_ARROW = pa.schema([("b", pa.int32()), ("who", pa.binary()), ("lead", pa.binary()), ("keys", pa.binary())])
-
-
-def _lists(table: pa.Table, width: int) -> tuple[np.ndarray, ...]:
-    """Lists of two or more: node of each entry by list and size, where lists begin, keys, sizes."""
-    fp, who, n, keys, base = [], [], [], [], 0
-    for row in table.to_pylist():
-        k = np.frombuffer(row["keys"], np.int64).reshape(width, -1)
-        keys.append(k)
-        n.append(np.frombuffer(row["n"], np.int64))
-        fp.append(tb.read_fingerprints(row["fp"], 5))
-        who.append(tb.unpack(row["who"], np.uint32, delta=True).astype(np.int64) + base)
-        base += k.shape[1]
-    keys, n, fp, who = np.concatenate(keys, 1), np.concatenate(n), np.concatenate(fp), np.concatenate(who)
+    return Prefixes(h[order], who[order], np.append(tb.runs(part[order]), len(order)), np.concatenate(last))
+
+
+PRINTS = "part int, b int, fp binary"
+_PRINTS = pa.schema([("part", pa.int32()), ("b", pa.int32()), ("fp", pa.binary())])
+FLAGS = "b int, part int, bits binary"
+_FLAGS = pa.schema([("b", pa.int32()), ("part", pa.int32()), ("bits", pa.binary())])
+LISTED = "part int, b int, fp binary, who binary, n binary, c binary, last binary"
+_LISTED = pa.schema([("part", pa.int32()), ("b", pa.int32()), ("fp", pa.binary()), ("who", pa.binary()), ("n", pa.binary()), ("c", pa.binary()), ("last", pa.binary())])
+WIDTH = 5
+
+
+def _bucket(table: pa.Table) -> int:
+    return int(table.column("b")[0].as_py())
+
+
+def shared_flags(table: pa.Table) -> pa.Table:
+    """Of one part: which entries of each bucket stand in a list of two or more."""
+    rows = table.to_pylist()
+    fp = np.concatenate([tb.read_fingerprints(r["fp"], WIDTH) for r in rows])
     _, inverse, count = np.unique(fp, return_inverse=True, return_counts=True)
-    more = count[inverse] > 1
-    fp, who = fp[more], who[more]
-    order = np.lexsort((keys[1][who], keys[0][who], n[who], fp))
-    fp, who = fp[order], who[order]
-    return who, np.append(tb.runs(fp), len(fp)), keys, n
-
-
-def _packed_pairs(lead: np.ndarray, member: np.ndarray, keys: np.ndarray, buckets: int) -> pa.Table:
-    """Distinct pairs of node numbers, packed for the bucket of the member."""
-    if not len(lead):
-        return pa.Table.from_pylist([], schema=PAIRS_ARROW)
-    b = keys[0][member] % buckets
-    order = np.lexsort((lead, member, b))
-    lead, member, b = lead[order], member[order], b[order]
-    new = np.ones(len(b), bool)
-    new[1:] = (lead[1:] != lead[:-1]) | (member[1:] != member[:-1])
-    lead, member, b = lead[new], member[new], b[new]
-    ends = np.append(tb.runs(b), len(b))
+    shared, at, out = count[inverse] > 1, 0, []
+    for r in rows:
+        size = len(r["fp"]) // WIDTH
+        out.append({"b": r["b"], "part": r["part"], "bits": np.packbits(shared[at : at + size]).tobytes()})
+        at += size
+    return pa.Table.from_pylist(out, schema=_FLAGS)
+
+
+def shared_lists(nodes: pa.Table, flags: pa.Table, b: int, entries: Prefixes, parts: int) -> pa.Table:
+    """The entries that others share, with each node's size, where its prefix ends, and ``c``, the
+    most shingles that it can have in common with sets whose prefixes end there or later. A last
+    row (part -1) has the keys of the bucket's nodes."""
+    h, who, ends = entries.h, entries.who, entries.ends
+    bits = {r["part"]: r["bits"] for r in flags.to_pylist()}
+    part_ids = tb.part_of(h[ends[:-1]], parts) if len(h) else np.empty(0, np.int32)
+    shared = np.zeros(len(h), bool)
+    for p, lo, hi in zip(part_ids.tolist(), ends[:-1], ends[1:], strict=True):
+        shared[lo:hi] = np.unpackbits(np.frombuffer(bits[p], np.uint8), count=hi - lo).astype(bool)
+    n = nodes.column("n").to_numpy()
+    c = n - np.bincount(who[~shared], minlength=len(n))
     rows = []
-    for lo, hi in zip(ends[:-1], ends[1:], strict=True):
-        used, local = np.unique(np.concatenate((member[lo:hi], lead[lo:hi])), return_inverse=True)
-        rows.append({"b": int(b[lo]), "who": tb.pack(local[: hi - lo].astype(np.uint32)), "lead": tb.pack(local[hi - lo :].astype(np.uint32)), "keys": keys[:2, used].tobytes()})
-    return pa.Table.from_pylist(rows, schema=PAIRS_ARROW)
+    for p, lo, hi in zip(part_ids.tolist(), ends[:-1], ends[1:], strict=True):
+        keep = shared[lo:hi]
+        if keep.any():
+            used, local = np.unique(who[lo:hi][keep], return_inverse=True)
+            rows.append({"part": p, "b": b, "fp": tb.fingerprints(h[lo:hi][keep], WIDTH), "who": tb.pack(used.astype(np.uint32)[local], delta=True), "n": tb.pack(n[used].astype(np.uint32)), "c": tb.pack(c[used].astype(np.uint32)), "last": tb.pack(entries.last[used])})
+    rows.append({"part": -1, "b": b, "fp": b"", "who": b"", "n": nodes.column("s1").to_numpy().tobytes(), "c": nodes.column("s2").to_numpy().tobytes(), "last": b""})
+    return pa.Table.from_pylist(rows, schema=_LISTED)
 
 
-def stars(percent: int, buckets: int) -> Callable[[pa.Table], pa.Table]:
-    """First pass: in each list, by size, the members that a leader's size allows meet the leader."""
+KEYS = "id long, s1 long, s2 long"
 
-    def run(table: pa.Table) -> pa.Table:
-        who, ends, keys, n = _lists(table, 2)
-        size = n[who]
-        wide = int(size.max(initial=0)) + 1
-        place = np.repeat(np.arange(len(ends) - 1), np.diff(ends)) * wide + size  # grows through all lists
-        leads, others = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        lead, stop = ends[:-1], ends[1:]
-        while len(lead):  # one leader for each list and turn; a turn passes a factor of 100 / percent in size
-            top = np.minimum(size[lead] * 100 // percent, wide - 1)
-            reach = np.searchsorted(place, place[lead] - size[lead] + top, "right")
-            count = reach - lead - 1
-            leads.append(np.repeat(who[lead], count))
-            others.append(who[np.repeat(lead + 1, count) + _counting(count)])
-            on = reach < stop
-            lead, stop = reach[on], stop[on]
-        return _packed_pairs(np.concatenate(leads), np.concatenate(others), keys, buckets)
 
-    return run
+def read_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for r in batch.to_pylist():
+            s1, s2 = (np.frombuffer(r[x], np.int64) for x in ("n", "c"))
+            yield pa.RecordBatch.from_arrays([pa.array(node_ids(r["b"], len(s1))), pa.array(s1), pa.array(s2)], names=["id", "s1", "s2"])
+
+
+PAIRS = "b int, member long, lead long"
+_PAIRS = pa.schema([("b", pa.int32()), ("member", pa.int64()), ("lead", pa.int64())])
+
+
+@dataclass
+class Lists:
+    """Entries of one part by list and size: node, size, bound, end of the prefix and, in the second
+    pass, component."""
+
+    node: np.ndarray
+    n: np.ndarray
+    c: np.ndarray
+    last: np.ndarray
+    comp: np.ndarray
+    ends: np.ndarray
+
+
+def _lists(table: pa.Table) -> Lists:
+    fp, node, n, c, last, comp = [], [], [], [], [], []
+    for r in table.to_pylist():
+        who = tb.unpack(r["who"], np.uint32, delta=True).astype(np.int64)
+        used, local = np.unique(who, return_inverse=True)
+        fp.append(tb.read_fingerprints(r["fp"], WIDTH))
+        node.append((np.int64(r["b"]) << 32) | who)
+        n.append(tb.unpack(r["n"], np.uint32).astype(np.int64)[local])
+        c.append(tb.unpack(r["c"], np.uint32).astype(np.int64)[local])
+        last.append(tb.unpack(r["last"], U64)[local])
+        comp.append(tb.unpack(r["comp"], np.int64)[local] if "comp" in r else node[-1])
+    fp, node, n, c, last, comp = (np.concatenate(x) for x in (fp, node, n, c, last, comp))
+    order = np.lexsort((node, n, fp))
+    fp, node, n, c, last, comp = (x[order] for x in (fp, node, n, c, last, comp))
+    return Lists(node, n, c, last, comp, np.append(tb.runs(fp), len(fp)))
+
+
+def _may_link(x: Lists, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sizes and bounds leave a link of entries ``i`` and ``j`` open."""
+    n, m = x.n[i], x.n[j]
+    bound = np.where(x.last[i] < x.last[j], x.c[i], np.where(x.last[j] < x.last[i], x.c[j], np.minimum(x.c[i], x.c[j])))
+    return (bound >= least_common(n, m, percent)) & (percent * np.maximum(n, m) <= 100 * np.minimum(n, m))
 
 
 def _counting(count: np.ndarray) -> np.ndarray:
@@ -270,73 +317,137 @@ def _counting(count: np.ndarray) -> np.ndarray:
     return np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
 
 
-def crossings(percent: int, buckets: int) -> Callable[[pa.Table], pa.Table]:
-    """Second pass: in each list, pairs of different components that the sizes allow. Blocks of
-    one component are never paired within themselves."""
+def _as_pairs(lead: list[np.ndarray], member: list[np.ndarray]) -> pa.Table:
+    both = np.stack([np.concatenate([np.empty(0, np.int64), *lead]), np.concatenate([np.empty(0, np.int64), *member])], 1)
+    both = np.unique(both, axis=0)
+    return pa.table([pa.array((both[:, 1] >> 32).astype(np.int32)), pa.array(both[:, 1]), pa.array(both[:, 0])], schema=_PAIRS)
+
+
+def stars(percent: int) -> Callable[[pa.Table], pa.Table]:
+    """First pass: the members of a list, by size, in runs that a factor of 100 / percent bounds; in
+    each run all that may link with it meet its leader, the one with the greatest part of shingles
+    that others have too (of a group of near copies, that which they are copies of)."""
 
     def run(table: pa.Table) -> pa.Table:
-        who, ends, keys, n = _lists(table, 4)
-        leads, others = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for lo, hi in zip(ends[:-1], ends[1:], strict=True):
-            own = who[lo:hi]
-            comp = keys[2:, own]
-            if (comp == comp[:, :1]).all():
-                continue
-            for i in range(len(own) - 1):
-                rest = own[i + 1 : i + 1 + np.searchsorted(n[own[i + 1 :]], n[own[i]] * 100 // percent, "right")]
-                rest = rest[(keys[2:, rest] != comp[:, i : i + 1]).any(0)]
-                leads.append(np.full(len(rest), own[i]))
-                others.append(rest)
-        return _packed_pairs(np.concatenate(leads), np.concatenate(others), keys, buckets)
+        x = _lists(table)
+        leads, others = [], []
+        for lo, hi in zip(x.ends[:-1].tolist(), x.ends[1:].tolist(), strict=True):
+            while hi - lo > 1:
+                stop = lo + int(np.searchsorted(x.n[lo:hi], x.n[lo] * 100 // percent, "right"))
+                if stop - lo > 1:
+                    run_of = np.arange(lo, stop)
+                    best = int(run_of[np.lexsort((x.node[run_of], -(x.c[run_of] / x.n[run_of])))[0]])
+                    run_of = run_of[run_of != best]
+                    may = run_of[_may_link(x, run_of, np.full(len(run_of), best), percent)]
+                    others.append(x.node[may])
+                    leads.append(np.full(len(may), x.node[best]))
+                lo = stop
+        return _as_pairs(leads, others)
 
     return run
 
 
-WANTED = "lb int, b int, keys binary"
-WANTED_ARROW = pa.schema([("lb", pa.int32()), ("b", pa.int32()), ("keys", pa.binary())])
-MET = "b int, who binary, lead binary, keys binary, s1 long, s2 long, text string"
-LEADER = "b int, s1 long, s2 long, text string"
-LEADER_ARROW = pa.schema([("b", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()), ("text", pa.string())])
-LINK = "a1 long, a2 long, b1 long, b2 long, linked boolean"
-LINK_ARROW = pa.schema([("a1", pa.int64()), ("a2", pa.int64()), ("b1", pa.int64()), ("b2", pa.int64()), ("linked", pa.bool_())])
-_PAIR = np.dtype([("a", np.int64), ("b", np.int64)])
+#: Pairs that a part looks at together in the second pass.
+LOOK = 1 << 20
 
 
-def _read_pairs(table: pa.Table) -> np.ndarray:
-    """Distinct (lead, member) keys of a bucket, as four columns sorted by leader."""
-    rows = []
-    for row in table.to_pylist():
-        keys = np.frombuffer(row["keys"], np.int64).reshape(2, -1)
-        rows.append(np.concatenate((keys[:, tb.unpack(row["lead"], np.uint32)], keys[:, tb.unpack(row["who"], np.uint32)])).T)
-    return np.unique(np.concatenate(rows), axis=0)
+def _pieces(count: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of rows whose counts come to about LOOK, one row at least."""
+    total, begin = np.cumsum(count), 0
+    while begin < len(count):
+        done = total[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(total, done + LOOK, "right")))
+        yield begin, end
+        begin = end
 
 
-def wanted(buckets: int) -> Callable[[pa.Table], pa.Table]:
-    """Which leaders' texts a bucket needs, asked of the leaders' buckets."""
+def crossings(percent: int) -> Callable[[pa.Table], pa.Table]:
+    """Second pass: every pair of a list that lies in two components and may link.
+
+    Members of a list's largest component are not paired among themselves. Each other member
+    meets (a) those that its own bound and size leave open, and (b) those of the largest component
+    whose prefixes end no later than its own, as there the bound is theirs."""
 
     def run(table: pa.Table) -> pa.Table:
-        leads = np.unique(_read_pairs(table)[:, :2], axis=0)
-        at = leads[:, 0] % buckets
-        b = int(table.column("b")[0].as_py())
-        return pa.Table.from_pylist([{"lb": int(x), "b": b, "keys": leads[at == x].T.tobytes()} for x in np.unique(at)], schema=WANTED_ARROW)
+        x = _lists(table)
+        leads, others = [], []
+
+        def look(a: np.ndarray, low: np.ndarray, count: np.ndarray, among: np.ndarray) -> None:
+            for begin, end in _pieces(count):
+                i = np.repeat(a[begin:end], count[begin:end])
+                j = among[np.repeat(low[begin:end], count[begin:end]) + _counting(count[begin:end])]
+                fits = (x.comp[i] != x.comp[j]) & _may_link(x, i, j, percent)
+                i, j = x.node[i[fits]], x.node[j[fits]]
+                leads.append(np.minimum(i, j))
+                others.append(np.maximum(i, j))
+
+        for lo, hi in zip(x.ends[:-1].tolist(), x.ends[1:].tolist(), strict=True):
+            comp = x.comp[lo:hi]
+            if (comp == comp[0]).all():
+                continue
+            _, which, size = np.unique(comp, return_inverse=True, return_counts=True)
+            large = which == np.argmax(size)
+            own, rest = lo + np.flatnonzero(~large), lo + np.flatnonzero(large)
+            n, c = x.n[own], x.c[own]
+            low = np.searchsorted(x.n[lo:hi], (percent * n + 99) // 100, "left")
+            most = np.minimum(n * 100 // percent, (100 + percent) * c // percent - n)
+            look(own, low, np.maximum(np.searchsorted(x.n[lo:hi], most, "right") - low, 0), np.arange(lo, hi))
+            rest = rest[np.argsort(x.last[rest], kind="stable")]
+            look(own, np.zeros(len(own), np.int64), np.searchsorted(x.last[rest], x.last[own], "right"), rest)
+        return _as_pairs(leads, others)
 
     return run
 
 
-def _find(nodes: pa.Table, keys: np.ndarray) -> np.ndarray:
-    """Rows of the sorted ``nodes`` that have ``keys`` (two columns)."""
-    own = np.stack([nodes.column("s1").to_numpy(), nodes.column("s2").to_numpy()], 1)
-    return np.searchsorted(np.ascontiguousarray(own).view(_PAIR)[:, 0], np.ascontiguousarray(keys).view(_PAIR)[:, 0])
+ATTACHED = LISTED + ", comp binary"
+
+
+def attach(listed: pa.Table, comps: pa.Table) -> pa.Table:
+    """The lists of a bucket with the component of each node; a node without links is its own."""
+    b = _bucket(listed) if listed.num_rows else 0
+    known, name = (comps.column(c).to_numpy() for c in ("id", "comp")) if comps.num_rows else (np.empty(0, np.int64), np.empty(0, np.int64))
+    order = np.argsort(known)
+    known, name = known[order], name[order]
+    out = []
+    for r in listed.to_pylist():
+        used = np.unique(tb.unpack(r["who"], np.uint32, delta=True)).astype(np.int64) | (np.int64(b) << 32)
+        comp = used.copy()
+        if len(known):
+            at = np.minimum(np.searchsorted(known, used), len(known) - 1)
+            comp = np.where(known[at] == used, name[at], used)
+        out.append(r | {"comp": tb.pack(comp)})
+    return pa.Table.from_pylist(out, schema=pa.schema([*_LISTED, ("comp", pa.binary())]))
+
+
+WANTED = "lb int, b int, ids binary"
+_WANTED = pa.schema([("lb", pa.int32()), ("b", pa.int32()), ("ids", pa.binary())])
+LEADER = "b int, id long, text string"
+_LEADER = pa.schema([("b", pa.int32()), ("id", pa.int64()), ("text", pa.string())])
+LINK = "lead long, member long, linked boolean"
+_LINK = pa.schema([("lead", pa.int64()), ("member", pa.int64()), ("linked", pa.bool_())])
+
+
+def _read_pairs(table: pa.Table) -> np.ndarray:
+    """Distinct (lead, member) ids of a bucket, sorted by leader."""
+    return np.unique(np.stack([table.column(c).to_numpy() for c in ("lead", "member")], 1), axis=0)
+
+
+def wanted(table: pa.Table) -> pa.Table:
+    """Which leaders' texts a bucket needs, asked of the leaders' buckets."""
+    leads = np.unique(table.column("lead").to_numpy())
+    at = leads >> 32
+    return pa.Table.from_pylist([{"lb": int(x), "b": _bucket(table), "ids": leads[at == x].tobytes()} for x in np.unique(at)], schema=_WANTED)
 
 
 def send_leaders(texts: pa.Table, asked: pa.Table) -> pa.Table:
     if not texts.num_rows or not asked.num_rows:
-        return pa.Table.from_pylist([], schema=LEADER_ARROW)
+        return pa.Table.from_pylist([], schema=_LEADER)
     nodes = _nodes(texts)
     out = []
     for row in asked.to_pylist():
-        one = nodes.take(pa.array(_find(nodes, np.frombuffer(row["keys"], np.int64).reshape(2, -1).T)))
-        out.append(pa.table([pa.array(np.full(one.num_rows, row["b"], np.int32)), one.column("s1"), one.column("s2"), one.column("text").cast(pa.string())], schema=LEADER_ARROW))
+        ids = np.frombuffer(row["ids"], np.int64)
+        one = nodes.take(pa.array(ids & 0xFFFFFFFF))
+        out.append(pa.table([pa.array(np.full(len(ids), row["b"], np.int32)), pa.array(ids), one.column("text").cast(pa.string())], schema=_LEADER))
     return pa.concat_tables(out)
 
 
@@ -348,20 +459,18 @@ def verify(k: int, percent: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         import pyarrow.compute as pc
 
         if not texts.num_rows or not met.num_rows:
-            return pa.Table.from_pylist([], schema=LINK_ARROW)
-        sent = met.filter(pc.is_valid(met.column("text"))).select(["s1", "s2", "text"])
-        pairs = _read_pairs(met.filter(pc.is_valid(met.column("who"))).select(["who", "lead", "keys"]))
-        own = _nodes(texts)
-        need = np.unique(pairs[:, 2:], axis=0)
-        members = own.take(pa.array(_find(own, need))).select(["s1", "s2", "text"])
-        leads = _nodes(sent)
-        sets = [_slow_sets(t, k) for t in (leads, members)]
-        a, b = _find(leads, pairs[:, :2]), _find(members, pairs[:, 2:])
+            return pa.Table.from_pylist([], schema=_LINK)
+        sent = met.filter(pc.is_valid(met.column("text"))).sort_by("id")
+        pairs = _read_pairs(met.filter(pc.is_valid(met.column("member"))))
+        need = np.unique(pairs[:, 1])
+        members = _slow_sets(_nodes(texts).take(pa.array(need & 0xFFFFFFFF)), k)
+        leads = _slow_sets(sent, k)
+        a, b = np.searchsorted(sent.column("id").to_numpy(), pairs[:, 0]), np.searchsorted(need, pairs[:, 1])
         linked = np.zeros(len(pairs), bool)
         bounds = np.append(tb.runs(a), len(a))
-        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-            linked[lo:hi] = _compare(sets[0], int(a[lo]), sets[1], b[lo:hi], percent)
-        return pa.table([*(pa.array(pairs[:, i]) for i in range(4)), pa.array(linked)], schema=LINK_ARROW)
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            linked[lo:hi] = _compare(leads, int(a[lo]), members, b[lo:hi], percent)
+        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(linked)], schema=_LINK)
 
     return run
 
@@ -396,70 +505,74 @@ def _compare(leads: Sets, lead: int, members: Sets, which: np.ndarray, percent:
     return passed & (100 * both >= percent * (len(mine) + n - both))
 
 
-def _key(a: str, b: str) -> Column:
-    return F.struct(F.col(a).alias("s1"), F.col(b).alias("s2"))
-
-
-def _nodes_of(docs: DataFrame, k: int, buckets: int) -> DataFrame:
+def saved_nodes(docs: DataFrame, k: int, buckets: int) -> tuple[DataFrame, str]:
+    """The nodes by bucket, dealt out once: a bucketed table in the shared folder, which every pass
+    reads without another exchange."""
+    spark = docs.sparkSession
     nodes = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(join_equal(k), NODE)
-    return nodes.withColumn("b", F.pmod("s1", F.lit(buckets)).cast("int"))
+    placed = nodes.withColumn("b", F.pmod("s1", F.lit(buckets)).cast("int")).repartition(buckets, "b")
+    path = shared_dir(spark)
+    name = path.rpartition("/")[2].replace("-", "_")
+    placed.write.bucketBy(buckets, "b").format("parquet").option("compression", "zstd").option("path", path).saveAsTable(name)
+    return spark.table(name), name
 
 
-def _links(texts: GroupedData, listed: DataFrame, pair_up: Callable[[pa.Table], pa.Table], k: int, percent: int, buckets: int) -> DataFrame:
-    """Verified pairs from the lists of prefix shingles; ``texts`` are the nodes by bucket."""
-    pairs = listed.groupBy("part").applyInArrow(pair_up, PAIRS)
-    asked = pairs.groupBy("b").applyInArrow(wanted(buckets), WANTED)
+def _verified(texts: GroupedData, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs that link; ``texts`` are the nodes by bucket."""
+    asked = pairs.groupBy("b").applyInArrow(wanted, WANTED)
     sent = texts.cogroup(asked.groupBy("lb")).applyInArrow(send_leaders, LEADER)
     met = pairs.unionByName(sent, allowMissingColumns=True)
-    return cut(texts.cogroup(met.groupBy("b")).applyInArrow(verify(k, percent), LINK))
-
-
-def _comps(links: DataFrame) -> DataFrame:
-    """Every node of ``links`` with its component over those that hold."""
-    loops = links.select(_key("a1", "a2").alias("u"), _key("a1", "a2").alias("v")).union(links.select(_key("b1", "b2"), _key("b1", "b2")))
-    return connected(links.filter("linked").select(_key("a1", "a2").alias("u"), _key("b1", "b2").alias("v")).union(loops))
+    links = texts.cogroup(met.groupBy("b")).applyInArrow(verify(k, percent), LINK)
+    return cut(links.filter("linked").select(F.col("lead").alias("u"), F.col("member").alias("v")))
 
 
 def link_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of ``docs``; ``s1``, ``s2`` name its set."""
+    spark = docs.sparkSession
     both = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(members(k), MEMBER))
     rows, sketch = both.filter("slice is null").select("doc_id", "s1", "s2", "n"), both.filter("slice is not null")
     buckets = int((sketch.agg(F.sum("size")).first()[0] or 0) // BUCKET_BYTES) + 1
-    classes = docs.sparkSession.sparkContext.broadcast(common_classes(sketch))
-
-    def first_pass(nodes: pa.Table) -> pa.Table:
-        return _prefixes(_nodes(nodes), None, k, percent, buckets, classes.value)
-
-    texts = _nodes_of(docs, k, buckets).groupBy("b")
-    links = _links(texts, texts.applyInArrow(first_pass, LISTED), stars(percent, buckets), k, percent, buckets)
-    comps = _comps(links)
-
-    # What a leader didn't link may link with others of its lists.
-    failed = links.filter(~F.col("linked")).select(F.explode(F.array(_key("a1", "a2"), _key("b1", "b2"))).alias("node")).distinct()
-    open_comps = comps.join(failed, "node").select("comp").distinct()
-    again = comps.join(open_comps, "comp").select(F.col("node.s1").alias("n1"), F.col("node.s2").alias("n2"), F.col("comp.s1").alias("c1"), F.col("comp.s2").alias("c2"))
-    again = cut(again.withColumn("b", F.pmod("n1", F.lit(buckets)).cast("int")))
-    if not again.isEmpty():
-
-        def second_pass(nodes: pa.Table, some: pa.Table) -> pa.Table:
-            if not nodes.num_rows or not some.num_rows:
-                return pa.Table.from_pylist([], schema=LISTED_ARROW)
-            nodes = _nodes(nodes)
-            some = some.sort_by([("n1", "ascending"), ("n2", "ascending")])
-            keys = np.stack([some.column(c).to_numpy() for c in ("n1", "n2", "c1", "c2")], 1)
-            return _prefixes(nodes.take(pa.array(_find(nodes, keys[:, :2]))), keys[:, 2:], k, percent, buckets, classes.value)
-
-        texts = _nodes_of(docs, k, buckets).groupBy("b")
-        listed = texts.cogroup(again.groupBy("b")).applyInArrow(second_pass, LISTED)
-        more = _links(texts, listed, crossings(percent, buckets), k, percent, buckets)
-        comps = _comps(links.union(more))
-
-    named = comps.select(F.col("node.s1").alias("s1"), F.col("node.s2").alias("s2"), "comp")
+    classes = spark.sparkContext.broadcast(common_classes(sketch))
+
+    def prefixes(nodes: pa.Table) -> Prefixes:
+        return _prefix_entries(nodes, k, percent, buckets, classes.value)
+
+    def prints(texts: pa.Table) -> pa.Table:
+        found = prefixes(_nodes(texts))
+        h, ends = found.h, found.ends
+        part = tb.part_of(h[ends[:-1]], buckets) if len(h) else []
+        return pa.Table.from_pylist([{"part": int(p), "b": _bucket(texts), "fp": tb.fingerprints(h[lo:hi], WIDTH)} for p, lo, hi in zip(part, ends[:-1], ends[1:], strict=True)], schema=_PRINTS)
+
+    def lists(texts: pa.Table, flags: pa.Table) -> pa.Table:
+        if not texts.num_rows:
+            return pa.Table.from_pylist([], schema=_LISTED)
+        nodes = _nodes(texts)
+        return shared_lists(nodes, flags, _bucket(texts), prefixes(nodes), buckets)
+
+    table, name = saved_nodes(docs, k, buckets)
+    texts = table.groupBy("b")
+    flags = texts.applyInArrow(prints, PRINTS).groupBy("part").applyInArrow(shared_flags, FLAGS)
+    every = cut(texts.cogroup(flags.groupBy("b")).applyInArrow(lists, LISTED))
+    listed, keys = every.filter("part >= 0"), every.filter("part = -1").select("b", "n", "c").mapInArrow(read_keys, KEYS)
+
+    links = _verified(texts, listed.groupBy("part").applyInArrow(stars(percent), PAIRS), k, percent)
+    comps = connected(links).withColumnRenamed("node", "id")
+    # Lists whose members still lie in several components.
+    placed = comps.withColumn("b", F.shiftright("id", 32).cast("int"))
+    attached = listed.groupBy("b").cogroup(placed.groupBy("b")).applyInArrow(attach, ATTACHED)
+    open_pairs = cut(attached.groupBy("part").applyInArrow(crossings(percent), PAIRS))
+    if not open_pairs.isEmpty():
+        more = _verified(texts, open_pairs, k, percent)
+        comps = connected(links.union(more)).withColumnRenamed("node", "id")
+    spark.sql(f"drop table {name}")
+
+    named = comps.join(keys, "id").select("s1", "s2", "comp")
     per_set = rows.groupBy("s1", "s2").agg(F.min("doc_id").alias("least")).join(named, ["s1", "s2"], "left")
-    per_set = per_set.withColumn("comp", F.coalesce("comp", _key("s1", "s2")))
-    per_comp = per_set.groupBy("comp").agg(F.min("least").alias("component_id"))
-    ids = per_set.join(per_comp, "comp").select(F.col("s1").alias("_s1"), F.col("s2").alias("_s2"), "component_id")
-    out = rows.join(ids, (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2")))
+    alone = per_set.filter("comp is null").select("s1", "s2", F.col("least").alias("component_id"))
+    joined = per_set.filter("comp is not null")
+    least = joined.groupBy("comp").agg(F.min("least").alias("component_id"))
+    ids = joined.join(least, "comp").select("s1", "s2", "component_id").union(alone)
+    out = rows.join(ids.withColumnsRenamed({"s1": "_s1", "s2": "_s2"}), (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "s1", "s2")
 
 

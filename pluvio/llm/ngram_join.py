@@ -9,7 +9,9 @@ also share a prefix shingle under the hash orders, and only then are the sets co
 Equal sets are one node, so exact copies never multiply. Of two sets, all
 that the prefix that ends first in the order shares with the other set is in the other's prefix;
 so lists of one tell each node how many of its shingles may be common at most with sets whose
-prefixes end no sooner, and pairs whose bound falls short of the threshold are never formed. The list
+prefixes end no sooner, and pairs whose bound falls short of the threshold are never formed. Pairs
+that share a short list are formed there; for the others entries in short lists count as not
+common, too, so that long lists (of a group of near copies) only form pairs without rare differences. The list
 of a shingle is not paired out: runs of members of like size are compared with one leader, the
 member that is most common. The components of these links go back to the lists, and a second pass
 compares every pair of a list that lies in two components and that sizes and bounds leave open.
@@ -215,10 +217,12 @@ def _prefix_entries(nodes: pa.Table, k: int, percent: int, parts: int, classes:
 
 PRINTS = "part int, b int, fp binary"
 _PRINTS = pa.schema([("part", pa.int32()), ("b", pa.int32()), ("fp", pa.binary())])
-FLAGS = "b int, part int, bits binary"
-_FLAGS = pa.schema([("b", pa.int32()), ("part", pa.int32()), ("bits", pa.binary())])
-LISTED = "part int, b int, fp binary, who binary, n binary, c binary, last binary"
-_LISTED = pa.schema([("part", pa.int32()), ("b", pa.int32()), ("fp", pa.binary()), ("who", pa.binary()), ("n", pa.binary()), ("c", pa.binary()), ("last", pa.binary())])
+#: A list of at most so many members is short.
+SHORT = 16
+FLAGS = "b int, part int, bits binary, long binary"
+_FLAGS = pa.schema([("b", pa.int32()), ("part", pa.int32()), ("bits", pa.binary()), ("long", pa.binary())])
+LISTED = "part int, b int, fp binary, who binary, n binary, c binary, c_long binary, last binary"
+_LISTED = pa.schema([("part", pa.int32()), ("b", pa.int32()), ("fp", pa.binary()), ("who", pa.binary()), ("n", pa.binary()), ("c", pa.binary()), ("c_long", pa.binary()), ("last", pa.binary())])
 WIDTH = 5
 
 
@@ -227,37 +231,39 @@ def _bucket(table: pa.Table) -> int:
 
 
 def shared_flags(table: pa.Table) -> pa.Table:
-    """Of one part: which entries of each bucket stand in a list of two or more."""
+    """Of one part: which entries of each bucket stand in a list of two or more, and in a long one."""
     rows = table.to_pylist()
     fp = np.concatenate([tb.read_fingerprints(r["fp"], WIDTH) for r in rows])
     _, inverse, count = np.unique(fp, return_inverse=True, return_counts=True)
-    shared, at, out = count[inverse] > 1, 0, []
+    shared, long, at, out = count[inverse] > 1, count[inverse] > SHORT, 0, []
     for r in rows:
         size = len(r["fp"]) // WIDTH
-        out.append({"b": r["b"], "part": r["part"], "bits": np.packbits(shared[at : at + size]).tobytes()})
+        out.append({"b": r["b"], "part": r["part"], "bits": np.packbits(shared[at : at + size]).tobytes(), "long": np.packbits(long[at : at + size]).tobytes()})
         at += size
     return pa.Table.from_pylist(out, schema=_FLAGS)
 
 
 def shared_lists(nodes: pa.Table, flags: pa.Table, b: int, entries: Prefixes, parts: int) -> pa.Table:
-    """The entries that others share, with each node's size, where its prefix ends, and ``c``, the
-    most shingles that it can have in common with sets whose prefixes end there or later. A last
-    row (part -1) has the keys of the bucket's nodes."""
+    """The entries that others share, with each node's size, where its prefix ends, and the most
+    shingles that it can have in common with sets whose prefixes end there or later: ``c`` of any,
+    ``c_long`` of those that it shares no short list with. A last row (part -1) has the keys of the
+    bucket's nodes."""
     h, who, ends = entries.h, entries.who, entries.ends
-    bits = {r["part"]: r["bits"] for r in flags.to_pylist()}
+    bits = {r["part"]: (r["bits"], r["long"]) for r in flags.to_pylist()}
     part_ids = tb.part_of(h[ends[:-1]], parts) if len(h) else np.empty(0, np.int32)
-    shared = np.zeros(len(h), bool)
+    shared, long = np.zeros(len(h), bool), np.zeros(len(h), bool)
     for p, lo, hi in zip(part_ids.tolist(), ends[:-1], ends[1:], strict=True):
-        shared[lo:hi] = np.unpackbits(np.frombuffer(bits[p], np.uint8), count=hi - lo).astype(bool)
+        for flag, packed in zip((shared, long), bits[p], strict=True):
+            flag[lo:hi] = np.unpackbits(np.frombuffer(packed, np.uint8), count=hi - lo).astype(bool)
     n = nodes.column("n").to_numpy()
-    c = n - np.bincount(who[~shared], minlength=len(n))
+    c, c_long = (n - np.bincount(who[~flag], minlength=len(n)) for flag in (shared, long))
     rows = []
     for p, lo, hi in zip(part_ids.tolist(), ends[:-1], ends[1:], strict=True):
         keep = shared[lo:hi]
         if keep.any():
             used, local = np.unique(who[lo:hi][keep], return_inverse=True)
-            rows.append({"part": p, "b": b, "fp": tb.fingerprints(h[lo:hi][keep], WIDTH), "who": tb.pack(used.astype(np.uint32)[local], delta=True), "n": tb.pack(n[used].astype(np.uint32)), "c": tb.pack(c[used].astype(np.uint32)), "last": tb.pack(entries.last[used])})
-    rows.append({"part": -1, "b": b, "fp": b"", "who": b"", "n": nodes.column("s1").to_numpy().tobytes(), "c": nodes.column("s2").to_numpy().tobytes(), "last": b""})
+            rows.append({"part": p, "b": b, "fp": tb.fingerprints(h[lo:hi][keep], WIDTH), "who": tb.pack(used.astype(np.uint32)[local], delta=True), "n": tb.pack(n[used].astype(np.uint32)), "c": tb.pack(c[used].astype(np.uint32)), "c_long": tb.pack(c_long[used].astype(np.uint32)), "last": tb.pack(entries.last[used])})
+    rows.append({"part": -1, "b": b, "fp": b"", "who": b"", "n": nodes.column("s1").to_numpy().tobytes(), "c": nodes.column("s2").to_numpy().tobytes(), "c_long": b"", "last": b""})
     return pa.Table.from_pylist(rows, schema=_LISTED)
 
 
@@ -289,7 +295,7 @@ class Lists:
 
 
 def _lists(table: pa.Table) -> Lists:
-    fp, node, n, c, last, comp = [], [], [], [], [], []
+    fp, node, n, c, c_long, last, comp = [], [], [], [], [], [], []
     for r in table.to_pylist():
         who = tb.unpack(r["who"], np.uint32, delta=True).astype(np.int64)
         used, local = np.unique(who, return_inverse=True)
@@ -297,12 +303,15 @@ def _lists(table: pa.Table) -> Lists:
         node.append((np.int64(r["b"]) << 32) | who)
         n.append(tb.unpack(r["n"], np.uint32).astype(np.int64)[local])
         c.append(tb.unpack(r["c"], np.uint32).astype(np.int64)[local])
+        c_long.append(tb.unpack(r["c_long"], np.uint32).astype(np.int64)[local])
         last.append(tb.unpack(r["last"], U64)[local])
         comp.append(tb.unpack(r["comp"], np.int64)[local] if "comp" in r else node[-1])
-    fp, node, n, c, last, comp = (np.concatenate(x) for x in (fp, node, n, c, last, comp))
+    fp, node, n, c, c_long, last, comp = (np.concatenate(x) for x in (fp, node, n, c, c_long, last, comp))
     order = np.lexsort((node, n, fp))
-    fp, node, n, c, last, comp = (x[order] for x in (fp, node, n, c, last, comp))
-    return Lists(node, n, c, last, comp, np.append(tb.runs(fp), len(fp)))
+    fp, node, n, c, c_long, last, comp = (x[order] for x in (fp, node, n, c, c_long, last, comp))
+    ends = np.append(tb.runs(fp), len(fp))
+    size = np.diff(ends)
+    return Lists(node, n, np.where(np.repeat(size > SHORT, size), c_long, c), last, comp, ends)
 
 
 def _may_link(x: Lists, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:

@@ -73,4 +73,4 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_ann, op2_html, op3_token_counts, op4_chat_format, op5_toxicity, op6_mixing, op7_ngram_join, op8_bpe, op9_quality_rules, op10_substring_dedup)}
 
-ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.MIX_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.MIX_SQL, "op10_substring_dedup": substring_dedup.REPEATS_SQL}

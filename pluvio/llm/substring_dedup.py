@@ -269,3 +269,17 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     """``docs`` with ``text`` cleaned, and n_words and n_removed beside the other columns."""
     done = attach(docs.drop("n_words", "n_removed", "kept"), clean_texts(docs, window)).withColumnRenamed("kept", "text")
     return done.select(*[c for c in docs.columns if c not in ("n_words", "n_removed")], "n_words", "n_removed")
+
+
+#: The rows of the registered query in DuckDB's SQL, for windows of 35 words.
+REPEATS_SQL = r"""
+with split as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+starts as (select doc_id, unnest(range(1, len(ws) - 33)) as i from split where len(ws) >= 35),
+windows as (select doc_id, i, array_to_string(ws[i:i+34], ' ') as seq from starts join split using (doc_id)),
+twice as (select seq from windows group by seq having count(*) > 1),
+hit as (select doc_id, i from windows semi join twice using (seq)),
+gone as (select distinct doc_id, i + k as p from hit, range(35) r(k)),
+each as (select doc_id, unnest(range(1, len(ws) + 1)) as p, unnest(ws) as word from split),
+kept as (select doc_id, count(*) as n, string_agg(word, ' ' order by p) as text from each anti join gone using (doc_id, p) group by doc_id)
+select s.doc_id, len(ws)::bigint as n_words, (len(ws) - coalesce(k.n, 0))::bigint as n_removed, sha256(coalesce(k.text, '')) as kept_sha256 from split s left join kept k using (doc_id)
+"""

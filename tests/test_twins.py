@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from pluvio.plans import registry
@@ -14,10 +15,12 @@ DERIVED = {"earliest_arrival", "sensor_states", "last_rain_state", "max_cell_con
 
 def rows(frame):
     def plain(v):
-        if v is None or v != v:
-            return None
         if hasattr(v, "tolist"):
             v = v.tolist()
+        if isinstance(v, list):
+            return v
+        if pd.isna(v):
+            return None
         return round(v, 5) + 0.0 if isinstance(v, float) else v
 
     cols = sorted(frame.columns)

@@ -17,7 +17,8 @@ footers, asides, notices, adverts, forms and comments, and no constant that many
 a place that doesn't repeat. Each whole page is then read by its host's wrapper.
 
 Defined results: a null or empty html gives an empty text; a null url is a host of its own
-kind; a page that its wrapper doesn't fit is read by the same rules without it; pages without
+kind; a page without text where its wrapper has the main text (another layout of the host) is
+read by a wrapper of its own; an article or main element without any text is none; pages without
 tags are one block; repeated rows repeat the result; extra columns of the input are dropped.
 """
 
@@ -270,15 +271,15 @@ def _dropped(w: Element, in_article: bool) -> bool:
     return _left_out(w[0], in_article) and (in_article or tag in LEFT_OUT or not _holds_article(w))
 
 
-def _roots(w: Element, want: Any, found: list[int], path: list[int]) -> None:
-    """Which elements (by their identity) that ``want`` selects stand outermost."""
+def _roots(w: Element, want: Any, found: list[Element]) -> None:
+    """Which elements that ``want`` selects stand outermost."""
     for c in w[1]:
         if not isinstance(c, list) or c[0] == TEXT or _dropped(c, False):
             continue
         if want(c):
-            found.append(id(c))
+            found.append(c)
         else:
-            _roots(c, want, found, path)
+            _roots(c, want, found)
 
 
 def _mass(w: Element) -> int:
@@ -290,17 +291,21 @@ def _mass(w: Element) -> int:
     return sum(map(_mass, w[1]))
 
 
+def _chars(w: Element) -> int:
+    return w[5] if w[0] == TEXT else sum(map(_chars, w[1]))
+
+
 def main_elements(w: Element) -> set[int]:
     """The elements of a wrapper that hold the main text."""
-    found: list[int] = []
     for want in (
         lambda c: _tag(c) == "article",
         lambda c: _tag(c) == "main" or "role=main" in c[0],
         lambda c: bool(set(c[0].split(" ")[1:]) & MAIN_WORDS) and 2 * _mass(c) >= _mass(w),
     ):
-        _roots(w, want, found, [])
-        if found:
-            return set(found)
+        found: list[Element] = []
+        _roots(w, want, found)
+        if any(map(_chars, found)):
+            return set(map(id, found))
     node, total = w, _mass(w)
     while True:  # down to where the text is
         inner = [c for c in node[1] if c[0] not in (TEXT,) and _tag(c) not in INLINE and not _dropped(c, False)]
@@ -318,7 +323,12 @@ class Reader:
         self.main = main_elements(wrapper)
 
     def text(self, page: str) -> str:
+        """Of a page in which no text stands where the wrapper has the main text (another layout
+        of the same host), the page's own wrapper decides."""
         tree = read_page(page)
+        return self._read(tree) or Reader(_as_wrapper(tree))._read(tree)
+
+    def _read(self, tree: Element) -> str:
         blocks: list[list[str]] = [[]]
         self._walk(tree, self.wrapper, id(self.wrapper) in self.main, False, False, blocks)
         joined = [" ".join(html.unescape("".join(b)).split()) for b in blocks]

@@ -79,3 +79,16 @@ def test_odd_pages(spark):
     by = {r.page_id: r.text for r in got}
     assert len(got) == 8 and by[1] == by[2] == by[6] == "" and by[3] == "plain <text> here" and by[4] == "open bold\nnext" and by[5] == "deep"
     assert html_wrappers.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_layouts_mixed_on_one_host(spark):
+    layouts = [
+        "<body><nav>NOISE</nav><article>BODY</article></body>",
+        "<body><nav>NOISE</nav><main>BODY</main></body>",
+        "<body><nav>NOISE</nav><div class='post-content'>BODY</div></body>",
+        "<body><nav>NOISE</nav><div><div>BODY</div></div><footer>NOISE</footer></body>",
+        "<body><article></article><section class='story'>BODY</section></body>",
+    ]
+    rows = [(i, None if i < 40 else "https://mixed.example/x", page(layouts[i % 5], i)) for i in range(80)]
+    got = html_wrappers.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    assert {r.page_id: r.text for r in got} == {i: WANT.format(i) for i in range(80)}

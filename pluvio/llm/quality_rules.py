@@ -2,7 +2,9 @@
 
 Base statistics of every text are plain column expressions. For each language and source a
 mergeable KLL sketch of each metric is built, the sketches of one language are merged from
-those of its sources, and the limits are Tukey-style fences read from the sketches. The
+those of its sources, and the limits are Tukey-style fences read from the sketches: a metric's
+reach is followed outward from the median, quantile by quantile, as far as they lie together, so
+that a long tail widens its group's fence and a bulk of junk apart from the rest doesn't. The
 limits are joined back and decide. Only DataFrame functions run; no Python touches a row.
 
 Defined results: a null text has no words and fails the base rule; null ``lang`` or ``source``
@@ -28,15 +30,17 @@ METRICS = ("symbols_per_word", "dup_lines_per_word", "repeat_share", "chars_per_
 class QualityLimits:
     """Base rule and the width of the fences.
 
-    A fence stands ``spread`` interquartile ranges beyond a quartile, and at least ``slack``
-    of the metric's own unit beyond it, so that a group without any spread does not reject
-    a document for its first symbol. Groups with fewer than ``min_group`` documents that pass
+    The reach on a side of the median starts as ``floor`` (in the metric's own unit; it decides
+    only where a group has no spread) and grows to the distance of each quantile of ``ranks`` that
+    lies within ``spread`` times the reach so far. The fence stands ``spread`` times the reach
+    from the median. Groups with fewer than ``min_group`` documents that pass
     the base rule use the limits of their whole language."""
 
     min_words: int = 50
     max_repeat_percent: int = 50
     spread: float = 3.0
-    slack: tuple[float, ...] = (0.10, 0.05, 0.40, 2.0)
+    floor: tuple[float, ...] = (0.01, 0.005, 0.02, 0.1)
+    ranks: tuple[float, ...] = (0.75, 0.8, 0.85, 0.9, 0.95, 0.98, 0.99)
     min_group: int = 30
     sketch_k: int = 200
 
@@ -92,14 +96,23 @@ def thresholds(stats: DataFrame, limits: QualityLimits) -> DataFrame:
     per_lang = per_source.groupBy("lang").agg(*[F.kll_merge_agg_double(m, F.lit(limits.sketch_k)).alias(f"{m}_all") for m in METRICS])
     both = per_source.join(per_lang.withColumnRenamed("lang", "_lang"), F.col("lang").eqNullSafe(F.col("_lang"))).drop("_lang")
     out = []
-    for m, slack in zip(METRICS, limits.slack, strict=True):
+    for m, floor in zip(METRICS, limits.floor, strict=True):
         sketch = F.when(F.col("n") >= limits.min_group, F.col(m)).otherwise(F.col(f"{m}_all"))
-        q1, q3 = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.75))
-        beyond = F.greatest(limits.spread * (q3 - q1), F.lit(slack))
-        out += [(q1 - beyond).alias(f"{m}_low"), (q3 + beyond).alias(f"{m}_high")]
+
+        def at(q: float, sketch: Column = sketch) -> Column:
+            return F.kll_sketch_get_quantile_double(sketch, F.lit(q))
+
+        middle = at(0.5)
+        up, down = F.array(*[at(q) - middle for q in limits.ranks]), F.array(*[middle - at(1 - q) for q in limits.ranks])
+        out += [(middle - _fence(down, floor, limits)).alias(f"{m}_low"), (middle + _fence(up, floor, limits)).alias(f"{m}_high")]
     return both.select("lang", "source", *out)
 
 
+def _fence(distances: Column, floor: float, limits: QualityLimits) -> Column:
+    """How far from the median a fence stands: past the quantiles that lie together."""
+    return limits.spread * F.aggregate(distances, F.lit(float(floor)), lambda reach, d: F.when((d > reach) & (d <= limits.spread * reach), d).otherwise(reach))
+
+
 def judge(docs: DataFrame, limits: QualityLimits | None = None, carry: list[str] | None = None) -> DataFrame:
     """``docs`` (columns ``carry``, default all) with BASE, ``base_failed`` and ``kept``.
 

@@ -101,6 +101,23 @@ def test_quality_limits_follow_the_group(spark):
     assert not got.pop(900) and all(got.values())
 
 
+def test_sources_judge_by_their_own_distribution(spark):
+    r = random.Random(5)
+
+    def text(n, marks, copies=0):
+        made = [f"w{r.randrange(4000)}" for _ in range(n - 3 * copies)] + ["same", "three", "words"] * copies
+        return " ".join(w + "#" * (i < marks) for i, w in enumerate(made))
+
+    rows = [(i, text(200, 0), "en", "plain") for i in range(200)]
+    rows += [(1000 + i, text(200, r.randrange(20), r.randrange(8)), "en", "marked") for i in range(200)]
+    rows += [(3000 + i, text(200, 200), "en", "marked") for i in range(20)]  # a bulk of junk doesn't move the fence
+    symbols, repeats = text(200, 14), text(200, 0, 7)
+    rows += [(n + i, x, "en", s) for n, x in ((5000, symbols), (6000, repeats)) for i, s in enumerate(("plain", "marked"))]
+    got = {x.doc_id: x.kept for x in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert [got[i] for i in (5000, 5001, 6000, 6001)] == [False, True, False, True]
+    assert all(got[i] for i in range(200)) and all(got[1000 + i] for i in range(200)) and not any(got[3000 + i] for i in range(20))
+
+
 def test_mixing_meets_its_rates(spark):
     rows = [(i, "x" * 100, "big" if i % 10 else None) for i in range(4000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("copy", F.lit("clash"))

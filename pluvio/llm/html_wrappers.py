@@ -3,18 +3,19 @@
 A page is read as a balanced token stream, that is, a tree. Equal neighbours are folded into
 repeated groups. The streams of pages of one host are aligned, one after another: tags that match
 are merged, those without a partner become optional, runs of equal ones repeated groups, and
-texts that differ become slots. The result is a wrapper, a regular expression without unions
-over tags, groups (+), options (?), constant texts and text slots.
+texts become slots. The result is a wrapper, a regular expression without unions over tags,
+groups (+), options (?) and text slots.
 
 Wrappers of some pages are made where the pages lie, one for each host and task, and merge in
 two rounds (a host's parts are salted in the first), so that a host with a third of all pages is
-spread like any other. They hold no page text but constants of bounded length, and meet the pages in
+spread like any other. They hold no page text, only its length, and meet the pages in
 a join on the host that Spark may broadcast only where their written size allows.
 
 A wrapper decides which of its slots are the main text: those of the article (or of the main
 element, or of the element with the most text that isn't links), outside menus, headers,
-footers, asides, notices, adverts, forms and comments, and no constant that many pages share at
-a place that doesn't repeat. Each whole page is then read by its host's wrapper.
+footers, asides, notices, adverts, forms and comments. What many pages share is kept like any
+other text; only a label of a share control ("Share this story") that stands alone outside
+headings, paragraphs and the like is left out. Each whole page is then read by its host's wrapper.
 
 Defined results: a null or empty html gives an empty text; a null url is a host of its own
 kind; a page without text where its wrapper has the main text (another layout of the host) is
@@ -65,10 +66,9 @@ SCOPES = frozenset("article aside body blockquote div dl fieldset figure footer
 
 #: Elements below this depth are read as if they stood there; no text is lost.
 DEEPEST = 120
-#: A constant is remembered up to this many characters, and up to as many is it template text.
-CONSTANT = 80
-#: Pages that must share a constant before it is taken for a part of the template.
-EVIDENCE = 5
+#: The whole text of an element that labels a share control, and elements whose text is the article's whatever it says.
+_LABEL = re.compile(r"(?:share|tweet|print|e-?mail) this (?:story|article|post|page)[.!:]?", re.I)
+PROSE = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd td th caption figcaption blockquote q pre code em strong b i cite".split())
 #: Hosts whose wrappers a task holds at a time.
 HELD_HOSTS = 2_000
 
@@ -79,7 +79,7 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 # A page's element: [key, children]; a text is a string. A wrapper's element:
 # [key, children, optional, repeated, pages, chars]; its texts have the key "#" and in place of
-# children the constant or None for a slot; a group of several elements has the key "()".
+# children None; a group of several elements has the key "()".
 Element = list[Any]
 TEXT, GROUP = "#", "()"
 
@@ -169,8 +169,7 @@ def _close(stack: list[Element], tag: str) -> None:
 
 def _as_wrapper(element: Element | str) -> Element:
     if isinstance(element, str):
-        value = " ".join(html.unescape(element).split())
-        return [TEXT, value if len(value) <= CONSTANT else None, False, False, 1, len(value)]
+        return [TEXT, None, False, False, 1, len(" ".join(html.unescape(element).split()))]
     children = [_as_wrapper(c) for c in element[1] if not isinstance(c, str) or not c.isspace()]
     return [element[0], _fold(children), False, False, 1, 0]
 
@@ -213,7 +212,7 @@ def _merge(a: Element, b: Element) -> Element:
     """The wrapper of what both match; the keys are the same."""
     head = [a[2] or b[2], a[3] or b[3], a[4] + b[4], a[5] + b[5]]
     if a[0] == TEXT:
-        return [TEXT, a[1] if a[1] == b[1] else None, *head]
+        return [TEXT, None, *head]
     return [a[0], align(a[1], b[1]), *head]
 
 
@@ -330,37 +329,42 @@ class Reader:
 
     def _read(self, tree: Element) -> str:
         blocks: list[list[str]] = [[]]
-        self._walk(tree, self.wrapper, id(self.wrapper) in self.main, False, False, blocks)
+        self._walk(tree, self.wrapper, id(self.wrapper) in self.main, False, blocks)
         joined = [" ".join(html.unescape("".join(b)).split()) for b in blocks]
         return "\n".join(b for b in joined if b)
 
-    def _walk(self, element: Element, w: Element | None, inside: bool, in_article: bool, repeated: bool, blocks: list[list[str]]) -> None:
+    def _walk(self, element: Element, w: Element | None, inside: bool, in_article: bool, blocks: list[list[str]]) -> None:
         matcher = _Matcher(w[1] if w else [])
         for c in element[1]:
             if isinstance(c, str):
-                if not inside:
-                    continue
-                slot, often = matcher.next(TEXT)
-                template = slot is not None and slot[1] and slot[4] >= EVIDENCE and not (repeated or often or slot[2])
-                if c.isspace() or not template or " ".join(html.unescape(c).split()) != slot[1]:
+                if inside:
+                    if not c.isspace():
+                        matcher.next(TEXT)
                     blocks[-1].append(c)
                 continue
-            own, often = matcher.next(c[0])
+            own = matcher.next(c[0])
             tag = _tag(c)
             within = in_article or tag in ("article", "main")
-            if _dropped(c, in_article):
+            if _dropped(c, in_article) or _is_label(c, element):
                 continue
             now = inside or (own is not None and id(own) in self.main) or tag == "article"
             if in_article and tag == "header":  # of an article's own header the headings belong to it
                 c = [c[0], [x for x in c[1] if isinstance(x, list) and re.match(r"h[1-6]\b", x[0])]]
             if tag not in INLINE:
                 blocks.append([])
-                self._walk(c, own, now, within, repeated or often, blocks)
+                self._walk(c, own, now, within, blocks)
                 blocks.append([])
             elif tag == "br":
                 blocks[-1].append(" ")
             else:
-                self._walk(c, own, now, within, repeated or often, blocks)
+                self._walk(c, own, now, within, blocks)
+
+
+def _is_label(c: Element, parent: Element) -> bool:
+    """Whether an element is the label of a share control, and not a word of a heading or paragraph."""
+    if len(c[1]) != 1 or not isinstance(c[1][0], str) or _tag(c) in PROSE or _tag(parent) in PROSE:
+        return False
+    return len(c[1][0]) < 80 and _LABEL.fullmatch(" ".join(html.unescape(c[1][0]).split())) is not None
 
 
 class _Matcher:
@@ -370,16 +374,15 @@ class _Matcher:
         self.flat = [(x, w[3]) for w in wrappers for x in (w[1] if w[0] == GROUP else [w])]
         self.at = 0
 
-    def next(self, key: str) -> tuple[Element | None, bool]:
+    def next(self, key: str) -> Element | None:
         n = len(self.flat)
         for step in range(n):
             i = (self.at + step) % n
             w, grouped = self.flat[i]
             if w[0] == key:
-                repeated = grouped or w[3]
-                self.at = i if repeated else i + 1
-                return w, repeated
-        return None, False
+                self.at = i if grouped or w[3] else i + 1
+                return w
+        return None
 
 
 # In Spark
@@ -423,8 +426,6 @@ class HostWrappers:
         for a, b in zip(known, leaves, strict=True):
             a[4] += b[4]
             a[5] += b[5]
-            if a[0] == TEXT and a[1] != b[1]:
-                a[1] = None
 
     def leave(self) -> Iterator[dict[str, str]]:
         for host, shapes in self.hosts.items():

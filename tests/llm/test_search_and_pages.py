@@ -92,3 +92,13 @@ def test_layouts_mixed_on_one_host(spark):
     rows = [(i, None if i < 40 else "https://mixed.example/x", page(layouts[i % 5], i)) for i in range(80)]
     got = html_wrappers.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
     assert {r.page_id: r.text for r in got} == {i: WANT.format(i) for i in range(80)}
+
+
+def test_texts_that_all_pages_share_are_kept(spark):
+    varied = "<article><h1>Head NOISE</h1><h2>Summary</h2><p>A fixed line.</p><div>Dateline</div><p>text NOISE</p></article>"
+    rows = [(i, "http://varied/1", varied.replace("NOISE", str(i))) for i in range(9)]
+    rows += [(100 + i, "http://copies/1", "<article><h1>One</h1><p>Short article.</p></article>") for i in range(9)]
+    rows += [(200, "http://label/1", "<article><p>Before</p><p>Share this story</p><div>Share this story</div></article>")]
+    got = {r.page_id: r.text for r in html_wrappers.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {i: f"Head {i}\nSummary\nA fixed line.\nDateline\ntext {i}" for i in range(9)}
+    assert got == want | {100 + i: "One\nShort article." for i in range(9)} | {200: "Before\nShare this story"}

@@ -17,6 +17,10 @@ footers, asides, notices, adverts, forms and comments. What many pages share is
 other text; only a label of a share control ("Share this story") that stands alone outside
 headings, paragraphs and the like is left out. Each whole page is then read by its host's wrapper.
 
+Names of class and id count in an article as whole tokens or compounds of such words only
+(related-posts, not related-work); names made from headings don't count, and ambiguous ones (share,
+replies) only on blocks that are mostly links.
+
 Defined results: a null or empty html gives an empty text; a null url is a host of its own
 kind; a page without text where its wrapper has the main text (another layout of the host) is
 read by a wrapper of its own; an article or main element without any text is none; pages without
@@ -29,6 +33,7 @@ import html
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import Any
 
 import pyarrow as pa
@@ -50,6 +55,17 @@ LEFT_OUT_WORDS = frozenset(
 )
 #: Of these, some may mark parts of an article that belong to it.
 WITHIN_ARTICLE = frozenset("header masthead alert overlay legal".split())
+#: Words that go with one of LEFT_OUT_WORDS in a compound such as related-posts or share-buttons.
+CARRIERS = frozenset(
+    "list lists section area box block bar bars container wrapper wrap inner outer button buttons link links icon icons post posts article articles story stories item items form panel slot unit "
+    "top bottom left right main site page reader user inline mobile desktop primary secondary".split()
+)
+#: Words that alone also name parts of real texts; a block so named is left out in an article only if most of it is links.
+WEAK_WORDS = frozenset("copyright replies reply share skip rail discussion search promotion subscription".split())
+#: Of an id, these too, as ids are made from headings.
+WEAK_ID_WORDS = WEAK_WORDS | frozenset("related social recommendations navigation advertising consent comment notices notification menu widgets".split())
+#: Elements whose ids are made from headings and mark nothing.
+NAMED_BY_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 p li dl dt dd table caption thead tbody tr td th figure figcaption blockquote pre a span".split())
 MAIN_WORDS = frozenset("article content post entry story main body text".split())
 CLOSED_BY = {
     "p": frozenset("p".split()),
@@ -84,20 +100,45 @@ Element = list[Any]
 TEXT, GROUP = "#", "()"
 
 
+@lru_cache(1 << 14)
+def _mark(token: str, weak: frozenset[str]) -> str:
+    """What a token of a class or id marks in an article: apart (left out), linked (left out if
+    most of it is links) or nothing. Only whole tokens count, or compounds of nothing else."""
+    parts = [w.lower() for w in _WORD.findall(token)]
+    found = [w for w in parts if w in LEFT_OUT_WORDS and w not in WITHIN_ARTICLE]
+    if not found or any(w not in LEFT_OUT_WORDS and w not in CARRIERS for w in parts):
+        return ""
+    return "linked" if len(parts) == 1 and parts[0] in weak else "apart"
+
+
 def _key(tag: str, attributes: str) -> str:
     """Tag and marks of an element: roles and words of class and id, without numbers."""
     if not attributes or "=" not in attributes and "hidden" not in attributes:
         return tag
     words: list[str] = []
+    tokens: dict[str, list[str]] = {"class": [], "id": []}
     for name, a, b, c, hidden in _ATTRIBUTE.findall(attributes):
         value = a or b or c
         name = name.lower()
-        if name in ("class", "id"):
-            words += [w.lower() for w in _WORD.findall(value)]
+        if name in tokens:
+            tokens[name] += value.split()
         elif name == "role":
             words.append(f"role={value.strip().lower()}")
         elif hidden or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
             words.append("role=hidden")
+    classes, ids = tokens["class"], tokens["id"]
+    if tag in NAMED_BY_HEADINGS:
+        ids = []
+    marks = {_mark(t, WEAK_WORDS) for t in classes}
+    words += [w.lower() for t in classes for w in _WORD.findall(t)]
+    of_ids = [w.lower() for t in ids for w in _WORD.findall(t)]
+    if tag == "section" or "section" in classes:
+        marks |= {_mark(t, WEAK_ID_WORDS) and "linked" for t in ids}
+        of_ids = [w for w in of_ids if w not in LEFT_OUT_WORDS]
+    else:
+        marks |= {_mark(t, WEAK_ID_WORDS) for t in ids}
+    words += of_ids
+    words += [f"mark={m}" for m in sorted(marks) if m]
     return " ".join([tag, *dict.fromkeys(words)])
 
 
@@ -247,27 +288,45 @@ def page_wrapper(text: str) -> Element:
 # What is main text
 
 
-def _left_out(key: str, in_article: bool) -> bool:
-    tag, *words = key.split(" ")
+def _left_out(w: Element, in_article: bool, mild: bool) -> bool:
+    """``mild``: by whole names only, as in an article or another element whose class says so."""
+    tag, *words = w[0].split(" ")
     if tag in LEFT_OUT and not (in_article and tag == "header"):
         return True
-    marks = set(words)
-    if any(w.startswith("role=") and (w[5:] in LEFT_OUT_ROLES or w == "role=hidden") for w in words):
+    if not words:
+        return False
+    if any(x.startswith("role=") and (x[5:] in LEFT_OUT_ROLES or x == "role=hidden") for x in words):
         return True
-    found = marks & LEFT_OUT_WORDS
-    return bool(found - WITHIN_ARTICLE if in_article else found)
+    if "mark=apart" in words or ("mark=linked" in words and _is_linked(w)):
+        return True
+    return not mild and not LEFT_OUT_WORDS.isdisjoint(words)
+
+
+def _is_linked(w: Element) -> bool:
+    """Whether most of the text of an element of a page or wrapper is links."""
+    every = links = 0
+    todo = [(w, _tag(w) == "a")]
+    while todo:
+        element, link = todo.pop()
+        for c in element[1] or ():
+            if isinstance(c, str) or c[0] == TEXT:
+                n = len("".join(c.split())) if isinstance(c, str) else c[5]
+                every, links = every + n, links + n * link
+            else:
+                todo.append((c, link or _tag(c) in ("a", "button")))
+    return 2 * links >= every
 
 
 def _holds_article(w: Element) -> bool:
     return isinstance(w[1], list) and any(_tag(c) in ("article", "main", "h1") or _holds_article(c) for c in w[1] if isinstance(c, list))
 
 
-def _dropped(w: Element, in_article: bool) -> bool:
+def _dropped(w: Element, in_article: bool, mild: bool = False) -> bool:
     """Whether an element is left out with all it holds."""
     tag = _tag(w)
     if tag in ("html", "article", "main", TEXT, GROUP):
         return False
-    return _left_out(w[0], in_article) and (in_article or tag in LEFT_OUT or not _holds_article(w))
+    return _left_out(w, in_article, in_article or mild) and (in_article or tag in LEFT_OUT or not _holds_article(w))
 
 
 def _roots(w: Element, want: Any, found: list[Element]) -> None:
@@ -294,12 +353,16 @@ def _chars(w: Element) -> int:
     return w[5] if w[0] == TEXT else sum(map(_chars, w[1]))
 
 
+def _says_main(w: Element) -> bool:
+    return "role=main" in w[0] or not MAIN_WORDS.isdisjoint(w[0].split(" ")[1:])
+
+
 def main_elements(w: Element) -> set[int]:
     """The elements of a wrapper that hold the main text."""
     for want in (
         lambda c: _tag(c) == "article",
         lambda c: _tag(c) == "main" or "role=main" in c[0],
-        lambda c: bool(set(c[0].split(" ")[1:]) & MAIN_WORDS) and 2 * _mass(c) >= _mass(w),
+        lambda c: _says_main(c) and 2 * _mass(c) >= _mass(w),
     ):
         found: list[Element] = []
         _roots(w, want, found)
@@ -329,11 +392,11 @@ class Reader:
 
     def _read(self, tree: Element) -> str:
         blocks: list[list[str]] = [[]]
-        self._walk(tree, self.wrapper, id(self.wrapper) in self.main, False, blocks)
+        self._walk(tree, self.wrapper, id(self.wrapper) in self.main, False, False, blocks)
         joined = [" ".join(html.unescape("".join(b)).split()) for b in blocks]
         return "\n".join(b for b in joined if b)
 
-    def _walk(self, element: Element, w: Element | None, inside: bool, in_article: bool, blocks: list[list[str]]) -> None:
+    def _walk(self, element: Element, w: Element | None, inside: bool, in_article: bool, mild: bool, blocks: list[list[str]]) -> None:
         matcher = _Matcher(w[1] if w else [])
         for c in element[1]:
             if isinstance(c, str):
@@ -345,19 +408,21 @@ class Reader:
             own = matcher.next(c[0])
             tag = _tag(c)
             within = in_article or tag in ("article", "main")
-            if _dropped(c, in_article) or _is_label(c, element):
+            if _dropped(c, in_article, mild) or _is_label(c, element):
                 continue
-            now = inside or (own is not None and id(own) in self.main) or tag == "article"
+            is_main = own is not None and id(own) in self.main
+            now = inside or is_main or tag == "article"
+            gently = mild or (is_main and _says_main(c))
             if in_article and tag == "header":  # of an article's own header the headings belong to it
                 c = [c[0], [x for x in c[1] if isinstance(x, list) and re.match(r"h[1-6]\b", x[0])]]
             if tag not in INLINE:
                 blocks.append([])
-                self._walk(c, own, now, within, blocks)
+                self._walk(c, own, now, within, gently, blocks)
                 blocks.append([])
             elif tag == "br":
                 blocks[-1].append(" ")
             else:
-                self._walk(c, own, now, within, blocks)
+                self._walk(c, own, now, within, gently, blocks)
 
 
 def _is_label(c: Element, parent: Element) -> bool:

@@ -102,3 +102,17 @@ def test_texts_that_all_pages_share_are_kept(spark):
     got = {r.page_id: r.text for r in html_wrappers.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     want = {i: f"Head {i}\nSummary\nA fixed line.\nDateline\ntext {i}" for i in range(9)}
     assert got == want | {100 + i: "One\nShort article." for i in range(9)} | {200: "Before\nShare this story"}
+
+
+PARTS = """<h1>Head</h1><section id='discussion'><p>A</p></section><h2 id='search-results'>B</h2><h2 id='social-history'>C</h2><p id='related-work'>D</p>
+<h3 id='comment-on-method'>E</h3><div class='promotion-rules'>F</div><table class='prices'><tr class='copyright'><td class='share'>G</td></tr></table><div class='replies'><p>H</p></div>
+<div class='skip'>I</div><div class='rail'>J</div><section id='comments'><p>K</p></section><div class='section' id='related'>L</div>"""
+LEAVE = """<div class='related-posts'>x</div><ul class='comment-list'><li>x</li></ul><div class='share-buttons'>x</div><div class='share'><a>x</a> <a>x</a></div><div class='ad'>x</div>
+<div id='comments'>x</div><div class='newsletterBox'>x</div><section id='related'><a>x</a></section><div class='site-navigation'>x</div>"""
+
+
+@pytest.mark.parametrize("around", ["<article>PARTS</article>", "<main>PARTS</main>", "<div class='post-content'>PARTS</div>"])
+def test_names_of_an_article_s_parts(around):
+    page = "<body><nav>x</nav>" + around.replace("PARTS", PARTS + LEAVE) + "<div class='comments'>x</div></body>"
+    got = html_wrappers.Reader(html_wrappers.page_wrapper(page)).text(page)
+    assert got.split("\n") == ["Head", *"ABCDEFGHIJKL"]

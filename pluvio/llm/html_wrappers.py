@@ -32,6 +32,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import Any
@@ -80,7 +81,7 @@ CLOSED_BY = {
 BLOCKS_THAT_CLOSE_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SCOPES = frozenset("article aside body blockquote div dl fieldset figure footer form header html main nav ol section table td th ul".split())
 
-#: Elements below this depth are read as if they stood there; no text is lost.
+#: Below this depth a wrapper knows only how long the text is. Pages are read at any depth.
 DEEPEST = 120
 #: The whole text of an element that labels a share control, and elements whose text is the article's whatever it says.
 _LABEL = re.compile(r"(?:share|tweet|print|e-?mail) this (?:story|article|post|page)[.!:]?", re.I)
@@ -146,6 +147,7 @@ def read_page(text: str) -> Element:
     """The tree of a page, however its tags are closed."""
     root: Element = ["html", []]
     stack = [root]
+    is_open: Counter[str] = Counter()
     at = 0
     while True:
         m = _TOKEN.search(text, at)
@@ -161,7 +163,8 @@ def read_page(text: str) -> Element:
             continue
         tag = m[2].lower()
         if m[1]:
-            _close(stack, tag)
+            if is_open[tag]:
+                _close(stack, tag, is_open)
             continue
         if tag in _RAW_END:
             end = _RAW_END[tag].search(text, at)
@@ -170,36 +173,45 @@ def read_page(text: str) -> Element:
         if tag in ("html", "body"):
             continue
         if tag in BLOCKS_THAT_CLOSE_P:
-            _close_open(stack, CLOSED_BY["p"])
+            _close_open(stack, CLOSED_BY["p"], is_open)
         elif tag in CLOSED_BY:
-            _close_open(stack, CLOSED_BY[tag])
+            _close_open(stack, CLOSED_BY[tag], is_open)
         element: Element = [_key(tag, m[3]), []]
         stack[-1][1].append(element)
-        if tag not in VOID and not m[3].endswith("/") and len(stack) < DEEPEST:
+        if tag not in VOID and not m[3].endswith("/"):
             stack.append(element)
+            is_open[tag] += 1
 
 
 def _tag(element: Element) -> str:
     return element[0].partition(" ")[0]
 
 
-def _close_open(stack: list[Element], tags: frozenset[str]) -> None:
+def _cut(stack: list[Element], i: int, is_open: Counter[str]) -> None:
+    for element in stack[i:]:
+        is_open[_tag(element)] -= 1
+    del stack[i:]
+
+
+def _close_open(stack: list[Element], tags: frozenset[str], is_open: Counter[str]) -> None:
     """Closes elements of ``tags`` that are open in the innermost scope."""
+    if not any(is_open[t] for t in tags):
+        return
+    last = len(stack)
     for i in range(len(stack) - 1, 0, -1):
         tag = _tag(stack[i])
         if tag in tags:
-            del stack[i:]
-            return _close_open(stack, tags)
-        if tag in SCOPES:
-            return None
-    return None
+            last = i
+        elif tag in SCOPES:
+            break
+    _cut(stack, last, is_open)
 
 
-def _close(stack: list[Element], tag: str) -> None:
+def _close(stack: list[Element], tag: str, is_open: Counter[str]) -> None:
     for i in range(len(stack) - 1, 0, -1):
         own = _tag(stack[i])
         if own == tag:
-            del stack[i:]
+            _cut(stack, i, is_open)
             return
         if tag in INLINE and own not in INLINE:
             return
@@ -208,10 +220,24 @@ def _close(stack: list[Element], tag: str) -> None:
 # Wrappers
 
 
-def _as_wrapper(element: Element | str) -> Element:
+def _length(element: Element) -> int:
+    """Characters of all texts of a page's element."""
+    n, todo = 0, [element]
+    while todo:
+        for c in todo.pop()[1]:
+            if isinstance(c, str):
+                n += len(" ".join(html.unescape(c).split()))
+            else:
+                todo.append(c)
+    return n
+
+
+def _as_wrapper(element: Element | str, depth: int = 1) -> Element:
     if isinstance(element, str):
         return [TEXT, None, False, False, 1, len(" ".join(html.unescape(element).split()))]
-    children = [_as_wrapper(c) for c in element[1] if not isinstance(c, str) or not c.isspace()]
+    if depth == DEEPEST:
+        return [element[0], [[TEXT, None, False, False, 1, _length(element)]], False, False, 1, 0]
+    children = [_as_wrapper(c, depth + 1) for c in element[1] if not isinstance(c, str) or not c.isspace()]
     return [element[0], _fold(children), False, False, 1, 0]
 
 
@@ -318,7 +344,14 @@ def _is_linked(w: Element) -> bool:
 
 
 def _holds_article(w: Element) -> bool:
-    return isinstance(w[1], list) and any(_tag(c) in ("article", "main", "h1") or _holds_article(c) for c in w[1] if isinstance(c, list))
+    todo = [w]
+    while todo:
+        for c in todo.pop()[1] or ():
+            if isinstance(c, list):
+                if _tag(c) in ("article", "main", "h1"):
+                    return True
+                todo.append(c)
+    return False
 
 
 def _dropped(w: Element, in_article: bool, mild: bool = False) -> bool:
@@ -392,13 +425,21 @@ class Reader:
 
     def _read(self, tree: Element) -> str:
         blocks: list[list[str]] = [[]]
-        self._walk(tree, self.wrapper, id(self.wrapper) in self.main, False, False, blocks)
+        self._walk(tree, blocks)
         joined = [" ".join(html.unescape("".join(b)).split()) for b in blocks]
         return "\n".join(b for b in joined if b)
 
-    def _walk(self, element: Element, w: Element | None, inside: bool, in_article: bool, mild: bool, blocks: list[list[str]]) -> None:
-        matcher = _Matcher(w[1] if w else [])
-        for c in element[1]:
+    def _walk(self, tree: Element, blocks: list[list[str]]) -> None:
+        # open elements: their children still to come, the wrapper's, and where they stand
+        todo = [(tree, iter(tree[1]), _Matcher(self.wrapper[1]), id(self.wrapper) in self.main, False, False)]
+        while todo:
+            element, children, matcher, inside, in_article, mild = todo[-1]
+            c = next(children, None)
+            if c is None:
+                todo.pop()
+                if todo and _tag(element) not in INLINE:
+                    blocks.append([])
+                continue
             if isinstance(c, str):
                 if inside:
                     if not c.isspace():
@@ -407,22 +448,18 @@ class Reader:
                 continue
             own = matcher.next(c[0])
             tag = _tag(c)
-            within = in_article or tag in ("article", "main")
             if _dropped(c, in_article, mild) or _is_label(c, element):
                 continue
             is_main = own is not None and id(own) in self.main
-            now = inside or is_main or tag == "article"
-            gently = mild or (is_main and _says_main(c))
             if in_article and tag == "header":  # of an article's own header the headings belong to it
                 c = [c[0], [x for x in c[1] if isinstance(x, list) and re.match(r"h[1-6]\b", x[0])]]
             if tag not in INLINE:
                 blocks.append([])
-                self._walk(c, own, now, within, gently, blocks)
-                blocks.append([])
             elif tag == "br":
                 blocks[-1].append(" ")
-            else:
-                self._walk(c, own, now, within, gently, blocks)
+                continue
+            now, within = inside or is_main or tag == "article", in_article or tag in ("article", "main")
+            todo.append((c, iter(c[1]), _Matcher(own[1] if own else []), now, within, mild or (is_main and _says_main(c))))
 
 
 def _is_label(c: Element, parent: Element) -> bool:

@@ -116,3 +116,13 @@ def test_names_of_an_article_s_parts(around):
     page = "<body><nav>x</nav>" + around.replace("PARTS", PARTS + LEAVE) + "<div class='comments'>x</div></body>"
     got = html_wrappers.Reader(html_wrappers.page_wrapper(page)).text(page)
     assert got.split("\n") == ["Head", *"ABCDEFGHIJKL"]
+
+
+@pytest.mark.parametrize("depth", [100, 119, 130, 4000])
+def test_text_after_and_in_deep_elements(depth):
+    deep = "<div>" * depth + "deep<nav>menu</nav><div class='ad'><p>advert</p></div><p>more<p>again" + "</div>" * depth
+    page = f"<body><div><nav>x</nav><article><h1>Head</h1><div>{deep}</div><p>after</p></article><p>out</p></div>"
+    got = html_wrappers.Reader(html_wrappers.page_wrapper(page)).text(page)
+    assert got == "Head\ndeep\nmore\nagain\nafter"
+    below = "<div>" * depth + "<nav>menu</nav><article>text</article>" + "</div>" * depth
+    assert html_wrappers.Reader(html_wrappers.page_wrapper(below)).text(below) == "text"

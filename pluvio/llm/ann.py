@@ -14,8 +14,8 @@ bound that fits a task, so that the packs sent grow slower than the pairs. No pa
 and a vector leaves a block but the ``k`` nearest.
 
 Defined results: vectors that are null or zero or hold null or non-finite components take no
-part, neither as query nor as candidate; a null id takes no part; vectors of another length than
-most (the longest length in the table) take no part; ties of equal distance go to the smaller
+part, neither as query nor as candidate; a null id takes no part; vectors are searched among those
+of their own length; an id that repeats is asked once; ties of equal distance go to the smaller
 id; rows that repeat an id other than the query's are candidates of their own; with fewer than
 ``k`` candidates all are returned; an empty table gives an empty one.
 """
@@ -133,28 +133,27 @@ def search_block(s: Settings) -> Callable[[pa.Table, pa.Table], pa.Table]:
 
 def _packs(table: pa.Table) -> pa.Table:
     v = _matrix(table.column("v"))
-    return pa.table({"ids": pa.array([table.column("vec_id").to_numpy().tobytes()], pa.binary()), "vectors": pa.array([np.ascontiguousarray(v).tobytes()], pa.binary())})
+    return pa.table({"dim": table.column("dim")[:1], "blocks": table.column("blocks")[:1], "ids": pa.array([table.column("vec_id").to_numpy().tobytes()], pa.binary()), "vectors": pa.array([np.ascontiguousarray(v).tobytes()], pa.binary())})
 
 
 def nearest(vectors: DataFrame, is_query: Column, settings: Settings | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the ``k`` nearest found of each row that
-    ``is_query`` (a condition on vec_id) selects, among all other rows."""
+    ``is_query`` (a condition on vec_id) selects, among all other rows of its length."""
     s = settings or Settings()
     spark = vectors.sparkSession
-    every = usable(vectors)
-    size = every.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim"), F.count(F.when(is_query, 1)).alias("q")).first()
-    n, dim, n_queries = size["n"], size["dim"] or 0, size["q"]
-    every = every.filter(F.size("v") == dim)
+    every = usable(vectors).withColumn("dim", F.size("v"))
     slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = min(max(n // max(1, 2 * slots), s.least_block), s.most_block)
-    blocks = max(1, -(-n // rows))
-    packs = max(1, -(-n_queries // s.pack))
+    n = F.col("n")
+    rows = F.least(F.greatest(F.floor(n / max(1, 2 * slots)), F.lit(s.least_block)), F.lit(s.most_block))
+    sizes = every.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(is_query, 1)).alias("q"))
+    # one row for each length of vectors
+    sizes = F.broadcast(sizes.select("dim", F.ceil(n / rows).alias("blocks"), F.greatest(F.ceil(F.col("q") / s.pack), F.lit(1)).alias("packs")))
     # rows that repeat an id still spread: the vector has its part in the hash
-    placed = every.withColumn("b", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int"))
-    queries = every.filter(is_query).dropDuplicates(["vec_id"]).withColumn("pack", F.pmod(F.xxhash64("vec_id"), F.lit(packs)).cast("int"))
-    packed = queries.groupBy("pack").applyInArrow(_packs, "ids binary, vectors binary")
-    sent = packed.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    near = placed.groupBy("b").cogroup(sent.groupBy("b")).applyInArrow(search_block(s), NEAR)
+    placed = every.join(sizes, "dim").withColumn("b", F.pmod(F.xxhash64("vec_id", "v"), F.col("blocks")).cast("int")).select("vec_id", "v", "dim", "b")
+    queries = every.filter(is_query).dropDuplicates(["vec_id"]).join(sizes, "dim").withColumn("pack", F.pmod(F.xxhash64("vec_id"), F.col("packs")).cast("int"))
+    packed = queries.select("vec_id", "v", "dim", "blocks", "pack").groupBy("dim", "blocks", "pack").applyInArrow(_packs, "dim int, blocks long, ids binary, vectors binary")
+    sent = packed.select("dim", "ids", "vectors", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("b"))
+    near = placed.groupBy("dim", "b").cogroup(sent.groupBy("dim", "b")).applyInArrow(search_block(s), NEAR)
     by = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = near.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= s.k)
     return ranked.select("query_id", "rank", "vec_id", "score")

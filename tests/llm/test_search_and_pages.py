@@ -37,6 +37,12 @@ def test_fewer_candidates_than_asked(spark):
     assert ann.nearest(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_each_length_is_searched_among_its_own(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(30)] + [(100 + i, [float(i), 1.0, 2.0]) for i in range(5)] + [(200, [1.0] * 7)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0, ann.Settings(k=3)).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == [(q, i, q + i, float(i)) for q in (0, 100) for i in (1, 2, 3)]
+
+
 BODY = "<h1>Title {0}</h1><p>First &amp; {0}\n  line</p><p><b>Second {0}<br></p><p>Third {0}</p>"
 WANT = "Title {0}\nFirst & {0} line\nSecond {0}\nThird {0}"
 

@@ -288,8 +288,17 @@ _POP = "case when {0} is null then 1.0 when {0} < 5 then 3.0 when {0} < 30 then
 
 @query(f"with {_HOURS}, nows as (select distinct epoch(date_trunc('minute', ts))::bigint as now from events where event_id % 50 = 0), m as (select now, max(pop) as pop from nows left join hours on hour between now and now+3600 group by 1) select now, pop, ({_POP.format('pop')})::double as multiplier from m")
 def pop_multiplier(spark, sf_dir):
-    """The greatest probability within the next hour: a closed interval meets one or two hours."""
-    e = tables.table(spark, sf_dir, "events").filter("event_id % 50 = 0")
+    """Of every 50th event, as its twin has it; ``pop_multiplier_all`` is the whole job."""
+    return _multipliers(spark, sf_dir, tables.table(spark, sf_dir, "events").filter("event_id % 50 = 0"))
+
+
+@query(f"with {_HOURS}, nows as (select distinct epoch(date_trunc('minute', ts))::bigint as now from events), near as (select now, unnest([now - now%3600, now - now%3600 + 3600]) as hour from nows), m as (select now, max(pop) as pop from near left join hours using (hour) where hour between now and now+3600 group by 1) select now, pop, ({_POP.format('pop')})::double as multiplier from m")
+def pop_multiplier_all(spark, sf_dir):
+    return _multipliers(spark, sf_dir, tables.table(spark, sf_dir, "events"))
+
+
+def _multipliers(spark, sf_dir, e):
+    """The greatest probability within the hour after each minute of ``e``: a closed interval meets one or two hours."""
     now = e.select(F.unix_seconds(F.date_trunc("minute", F.col("ts").cast("timestamp"))).alias("now")).distinct()
     hours = now.withColumn("hour", F.explode(F.array((F.floor(F.col("now") / 3600) * 3600).cast("long"), (F.floor(F.col("now") / 3600) * 3600 + 3600).cast("long"))))
     inside = hours.filter(F.col("hour").between(F.col("now"), F.col("now") + 3600))

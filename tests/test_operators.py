@@ -128,3 +128,11 @@ def test_tile_scan(spark, tmp_path):
     (folder / "7_3_5_s2.png").write_bytes(b"not a picture")
     got = files.tile_pixels(files.tiles(spark, str(tmp_path))).collect()
     assert len(got) == 4 and {(r.epoch, r.x, r.y, r.r, r.g, r.b, r.alpha) for r in got} == {(1700000000, 3, 4, 81, 197, 232, 255)}
+
+
+def test_every_minute_of_events_has_a_multiplier(spark, sf_dir):
+    from pluvio.plans import registry
+
+    minutes = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.unix_seconds(F.date_trunc("minute", F.col("ts").cast("timestamp"))).alias("now")).distinct()
+    got = registry.QUERIES["pop_multiplier_all"](spark, sf_dir)
+    assert sorted(r.now for r in got.collect()) == sorted(r.now for r in minutes.collect())

@@ -8,12 +8,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pluvio.plans import detect, pixel_queries
 from pluvio.plans.oracle import sql
 from pluvio.sources import files, state, tables
 from pluvio.streaming import clutter, frames
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+#: As many files as there are, in one micro-batch.
+ALL_FILES = 2**31 - 1
 
 
 def query(twin: str | None = None) -> Callable:
@@ -55,14 +58,35 @@ def stream_frames_dedupe(spark, sf_dir):
 
 @query()
 def stream_sliding(spark, sf_dir):
-    """Windows that the watermark has closed."""
+    """Windows that the watermark has closed. One micro-batch reads all files, so that no order of theirs makes a frame late."""
     folder = _folder(spark)
-    _frames(spark, sf_dir).repartition(1).write.parquet(f"{folder}/in")
-    frames.run_to_end(frames.sliding_windows(frames.read_frames(spark, f"{folder}/in")), f"{folder}/out", f"{folder}/cp")
+    _frames(spark, sf_dir).write.parquet(f"{folder}/in")
+    frames.run_to_end(frames.sliding_windows(frames.read_frames(spark, f"{folder}/in", ALL_FILES)), f"{folder}/out", f"{folder}/cp")
     out = spark.read.schema("location_id long, start timestamp, end timestamp, n_frames long, n_echo long").parquet(f"{folder}/out")
     return out.select("location_id", F.unix_seconds("start").alias("start"), "n_frames", "n_echo")
 
 
+@query(pixel_queries.SQL["detect"])
+def stream_detect(spark, sf_dir, files_per_trigger=ALL_FILES):
+    """Detection as frames arrive: each micro-batch detects anew the sessions that it has frames of."""
+    folder = _folder(spark)
+    _frames(spark, sf_dir).write.parquet(f"{folder}/in")
+    pixels = tables.pixels(spark, sf_dir)
+    places = pixel_queries._places(spark, sf_dir)
+
+    def detected(batch: DataFrame, number: int) -> None:
+        met = batch.select(F.col("location_id").alias("session_id")).distinct()
+        p = pixels.join(met, "session_id", "left_semi")
+        out = detect.detect(p, places, pixel_queries._sessions(p), pixel_queries.D)
+        out.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{folder}/out")
+
+    frames.detect_batches(frames.read_frames(spark, f"{folder}/in", files_per_trigger), f"{folder}/cp", detected)
+    rows = spark.read.parquet(f"{folder}/out")
+    kept = [c for c in rows.columns if c not in ("session_id", "location_id", "batch")]
+    last = rows.groupBy("session_id", "location_id").agg(F.max_by(F.struct(*kept), "batch").alias("m")).select("session_id", "location_id", "m.*")
+    return last.withColumns({c: F.round(c, 6) for c in ("arrival_s", "max_intensity")})
+
+
 def _cycles(spark, sf_dir):
     p = tables.pixels(spark, sf_dir)
     return p.select(F.col("session_id").alias("location_id"), F.col("frame_idx").cast("long").alias("cycle"), "r", "c", "inten")

@@ -136,3 +136,29 @@ def test_every_minute_of_events_has_a_multiplier(spark, sf_dir):
     minutes = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.unix_seconds(F.date_trunc("minute", F.col("ts").cast("timestamp"))).alias("now")).distinct()
     got = registry.QUERIES["pop_multiplier_all"](spark, sf_dir)
     assert sorted(r.now for r in got.collect()) == sorted(r.now for r in minutes.collect())
+
+
+def test_detection_by_micro_batches(spark, sf_dir):
+    from pluvio.plans import file_queries, registry
+
+    cols = ["session_id", "location_id", "rain_incoming", "arrival_s", "max_intensity", "rain_at_location", "n_cells", "confidence"]
+    got = file_queries.stream_detect(spark, sf_dir, files_per_trigger=2).select(cols).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, registry.QUERIES["detect"](spark, sf_dir).select(cols).collect()))
+
+
+def test_windows_are_written_by_more_than_one_task(spark, sf_dir, monkeypatch):
+    import os
+
+    from pluvio.plans import file_queries
+
+    used = []
+    folder = file_queries._folder
+    monkeypatch.setattr(file_queries, "_folder", lambda s: used.append(folder(s)) or used[-1])
+    monkeypatch.setattr(file_queries, "_frames", lambda s, d, f=file_queries._frames: f(s, d).repartition(3, "path"))
+    got = file_queries.stream_sliding(spark, sf_dir)
+    assert sum(n.startswith("part-") for n in os.listdir(f"{used[0].removeprefix('file:')}/in")) == 3
+    rows = file_queries._frames(spark, sf_dir)
+    ends = F.window("frame_ts", "80 minutes", "10 minutes")
+    late = rows.agg(F.max("frame_ts") - F.expr("interval 80 minutes")).first()[0]
+    want = rows.groupBy("location_id", ends.alias("w")).agg(F.count("*").alias("n"), F.sum("n_echo").alias("e")).filter(F.col("w.end") <= F.lit(late))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select("location_id", F.unix_seconds("w.start"), "n", "e").collect()))

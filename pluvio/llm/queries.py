@@ -66,9 +66,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    cleaned = substring_dedup.clean_texts(docs)
-    digests = cleaned.select("t1", "t2", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
-    return substring_dedup.attach(docs, digests)
+    cleaned = substring_dedup.remove_repeats(docs)
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
 QUERIES = {f.__name__: f for f in (op1_ann, op2_html, op3_token_counts, op4_chat_format, op5_toxicity, op6_mixing, op7_ngram_join, op8_bpe, op9_quality_rules, op10_substring_dedup)}

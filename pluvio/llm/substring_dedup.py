@@ -11,11 +11,17 @@ sequence also starts anywhere else covers them.
 3. Hits are extended: the windows around a hit are candidates; those whose whole word sequence
    is found twice are exact repeats, and overlapping ones form the maximal repeats.
 
-Copies of a text are joined early: each task keeps one text of each kind and its number, so
-that a group of copies is one row a batch. A place is (text, word), where a text is its
-128-bit hash; nothing depends on ``doc_id``. Entries travel packed, one row for each task and
-partition. The numbers of partitions and buckets follow the bytes of text, so that a group
-is of bounded size. No pair of texts is ever formed.
+Each bucket of texts sends one entry for each distinct run, however often it holds it, so that
+what meets in a partition never grows with the number of documents that share a passage. The
+entries of a bucket for a partition travel as one row of sorted hashes, without places; the
+partition answers with two bits for each, and the bucket finds the places again from its texts.
+
+Copies of a text are joined early: each task keeps one text of each kind and its number, so that
+a group of copies is one row a batch. A text that is there once keeps its row's other columns
+beside it through the one exchange of the texts. Of a text with copies every window repeats, so
+that fewer than ``window`` words stay: that little meets the copies' rows in a join. A text is
+its 128-bit hash; nothing depends on ``doc_id``. The numbers of partitions and buckets follow
+the bytes of text, so that a group is of bounded size. No pair of texts is ever formed.
 
 Defined results: a null text has no words; texts shorter than a window stay as they are but
 for white space; repeated rows repeat each other's windows; a row keeps all its columns, and
@@ -26,20 +32,24 @@ column are replaced by it. An empty table gives an empty one.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from typing import Any
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructType
 
 from pluvio.llm import textblocks as tb
-from pluvio.llm.shared import text_key
+from pluvio.llm.shared import cut, text_key
 
 #: Bytes of text for each bucket and each partition of hashes.
 BUCKET_BYTES = 8 << 20
-PACKED = "part int, fp binary, who binary, pos binary, keys binary"
-HITS = "b int, who binary, pos binary, keys binary"
+#: Bits of a run's hash that travel. A partition holds about 2 ** 16 distinct blocks, so that one probe in
+#: some thousands meets a block by chance; that only makes a candidate.
+RUN_BITS = 28
+U64 = np.uint64
+RESULTS = ("n_words", "n_removed")
 
 
 def buckets_for(docs: DataFrame) -> int:
@@ -65,151 +75,212 @@ def _by_text(table: pa.Table) -> pa.Table:
     return kept.set_column(kept.schema.get_field_index("m"), "m", pa.array(m))
 
 
-def _entries(part: np.ndarray, h: np.ndarray, width: int, who: np.ndarray, pos: np.ndarray, table: pa.Table) -> Iterator[dict[str, Any]]:
-    """Rows of PACKED, ``width`` bytes of ``h`` for each entry. ``keys`` has the texts of a row: both
-    hashes and the number of copies, 2 at most."""
-    order = np.argsort(part, kind="stable")
-    ends = np.append(tb.runs(part[order]), len(order))
-    t = [table.column(c).to_numpy() for c in ("t1", "t2")] + [np.minimum(table.column("m").to_numpy(), 2)]
-    for lo, hi in zip(ends[:-1], ends[1:], strict=True):
-        own = order[lo:hi]
-        used, local = np.unique(who[own], return_inverse=True)
-        yield {
-            "part": int(part[own[0]]),
-            "fp": tb.fingerprints(h[own], width),
-            "who": tb.pack(local.astype(np.uint32), delta=True),
-            "pos": tb.pack(pos[own].astype(np.uint32)),
-            "keys": np.stack([x[used] for x in t]).astype(np.int64).tobytes(),
-        }
+@dataclass
+class Places:
+    """Places of a bucket (ordinals of words) where runs of words begin, and which of the distinct
+    runs stands there. Distinct runs are sorted by partition and hash; ``ends`` bounds partitions."""
 
+    at: np.ndarray
+    which: np.ndarray
+    value: np.ndarray
+    part: np.ndarray
+    ends: np.ndarray
 
-def _rows(rows: list[dict[str, Any]], schema: pa.Schema) -> pa.Table:
-    return pa.Table.from_pylist(rows, schema=schema)
+    def per_run(self, weight: np.ndarray) -> np.ndarray:
+        return np.bincount(self.which, weight, len(self.value)).astype(np.int64)
 
+    def slices(self) -> Iterator[tuple[int, slice]]:
+        for lo, hi in zip(self.ends[:-1].tolist(), self.ends[1:].tolist(), strict=True):
+            yield int(self.part[lo]), slice(lo, hi)
 
-PACKED_ARROW = pa.schema([("part", pa.int32()), ("fp", pa.binary()), ("who", pa.binary()), ("pos", pa.binary()), ("keys", pa.binary())])
-HITS_ARROW = pa.schema([("b", pa.int32()), ("who", pa.binary()), ("pos", pa.binary()), ("keys", pa.binary())])
 
+def _places(at: np.ndarray, part: np.ndarray, value: np.ndarray) -> Places:
+    order = np.lexsort((value, part))
+    part, value = part[order], value[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (part[1:] != part[:-1]) | (value[1:] != value[:-1])
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    part, value = part[new], value[new]
+    return Places(at, which, value, part, np.append(tb.runs(part), len(part)))
 
-def probes(block: int, parts: int) -> Callable[[pa.Table], pa.Table]:
-    """Every rolling run of ``block`` words of a bucket; those at multiples of ``block`` are the index."""
+
+class Bucket:
+    """The distinct texts of a bucket and their words."""
+
+    def __init__(self, table: pa.Table, window: int, parts: int) -> None:
+        self.id = int(table.column("b")[0].as_py())
+        self.texts = _by_text(table)
+        self.words = tb.split_words(self.texts.column("text"))
+        self.copies = np.minimum(self.texts.column("m").to_numpy(), 2)
+        self.window, self.block, self.parts = window, (window + 1) // 2, parts
+
+    def weight(self, at: np.ndarray) -> np.ndarray:
+        return self.copies[self.words.row[at]]
+
+    def runs(self) -> Places:
+        """Every rolling run as long as a block."""
+        at, h = self.words.windows(self.block)
+        return _places(at, tb.part_of(h, self.parts), h & U64((1 << RUN_BITS) - 1))
+
+    def is_block(self, at: np.ndarray) -> np.ndarray:
+        return (at - self.words.first[self.words.row[at]]) % self.block == 0
+
+    def candidates(self, flags: pa.Table) -> Places:
+        """The windows that hold a hit; ``flags`` has the answers about runs."""
+        runs = self.runs()
+        one, two = _answers(runs, flags, "runs")
+        marks = np.zeros(len(self.words.hash) + 1, np.int64)
+        marks[runs.at] = np.where(self.is_block(runs.at), two[runs.which], one[runs.which])
+        total = np.concatenate(([0], np.cumsum(marks)))
+        at, h = self.words.windows(self.window, which=1)
+        near = total[at + self.window - self.block + 1] > total[at]
+        part = tb.part_of(self.words.windows(self.window)[1][near], self.parts)  # of another hash, so that both decide
+        return _places(at[near], part, h[near])
+
+
+SENT = "part int, b int, value binary, count binary"
+_SENT = pa.schema([("part", pa.int32()), ("b", pa.int32()), ("value", pa.binary()), ("count", pa.binary())])
+FLAGS = "b int, kind string, part int, one binary, two binary"
+_FLAGS = pa.schema([("b", pa.int32()), ("kind", pa.string()), ("part", pa.int32()), ("one", pa.binary()), ("two", pa.binary())])
+
+
+def _bits(flags: np.ndarray) -> bytes:
+    return tb.pack(np.packbits(flags))
+
+
+def _answers(places: Places, flags: pa.Table, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """For each distinct run the two bits that its partition answered; no answer is none."""
+    said = {r["part"]: r for r in flags.to_pylist() if r["kind"] == kind}
+    one, two = np.zeros(len(places.value), bool), np.zeros(len(places.value), bool)
+    for part, own in places.slices():
+        if part in said:
+            for flag, name in ((one, "one"), (two, "two")):
+                flag[own] = np.unpackbits(tb.unpack(said[part][name], np.uint8), count=own.stop - own.start)
+    return one, two
+
+
+def probes(window: int, parts: int) -> Callable[[pa.Table], pa.Table]:
+    """Every distinct rolling run of a bucket for its partition, with what it adds to the index in
+    two bits: 0 no block, 1 one block and no other place, 2 one block and more, 3 two blocks or more."""
 
     def emit(table: pa.Table) -> pa.Table:
-        table = _by_text(table)
-        w = tb.split_words(table.column("text"))
-        at, h = w.windows(block)
-        who = w.row[at]
-        # four bytes and the partition: a false hit only makes a candidate
-        return _rows(list(_entries(tb.part_of(h, parts), h, 4, who, at - w.first[who], table)), PACKED_ARROW)
+        bucket = Bucket(table, window, parts)
+        runs = bucket.runs()
+        weight = bucket.weight(runs.at)
+        blocks, places = runs.per_run(weight * bucket.is_block(runs.at)), runs.per_run(weight)
+        code = np.where(blocks == 0, 0, np.where(blocks > 1, 3, np.where(places == 1, 1, 2)))
+        value = (runs.value << U64(2) | code.astype(U64)).astype(np.uint32)
+        return pa.Table.from_pylist([{"part": p, "b": bucket.id, "value": tb.pack(value[own], delta=True)} for p, own in runs.slices()], schema=_SENT)
 
     return emit
 
 
-def _gather(table: pa.Table, width: int = 0) -> tuple[np.ndarray, ...]:
-    fp, who, pos, keys, base = [], [], [], [], 0
-    for row in table.to_pylist():
-        k = np.frombuffer(row["keys"], np.int64).reshape(3 if width else 2, -1)
-        keys.append(k)
-        who.append(tb.unpack(row["who"], np.uint32, delta=True).astype(np.int64) + base)
-        pos.append(tb.unpack(row["pos"], np.uint32))
-        if width:
-            fp.append(tb.read_fingerprints(row["fp"], width))
-        base += k.shape[1]
-    return (np.concatenate(fp) if width else np.empty(0)), np.concatenate(who), np.concatenate(pos), np.concatenate(keys, 1)
-
-
-def hits(stride: int, width: int, buckets: int) -> Callable[[pa.Table], pa.Table]:
-    """Of one partition: the entries that equal an index entry (one at a multiple of ``stride``)
-    of another place, as rows for the buckets of their texts."""
-
-    def match(table: pa.Table) -> pa.Table:
-        fp, who, pos, keys = _gather(table, width)
-        order = np.argsort(fp, kind="stable")
-        begin = tb.runs(fp[order])
-        sizes = np.diff(np.append(begin, len(order)))
-        shared = np.repeat(sizes > 1, sizes) | (keys[2][who[order]] > 1)  # alone in its run: no hit
-        order = order[shared]
-        if not len(order):
-            return _rows([], HITS_ARROW)
-        begin = tb.runs(fp[order])
-        sizes = np.diff(np.append(begin, len(order)))
-        weight = np.where(pos[order] % stride == 0, keys[2][who[order]], 0)
-        others = np.repeat(np.add.reduceat(weight, begin), sizes) - (weight > 0)
-        found = order[others > 0]
-        b = keys[0][who[found]] % buckets
-        rank = np.lexsort((pos[found], who[found], b))
-        found, b = found[rank], b[rank]
-        ends = np.append(tb.runs(b), len(b))
-        rows = []
-        for lo, hi in zip(ends[:-1], ends[1:], strict=True):
-            own = found[lo:hi]
-            used, local = np.unique(who[own], return_inverse=True)
-            rows.append({"b": int(b[lo]), "who": tb.pack(local.astype(np.uint32), delta=True), "pos": tb.pack(pos[own]), "keys": keys[:2, used].tobytes()})
-        return _rows(rows, HITS_ARROW)
-
-    return match
-
-
-def _marks(w: tb.Words, texts: pa.Table, found: pa.Table) -> np.ndarray:
-    """A count for every word of a bucket: how many hits start there."""
-    marks = np.zeros(len(w.hash) + 1, np.int64)
-    if found.num_rows:
-        _, who, pos, keys = _gather(found)
-        own = np.stack([texts.column("t1").to_numpy(), texts.column("t2").to_numpy()], 1)
-        pair = np.dtype([("a", np.int64), ("b", np.int64)])
-        mine = np.ascontiguousarray(own).view(pair)[:, 0]
-        theirs = np.ascontiguousarray(keys.T).view(pair)[:, 0]
-        row = np.searchsorted(mine, theirs)  # _by_text leaves the keys sorted
-        marks[w.first[row[who]] + pos] = 1
-    return marks
-
-
-def _covered(marks: np.ndarray, reach: int) -> np.ndarray:
-    """For each place: whether a mark lies on it or on one of the ``reach - 1`` places before it."""
-    total = np.concatenate(([0], np.cumsum(marks)))
-    i = np.arange(len(marks))
-    return total[i + 1] > total[np.maximum(i + 1 - reach, 0)]
-
-
-def extend(window: int, block: int, parts: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """The windows that hold a hit, with the hash of their whole word sequence."""
-
-    def candidates(texts: pa.Table, found: pa.Table) -> pa.Table:
-        if not texts.num_rows or not found.num_rows:
-            return _rows([], PACKED_ARROW)
-        texts = _by_text(texts)
-        w = tb.split_words(texts.column("text"))
-        total = np.concatenate(([0], np.cumsum(_marks(w, texts, found))))
-        at, h = w.windows(window, which=1)
-        near = total[at + window - block + 1] > total[at]
-        part = tb.part_of(w.windows(window)[1][near], parts)  # of another hash, so that both decide
-        at, h = at[near], h[near]
-        who = w.row[at]
-        return _rows(list(_entries(part, h, 8, who, at - w.first[who], texts)), PACKED_ARROW)
+def _summed(value: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """For each entry the weight of all entries of its value."""
+    _, which = np.unique(value, return_inverse=True)
+    return np.bincount(which, weight)[which]
 
-    return candidates
 
+def _reply(rows: list[dict], sizes: list[int], kind: str, one: np.ndarray, two: np.ndarray) -> pa.Table:
+    out, at = [], 0
+    for r, size in zip(rows, sizes, strict=True):
+        if one[at : at + size].any():
+            out.append({"b": r["b"], "kind": kind, "part": r["part"], "one": _bits(one[at : at + size]), "two": _bits(two[at : at + size])})
+        at += size
+    return pa.Table.from_pylist(out, schema=_FLAGS)
 
-def removal(window: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """Each text of a bucket without the words that a repeated window covers."""
 
-    def clean(texts: pa.Table, found: pa.Table) -> pa.Table:
-        if not texts.num_rows:
-            return _rows([], CLEAN_ARROW)
-        texts = _by_text(texts)
-        w = tb.split_words(texts.column("text"))
-        gone = _covered(_marks(w, texts, found), window)[: len(w.hash)]
-        n = w.n
-        gone |= np.repeat((texts.column("m").to_numpy() > 1) & (n >= window), n)
-        cut = np.concatenate(([0], np.cumsum(gone)))
-        removed = cut[w.first[1:]] - cut[w.first[:-1]]
-        return pa.table({"t1": texts.column("t1"), "t2": texts.column("t2"), "n_words": pa.array(n.astype(np.int64)), "n_removed": pa.array(removed.astype(np.int64)), "kept": _joined(w, ~gone)}, schema=CLEAN_ARROW)
+def match_blocks(table: pa.Table) -> pa.Table:
+    """Of one partition: which runs equal a block of another place. A place that is no block needs
+    one block (``one``), a block another one (``two``)."""
+    rows = table.to_pylist()
+    each = [tb.unpack(r["value"], np.uint32, delta=True) for r in rows]
+    v = np.concatenate(each)
+    code = v & np.uint32(3)
+    blocks = _summed(v >> np.uint32(2), np.array([0, 1, 1, 2])[code])
+    return _reply(rows, list(map(len, each)), "runs", blocks > (code == 1), blocks > 1)
+
+
+def extend(window: int, parts: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The distinct windows that hold a hit, with the hash of their whole word sequence."""
+
+    def candidates(texts: pa.Table, flags: pa.Table) -> pa.Table:
+        if not texts.num_rows or not flags.num_rows:
+            return pa.Table.from_pylist([], schema=_SENT)
+        bucket = Bucket(texts, window, parts)
+        found = bucket.candidates(flags)
+        twice = found.per_run(bucket.weight(found.at)) > 1
+        return pa.Table.from_pylist([{"part": p, "b": bucket.id, "value": tb.pack(found.value[own], delta=True), "count": _bits(twice[own])} for p, own in found.slices()], schema=_SENT)
+
+    return candidates
+
+
+def match_windows(table: pa.Table) -> pa.Table:
+    """Of one partition: which windows start in two places or more."""
+    rows = table.to_pylist()
+    each = [tb.unpack(r["value"], U64, delta=True) for r in rows]
+    weight = np.concatenate([1 + np.unpackbits(tb.unpack(r["count"], np.uint8), count=len(v)) for r, v in zip(rows, each, strict=True)])
+    repeated = _summed(np.concatenate(each), weight) > 1
+    return _reply(rows, list(map(len, each)), "windows", repeated, repeated)
+
+
+def removal(window: int, parts: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The rows of texts that are there once, without the words that a repeated window covers."""
+
+    def clean(texts: pa.Table, flags: pa.Table) -> pa.Table:
+        bucket = Bucket(texts, window, parts)
+        w, n = bucket.words, bucket.words.n
+        gone = np.zeros(len(w.hash), bool)
+        if flags.num_rows:
+            found = bucket.candidates(flags)
+            repeated, _ = _answers(found, flags, "windows")
+            marks = np.zeros(len(w.hash) + 1, np.int64)
+            starts = found.at[repeated[found.which]]
+            marks[starts] += 1
+            np.subtract.at(marks, starts + window, 1)
+            gone = np.cumsum(marks)[:-1] > 0
+        total = np.concatenate(([0], np.cumsum(gone)))
+        removed = total[w.first[1:]] - total[w.first[:-1]]
+        done = pa.table([pa.array(n.astype(np.int64)), pa.array(removed.astype(np.int64)), _joined(w, ~gone), in_utc(bucket.texts.column("rest"))], ["n_words", "n_removed", "kept", "rest"])
+        return done.filter(pa.array(bucket.copies == 1))
 
     return clean
 
 
-CLEAN_ARROW = pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
-CLEAN = "t1 long, t2 long, n_words long, n_removed long, kept string"
+def _utc_type(t: pa.DataType) -> pa.DataType:
+    if pa.types.is_timestamp(t) and t.tz:
+        return pa.timestamp(t.unit, "UTC")
+    if pa.types.is_struct(t):
+        return pa.struct([f.with_type(_utc_type(f.type)) for f in t])
+    if pa.types.is_list(t):
+        return pa.list_(t.value_field.with_type(_utc_type(t.value_type)))
+    if pa.types.is_map(t):
+        return pa.map_(_utc_type(t.key_type), t.item_field.with_type(_utc_type(t.item_type)))
+    return t
+
+
+def in_utc(column: pa.ChunkedArray) -> pa.ChunkedArray:
+    """The same instants: Spark hands out timestamps in the session's zone and takes them back in UTC."""
+    wanted = _utc_type(column.type)
+    return column if wanted == column.type else column.cast(wanted)
+
+
+COPIES = "t1 long, t2 long, n_words long, n_removed long, kept string"
+_COPIES = pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
+
+
+def repeated_texts(window: int) -> Callable[[pa.Table], pa.Table]:
+    """Texts that are there more than once: every window of theirs repeats."""
+
+    def run(table: pa.Table) -> pa.Table:
+        texts = _by_text(table)
+        texts = texts.filter(pa.array(texts.column("m").to_numpy() > 1))
+        w = tb.split_words(texts.column("text"))
+        n = w.n.astype(np.int64)
+        return pa.table([texts.column("t1"), texts.column("t2"), pa.array(n), pa.array(np.where(n >= window, n, 0)), _joined(w, np.repeat(n < window, n))], schema=_COPIES)
+
+    return run
 
 
 def _joined(w: tb.Words, keep: np.ndarray) -> pa.Array:
@@ -235,29 +306,28 @@ def _joined(w: tb.Words, keep: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.string(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(out.tobytes())])
 
 
-def clean_texts(docs: DataFrame, window: int = 35, buckets: int | None = None) -> DataFrame:
-    """For each distinct text of ``docs``: t1, t2 (its key), n_words, n_removed, kept."""
+def remove_repeats(docs: DataFrame, window: int = 35, buckets: int | None = None) -> DataFrame:
+    """``docs`` with ``text`` cleaned, and n_words and n_removed beside the other columns."""
     if window < 3:
         raise ValueError("a window has three words at least")
-    n = buckets or buckets_for(docs)
-    block = (window + 1) // 2
-    t1, t2 = text_key(F.col("text"))
-    base = docs.select(t1, t2, F.lit(1).cast("long").alias("m"), F.coalesce("text", F.lit("")).alias("text"))
-    base = base.mapInArrow(join_copies, base.schema).withColumn("b", F.pmod("t1", F.lit(n)).cast("int"))
-    texts = base.groupBy("b")  # one exchange of the texts, which the three uses below share
-    blocks = texts.applyInArrow(probes(block, n), PACKED)
-    anchors = blocks.groupBy("part").applyInArrow(hits(block, 4, n), HITS)
-    windows = texts.cogroup(anchors.groupBy("b")).applyInArrow(extend(window, block, n), PACKED)
-    repeats = windows.groupBy("part").applyInArrow(hits(1, 8, n), HITS)
-    return texts.cogroup(repeats.groupBy("b")).applyInArrow(removal(window), CLEAN)
-
-
-def attach(docs: DataFrame, cleaned: DataFrame) -> DataFrame:
-    """``cleaned`` (some columns of ``clean_texts``) for every row of ``docs``."""
-    t1, t2 = text_key(F.col("text"))
-    new = [c for c in cleaned.columns if c not in ("t1", "t2")]
-    rows = docs.select(t1.alias("_t1"), t2.alias("_t2"), *[c for c in docs.columns if c not in ("text", *new)])
-    return rows.join(cleaned, (F.col("_t1") == F.col("t1")) & (F.col("_t2") == F.col("t2")), "left").drop("_t1", "_t2", "t1", "t2")
+    parts = buckets or buckets_for(docs)
+    others = [c for c in docs.columns if c not in ("text", *RESULTS)]
+    rest = F.struct(*[F.col(f"`{c}`") for c in others], F.lit(0).alias("_pluvio")).alias("rest")
+    base = docs.select(*text_key(F.col("text")), F.lit(1).cast("long").alias("m"), F.coalesce("text", F.lit("")).alias("text"), rest)
+    once = base.mapInArrow(join_copies, base.schema).withColumn("b", F.pmod("t1", F.lit(parts)).cast("int"))
+    texts = once.groupBy("b")  # one exchange of the texts, which all uses below share
+
+    runs = texts.applyInArrow(probes(window, parts), SENT).groupBy("part").applyInArrow(match_blocks, FLAGS)
+    hits = cut(runs)  # two bits for each distinct run
+    windows = texts.cogroup(hits.groupBy("b")).applyInArrow(extend(window, parts), SENT).groupBy("part").applyInArrow(match_windows, FLAGS)
+    schema = StructType().add("n_words", LongType()).add("n_removed", LongType()).add("kept", StringType()).add(base.schema["rest"])
+    of_one = texts.cogroup(hits.union(windows).groupBy("b")).applyInArrow(removal(window, parts), schema)
+
+    copies = texts.applyInArrow(repeated_texts(window), COPIES)
+    of_copies = base.select("t1", "t2", "rest").join(copies, ["t1", "t2"]).select(of_one.columns)
+    done = of_one.union(of_copies)
+    kept = [F.col("kept").alias("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns if c not in RESULTS]
+    return done.select(*kept, *RESULTS)
 
 
 def length_of(column: str) -> Column:
@@ -265,12 +335,6 @@ def length_of(column: str) -> Column:
     return F.length(F.coalesce(F.col(column), F.lit(""))).cast("long")
 
 
-def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
-    """``docs`` with ``text`` cleaned, and n_words and n_removed beside the other columns."""
-    done = attach(docs.drop("n_words", "n_removed", "kept"), clean_texts(docs, window)).withColumnRenamed("kept", "text")
-    return done.select(*[c for c in docs.columns if c not in ("n_words", "n_removed")], "n_words", "n_removed")
-
-
 #: The rows of the registered query in DuckDB's SQL, for windows of 35 words.
 REPEATS_SQL = r"""
 with split as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),

@@ -61,7 +61,7 @@ def test_repeats(spark, window, buckets):
         rows.append((i, " ".join(w)))
     rows += [(60, rows[0][1]), (61, None), (62, ""), (63, " ".join(["x"] * 100)), (63, "same id"), (64, " ".join(passage + ["y"] + passage))]
     docs = spark.createDataFrame([(*x, 7) for x in rows], "doc_id long, text string, n_words int")
-    cleaned = substring_dedup.clean_texts(docs.select("doc_id", "text"), window, buckets)
-    got = substring_dedup.attach(docs.select("doc_id", "text"), cleaned)
+    got = substring_dedup.remove_repeats(docs, window, buckets)
+    assert got.columns == ["doc_id", "text", "n_words", "n_removed"]
     want = [(i, *x) for (i, _), x in zip(rows, brute.without_repeats(rows, window), strict=True)]
-    assert sorted((x.doc_id, x.n_words, x.n_removed, x.kept) for x in got.collect()) == sorted(want)
+    assert sorted((x.doc_id, x.n_words, x.n_removed, x.text) for x in got.collect()) == sorted(want)

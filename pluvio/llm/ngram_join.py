@@ -3,18 +3,23 @@
 A document is the set of its word shingles. Two sets link where their Jaccard similarity is
 ``percent`` / 100 or more. If they do, then under *any* order of all shingles the two prefixes
 (the first ``n - ceil(t n) + 1`` shingles of each) share one. Candidates must pass under several
-orders: the first order, common shingles last, indexes the prefixes; pairs that meet there must
-also share a prefix shingle under the hash orders, and only then are the sets compared whole.
-
-Equal sets are one node, so exact copies never multiply. Of two sets, all
-that the prefix that ends first in the order shares with the other set is in the other's prefix;
-so lists of one tell each node how many of its shingles may be common at most with sets whose
-prefixes end no sooner, and pairs whose bound falls short of the threshold are never formed. Pairs
-that share a short list are formed there; for the others entries in short lists count as not
-common, too, so that long lists (of a group of near copies) only form pairs without rare differences. The list
-of a shingle is not paired out: runs of members of like size are compared with one leader, the
-member that is most common. The components of these links go back to the lists, and a second pass
-compares every pair of a list that lies in two components and that sizes and bounds leave open.
+orders: lists of the shared prefix shingles of the first order, rare shingles first, give pairs;
+of these only pairs remain whose prefixes also share a shingle under each of the hash orders (a
+join of the pairs with the prefixes of both). Only then are texts read and sets compared whole.
+
+Equal sets are one node, so exact copies never multiply. Pairs are formed where sizes and bounds
+leave a link open. Of two sets, all that the prefix that ends first in the order shares with the
+other set is in the other's prefix; so a shingle there that no other prefix has is not common.
+In a list of many members a pair is formed as if the list's shingle were the first that both
+have: whatever comes before it in either set is then not common, nor is what has a short list
+later on, since pairs that share a short list are formed there. A linking pair meets this bound
+at its first common shingle, so that no link is lost; two near copies of one text that miss the
+threshold seldom do, as the differences of each, being rare, come first.
+
+The list of a shingle is not paired out: runs of members of like size are compared with one
+leader, the member that may have most in common with others. The components of these links go back
+to the lists, and a second pass compares every pair of a list that lies in two components and
+that sizes and bounds leave open.
 The result is the components of all links; no link between different components is left out, and
 links inside one component need no comparison.
 
@@ -44,7 +49,6 @@ from pluvio.llm.shared import cut, shared_dir
 U64 = np.uint64
 BUCKET_BYTES = 8 << 20
 SKETCH_BITS = 20
-ORDERS = 3
 _SEEDS = [U64(0x243F6A8885A308D3), U64(0x13198A2E03707344), U64(0xA4093822299F31D0), U64(0x082EFA98EC4E6C89)]
 
 
@@ -190,12 +194,14 @@ def least_common(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
 @dataclass
 class Prefixes:
     """The prefix shingles of a bucket's nodes under the first order, by the part they go to: hashes,
-    nodes, where parts begin; and the rank at which each node's prefix ends."""
+    nodes, where parts begin; the rank at which each node's prefix ends; and the place of each
+    entry among all, node by node and in the order."""
 
     h: np.ndarray
     who: np.ndarray
     ends: np.ndarray
     last: np.ndarray
+    place: np.ndarray
 
 
 def _prefix_entries(nodes: pa.Table, k: int, percent: int, parts: int, classes: np.ndarray) -> Prefixes:
@@ -212,7 +218,7 @@ def _prefix_entries(nodes: pa.Table, k: int, percent: int, parts: int, classes:
     h, who = np.concatenate(h), np.concatenate(who)
     part = tb.part_of(h, parts)
     order = np.argsort(part, kind="stable")
-    return Prefixes(h[order], who[order], np.append(tb.runs(part[order]), len(order)), np.concatenate(last))
+    return Prefixes(h[order], who[order], np.append(tb.runs(part[order]), len(order)), np.concatenate(last), order)
 
 
 PRINTS = "part int, b int, fp binary"
@@ -221,8 +227,10 @@ _PRINTS = pa.schema([("part", pa.int32()), ("b", pa.int32()), ("fp", pa.binary()
 SHORT = 16
 FLAGS = "b int, part int, bits binary, long binary"
 _FLAGS = pa.schema([("b", pa.int32()), ("part", pa.int32()), ("bits", pa.binary()), ("long", pa.binary())])
-LISTED = "part int, b int, fp binary, who binary, n binary, c binary, c_long binary, last binary"
-_LISTED = pa.schema([("part", pa.int32()), ("b", pa.int32()), ("fp", pa.binary()), ("who", pa.binary()), ("n", pa.binary()), ("c", pa.binary()), ("c_long", pa.binary()), ("last", pa.binary())])
+LISTED = "part int, b int, fp binary, who binary, n binary, c binary, last binary, rest binary, open binary"
+_LISTED = pa.schema([("part", pa.int32()), ("b", pa.int32()), *((x, pa.binary()) for x in ("fp", "who", "n", "c", "last", "rest", "open"))])
+#: Parts that are none: rows with the keys of a bucket's nodes, and rows with their prefixes under the hash orders.
+KEYS_PART, PREFIX_PART = -1, -2
 WIDTH = 5
 
 
@@ -243,11 +251,12 @@ def shared_flags(table: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(out, schema=_FLAGS)
 
 
-def shared_lists(nodes: pa.Table, flags: pa.Table, b: int, entries: Prefixes, parts: int) -> pa.Table:
-    """The entries that others share, with each node's size, where its prefix ends, and the most
-    shingles that it can have in common with sets whose prefixes end there or later: ``c`` of any,
-    ``c_long`` of those that it shares no short list with. A last row (part -1) has the keys of the
-    bucket's nodes."""
+def shared_lists(nodes: pa.Table, flags: pa.Table, b: int, entries: Prefixes, parts: int, k: int, percent: int) -> pa.Table:
+    """The entries that others share. Each node has its size, where its prefix ends, and ``c``, the
+    most shingles that it has in common with any set whose prefix ends there or later. Each entry has
+    the shingles from it on (``rest``), and those of them that may be common with a set that shares no
+    short list and whose prefix ends there or later (``open``). Two more rows have the keys of the bucket's nodes
+    and the prefixes, under the hash orders, of those that share an entry."""
     h, who, ends = entries.h, entries.who, entries.ends
     bits = {r["part"]: (r["bits"], r["long"]) for r in flags.to_pylist()}
     part_ids = tb.part_of(h[ends[:-1]], parts) if len(h) else np.empty(0, np.int32)
@@ -256,17 +265,49 @@ def shared_lists(nodes: pa.Table, flags: pa.Table, b: int, entries: Prefixes, pa
         for flag, packed in zip((shared, long), bits[p], strict=True):
             flag[lo:hi] = np.unpackbits(np.frombuffer(packed, np.uint8), count=hi - lo).astype(bool)
     n = nodes.column("n").to_numpy()
-    c, c_long = (n - np.bincount(who[~flag], minlength=len(n)) for flag in (shared, long))
+    c = n - np.bincount(who[~shared], minlength=len(n))
+    size = prefix_length(n, percent)
+    first = np.cumsum(size) - size
+    rest = n[who] - (entries.place - first[who])
+    closed = np.zeros(len(h) + 1, np.int64)  # entries before each place that are not in long lists
+    closed[1 + entries.place] = ~long
+    closed = np.cumsum(closed)
+    open_ = rest - (closed[(first + size)[who]] - closed[entries.place + 1])
     rows = []
     for p, lo, hi in zip(part_ids.tolist(), ends[:-1], ends[1:], strict=True):
-        keep = shared[lo:hi]
-        if keep.any():
-            used, local = np.unique(who[lo:hi][keep], return_inverse=True)
-            rows.append({"part": p, "b": b, "fp": tb.fingerprints(h[lo:hi][keep], WIDTH), "who": tb.pack(used.astype(np.uint32)[local], delta=True), "n": tb.pack(n[used].astype(np.uint32)), "c": tb.pack(c[used].astype(np.uint32)), "c_long": tb.pack(c_long[used].astype(np.uint32)), "last": tb.pack(entries.last[used])})
-    rows.append({"part": -1, "b": b, "fp": b"", "who": b"", "n": nodes.column("s1").to_numpy().tobytes(), "c": nodes.column("s2").to_numpy().tobytes(), "c_long": b"", "last": b""})
+        keep = lo + np.flatnonzero(shared[lo:hi])
+        if len(keep):
+            used, local = np.unique(who[keep], return_inverse=True)
+            rows.append({"part": p, "b": b, "fp": tb.fingerprints(h[keep], WIDTH), "who": tb.pack(used.astype(np.uint32)[local], delta=True), "n": tb.pack(n[used].astype(np.uint32)), "c": tb.pack(c[used].astype(np.uint32)), "last": tb.pack(entries.last[used]), "rest": tb.pack(rest[keep].astype(np.uint32)), "open": tb.pack(open_[keep].astype(np.uint32))})
+    rows.append({"part": KEYS_PART, "b": b, "n": nodes.column("s1").to_numpy().tobytes(), "c": nodes.column("s2").to_numpy().tobytes()})
+    alive = np.unique(who[shared])
+    if len(alive):
+        some = _slow_sets(nodes.take(pa.array(alive)), k)
+        rows.append({"part": PREFIX_PART, "b": b, "who": alive.tobytes(), "n": prefix_length(some.n, percent).tobytes(), "fp": hash_prefixes(some, 1, percent).tobytes(), "rest": hash_prefixes(some, 2, percent).tobytes()})
     return pa.Table.from_pylist(rows, schema=_LISTED)
 
 
+def hash_prefixes(s: Sets, order: int, percent: int) -> np.ndarray:
+    """32 bits of each prefix shingle of each set under a hash order."""
+    rank, row = order_rank(s.h, order), np.repeat(np.arange(len(s.n)), s.n)
+    by = np.lexsort((rank, row))
+    within = np.arange(len(by)) - np.repeat(s.first[:-1], s.n)
+    use = within < np.repeat(prefix_length(s.n, percent), s.n)
+    return s.h[by][use].astype(np.uint32).view(np.int32)
+
+
+PREFIXES = "id long, o1 array<int>, o2 array<int>"
+
+
+def read_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for r in batch.to_pylist():
+            ids = np.frombuffer(r["who"], np.int64) | (np.int64(r["b"]) << 32)
+            at = pa.array(np.concatenate(([0], np.cumsum(np.frombuffer(r["n"], np.int64)))).astype(np.int32))
+            o1, o2 = (pa.ListArray.from_arrays(at, pa.array(np.frombuffer(r[x], np.int32))) for x in ("fp", "rest"))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), o1, o2], names=["id", "o1", "o2"])
+
+
 KEYS = "id long, s1 long, s2 long"
 
 
@@ -283,41 +324,45 @@ _PAIRS = pa.schema([("b", pa.int32()), ("member", pa.int64()), ("lead", pa.int64
 
 @dataclass
 class Lists:
-    """Entries of one part by list and size: node, size, bound, end of the prefix and, in the second
-    pass, component."""
+    """Entries of one part by list and size: node, size, end of the prefix, bounds on what is common
+    with a set whose prefix ends no later (``rest``) or no sooner (``open``) and, in the second pass, component."""
 
     node: np.ndarray
     n: np.ndarray
-    c: np.ndarray
     last: np.ndarray
+    rest: np.ndarray
+    open: np.ndarray
     comp: np.ndarray
     ends: np.ndarray
 
 
 def _lists(table: pa.Table) -> Lists:
-    fp, node, n, c, c_long, last, comp = [], [], [], [], [], [], []
+    columns: dict[str, list[np.ndarray]] = {x: [] for x in ("fp", "node", "n", "c", "last", "rest", "open", "comp")}
     for r in table.to_pylist():
         who = tb.unpack(r["who"], np.uint32, delta=True).astype(np.int64)
-        used, local = np.unique(who, return_inverse=True)
-        fp.append(tb.read_fingerprints(r["fp"], WIDTH))
-        node.append((np.int64(r["b"]) << 32) | who)
-        n.append(tb.unpack(r["n"], np.uint32).astype(np.int64)[local])
-        c.append(tb.unpack(r["c"], np.uint32).astype(np.int64)[local])
-        c_long.append(tb.unpack(r["c_long"], np.uint32).astype(np.int64)[local])
-        last.append(tb.unpack(r["last"], U64)[local])
-        comp.append(tb.unpack(r["comp"], np.int64)[local] if "comp" in r else node[-1])
-    fp, node, n, c, c_long, last, comp = (np.concatenate(x) for x in (fp, node, n, c, c_long, last, comp))
-    order = np.lexsort((node, n, fp))
-    fp, node, n, c, c_long, last, comp = (x[order] for x in (fp, node, n, c, c_long, last, comp))
-    ends = np.append(tb.runs(fp), len(fp))
+        _, local = np.unique(who, return_inverse=True)
+        node = (np.int64(r["b"]) << 32) | who
+        columns["fp"].append(tb.read_fingerprints(r["fp"], WIDTH))
+        columns["node"].append(node)
+        columns["last"].append(tb.unpack(r["last"], U64)[local])
+        columns["comp"].append(tb.unpack(r["comp"], np.int64)[local] if "comp" in r else node)
+        for x in ("n", "c"):
+            columns[x].append(tb.unpack(r[x], np.uint32).astype(np.int64)[local])
+        for x in ("rest", "open"):
+            columns[x].append(tb.unpack(r[x], np.uint32).astype(np.int64))
+    x = {k: np.concatenate(v) for k, v in columns.items()}
+    order = np.lexsort((x["node"], x["n"], x["fp"]))
+    x = {k: v[order] for k, v in x.items()}
+    ends = np.append(tb.runs(x["fp"]), len(order))
     size = np.diff(ends)
-    return Lists(node, n, np.where(np.repeat(size > SHORT, size), c_long, c), last, comp, ends)
+    short = np.repeat(size <= SHORT, size)  # a pair may be formed in any short list that both have
+    return Lists(x["node"], x["n"], x["last"], np.where(short, x["n"], x["rest"]), np.where(short, x["c"], x["open"]), x["comp"], ends)
 
 
 def _may_link(x: Lists, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
     """Whether sizes and bounds leave a link of entries ``i`` and ``j`` open."""
     n, m = x.n[i], x.n[j]
-    bound = np.where(x.last[i] < x.last[j], x.c[i], np.where(x.last[j] < x.last[i], x.c[j], np.minimum(x.c[i], x.c[j])))
+    bound = np.minimum(np.where(x.last[i] <= x.last[j], x.open[i], x.rest[i]), np.where(x.last[j] <= x.last[i], x.open[j], x.rest[j]))
     return (bound >= least_common(n, m, percent)) & (percent * np.maximum(n, m) <= 100 * np.minimum(n, m))
 
 
@@ -335,7 +380,7 @@ def _as_pairs(lead: list[np.ndarray], member: list[np.ndarray]) -> pa.Table:
 def stars(percent: int) -> Callable[[pa.Table], pa.Table]:
     """First pass: the members of a list, by size, in runs that a factor of 100 / percent bounds; in
     each run all that may link with it meet its leader, the one with the greatest part of shingles
-    that others have too (of a group of near copies, that which they are copies of)."""
+    that may be common (of a group of near copies, that which they are copies of)."""
 
     def run(table: pa.Table) -> pa.Table:
         x = _lists(table)
@@ -345,7 +390,7 @@ def stars(percent: int) -> Callable[[pa.Table], pa.Table]:
                 stop = lo + int(np.searchsorted(x.n[lo:hi], x.n[lo] * 100 // percent, "right"))
                 if stop - lo > 1:
                     run_of = np.arange(lo, stop)
-                    best = int(run_of[np.lexsort((x.node[run_of], -(x.c[run_of] / x.n[run_of])))[0]])
+                    best = int(run_of[np.lexsort((x.node[run_of], -(x.open[run_of] / x.n[run_of])))[0]])
                     run_of = run_of[run_of != best]
                     may = run_of[_may_link(x, run_of, np.full(len(run_of), best), percent)]
                     others.append(x.node[may])
@@ -374,8 +419,7 @@ def crossings(percent: int) -> Callable[[pa.Table], pa.Table]:
     """Second pass: every pair of a list that lies in two components and may link.
 
     Members of a list's largest component are not paired among themselves. Each other member
-    meets (a) those that its own bound and size leave open, and (b) those of the largest component
-    whose prefixes end no later than its own, as there the bound is theirs."""
+    looks at those that its size and its weaker bound leave open; both bounds then decide."""
 
     def run(table: pa.Table) -> pa.Table:
         x = _lists(table)
@@ -395,14 +439,11 @@ def crossings(percent: int) -> Callable[[pa.Table], pa.Table]:
             if (comp == comp[0]).all():
                 continue
             _, which, size = np.unique(comp, return_inverse=True, return_counts=True)
-            large = which == np.argmax(size)
-            own, rest = lo + np.flatnonzero(~large), lo + np.flatnonzero(large)
-            n, c = x.n[own], x.c[own]
+            own = lo + np.flatnonzero(which != np.argmax(size))
+            n, most = x.n[own], x.rest[own]
             low = np.searchsorted(x.n[lo:hi], (percent * n + 99) // 100, "left")
-            most = np.minimum(n * 100 // percent, (100 + percent) * c // percent - n)
+            most = np.minimum(n * 100 // percent, (100 + percent) * most // percent - n)
             look(own, low, np.maximum(np.searchsorted(x.n[lo:hi], most, "right") - low, 0), np.arange(lo, hi))
-            rest = rest[np.argsort(x.last[rest], kind="stable")]
-            look(own, np.zeros(len(own), np.int64), np.searchsorted(x.last[rest], x.last[own], "right"), rest)
         return _as_pairs(leads, others)
 
     return run
@@ -461,8 +502,7 @@ def send_leaders(texts: pa.Table, asked: pa.Table) -> pa.Table:
 
 
 def verify(k: int, percent: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """The pairs of a bucket: those that share a prefix shingle under the other orders too are
-    compared whole."""
+    """The pairs of a bucket, compared whole."""
 
     def run(texts: pa.Table, met: pa.Table) -> pa.Table:
         import pyarrow.compute as pc
@@ -501,17 +541,8 @@ def _compare(leads: Sets, lead: int, members: Sets, which: np.ndarray, percent:
     theirs = members.h[np.repeat(members.first[which], n) + _counting(n)]
     at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
     common = mine[at] == theirs
-    begin = np.cumsum(n) - n
-    passed = np.ones(len(which), bool)
-    for order in range(1, ORDERS):
-        rank, own = order_rank(theirs, order), np.sort(order_rank(mine, order))
-        last = own[prefix_length(np.array([len(mine)]), percent)[0] - 1]
-        by = np.lexsort((rank, np.repeat(np.arange(len(which)), n)))
-        end = rank[by][begin + prefix_length(n, percent) - 1]
-        shared = common & (rank <= last) & (rank <= np.repeat(end, n))
-        passed &= np.add.reduceat(shared, begin) > 0
-    both = np.add.reduceat(common.astype(np.int64), begin)
-    return passed & (100 * both >= percent * (len(mine) + n - both))
+    both = np.add.reduceat(common.astype(np.int64), np.cumsum(n) - n)
+    return 100 * both >= percent * (len(mine) + n - both)
 
 
 def saved_nodes(docs: DataFrame, k: int, buckets: int) -> tuple[DataFrame, str]:
@@ -526,6 +557,14 @@ def saved_nodes(docs: DataFrame, k: int, buckets: int) -> tuple[DataFrame, str]:
     return spark.table(name), name
 
 
+def in_every_order(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """The pairs whose prefixes share a shingle under the hash orders as well."""
+    of_member = prefixes.select(F.col("id").alias("member"), F.col("o1").alias("m1"), F.col("o2").alias("m2"))
+    of_lead = prefixes.select(F.col("id").alias("lead"), F.col("o1").alias("l1"), F.col("o2").alias("l2"))
+    met = pairs.distinct().join(of_member, "member").join(of_lead, "lead")
+    return met.filter(F.arrays_overlap("m1", "l1") & F.arrays_overlap("m2", "l2")).select("b", "member", "lead")
+
+
 def _verified(texts: GroupedData, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs that link; ``texts`` are the nodes by bucket."""
     asked = pairs.groupBy("b").applyInArrow(wanted, WANTED)
@@ -556,24 +595,28 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         if not texts.num_rows:
             return pa.Table.from_pylist([], schema=_LISTED)
         nodes = _nodes(texts)
-        return shared_lists(nodes, flags, _bucket(texts), prefixes(nodes), buckets)
+        return shared_lists(nodes, flags, _bucket(texts), prefixes(nodes), buckets, k, percent)
 
     table, name = saved_nodes(docs, k, buckets)
-    texts = table.groupBy("b")
-    flags = texts.applyInArrow(prints, PRINTS).groupBy("part").applyInArrow(shared_flags, FLAGS)
-    every = cut(texts.cogroup(flags.groupBy("b")).applyInArrow(lists, LISTED))
-    listed, keys = every.filter("part >= 0"), every.filter("part = -1").select("b", "n", "c").mapInArrow(read_keys, KEYS)
-
-    links = _verified(texts, listed.groupBy("part").applyInArrow(stars(percent), PAIRS), k, percent)
-    comps = connected(links).withColumnRenamed("node", "id")
-    # Lists whose members still lie in several components.
-    placed = comps.withColumn("b", F.shiftright("id", 32).cast("int"))
-    attached = listed.groupBy("b").cogroup(placed.groupBy("b")).applyInArrow(attach, ATTACHED)
-    open_pairs = cut(attached.groupBy("part").applyInArrow(crossings(percent), PAIRS))
-    if not open_pairs.isEmpty():
-        more = _verified(texts, open_pairs, k, percent)
-        comps = connected(links.union(more)).withColumnRenamed("node", "id")
-    spark.sql(f"drop table {name}")
+    try:
+        texts = table.groupBy("b")
+        flags = texts.applyInArrow(prints, PRINTS).groupBy("part").applyInArrow(shared_flags, FLAGS)
+        every = cut(texts.cogroup(flags.groupBy("b")).applyInArrow(lists, LISTED))
+        listed, keys = every.filter("part >= 0"), every.filter(F.col("part") == KEYS_PART).select("b", "n", "c").mapInArrow(read_keys, KEYS)
+        hashed = every.filter(F.col("part") == PREFIX_PART).select("b", "who", "n", "fp", "rest").mapInArrow(read_prefixes, PREFIXES)
+
+        met = cut(in_every_order(listed.groupBy("part").applyInArrow(stars(percent), PAIRS), hashed))
+        links = _verified(texts, met, k, percent)
+        comps = connected(links).withColumnRenamed("node", "id")
+        # Lists whose members still lie in several components.
+        placed = comps.withColumn("b", F.shiftright("id", 32).cast("int"))
+        attached = listed.groupBy("b").cogroup(placed.groupBy("b")).applyInArrow(attach, ATTACHED)
+        met = cut(in_every_order(attached.groupBy("part").applyInArrow(crossings(percent), PAIRS), hashed))
+        if not met.isEmpty():
+            more = _verified(texts, met, k, percent)
+            comps = connected(links.union(more)).withColumnRenamed("node", "id")
+    finally:
+        spark.sql(f"drop table {name}")
 
     named = comps.join(keys, "id").select("s1", "s2", "comp")
     per_set = rows.groupBy("s1", "s2").agg(F.min("doc_id").alias("least")).join(named, ["s1", "s2"], "left")

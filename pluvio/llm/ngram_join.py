@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from pluvio.llm import textblocks as tb
 from pluvio.llm.components import connected
-from pluvio.llm.shared import cut, shared_dir
+from pluvio.llm.shared import cut, shared_dir, shuffle_partitions
 
 U64 = np.uint64
 BUCKET_BYTES = 8 << 20
@@ -73,6 +73,18 @@ def order_rank(h: np.ndarray, order: int, classes: np.ndarray | None = None) ->
     return rank
 
 
+def _sorted_by(row: np.ndarray, rank: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The order by row and rank. One key of 20 and 44 bits sorts fast; where that can't tell two
+    shingles of a row apart, both keys are used."""
+    if len(row) and int(row.max()) < 1 << 20:
+        key = (row.astype(U64) << U64(44)) | (rank >> U64(20))
+        order = np.argsort(key, kind="stable")
+        key, h = key[order], h[order]
+        if not ((key[1:] == key[:-1]) & (h[1:] != h[:-1])).any():
+            return order
+    return np.lexsort((rank, row))
+
+
 def shingle_sets(column: pa.ChunkedArray, k: int, classes: np.ndarray | None = None) -> Sets:
     w = tb.split_words(column, lower=True)
     at, h = w.windows(k)
@@ -86,7 +98,7 @@ def shingle_sets(column: pa.ChunkedArray, k: int, classes: np.ndarray | None = N
                 whole = tb.mix(whole + w.hash[begin + j])
             row, h = np.concatenate((row, few)), np.concatenate((h, whole))
     rank = order_rank(h, 0, classes)
-    order = np.lexsort((rank, row))
+    order = _sorted_by(row, rank, h)
     row, h, rank = row[order], h[order], rank[order]
     new = np.ones(len(h), bool)
     new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
@@ -290,7 +302,7 @@ def shared_lists(nodes: pa.Table, flags: pa.Table, b: int, entries: Prefixes, pa
 def hash_prefixes(s: Sets, order: int, percent: int) -> np.ndarray:
     """32 bits of each prefix shingle of each set under a hash order."""
     rank, row = order_rank(s.h, order), np.repeat(np.arange(len(s.n)), s.n)
-    by = np.lexsort((rank, row))
+    by = _sorted_by(row, rank, s.h)
     within = np.arange(len(by)) - np.repeat(s.first[:-1], s.n)
     use = within < np.repeat(prefix_length(s.n, percent), s.n)
     return s.h[by][use].astype(np.uint32).view(np.int32)
@@ -333,6 +345,7 @@ class Lists:
     rest: np.ndarray
     open: np.ndarray
     comp: np.ndarray
+    list: np.ndarray
     ends: np.ndarray
 
 
@@ -356,7 +369,7 @@ def _lists(table: pa.Table) -> Lists:
     ends = np.append(tb.runs(x["fp"]), len(order))
     size = np.diff(ends)
     short = np.repeat(size <= SHORT, size)  # a pair may be formed in any short list that both have
-    return Lists(x["node"], x["n"], x["last"], np.where(short, x["n"], x["rest"]), np.where(short, x["c"], x["open"]), x["comp"], ends)
+    return Lists(x["node"], x["n"], x["last"], np.where(short, x["n"], x["rest"]), np.where(short, x["c"], x["open"]), x["comp"], np.repeat(np.arange(len(size)), size), ends)
 
 
 def _may_link(x: Lists, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
@@ -377,6 +390,19 @@ def _as_pairs(lead: list[np.ndarray], member: list[np.ndarray]) -> pa.Table:
     return pa.table([pa.array((both[:, 1] >> 32).astype(np.int32)), pa.array(both[:, 1]), pa.array(both[:, 0])], schema=_PAIRS)
 
 
+def _smallest(n: np.ndarray, percent: int) -> np.ndarray:
+    return (percent * n + 99) // 100
+
+
+def _largest(n: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
+    """The largest set that may link with one of ``n`` shingles, if at most so many are common."""
+    return np.minimum(n * 100 // percent, (100 + percent) * common // percent - n)
+
+
+#: Beyond the size of any set.
+_LIST = 1 << 32
+
+
 def stars(percent: int) -> Callable[[pa.Table], pa.Table]:
     """First pass: the members of a list, by size, in runs that a factor of 100 / percent bounds; in
     each run all that may link with it meet its leader, the one with the greatest part of shingles
@@ -384,19 +410,20 @@ def stars(percent: int) -> Callable[[pa.Table], pa.Table]:
 
     def run(table: pa.Table) -> pa.Table:
         x = _lists(table)
-        leads, others = [], []
-        for lo, hi in zip(x.ends[:-1].tolist(), x.ends[1:].tolist(), strict=True):
-            while hi - lo > 1:
-                stop = lo + int(np.searchsorted(x.n[lo:hi], x.n[lo] * 100 // percent, "right"))
-                if stop - lo > 1:
-                    run_of = np.arange(lo, stop)
-                    best = int(run_of[np.lexsort((x.node[run_of], -(x.open[run_of] / x.n[run_of])))[0]])
-                    run_of = run_of[run_of != best]
-                    may = run_of[_may_link(x, run_of, np.full(len(run_of), best), percent)]
-                    others.append(x.node[may])
-                    leads.append(np.full(len(may), x.node[best]))
-                lo = stop
-        return _as_pairs(leads, others)
+        key = x.list * _LIST + x.n
+        begins = np.zeros(len(x.n), bool)
+        at = x.ends[:-1]
+        while len(at):  # the next run of every list that has one
+            begins[at] = True
+            stop = np.searchsorted(key, x.list[at] * _LIST + x.n[at] * 100 // percent, "right")
+            more = stop < x.ends[1:][x.list[at]]
+            at = stop[more]
+        run_of = np.cumsum(begins) - 1
+        best = np.lexsort((x.node, -(x.open / x.n), run_of))
+        lead = best[tb.runs(run_of[best])][run_of]
+        member = np.arange(len(lead))
+        may = (lead != member) & (x.node[lead] != x.node) & _may_link(x, member, lead, percent)
+        return _as_pairs([x.node[lead[may]]], [x.node[may]])
 
     return run
 
@@ -415,17 +442,38 @@ def _pieces(count: np.ndarray) -> Iterator[tuple[int, int]]:
         begin = end
 
 
+def _outside(x: Lists) -> np.ndarray:
+    """The entries that are not of the largest component of their list."""
+    order = np.lexsort((x.comp, x.list))
+    begin = np.flatnonzero(np.concatenate(([True], (x.list[order][1:] != x.list[order][:-1]) | (x.comp[order][1:] != x.comp[order][:-1]))))
+    size = np.diff(np.append(begin, len(order)))
+    of_list = x.list[order[begin]]
+    by_size = np.lexsort((-size, of_list))
+    top = by_size[tb.runs(of_list[by_size])]
+    largest = np.zeros(len(begin), bool)
+    largest[top] = True
+    out = np.empty(len(order), bool)
+    out[order] = ~np.repeat(largest, size)
+    return np.flatnonzero(out)
+
+
 def crossings(percent: int) -> Callable[[pa.Table], pa.Table]:
     """Second pass: every pair of a list that lies in two components and may link.
 
-    Members of a list's largest component are not paired among themselves. Each other member
-    looks at those that its size and its weaker bound leave open; both bounds then decide."""
+    Members of a list's largest component are not paired among themselves. Each other member looks
+    at those of a size that its bound for prefixes that end no sooner leaves open, and, with its
+    weaker bound, at those whose own bound leaves anything open."""
 
     def run(table: pa.Table) -> pa.Table:
         x = _lists(table)
         leads, others = [], []
-
-        def look(a: np.ndarray, low: np.ndarray, count: np.ndarray, among: np.ndarray) -> None:
+        every, own = np.arange(len(x.n)), _outside(x)
+        able = _largest(x.n, x.open, percent) >= _smallest(x.n, percent)
+        for a, bound, among in ((own[able[own]], x.open, every), (own, x.rest, every[able])):
+            key = x.list[among] * _LIST + x.n[among]
+            most = np.maximum(_largest(x.n[a], bound[a], percent), 0)
+            low = np.searchsorted(key, x.list[a] * _LIST + _smallest(x.n[a], percent), "left")
+            count = np.maximum(np.searchsorted(key, x.list[a] * _LIST + most, "right") - low, 0)
             for begin, end in _pieces(count):
                 i = np.repeat(a[begin:end], count[begin:end])
                 j = among[np.repeat(low[begin:end], count[begin:end]) + _counting(count[begin:end])]
@@ -433,17 +481,6 @@ def crossings(percent: int) -> Callable[[pa.Table], pa.Table]:
                 i, j = x.node[i[fits]], x.node[j[fits]]
                 leads.append(np.minimum(i, j))
                 others.append(np.maximum(i, j))
-
-        for lo, hi in zip(x.ends[:-1].tolist(), x.ends[1:].tolist(), strict=True):
-            comp = x.comp[lo:hi]
-            if (comp == comp[0]).all():
-                continue
-            _, which, size = np.unique(comp, return_inverse=True, return_counts=True)
-            own = lo + np.flatnonzero(which != np.argmax(size))
-            n, most = x.n[own], x.rest[own]
-            low = np.searchsorted(x.n[lo:hi], (percent * n + 99) // 100, "left")
-            most = np.minimum(n * 100 // percent, (100 + percent) * most // percent - n)
-            look(own, low, np.maximum(np.searchsorted(x.n[lo:hi], most, "right") - low, 0), np.arange(lo, hi))
         return _as_pairs(leads, others)
 
     return run
@@ -597,6 +634,10 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         nodes = _nodes(texts)
         return shared_lists(nodes, flags, _bucket(texts), prefixes(nodes), buckets, k, percent)
 
+    def spread(rows: DataFrame) -> DataFrame:
+        """By part into as many tasks as there are; the rows are few bytes and much work."""
+        return rows.repartition(max(buckets, shuffle_partitions(spark)), "part")
+
     table, name = saved_nodes(docs, k, buckets)
     try:
         texts = table.groupBy("b")
@@ -605,13 +646,13 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         listed, keys = every.filter("part >= 0"), every.filter(F.col("part") == KEYS_PART).select("b", "n", "c").mapInArrow(read_keys, KEYS)
         hashed = every.filter(F.col("part") == PREFIX_PART).select("b", "who", "n", "fp", "rest").mapInArrow(read_prefixes, PREFIXES)
 
-        met = cut(in_every_order(listed.groupBy("part").applyInArrow(stars(percent), PAIRS), hashed))
+        met = cut(in_every_order(spread(listed).groupBy("part").applyInArrow(stars(percent), PAIRS), hashed))
         links = _verified(texts, met, k, percent)
         comps = connected(links).withColumnRenamed("node", "id")
         # Lists whose members still lie in several components.
         placed = comps.withColumn("b", F.shiftright("id", 32).cast("int"))
         attached = listed.groupBy("b").cogroup(placed.groupBy("b")).applyInArrow(attach, ATTACHED)
-        met = cut(in_every_order(attached.groupBy("part").applyInArrow(crossings(percent), PAIRS), hashed))
+        met = cut(in_every_order(spread(attached).groupBy("part").applyInArrow(crossings(percent), PAIRS), hashed))
         if not met.isEmpty():
             more = _verified(texts, met, k, percent)
             comps = connected(links.union(more)).withColumnRenamed("node", "id")

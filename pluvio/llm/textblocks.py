@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -97,16 +98,24 @@ def _spans(data: np.ndarray, at: np.ndarray, table: np.ndarray) -> tuple[np.ndar
     return np.flatnonzero(start), np.flatnonzero(end) + 1
 
 
+#: Bytes whose prefix sums are taken together.
+_CHUNK = 1 << 20
+
+
+@lru_cache(1)
+def _powers_and_inverses() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(_STEP, _CHUNK), _powers(pow(_STEP, -1, 1 << 64), _CHUNK)
+
+
 def _hash_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    if not len(start):
-        return np.empty(0, U64)
-    length = end - start
-    total = int(length.sum())
-    begin = np.cumsum(length) - length
-    inside = np.arange(total) - np.repeat(begin, length)
-    value = _BYTE[data[np.repeat(start, length) + inside]]
-    value *= _powers(_STEP, int(length.max()))[inside]
-    return mix(np.add.reduceat(value, begin) + length.astype(U64))
+    """Of words that lie within ``_CHUNK`` bytes, or of one word: the sum of its bytes' values by
+    powers of ``_STEP``, as the difference of two prefix sums."""
+    begin, size = int(start[0]), int(end[-1] - start[0])
+    up, down = _powers_and_inverses() if size <= _CHUNK else (_powers(_STEP, size), np.ones(1, U64))
+    total = np.zeros(size + 1, U64)
+    np.cumsum(_BYTE[data[begin : begin + size]] * up[:size], out=total[1:])
+    value = (total[end - begin] - total[start - begin]) * down[start - begin]
+    return mix(value + (end - start).astype(U64))
 
 
 def split_words(column: pa.Array | pa.ChunkedArray, lower: bool = False, solid: np.ndarray | None = None) -> Words:
@@ -115,8 +124,8 @@ def split_words(column: pa.Array | pa.ChunkedArray, lower: bool = False, solid:
     start, end = _spans(data, at, ~_SPACE if solid is None else solid) if len(data) else (np.empty(0, np.int64), np.empty(0, np.int64))
     h = np.empty(len(start), U64)
     done = 0
-    while done < len(start):  # a slice holds one word at least, however long
-        stop = max(done + 1, int(np.searchsorted(start, start[done] + SLICE_BYTES)))
+    while done < len(start):  # one word at least, however long
+        stop = max(done + 1, int(np.searchsorted(end, start[done] + _CHUNK, "right")))
         h[done:stop] = _hash_words(data, start[done:stop], end[done:stop])
         done = stop
     return Words(data, start, end, h, np.searchsorted(start, at), at)

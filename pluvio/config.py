@@ -59,11 +59,17 @@ class Detector:
     recent_frames: int = 2
     frame_s: int = 600
     match_share: float = 0.25
+    accelerate: bool = False
 
     @property
     def max_match_px(self) -> float:
         return max(self.grid.width, self.grid.height) * self.match_share
 
+    @property
+    def farthest_km(self) -> float:
+        """From where a cell within the speed limit can still arrive by closing in."""
+        return self.proximity_km + self.max_speed_kmh * self.lookahead_s / 3600
+
     @property
     def proximity_px(self) -> float:
         return self.proximity_km / self.grid.km_per_px

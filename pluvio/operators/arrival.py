@@ -1,7 +1,7 @@
 """Arrival of tracked cells at places: projection, closing distance and leading edge.
 
-Everything is per (track, place). Places are a small dimension of the configuration, at most a
-few per session, so a track meets those of its own session in an equi-join on the session."""
+Everything is per (track, place). Places with a ``session_id`` meet the tracks of their session in
+an equi-join; without one, those of a configuration, every track meets every place."""
 
 from __future__ import annotations
 
@@ -14,19 +14,28 @@ from pluvio.operators.tracking import TRACK
 PLACED = [*TRACK, "location_id"]
 
 
+def at_places(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """``rows`` of sessions with location_id, loc_row and loc_col of their places."""
+    own = ["session_id"] if "session_id" in places.columns else []
+    spots = places.select(*own, "location_id", "loc_row", "loc_col")
+    return rows.join(spots, own) if own else rows.crossJoin(spots)
+
+
 def _distance(row: str, col: str) -> Column:
     dr, dc = F.col(row) - F.col("loc_row"), F.col(col) - F.col("loc_col")
     return F.sqrt(dr * dr + dc * dc)
 
 
 def projection(motions: DataFrame, d: Detector) -> DataFrame:
-    """``motions`` (row_c, col_c, vy, vx, loc_row, loc_col) with ``w06_s``: the first step of
-    ``step_s`` seconds at which the moving centroid is within proximity, null if none is."""
+    """``motions`` (row_c, col_c, vy, vx, loc_row, loc_col; ay, ax if the motion accelerates) with
+    ``w06_s``: the first step of ``step_s`` seconds at which the moving centroid is within proximity,
+    null if none is."""
     p = d.proximity_px
+    ay, ax = (F.col("ay"), F.col("ax")) if d.accelerate else (F.lit(0.0), F.lit(0.0))
 
     def near(t: Column) -> Column:
-        dr = F.col("row_c") + F.col("vy") * t - F.col("loc_row")
-        dc = F.col("col_c") + F.col("vx") * t - F.col("loc_col")
+        dr = F.col("row_c") + F.col("vy") * t + 0.5 * ay * t * t - F.col("loc_row")
+        dc = F.col("col_c") + F.col("vx") * t + 0.5 * ax * t * t - F.col("loc_col")
         return F.sqrt(dr * dr + dc * dc) <= p
 
     times = F.sequence(F.lit(0), F.lit(d.lookahead_s), F.lit(d.step_s))
@@ -84,12 +93,13 @@ def rain_at_location(effective: DataFrame, places: DataFrame, d: Detector, last_
     first in raster order) is doubtful gives way to the frame before."""
     reach = int(d.proximity_px)
     grid = d.grid
+    own = ["session_id"] if "session_id" in places.columns else []
     inside = places.filter(F.col("loc_row").between(0, grid.height - 1) & F.col("loc_col").between(0, grid.width - 1))
     near = F.explode(F.expr(f"flatten(transform(sequence(-{reach}, {reach}), i -> transform(sequence(-{reach}, {reach}), j -> struct(i, j))))"))
-    window = inside.select("location_id", "loc_row", "loc_col", near.alias("n"))
-    window = window.select("location_id", (F.col("loc_row") + F.col("n.i")).alias("r"), (F.col("loc_col") + F.col("n.j")).alias("c"))
+    window = inside.select(*own, "location_id", "loc_row", "loc_col", near.alias("n"))
+    window = window.select(*own, "location_id", (F.col("loc_row") + F.col("n.i")).alias("r"), (F.col("loc_col") + F.col("n.j")).alias("c"))
     recent = effective.filter(F.col("frame_idx") > last_frame - d.recent_frames)
-    met = recent.join(window, ["r", "c"])
+    met = recent.join(window, [*own, "r", "c"])
     raster = F.col("r") * grid.width + F.col("c")
     conf = F.coalesce(F.col("conf"), F.lit(1.0)) if with_confidence else F.lit(1.0)
     each = met.groupBy("session_id", "location_id", "frame_idx").agg(F.max(F.struct(F.col("inten"), (-raster).alias("p"), conf.alias("conf"))).alias("_m"))

@@ -56,9 +56,10 @@ def label(pixels: DataFrame) -> DataFrame:
 
 
 def cells(labelled: DataFrame) -> DataFrame:
-    """Per component: centroid, area and greatest intensity."""
+    """Per component: centroid, area, greatest intensity and bounds."""
     return labelled.groupBy(*FRAME, "label").agg(
-        F.avg("r").alias("row_c"), F.avg("c").alias("col_c"), F.count(F.lit(1)).alias("area"), F.max("inten").alias("peak")
+        F.avg("r").alias("row_c"), F.avg("c").alias("col_c"), F.count(F.lit(1)).alias("area"), F.max("inten").alias("peak"),
+        F.min("r").alias("r_min"), F.max("r").alias("r_max"), F.min("c").alias("c_min"), F.max("c").alias("c_max"),
     )
 
 

@@ -24,7 +24,7 @@ def fetch_guard(frames: DataFrame) -> DataFrame:
 def sample_points(pixels: DataFrame, places: DataFrame, height: int, width: int) -> DataFrame:
     """Intensity at the cell of each place and session, clamped to the edges; 0 without echo."""
     at = places.select("location_id", F.greatest(F.least("loc_row", F.lit(height - 1)), F.lit(0)).alias("r"), F.greatest(F.least("loc_col", F.lit(width - 1)), F.lit(0)).alias("c"))
-    every = pixels.select("session_id", "frame_idx").distinct().crossJoin(F.broadcast(at))
+    every = pixels.select("session_id", "frame_idx").distinct().crossJoin(at)
     met = every.join(pixels, ["session_id", "frame_idx", "r", "c"], "left")
     return met.select("session_id", "frame_idx", "location_id", F.coalesce("inten", F.lit(0.0)).alias("inten"))
 

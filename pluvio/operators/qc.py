@@ -102,6 +102,13 @@ def motion_score(conf: Column, q: Quality | None = None) -> Column:
     return F.when(conf.isNull(), 0.5).when(conf >= q.coherent, 1.0).otherwise(0.3)
 
 
+def refined_background(q: Quality | None = None) -> float:
+    """The refined confidence of a pixel without echo: none before, a half for speed and motion."""
+    q = q or Quality()
+    pre, post = q.texture_weight + q.temporal_weight + q.clutter_weight, q.speed_weight + q.motion_weight
+    return 0.5 * post / (pre + post)
+
+
 def refine(labelled: DataFrame, conf: DataFrame, cells: DataFrame, q: Quality | None = None) -> DataFrame:
     """``refined`` confidence of the last frame's pixels. ``cells``: session_id, label, speed_kmh,
     cell_conf of tracked cells; pixels of other cells and of none score a half for their motion."""

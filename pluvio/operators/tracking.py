@@ -1,15 +1,17 @@
 """Matching of cells between frames, tracks, and their motion.
 
-Candidates come from a join on buckets as wide as the greatest distance, so that each cell meets
-its own and the eight neighbouring buckets instead of every cell. Accepting the closest pairs
-one-to-one is done per pair of frames, whose cells a raster bounds."""
+The cells of a session, some frames of a raster, fit one group. There the cells of consecutive
+frames are matched, the closest pairs first, and the matches linked to tracks, in one exchange."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructType
 
 from pluvio.config import Detector
 
@@ -17,25 +19,26 @@ MATCH = "session_id long, frame_idx long, l0 int, l1 int, d2 double"
 _MATCH = pa.schema([("session_id", pa.int64()), ("frame_idx", pa.int64()), ("l0", pa.int32()), ("l1", pa.int32()), ("d2", pa.float64())])
 
 
-def candidates(cells: DataFrame, most: float) -> DataFrame:
-    """Pairs of cells of consecutive frames at most ``most`` pixels apart, with their squared distance."""
-    at = cells.select("session_id", "frame_idx", "label", "row_c", "col_c")
-    by = at.withColumn("br", F.floor(F.col("row_c") / most)).withColumn("bc", F.floor(F.col("col_c") / most))
-    first = by.select("session_id", "frame_idx", F.col("label").alias("l0"), F.col("row_c").alias("r0"), F.col("col_c").alias("c0"), "br", "bc")
-    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    first = first.withColumn("n", F.explode(near)).withColumn("br", F.col("br") + F.col("n.i")).withColumn("bc", F.col("bc") + F.col("n.j")).drop("n")
-    second = by.select("session_id", (F.col("frame_idx") - 1).alias("frame_idx"), F.col("label").alias("l1"), F.col("row_c").alias("r1"), F.col("col_c").alias("c1"), "br", "bc")
-    met = first.join(second, ["session_id", "frame_idx", "br", "bc"])
-    dr, dc = F.col("r0") - F.col("r1"), F.col("c0") - F.col("c1")
-    return met.withColumn("d2", dr * dr + dc * dc).filter(F.col("d2") <= most * most).select("session_id", "frame_idx", "l0", "l1", "d2")
+def _near(at0: np.ndarray, at1: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of centroids (row, col) at most ``most`` pixels apart, with their squared distance: only
+    those of a band of rows are looked at."""
+    order = np.argsort(at1[:, 0], kind="stable")
+    rows = at1[order, 0]
+    low = np.searchsorted(rows, at0[:, 0] - most - 1e-6, "left")
+    count = np.searchsorted(rows, at0[:, 0] + most + 1e-6, "right") - low
+    i = np.repeat(np.arange(len(at0)), count)
+    j = order[np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
+    d = at0[i] - at1[j]
+    d2 = d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1]
+    near = d2 <= most * most
+    return i[near], j[near], d2[near]
 
 
-def _greedy(table: pa.Table) -> pa.Table:
+def _greedy(l0: np.ndarray, l1: np.ndarray, d2: np.ndarray) -> np.ndarray:
     """Closest pairs first, each cell once: rounds that accept all pairs which are the best of
     both their cells give the same as one pair at a time."""
-    l0, l1, d2 = (table.column(c).to_numpy() for c in ("l0", "l1", "d2"))
     order = np.lexsort((l1, l0, d2))
-    taken = []
+    taken = [order[:0]]
     while len(order):
         a, b = l0[order], l1[order]
         best = np.zeros(len(order), int)
@@ -44,28 +47,54 @@ def _greedy(table: pa.Table) -> pa.Table:
         now = order[best == 2]
         taken.append(now)
         order = order[~np.isin(a, l0[now]) & ~np.isin(b, l1[now])]
-    return table.take(pa.array(np.concatenate(taken))).select(_MATCH.names).cast(_MATCH)
+    return np.concatenate(taken)
+
+
+def _matches(frame: np.ndarray, label: np.ndarray, at: np.ndarray, most: float) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of one session: frame, places of the cells matched in it and in the next frame, squared distances."""
+    out = []
+    for f in np.unique(frame):
+        first, second = np.flatnonzero(frame == f), np.flatnonzero(frame == f + 1)
+        i, j, d2 = _near(at[first], at[second], most)
+        kept = _greedy(label[first[i]], label[second[j]], d2)
+        out.append((int(f), first[i[kept]], second[j[kept]], d2[kept]))
+    return out
+
+
+def _columns(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    at = np.stack([table.column(c).to_numpy() for c in ("row_c", "col_c")], 1)
+    return table.column("frame_idx").to_numpy(), table.column("label").to_numpy(), at
 
 
 def match(cells: DataFrame, most: float = 16.0) -> DataFrame:
     """One-to-one matches: frame_idx, l0 with the next frame's l1."""
-    found = candidates(cells, most).select(F.col("session_id").cast("long"), F.col("frame_idx").cast("long"), "l0", "l1", "d2")
-    return found.groupBy("session_id", "frame_idx").applyInArrow(_greedy, MATCH)
 
+    def run(table: pa.Table) -> pa.Table:
+        frame, label, at = _columns(table)
+        session = table.column("session_id")[0].as_py()
+        out = []
+        for f, i, j, d2 in _matches(frame, label, at, most):
+            out.append(pa.table([pa.array(np.full(len(i), session)), pa.array(np.full(len(i), f)), pa.array(label[i]), pa.array(label[j]), pa.array(d2)], schema=_MATCH))
+        return pa.concat_tables(out)
+
+    return cells.select(F.col("session_id").cast("long"), F.col("frame_idx").cast("long"), "label", "row_c", "col_c").groupBy("session_id").applyInArrow(run, MATCH)
+
+
+def _linked(most: float) -> Callable[[pa.Table], pa.Table]:
+    def run(table: pa.Table) -> pa.Table:
+        frame, label, at = _columns(table)
+        root = np.arange(len(frame))
+        for _, i, j, _ in _matches(frame, label, at, most):  # frames in their order
+            root[j] = root[i]
+        return table.append_column("root_frame", pa.array(frame[root])).append_column("root_label", pa.array(label[root]))
+
+    return run
 
-def tracks(cells: DataFrame, matches: DataFrame, frames: int = 8) -> DataFrame:
-    """``cells`` with the first cell of their track (root_frame, root_label).
 
-    Matches form disjoint paths. Each cell points at the one before it, and pointing twice as far
-    in every step reaches the roots of ``frames`` frames in log2 steps."""
-    key = ["session_id", "frame_idx", "label"]
-    before = matches.select("session_id", (F.col("frame_idx") + 1).alias("frame_idx"), F.col("l1").alias("label"), F.col("frame_idx").alias("_pf"), F.col("l0").alias("_pl"))
-    at = cells.select(*key).join(before, key, "left")
-    at = at.select(*key, F.coalesce("_pf", "frame_idx").alias("root_frame"), F.coalesce("_pl", "label").alias("root_label"))
-    for _ in range(max(frames - 1, 1).bit_length()):
-        further = at.select("session_id", F.col("frame_idx").alias("root_frame"), F.col("label").alias("root_label"), F.col("root_frame").alias("_f"), F.col("root_label").alias("_l"))
-        at = at.join(further, ["session_id", "root_frame", "root_label"]).select(*key, F.col("_f").alias("root_frame"), F.col("_l").alias("root_label"))
-    return cells.join(at, key)
+def tracks(cells: DataFrame, most: float = 16.0) -> DataFrame:
+    """``cells`` with the first cell of their track (root_frame, root_label)."""
+    schema = StructType([*cells.schema.fields]).add("root_frame", LongType()).add("root_label", IntegerType())
+    return cells.groupBy("session_id").applyInArrow(_linked(most), schema)
 
 
 TRACK = ["session_id", "root_frame", "root_label"]
@@ -107,9 +136,10 @@ def coherence(stepped: DataFrame, most: float = 0.5) -> DataFrame:
 
 def summary(entries: DataFrame) -> DataFrame:
     """Per track: length, first and last frame, greatest intensity, intensity of both ends, last cell."""
-    end = F.struct("frame_idx", "label", "row_c", "col_c", "peak")
+    box = ("r_min", "r_max", "c_min", "c_max")
+    end = F.struct("frame_idx", "label", "row_c", "col_c", "peak", *box)
     s = entries.groupBy(*TRACK).agg(F.count(F.lit(1)).alias("length"), F.max("frame_idx").alias("last_frame"), F.max("peak").alias("track_peak"), F.min(end).alias("_a"), F.max(end).alias("_z"))
-    return s.select(*TRACK, "length", "last_frame", "track_peak", F.col("_a.peak").alias("first_peak"), F.col("_z.peak").alias("last_peak"), F.col("_z.label").alias("last_label"), F.col("_z.row_c").alias("row_c"), F.col("_z.col_c").alias("col_c"))
+    return s.select(*TRACK, "length", "last_frame", "track_peak", F.col("_a.peak").alias("first_peak"), F.col("_z.peak").alias("last_peak"), F.col("_z.label").alias("last_label"), F.col("_z.row_c").alias("row_c"), F.col("_z.col_c").alias("col_c"), *[F.col(f"_z.{x}").alias(x) for x in box])
 
 
 def gate(summaries: DataFrame, d: Detector, last_frame: int, multiplier: float = 1.0) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pluvio.config import Detector
-from pluvio.operators import arrival, components, filters, tracking
+from pluvio.operators import arrival, components, filters, qc, tracking
 from pluvio.operators.tracking import TRACK
 from pluvio.sources.state import stage
 
@@ -18,22 +18,22 @@ class Analysis:
     """Relations that the stages of a detection share."""
 
     labelled: DataFrame
-    cells: DataFrame
-    matches: DataFrame
     entries: DataFrame
     steps: DataFrame
 
 
-def analyse(pixels: DataFrame, d: Detector, frames: int = 8) -> Analysis:
-    """Segments, matches and tracks; ``pixels`` are the effective ones."""
+def analyse(pixels: DataFrame, d: Detector, raw: DataFrame | None = None) -> Analysis:
+    """Segments, matches and tracks; ``pixels`` are the effective ones. Intensities of the cells are
+    those of ``raw``, where given, as confidence decides what is a cell and not how strong it is."""
     labelled = components.label(filters.threshold(pixels, d.intensity))
     if d.min_area > 1:
         labelled = components.label(filters.by_area(labelled, d.min_area).drop("label"))
+    if raw is not None:
+        measured = raw.select(*qc.PIXEL, F.col("inten").cast("double"))
+        labelled = labelled.drop("inten").join(measured, list(qc.PIXEL)).select(*labelled.columns)
     labelled = stage(labelled)  # four branches read it
-    cells = components.cells(labelled)
-    matches = tracking.match(cells, d.max_match_px)
-    entries = stage(tracking.tracks(cells, matches, frames))
-    return Analysis(labelled, cells, matches, entries, tracking.steps(entries, d.frame_s))
+    entries = stage(tracking.tracks(components.cells(labelled), d.max_match_px))
+    return Analysis(labelled, entries, tracking.steps(entries, d.frame_s))
 
 
 def evaluate(a: Analysis, places: DataFrame, d: Detector, last_frame: int, multiplier: float = 1.0, confidence: DataFrame | None = None) -> DataFrame:
@@ -41,22 +41,31 @@ def evaluate(a: Analysis, places: DataFrame, d: Detector, last_frame: int, multi
     and contribution. Rows that the rules drop altogether are absent."""
     gated = tracking.gate(tracking.summary(a.entries), d, last_frame, multiplier)
     motion = tracking.velocity(a.steps, d).join(tracking.coherence(a.steps, d.max_angular_variance).select(*TRACK, "coherent"), TRACK)
+    if d.accelerate:
+        motion = motion.join(tracking.acceleration(a.steps), TRACK)
     known = gated.join(motion, TRACK, "left")
     if confidence is not None:
         mean = components.mean_confidence(a.labelled, confidence).select("session_id", F.col("frame_idx").alias("last_frame"), F.col("label").alias("last_label"), "mean_conf")
         known = known.join(mean, ["session_id", "last_frame", "last_label"], "left")
     else:
         known = known.withColumn("mean_conf", F.lit(1.0))
-    placed = known.crossJoin(F.broadcast(places.select("location_id", "loc_row", "loc_col")))  # places of the configuration
+    placed = arrival.at_places(known, places)
     dr, dc = F.col("row_c") - F.col("loc_row"), F.col("col_c") - F.col("loc_col")
-    placed = placed.withColumn("overhead", F.sqrt(dr * dr + dc * dc) <= d.proximity_px)
-    placed = arrival.projection(placed, d)
-
-    spots = F.broadcast(places.select("location_id", "loc_row", "loc_col"))
-    paths = a.entries.join(gated.select(*TRACK), TRACK, "left_semi").crossJoin(spots)
-    w04 = arrival.closing_distance(arrival.centroid_trend(paths, d), d)
-    tracked = a.entries.join(gated.select(*TRACK), TRACK, "left_semi").select(*TRACK, "frame_idx", "label")
-    edges = a.labelled.select("session_id", "frame_idx", "label", "r", "c").join(tracked, ["session_id", "frame_idx", "label"]).crossJoin(spots)
+    placed = placed.withColumn("centre_px", F.sqrt(dr * dr + dc * dc)).withColumn("overhead", F.col("centre_px") <= d.proximity_px)
+    placed = stage(arrival.projection(placed, d))
+
+    # Only cells that end within reach can arrive by closing in: by their centroid, or at the
+    # nearest by the box around their pixels.
+    far = d.farthest_km / d.grid.km_per_px + 1e-6
+    down = F.greatest(F.col("r_min") - F.col("loc_row"), F.col("loc_row") - F.col("r_max"), F.lit(0))
+    across = F.greatest(F.col("c_min") - F.col("loc_col"), F.col("loc_col") - F.col("c_max"), F.lit(0))
+    apart = placed.filter(~F.col("overhead"))
+    spots = [*TRACK, "location_id", "loc_row", "loc_col"]
+    by_centre = apart.filter(F.col("centre_px") <= far).select(*spots)
+    by_edge = apart.filter(F.sqrt(down * down + across * across) <= far).select(*spots)
+    w04 = arrival.closing_distance(arrival.centroid_trend(a.entries.join(by_centre, TRACK), d), d)
+    tracked = a.entries.select(*TRACK, "frame_idx", "label").join(by_edge, TRACK)
+    edges = a.labelled.select("session_id", "frame_idx", "label", "r", "c").join(tracked, ["session_id", "frame_idx", "label"])
     w05 = arrival.leading_edge(arrival.edge_trend(edges, d), d)
     every = placed.join(w04, [*TRACK, "location_id"], "left").join(w05, [*TRACK, "location_id"], "left")
 
@@ -88,30 +97,28 @@ def evaluate(a: Analysis, places: DataFrame, d: Detector, last_frame: int, multi
 
 
 def detect(pixels: DataFrame, places: DataFrame, sessions: DataFrame, d: Detector | None = None, frames: int = 8, multiplier: float = 1.0, confidence: DataFrame | None = None) -> DataFrame:
-    """One row per (session, place): rain_incoming, arrival_s (after the last frame, before it if
+    """One row per (session, place): rain_expected, arrival_s (after the last frame, before it if
     negative), max_intensity, rain_at_location, n_cells, confidence.
 
     ``sessions`` has session_id and n_frames: sessions without echo have a row too. ``places``:
-    location_id, loc_row, loc_col."""
+    location_id, loc_row, loc_col, and session_id if each session has its own."""
     d = d or Detector()
     last = frames - 1
-    effective = pixels
-    if confidence is not None:
-        met = pixels.join(confidence, ["session_id", "frame_idx", "r", "c"], "left")
-        effective = met.withColumn("inten", F.col("inten") * F.coalesce("conf", F.lit(1.0)))
-    a = analyse(effective.select("session_id", "frame_idx", "r", "c", "inten"), d, frames)
+    effective = pixels if confidence is None else qc.effective(pixels, confidence)
+    a = analyse(effective.select(*qc.PIXEL, "inten"), d, None if confidence is None else pixels)
     found = evaluate(a, places, d, last, multiplier, confidence)
+    if confidence is not None:
+        effective = effective.join(confidence.select(*qc.PIXEL, "conf"), list(qc.PIXEL), "left")
     rain = arrival.rain_at_location(effective, places, d, last, confidence is not None)
     reduced = found.groupBy("session_id", "location_id").agg(F.min("arrival_s").alias("arrival_s"), F.max("contribution").alias("contribution"), F.count(F.lit(1)).alias("n_cells"))
-    grid = sessions.crossJoin(F.broadcast(places.select("location_id")))
-    every = grid.join(reduced, ["session_id", "location_id"], "left").join(rain, ["session_id", "location_id"], "left")
+    every = arrival.at_places(sessions, places).drop("loc_row", "loc_col").join(reduced, ["session_id", "location_id"], "left").join(rain, ["session_id", "location_id"], "left")
     when_rain = (F.col("rain_frame") - last) * float(d.frame_s)
     enough = F.col("n_frames") >= 2
     best = F.when(enough, F.least("arrival_s", when_rain))
     return every.select(
         "session_id",
         "location_id",
-        best.isNotNull().alias("rain_incoming"),
+        best.isNotNull().alias("rain_expected"),
         best.alias("arrival_s"),
         F.when(best.isNotNull(), F.greatest(F.coalesce("contribution", F.lit(0.0)), F.coalesce("rain_intensity", F.lit(0.0)))).otherwise(0.0).alias("max_intensity"),
         (enough & F.col("rain_frame").isNotNull()).alias("rain_at_location"),

@@ -116,16 +116,41 @@ reduced as (select session_id, location_id, min(arrival_s) as arrival_s, max(cas
 sessions as (select session_id, count(distinct frame_idx) as n_frames from pixels group by all),
 merged as (select s.session_id, p.location_id, n_frames, case when n_frames >= 2 then least(arrival_s, (rain_frame - 7) * {float(D.frame_s)}) end as best, contribution, rain_frame, rain_intensity, n_cells
   from sessions s cross join places p left join reduced using (session_id, location_id) left join rain using (session_id, location_id)),
-detections as (select session_id, location_id, best is not null as rain_incoming, best as arrival_s, case when best is not null then greatest(coalesce(contribution,0), coalesce(rain_intensity,0)) else 0.0 end::double as max_intensity,
+detections as (select session_id, location_id, best is not null as rain_expected, best as arrival_s, case when best is not null then greatest(coalesce(contribution,0), coalesce(rain_intensity,0)) else 0.0 end::double as max_intensity,
     n_frames >= 2 and rain_frame is not null as rain_at_location, (case when n_frames >= 2 then coalesce(n_cells,0) else 0 end)::bigint as n_cells,
     case when n_frames < 2 then 'unavailable' when n_frames < 3 then 'degraded' else 'normal' end as confidence from merged)"""
 )
 
-_Q = {"p": PIXELS, "c": CELLS, "m": MATCHES, "t": TRACKS, "l": PLACES, "a": ARRIVALS}
+#: Detection over effective pixels: ``conf`` (session_id, frame_idx, r, c, inten, conf) stands before.
+CELLS_QC = (
+    "effective as (select session_id, frame_idx, r, c, inten*conf as inten, inten as raw, conf from conf),"
+    + CELLS.replace("from pixels where inten", "from effective where inten")
+    .replace("labelled as (select s.*,", "labelled as (select s.session_id, s.frame_idx, s.r, s.c, s.raw as inten, s.conf,")
+    .replace("max(inten) as peak from labelled", "max(inten) as peak, avg(conf) as mean_conf from labelled")
+)
+ARRIVALS_QC = (
+    ARRIVALS.replace("evaluated as (select", "judged as (select", 1)
+    .replace("near_rain as (select", f"""evaluated as (select j.session_id, j.root_frame, j.root_label, location_id, kind, speed_kmh, bearing, mean_conf, case when mean_conf >= {D.min_confidence} then arrival_s end as arrival_s, j.last_peak
+  from judged j join summary s using (session_id, root_frame, root_label) join cells c on c.session_id = s.session_id and c.frame_idx = s.last_frame and c.label = s.last_label),
+near_rain as (select * from (select""")
+    .replace("max(inten) as inten from pixels join", "max(inten) as inten, first(conf order by inten desc, r*64+c) as at_conf from effective join")
+    .replace(f"group by all having max(inten) >= {D.intensity})", f"group by all) where inten >= {D.intensity} and at_conf >= {D.min_confidence})")
+)
+TRACKS_TWICE = TRACKS.replace(f"length >= {D.min_frames} or", f"length >= {2 * D.min_frames} or")
+ARRIVALS_FASTER = (
+    ARRIVALS.replace("placed as (select g.*,", """turns as (select *, (lead(vy) over w - vy) / lead(dt) over w as ay, (lead(vx) over w - vx) / lead(dt) over w as ax from steps window w as (partition by session_id, root_frame, root_label order by frame_idx)),
+pull as (select session_id, root_frame, root_label, coalesce(avg(ay),0) as ay, coalesce(avg(ax),0) as ax from turns group by all),
+placed as (select g.*, ay, ax,""")
+    .replace("cross join places p),", "left join pull using (session_id, root_frame, root_label) cross join places p),")
+    .replace("row_c + vy*t -", "row_c + vy*t + 0.5*ay*t*t -").replace("col_c + vx*t -", "col_c + vx*t + 0.5*ax*t*t -")
+)
+
+_Q = {"T": TRACKS_TWICE, "A": ARRIVALS_QC, "F": ARRIVALS_FASTER, "C": CELLS_QC, "p": PIXELS, "c": CELLS, "m": MATCHES, "t": TRACKS, "l": PLACES, "a": ARRIVALS}
 
 
 def sql(parts: str, body: str) -> str:
-    """``body`` after the shared parts: p pixels, c cells, m matches, t tracks, l places, a arrivals."""
+    """``body`` after the shared parts: p pixels, c cells, m matches, t tracks, l places, a arrivals;
+    C and A with confidence, T for twice as many frames, F with acceleration."""
     return "with recursive" + ",".join(_Q[x] for x in parts) + "\n" + body  # a body may begin with a comma and go on with the list
 
 

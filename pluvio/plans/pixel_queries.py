@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from pluvio.operators.tracking import TRACK
 from pluvio.plans import detect
 from pluvio.plans.oracle import KM, PX, sql
 from pluvio.sources import tables
+from pluvio.sources.state import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -147,14 +149,14 @@ def track_gate(spark, sf_dir):
 def forward_projection(spark, sf_dir):
     a = _analysis(spark, sf_dir)
     gated = tracking.gate(tracking.summary(a.entries), D, LAST).join(tracking.velocity(a.steps, D), TRACK)
-    placed = gated.crossJoin(F.broadcast(_places(spark, sf_dir)))
+    placed = gated.crossJoin(_places(spark, sf_dir))
     return arrival.projection(placed, D).filter("w06_s is not null").select(*TRACK, "location_id", "w06_s")
 
 
 def _paths(spark, sf_dir):
     a = _analysis(spark, sf_dir)
     gated = tracking.gate(tracking.summary(a.entries), D, LAST).select(*TRACK)
-    return a, a.entries.join(gated, TRACK, "left_semi"), F.broadcast(_places(spark, sf_dir))
+    return a, a.entries.join(gated, TRACK, "left_semi"), _places(spark, sf_dir)
 
 
 @query(sql("pcmtla", f"select {KEYS}, location_id, round(w04_s,6) w04_s from closing where w04_s is not null"))
@@ -186,11 +188,11 @@ def evaluated_cells(spark, sf_dir):
     return out.select(*TRACK, "location_id", "kind", *_r("speed_kmh", "bearing", "arrival_s"))
 
 
-@query(sql("pcmtla", "select session_id, location_id, rain_incoming, round(arrival_s,6) arrival_s, round(max_intensity,6) max_intensity, rain_at_location, n_cells, confidence from detections"))
+@query(sql("pcmtla", "select session_id, location_id, rain_expected, round(arrival_s,6) arrival_s, round(max_intensity,6) max_intensity, rain_at_location, n_cells, confidence from detections"))
 def detections(spark, sf_dir):
     pixels = tables.pixels(spark, sf_dir)
     out = detect.detect(pixels, _places(spark, sf_dir), _sessions(pixels), D)
-    return out.select("session_id", "location_id", "rain_incoming", *_r("arrival_s", "max_intensity"), "rain_at_location", "n_cells", "confidence")
+    return out.select("session_id", "location_id", "rain_expected", *_r("arrival_s", "max_intensity"), "rain_at_location", "n_cells", "confidence")
 
 
 QUERIES["detect"] = QUERIES.pop("detections")
@@ -205,7 +207,7 @@ def earliest_arrival(spark, sf_dir):
 
 
 @query(sql("pcmtla", """select session_id, location_id,
-  case when confidence='unavailable' then null else rain_incoming end as imminent, case when confidence='unavailable' then null else rain_at_location end as raining_now,
+  case when confidence='unavailable' then null else rain_expected end as imminent, case when confidence='unavailable' then null else rain_at_location end as raining_now,
   floor(1704067200 + session_id*86400 + 7*600 + round(arrival_s,6))::bigint as arrival_epoch,
   case when max_intensity<=0 then 'none' when max_intensity<=0.2 then 'light' when max_intensity<=0.45 then 'moderate' when max_intensity<=0.75 then 'heavy' else 'extreme' end as intensity,
   confidence <> 'unavailable' as available from detections"""))
@@ -215,7 +217,7 @@ def sensor_states(spark, sf_dir):
     d = QUERIES["detect"](spark, sf_dir)
     on = F.col("confidence") != "unavailable"
     when = F.floor(tables.frame_epoch(F.col("session_id"), F.lit(LAST)) + F.col("arrival_s"))
-    return d.select("session_id", "location_id", F.when(on, F.col("rain_incoming")).alias("imminent"), F.when(on, F.col("rain_at_location")).alias("raining_now"), when.alias("arrival_epoch"), intensity_label(F.col("max_intensity")).alias("intensity"), on.alias("available"))
+    return d.select("session_id", "location_id", F.when(on, F.col("rain_expected")).alias("imminent"), F.when(on, F.col("rain_at_location")).alias("raining_now"), when.alias("arrival_epoch"), intensity_label(F.col("max_intensity")).alias("intensity"), on.alias("available"))
 
 
 @query(sql("pcmtla", "select location_id, max(case when arrival_s = 0 then 1704067200 + session_id*86400 + 7*600 end)::bigint as last_rain_epoch from detections group by all"))
@@ -257,7 +259,7 @@ def _rain_within(spark, sf_dir, reach: int):
     near = F.expr(f"flatten(transform(sequence(-{reach}, {reach}), i -> transform(sequence(-{reach}, {reach}), j -> struct(i, j))))")
     window = places.select("location_id", "loc_row", "loc_col", F.explode(near).alias("n")).select("location_id", (F.col("loc_row") + F.col("n.i")).alias("r"), (F.col("loc_col") + F.col("n.j")).alias("c"))
     hit = filters.threshold(pixels).join(window, ["r", "c"]).select("session_id", "location_id").distinct().withColumn("_h", F.lit(True))
-    every = pixels.select("session_id").distinct().crossJoin(F.broadcast(places.select("location_id")))
+    every = pixels.select("session_id").distinct().crossJoin(places.select("location_id"))
     return every.join(hit, ["session_id", "location_id"], "left").select("session_id", "location_id", F.coalesce("_h", F.lit(False)).alias("rain"))
 
 
@@ -293,6 +295,11 @@ conf as (select p.session_id, p.frame_idx, p.r, p.c, p.inten, ({_WT!r}*coalesce(
   from pixels p left join texture using (session_id, frame_idx, r, c) left join seen using (session_id, frame_idx, r, c) left join clutter using (session_id, r, c))"""
 
 
+def sql_qc(parts: str, body: str) -> str:
+    """Twins over cells of effective pixels."""
+    return sql("p", f", {_CONF}, " + sql("C" + parts, body).removeprefix("with recursive"))
+
+
 @query(sql("p", f", {_TEXTURE} select session_id, frame_idx, r, c, round(texture,6) as texture from texture"))
 def qc_texture(spark, sf_dir):
     return qc.texture(tables.pixels(spark, sf_dir)).select("session_id", "frame_idx", "r", "c", *_r("texture"))
@@ -325,7 +332,7 @@ def effective_grid(spark, sf_dir):
     return qc.effective(pixels, qc.confidence(pixels, tables.FRAMES)).select("session_id", "frame_idx", "r", "c", *_r("inten"))
 
 
-_REFINED = """, tracked as (select session_id, last_label as label, speed_kmh, case when coherent then 1.0 else 0.0 end as cell_conf from gated left join velocity using (session_id, root_frame, root_label) left join coherence using (session_id, root_frame, root_label)),
+_REFINED = """, tracked as (select g.session_id, last_label as label, speed_kmh, mean_conf as cell_conf from gated g left join velocity using (session_id, root_frame, root_label) join cells c on c.session_id = g.session_id and c.frame_idx = g.last_frame and c.label = g.last_label),
 refined as (select f.session_id, f.frame_idx, f.r, f.c, least(greatest((1.0*f.conf + 0.15*(case when speed_kmh is null then 0.5 when speed_kmh < 3 then 0.2 when speed_kmh > 130 then 0.1 else 1.0 end)
   + 0.1*(case when cell_conf is null then 0.5 when cell_conf >= 0.4 then 1.0 else 0.3 end))/1.25,0),1) as refined
   from conf f left join labelled l using (session_id, frame_idx, r, c) left join tracked using (session_id, label) where f.frame_idx = 7)"""
@@ -333,21 +340,22 @@ refined as (select f.session_id, f.frame_idx, f.r, f.c, least(greatest((1.0*f.co
 
 def _refined(spark, sf_dir):
     pixels = tables.pixels(spark, sf_dir)
-    a = detect.analyse(pixels, D)
+    conf = stage(qc.confidence(pixels, tables.FRAMES))
+    a = detect.analyse(qc.effective(pixels, conf), D, pixels)
     gated = tracking.gate(tracking.summary(a.entries), D, LAST)
     v = tracking.velocity(a.steps, D).select(*TRACK, "speed_kmh")
-    k = tracking.coherence(a.steps).select(*TRACK, F.when(F.col("coherent"), 1.0).otherwise(0.0).alias("cell_conf"))
-    cells = gated.join(v, TRACK, "left").join(k, TRACK, "left").select("session_id", F.col("last_label").alias("label"), "speed_kmh", "cell_conf")
-    conf = qc.confidence(pixels, tables.FRAMES).filter(F.col("frame_idx") == LAST)
-    return qc.refine(a.labelled.filter(F.col("frame_idx") == LAST), conf, cells)
+    last = a.labelled.filter(F.col("frame_idx") == LAST)
+    mean = components.mean_confidence(last, conf).select("session_id", "label", F.col("mean_conf").alias("cell_conf"))
+    cells = gated.join(v, TRACK, "left").select("session_id", F.col("last_label").alias("label"), "speed_kmh").join(mean, ["session_id", "label"])
+    return qc.refine(last, conf.filter(F.col("frame_idx") == LAST), cells)
 
 
-@query(sql("pcmt", f", {_CONF}{_REFINED} select session_id, frame_idx, r, c, round(refined,6) as refined from refined"))
+@query(sql_qc("mt", f"{_REFINED} select session_id, frame_idx, r, c, round(refined,6) as refined from refined"))
 def qc_refine(spark, sf_dir):
     return _refined(spark, sf_dir).select("session_id", "frame_idx", "r", "c", *_r("refined"))
 
 
-@query(sql("pcmt", f", {_CONF}{_REFINED} select session_id, count(*) as n, round(avg(refined),6) as mean_refined from refined group by all"))
+@query(sql_qc("mt", f"{_REFINED} select session_id, count(*) as n, round(avg(refined),6) as mean_refined from refined group by all"))
 def qc_last_frame_refine(spark, sf_dir):
     return _refined(spark, sf_dir).groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("refined"), 6).alias("mean_refined"))
 
@@ -356,3 +364,78 @@ def qc_last_frame_refine(spark, sf_dir):
 def report_stats(spark, sf_dir):
     c = qc.confidence(tables.pixels(spark, sf_dir), tables.FRAMES).filter(F.col("frame_idx") == LAST)
     return c.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_echo"), F.max("inten").alias("max_inten"), F.round(F.avg("inten"), 6).alias("mean_inten"), F.round(F.avg("conf"), 6).alias("mean_conf"), F.round(F.min("conf"), 6).alias("min_conf"), F.round(F.max("conf"), 6).alias("max_conf"), F.round(F.avg(F.pow("conf", F.lit(3))), 6).alias("cubed_conf"))
+
+
+@query(sql_qc("mt", f"{_REFINED}, echo as (select session_id, count(*) as n, sum(refined) as s from refined group by all) select session_id, 4096 - n as n_background, round((s + (4096 - n) * 0.1) / 4096, 6) as mean_refined from echo"))
+def qc_refine_whole_frame(spark, sf_dir):
+    """The last frame with its background, whose pixels have no row but all one refined value."""
+    size = D.grid.width * D.grid.height
+    echo = _refined(spark, sf_dir).groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.sum("refined").alias("s"))
+    rest = F.lit(size) - F.col("n")
+    return echo.select("session_id", rest.alias("n_background"), F.round((F.col("s") + rest * qc.refined_background(Q)) / size, 6).alias("mean_refined"))
+
+
+# Detection under confidence, gates and acceleration
+
+_DETECTED = "select session_id, location_id, rain_expected, round(arrival_s,6) arrival_s, round(max_intensity,6) max_intensity, rain_at_location, n_cells, confidence from detections"
+
+
+def _detected(spark, sf_dir, d=D, **more):
+    pixels = tables.pixels(spark, sf_dir)
+    out = detect.detect(pixels, _places(spark, sf_dir), _sessions(pixels), d, **more)
+    return out.select("session_id", "location_id", "rain_expected", *_r("arrival_s", "max_intensity"), "rain_at_location", "n_cells", "confidence")
+
+
+def _confidence(spark, sf_dir):
+    return stage(qc.confidence(tables.pixels(spark, sf_dir), tables.FRAMES))
+
+
+@query(sql_qc("mtlA", _DETECTED))
+def detect_qc(spark, sf_dir):
+    """Confidence decides what is a cell, drops doubtful cells' arrivals and the doubtful newest frame."""
+    return _detected(spark, sf_dir, confidence=_confidence(spark, sf_dir))
+
+
+@query(sql("pcmTla", _DETECTED))
+def detect_gated(spark, sf_dir):
+    """A forecast that asks for twice as many frames."""
+    return _detected(spark, sf_dir, multiplier=2.0)
+
+
+@query(sql("pcmtlF", _DETECTED))
+def detect_accelerated(spark, sf_dir):
+    return _detected(spark, sf_dir, replace(D, accelerate=True))
+
+
+@query(sql_qc("mtlA", "select session_id, location_id, round(max(mean_conf),6) as max_confidence, count(*) as n_cells from evaluated group by all"))
+def tracked_confidence(spark, sf_dir):
+    """The greatest mean confidence of the cells tracked for a place."""
+    pixels, conf = tables.pixels(spark, sf_dir), _confidence(spark, sf_dir)
+    a = detect.analyse(qc.effective(pixels, conf), D, pixels)
+    out = detect.evaluate(a, _places(spark, sf_dir), D, LAST, confidence=conf)
+    return out.groupBy("session_id", "location_id").agg(F.round(F.max("mean_conf"), 6).alias("max_confidence"), F.count(F.lit(1)).alias("n_cells"))
+
+
+@query(sql("pcmtla", """select session_id, location_id, rain_expected, case when rain_expected then round(arrival_s/60.0,6) end as arrival_minutes, rain_at_location, n_cells = 0 as without_tracks from detections"""))
+def decision_diagnostics(spark, sf_dir):
+    """What was decided for each place, in minutes after the last frame (before it if negative)."""
+    d = QUERIES["detect"](spark, sf_dir)
+    minutes = F.when(F.col("rain_expected"), F.round(F.col("arrival_s") / 60.0, 6))
+    return d.select("session_id", "location_id", "rain_expected", minutes.alias("arrival_minutes"), "rain_at_location", (F.col("n_cells") == 0).alias("without_tracks"))
+
+
+@query(sql("pcmt", f"select {KEYS}, string_agg(frame_idx::varchar, ' ' order by frame_idx) as frame_indices, round(any_value(bearing),6) as bearing from entries left join velocity using ({KEYS}) group by all"))
+def track_frames(spark, sf_dir):
+    """The frames that a track was seen in, and where it heads."""
+    a = _analysis(spark, sf_dir)
+    seen = a.entries.groupBy(*TRACK).agg(F.concat_ws(" ", F.array_sort(F.collect_list("frame_idx")).cast("array<string>")).alias("frame_indices"))
+    return seen.join(tracking.velocity(a.steps, D).select(*TRACK, "bearing"), TRACK, "left").select(*TRACK, "frame_indices", *_r("bearing"))
+
+
+@query(sql("pcmtla", "select case when arrival_s <= 0 then 'overhead' when arrival_s <= 1500 then 'soon' else 'later' end as bucket, count(*) as n from detections d left join truth t using (session_id, location_id) where rain_expected and not coalesce(t.rain, false) group by all").replace("\nselect case", ", truth as (" + _truth(int(PX)) + ")\nselect case"))
+def false_alarms_by_arrival(spark, sf_dir):
+    """False alarms of the detection by when they predicted the arrival."""
+    d = QUERIES["detect"](spark, sf_dir).filter("rain_expected")
+    wrong = d.join(_rain_within(spark, sf_dir, int(PX)), ["session_id", "location_id"], "left").filter(~F.coalesce("rain", F.lit(False)))
+    bucket = F.when(F.col("arrival_s") <= 0, "overhead").when(F.col("arrival_s") <= 1500, "soon").otherwise("later")
+    return wrong.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))

@@ -141,7 +141,7 @@ def test_every_minute_of_events_has_a_multiplier(spark, sf_dir):
 def test_detection_by_micro_batches(spark, sf_dir):
     from pluvio.plans import file_queries, registry
 
-    cols = ["session_id", "location_id", "rain_incoming", "arrival_s", "max_intensity", "rain_at_location", "n_cells", "confidence"]
+    cols = ["session_id", "location_id", "rain_expected", "arrival_s", "max_intensity", "rain_at_location", "n_cells", "confidence"]
     got = file_queries.stream_detect(spark, sf_dir, files_per_trigger=2).select(cols).collect()
     assert sorted(map(repr, got)) == sorted(map(repr, registry.QUERIES["detect"](spark, sf_dir).select(cols).collect()))
 

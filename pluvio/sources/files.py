@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pluvio.config import Bounds
+from pluvio.functions.palette import DETECTOR_DISTANCE, TIERS
+
 MANIFEST = "version string, generated long, host string, radar struct<past:array<struct<time:long,path:string>>,nowcast:array<struct<time:long,path:string>>>"
 FORECAST = "hourly struct<time:array<string>,precipitation_probability:array<double>>, current struct<precipitation:double>"
 TILE_NAME = r"/(\d+)/(\d+)_(\d+)_(\d+)_s(\d+)\.png$"
@@ -13,7 +21,7 @@ TILE_NAME = r"/(\d+)/(\d+)_(\d+)_(\d+)_s(\d+)\.png$"
 def frames(spark: SparkSession, path: str, last: int = 8, nowcast: bool = False) -> DataFrame:
     """manifest, frame_ts, path of the last frames of each manifest file, oldest first."""
     m = spark.read.schema(MANIFEST).option("multiLine", True).json(path).withColumn("manifest", F.input_file_name())
-    lists = F.array_union(F.col("radar.past"), F.coalesce("radar.nowcast", F.array().cast("array<struct<time:long,path:string>>"))) if nowcast else F.col("radar.past")
+    lists = F.concat(F.col("radar.past"), F.coalesce("radar.nowcast", F.array().cast("array<struct<time:long,path:string>>"))) if nowcast else F.col("radar.past")
     n = F.size(lists)
     kept = F.slice(F.array_sort(lists), F.greatest(n - last + 1, F.lit(1)), F.lit(last))
     each = m.select("manifest", F.explode(kept).alias("f"))
@@ -46,16 +54,130 @@ def tiles(spark: SparkSession, path: str) -> DataFrame:
     return t.select(*parts, F.col("image.width").alias("width"), F.col("image.height").alias("height"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
 
 
-def tile_pixels(tile_rows: DataFrame) -> DataFrame:
-    """Each pixel of four-channel tiles: epoch, x, y, row, col, r, g, b, alpha."""
-    four = tile_rows.filter(F.col("channels") == 4)
-    at = four.select("epoch", "x", "y", "width", F.hex("data").alias("h"), F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)).alias("i"))
+PIXELS = "epoch long, x long, y long, row int, col int, r int, g int, b int, alpha int"
+_PIXELS = pa.schema([*((n, pa.int64()) for n in ("epoch", "x", "y")), *((n, pa.int32()) for n in ("row", "col", "r", "g", "b", "alpha"))])
 
-    def byte(k: int):
-        return F.conv(F.substring(F.col("h"), F.col("i") * 8 + 2 * k + 1, F.lit(2)), 16, 10).cast("int")
 
-    row = F.floor(F.col("i") / F.col("width")).cast("int")
-    return at.select("epoch", "x", "y", row.alias("row"), (F.col("i") % F.col("width")).cast("int").alias("col"), byte(2).alias("r"), byte(1).alias("g"), byte(0).alias("b"), byte(3).alias("alpha"))
+def _pixels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for t in batch.to_pylist():
+            four = np.frombuffer(t["data"], np.uint8).reshape(-1, 4).astype(np.int32)
+            at = np.arange(len(four), dtype=np.int32)
+            where = [pa.array(np.full(len(at), t[n])) for n in ("epoch", "x", "y")]
+            values = [at // t["width"], at % t["width"], four[:, 2], four[:, 1], four[:, 0], four[:, 3]]
+            yield pa.RecordBatch.from_arrays([*where, *(pa.array(v.astype(np.int32)) for v in values)], schema=_PIXELS)
+
+
+def tile_pixels(tile_rows: DataFrame) -> DataFrame:
+    """Each pixel of four-channel tiles: epoch, x, y, row, col, r, g, b, alpha."""
+    return tile_rows.filter(F.col("channels") == 4).select("epoch", "x", "y", "width", "data").mapInArrow(_pixels, PIXELS)
+
+
+LEVELS = "epoch long, x long, y long, width int, height int, levels binary"
+_LEVELS = pa.schema([*((n, pa.int64()) for n in ("epoch", "x", "y")), ("width", pa.int32()), ("height", pa.int32()), ("levels", pa.binary())])
+
+
+def levels_of(data: bytes, distance: int = DETECTOR_DISTANCE) -> np.ndarray:
+    """The intensity of each pixel (blue, green, red, alpha) in 255ths, cut off. A tile has few
+    colours, so the palette is asked once for each; transparent pixels and unknown colours are 0."""
+    four = np.frombuffer(data, np.uint8).reshape(-1, 4)
+    packed = four.view("<u4")[:, 0]
+    out = np.zeros(len(packed), np.uint8)
+    seen = np.flatnonzero(four[:, 3] >= 10)
+    if not len(seen):
+        return out
+    colour = packed[seen] & 0xFFFFFF
+    change = np.flatnonzero(colour[1:] != colour[:-1]) + 1  # runs of one colour, so that few are sorted
+    first = np.concatenate(([0], change))
+    distinct, which = np.unique(colour[first], return_inverse=True)
+    rgb = np.stack([distinct >> 16 & 255, distinct >> 8 & 255, distinct & 255], 1).astype(np.int64)
+    tiers = np.array([t[:3] for t in TIERS], np.int64)
+    d2 = ((rgb[:, None] - tiers[None]) ** 2).sum(2)
+    level = np.array([int(t[3] * 255) for t in TIERS], np.uint8)[d2.argmin(1)]
+    level[d2.min(1) > distance * distance] = 0
+    out[seen] = np.repeat(level[which], np.diff(np.append(first, len(colour))))
+    return out
+
+
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        levels = [levels_of(d).tobytes() for d in batch.column("data").to_pylist()]
+        same = [batch.column(n).cast(_LEVELS.field(n).type) for n in _LEVELS.names[:-1]]
+        yield pa.RecordBatch.from_arrays([*same, pa.array(levels, pa.binary())], schema=_LEVELS)
+
+
+def tile_levels(tile_rows: DataFrame) -> DataFrame:
+    """Decoded tiles: epoch, x, y, width, height and one byte of intensity for each pixel."""
+    return tile_rows.filter(F.col("channels") == 4).select("epoch", "x", "y", "width", "height", "data").mapInArrow(_decoded, LEVELS)
+
+
+def _weights(size: int, wanted: int) -> np.ndarray:
+    """What each of ``size`` pixels adds to each of ``wanted``: a triangle as wide as a step, or as
+    a pixel where the image grows."""
+    scale = size / wanted
+    centre = (np.arange(wanted) + 0.5) * scale
+    away = np.abs(np.arange(size)[None] + 0.5 - centre[:, None]) / max(scale, 1.0)
+    w = np.maximum(1 - away, 0.0)
+    return w / w.sum(1, keepdims=True)
+
+
+def resized(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """An image of bytes in another size, bilinear, rounded after each direction."""
+    if image.shape[1] != width:
+        image = np.floor(image @ _weights(image.shape[1], width).T + 0.5)
+    if image.shape[0] != height:
+        image = np.floor(_weights(image.shape[0], height) @ image + 0.5)
+    return image.astype(np.uint8)
+
+
+GRID = "epoch long, r long, c long, inten double"
+_GRID = pa.schema([("epoch", pa.int64()), ("r", pa.int64()), ("c", pa.int64()), ("inten", pa.float64())])
+
+
+def stitched(decoded: DataFrame, zoom: int, bounds: Bounds, width: int, height: int) -> DataFrame:
+    """epoch, r, c, inten of the pixels with echo of the box ``bounds``, from the tiles around its
+    centre that overlap it. Rows count as linear in latitude within the stitched tiles; a tile that
+    is missing is empty. A frame is one group, bounded by the 5 x 5 tiles that may take part."""
+    cx, cy = tile_at((bounds.lat_min + bounds.lat_max) / 2, (bounds.lon_min + bounds.lon_max) / 2, zoom)
+    near = {(cx + i, cy + j): tile_box(cx + i, cy + j, zoom) for i in range(-2, 3) for j in range(-2, 3)}
+    wanted = {t for t, b in near.items() if b.lon_max > bounds.lon_min and b.lon_min < bounds.lon_max and b.lat_max > bounds.lat_min and b.lat_min < bounds.lat_max}
+    if not wanted:
+        return decoded.sparkSession.createDataFrame([], GRID)
+    (x0, x1), (y0, y1) = ((min(v), max(v)) for v in zip(*wanted, strict=True))
+    west, east = near[x0, y0].lon_min, near[x1, y0].lon_max
+    north, south = near[x0, y0].lat_max, near[x0, y1].lat_min
+
+    def frame(table: pa.Table) -> pa.Table:
+        tiles = table.to_pylist()
+        side = tiles[0]["width"]
+        canvas = np.zeros(((y1 - y0 + 1) * side, (x1 - x0 + 1) * side), np.uint8)
+        for t in tiles:
+            top, left = (t["y"] - y0) * side, (t["x"] - x0) * side
+            canvas[top : top + side, left : left + side] = np.frombuffer(t["levels"], np.uint8).reshape(side, side)
+        h, w = canvas.shape
+        rows = [int((north - lat) / (north - south) * h) for lat in (bounds.lat_max, bounds.lat_min)]
+        cols = [int((lon - west) / (east - west) * w) for lon in (bounds.lon_min, bounds.lon_max)]
+        crop = canvas[max(0, rows[0]) : min(h, rows[1]), max(0, cols[0]) : min(w, cols[1])]
+        if not crop.size:
+            return _GRID.empty_table()
+        image = resized(crop, height, width)
+        r, c = np.nonzero(image)
+        return pa.table([pa.array(np.full(len(r), tiles[0]["epoch"])), pa.array(r), pa.array(c), pa.array(image[r, c] / 255.0)], schema=_GRID)
+
+    inside = decoded.filter(F.col("x").between(x0, x1) & F.col("y").between(y0, y1))
+    return inside.groupBy("epoch").applyInArrow(frame, GRID)
+
+
+def tile_at(lat: float, lon: float, zoom: int) -> tuple[int, int]:
+    """Column and row of the Mercator tile that holds a place."""
+    n = 1 << zoom
+    return int((lon + 180) / 360 * n), int((1 - math.asinh(math.tan(math.radians(lat))) / math.pi) / 2 * n)
+
+
+def tile_box(x: int, y: int, zoom: int) -> Bounds:
+    n = 1 << zoom
+    north, south = (math.degrees(math.atan(math.sinh(math.pi * (1 - 2 * k / n)))) for k in (y, y + 1))
+    return Bounds(south, north, x / n * 360 - 180, (x + 1) / n * 360 - 180)
 
 
 def write_layers(frames_df: DataFrame, folder: str, classify) -> None:

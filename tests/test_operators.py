@@ -162,3 +162,79 @@ def test_windows_are_written_by_more_than_one_task(spark, sf_dir, monkeypatch):
     late = rows.agg(F.max("frame_ts") - F.expr("interval 80 minutes")).first()[0]
     want = rows.groupBy("location_id", ends.alias("w")).agg(F.count("*").alias("n"), F.sum("n_echo").alias("e")).filter(F.col("w.end") <= F.lit(late))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select("location_id", F.unix_seconds("w.start"), "n", "e").collect()))
+
+
+def _tiles(spark, tiles):
+    return spark.createDataFrame([(1, x, y, w, w, 4, bytearray(data)) for x, y, w, data in tiles], "epoch long, x long, y long, width int, height int, channels int, data binary")
+
+
+def test_tiles_decode_by_their_colours(spark):
+    import numpy as np
+
+    from pluvio.functions.palette import TIERS
+    from pluvio.sources import files
+
+    r = np.random.default_rng(3)
+    colours = [*(t[:3] for t in TIERS), (0, 0, 0), (90, 200, 230)]
+    at = r.integers(0, len(colours), 64 * 64)
+    rgba = np.array([(*colours[i][::-1], 255) for i in at], np.uint8)
+    rgba[r.random(len(at)) < 0.2, 3] = 9
+    got = np.frombuffer(files.tile_levels(_tiles(spark, [(3, 4, 64, rgba.tobytes())])).first().levels, np.uint8)
+
+    def level(b, g, red, alpha):
+        d, i = min(((red - t[0]) ** 2 + (g - t[1]) ** 2 + (b - t[2]) ** 2, i) for i, t in enumerate(TIERS))
+        return int(TIERS[i][3] * 255) if alpha >= 10 and d <= 3600 else 0
+
+    assert got.tolist() == [level(*map(int, x)) for x in rgba]
+    px = files.tile_pixels(_tiles(spark, [(3, 4, 64, rgba.tobytes())])).orderBy("row", "col").collect()
+    assert [(p.b, p.g, p.r, p.alpha) for p in px] == [tuple(map(int, x)) for x in rgba]
+
+
+def test_a_large_tile_decodes_fast():
+    import time
+
+    import numpy as np
+
+    from pluvio.sources import files
+
+    rgba = np.zeros((256 * 256, 4), np.uint8)
+    rgba[20000:40000] = (232, 197, 81, 255)
+    files.levels_of(rgba.tobytes())
+    best = min(_seconds(time, lambda: files.levels_of(rgba.tobytes())) for _ in range(10))
+    assert best < 0.02
+
+
+def _seconds(time, f):
+    t = time.perf_counter()
+    f()
+    return time.perf_counter() - t
+
+
+def test_tiles_stitch_to_a_grid(spark):
+    import numpy as np
+
+    from pluvio.config import Bounds
+    from pluvio.sources import files
+
+    zoom, x, y, side = 7, 117, 76, 16
+    west, east = files.tile_box(x, y, zoom), files.tile_box(x + 1, y, zoom)
+    blank = np.zeros((side * side, 4), np.uint8)
+    echo = blank.copy()
+    echo[5 * side + 3] = (213, 154, 0, 255)
+    tiles = [(x, y, side, echo.tobytes()), (x + 1, y, side, blank.tobytes()), (x + 9, y, side, echo.tobytes())]
+    bounds = Bounds(west.lat_min, west.lat_max, west.lon_min + 1e-9, east.lon_max - 1e-9)
+    decoded = files.tile_levels(_tiles(spark, tiles))
+    (p,) = files.stitched(decoded, zoom, bounds, 2 * side - 1, side).collect()
+    assert (p.r, p.c, p.inten) == (5, 3, 45 / 255)
+    half = files.stitched(decoded, zoom, bounds, side, side).collect()
+    assert {(q.r, q.c) for q in half} <= {(5, 1), (5, 2)} and max(q.inten for q in half) < 45 / 255
+
+
+def test_resizing_keeps_even_surfaces():
+    import numpy as np
+
+    from pluvio.sources import files
+
+    even = np.full((10, 14), 96, np.uint8)
+    assert (files.resized(even, 7, 5) == 96).all() and (files.resized(even, 23, 31) == 96).all()
+    assert files.resized(even, 10, 14) is not None and (files.resized(even, 10, 14) == even).all()

@@ -5,9 +5,11 @@ characters it has. Each document draws its number of copies from the Poisson dis
 that rate, by inverting the distribution at a uniform number made from a seeded hash of the
 document's id. The copies are exploded and dealt out globally in the order of another hash.
 
-The distribution of a source is a short array made once by window sums; documents meet it in a
-join on the source, which Spark may broadcast only while its measured size is small. Everything
-is DataFrame functions.
+The distribution of a source is a short array made once by window sums, of the counts around its
+mean that uniform numbers of 52 bits can tell from never and always. The rates, a row for each
+source, are written once. While they are at most ``FEW_SOURCES`` the documents meet the arrays in a
+broadcast, so that no text moves before the final shuffle; more sources meet in a join whose hot keys
+are salted. Everything is DataFrame functions.
 
 Defined results: a null source is a source; a null or empty text counts as one character, so
 that its source has a rate; rows without an id draw by their text; rows with one id (or one
@@ -18,12 +20,21 @@ so far that the rest has a probability below the step of the uniform numbers.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pluvio.llm.shared import cut, shuffle_partitions
+
 #: Uniform numbers have 52 bits: 13 hexadecimal digits of a hash.
 HEX_DIGITS = 13
 SEED = "mix-1"
+#: Sources whose arrays (about 1 KB each, 200 KB at a rate of a million) are broadcast.
+FEW_SOURCES = 2_000
+SALTS = 32
+#: Characters of the mixture for each partition of the final shuffle.
+PART_CHARS = 16 << 20
 
 
 def uniform(key: Column, seed: str) -> Column:
@@ -61,34 +72,52 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, power
 
 
 def cumulative(rates: DataFrame) -> DataFrame:
-    """Per source the array ``cdf`` of P(copies <= n) for n = 0, 1, ... as far as 52 bits can tell."""
-    last = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 30).cast("int")
-    steps = rates.select("source", "rate", F.explode(F.sequence(F.lit(0), last)).alias("n"))
+    """Per source the array ``cdf`` of P(copies <= n) for n = ``least``, ``least`` + 1, ... as far as
+    52 bits can tell it from 0 and 1."""
+    spread = 12 * F.sqrt("rate") + 30
+    first = F.greatest(F.floor(F.col("rate") - spread), F.lit(0)).cast("long")
+    last = F.ceil(F.col("rate") + spread).cast("long")
+    steps = rates.select("source", "rate", first.alias("least"), F.explode(F.sequence(first, last)).alias("n"))
     by = Window.partitionBy("source").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    log_factorial = F.sum(F.log(F.greatest("n", F.lit(1)).cast("double"))).over(by)
+    # of the first count by Stirling's series, which is exact to 16 digits where it isn't 0
+    x = F.greatest("least", F.lit(1)).cast("double")
+    stirling = x * F.log(x) - x + 0.5 * F.log(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * x * x * x)
+    step = F.when(F.col("n") > F.col("least"), F.log(F.greatest("n", F.lit(1)).cast("double"))).otherwise(F.when(F.col("least") > 0, stirling).otherwise(0.0))
+    log_factorial = F.sum(step).over(by)
     log_p = F.when(F.col("n") == 0, -F.col("rate")).otherwise(F.col("n") * F.log("rate") - F.col("rate") - log_factorial)
     p = steps.withColumn("p", F.coalesce(F.exp(log_p), F.lit(0.0)))
     up_to = p.withColumn("below", F.sum("p").over(by))
-    return up_to.groupBy("source").agg(F.array_sort(F.collect_list("below")).alias("cdf"))
+    return up_to.groupBy("source").agg(F.first("least").alias("least"), F.array_sort(F.collect_list("below")).alias("cdf"))
 
 
 def copies(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, size: float = 1.0, seed: str = SEED) -> DataFrame:
     """``docs`` with ``n_copies``; documents that draw none are still there."""
-    limits = cumulative(source_rates(docs, weights, power, size)).withColumnRenamed("source", "_source").withColumnRenamed("cdf", "_cdf")
-    met = docs.drop("n_copies").join(limits, F.col("source").eqNullSafe(F.col("_source")), "left")
+    return _copies(docs, cut(source_rates(docs, weights, power, size)), seed)
+
+
+def _copies(docs: DataFrame, rates: DataFrame, seed: str) -> DataFrame:
+    limits = cumulative(rates).select(F.col("source").alias("_source"), F.col("least").alias("_least"), F.col("cdf").alias("_cdf"))
+    rows, same = docs.drop("n_copies"), F.col("source").eqNullSafe(F.col("_source"))
+    if rates.count() <= FEW_SOURCES:
+        met = rows.join(F.broadcast(limits), same, "left")
+    else:
+        salted = limits.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = rows.withColumn("_salt", F.pmod(F.xxhash64(draw_key(docs)), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("_salt") == F.col("_other")), "left")
     u = uniform(draw_key(docs), seed)
-    drawn = met.withColumn("_u", u).withColumn("n_copies", F.size(F.filter("_cdf", lambda c: c < F.col("_u"))))
-    return drawn.drop("_source", "_cdf", "_u")
+    drawn = met.withColumn("_u", u).withColumn("n_copies", F.col("_least") + F.size(F.filter("_cdf", lambda c: c < F.col("_u"))))
+    return drawn.drop("_source", "_least", "_cdf", "_u", "_salt", "_other")
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, size: float = 1.0, seed: str = SEED) -> DataFrame:
     """The mixture: each document as often as it draws, with ``copy`` (from 1) and ``order_key``,
     dealt out and sorted by that key, so that part files hold a uniform shuffle of all copies."""
-    drawn = copies(docs, weights, power, size, seed).filter(F.col("n_copies") > 0)
-    each = drawn.drop("copy", "order_key").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies")))).drop("n_copies")
+    rates = cut(source_rates(docs, weights, power, size))
+    drawn = _copies(docs, rates, seed).filter(F.col("n_copies") > 0)
+    each = drawn.drop("copy", "order_key").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies")))).withColumn("copy", F.col("copy").cast("int")).drop("n_copies")
     key = F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), draw_key(docs), F.col("copy").cast("string")))
     keyed = each.withColumn("order_key", key)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chars = rates.agg(F.sum(F.col("chars") * F.col("rate"))).first()[0] or 0
+    parts = max(shuffle_partitions(docs.sparkSession), int(chars // PART_CHARS) + 1)
     return keyed.repartition(parts, "order_key").sortWithinPartitions("order_key")
 
 

@@ -32,6 +32,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -86,6 +87,8 @@ DEEPEST = 120
 #: The whole text of an element that labels a share control, and elements whose text is the article's whatever it says.
 _LABEL = re.compile(r"(?:share|tweet|print|e-?mail) this (?:story|article|post|page)[.!:]?", re.I)
 PROSE = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd td th caption figcaption blockquote q pre code em strong b i cite".split())
+#: Shapes of a host that a task holds before it aligns them.
+MOST_SHAPES = 64
 #: Hosts whose wrappers a task holds at a time.
 HELD_HOSTS = 2_000
 
@@ -287,24 +290,100 @@ def align(a: list[Element], b: list[Element]) -> list[Element]:
     """Two streams as one: matching elements merge, the others become optional."""
     if len(a) == len(b) and all(map(_same, a, b)):
         return _fold([_merge(x, y) for x, y in zip(a, b, strict=True)])
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if _same(a[i], b[j]) else max(best[i + 1][j], best[i][j + 1])
     out: list[Element] = []
     i = j = 0
-    while i < n or j < m:
-        if i < n and j < m and _same(a[i], b[j]):
-            out.append(_merge(a[i], b[j]))
+    for x, y in [*_matches(list(map(_sign, a)), list(map(_sign, b))), (len(a), len(b))]:
+        out += [[*c[:2], True, *c[3:]] for c in (*a[i:x], *b[j:y])]
+        if x < len(a):
+            out.append(_merge(a[x], b[y]))
+        i, j = x + 1, y + 1
+    return _fold(out)
+
+
+def _sign(w: Element) -> str:
+    """Elements match where these are equal."""
+    return w[0] if w[0] != GROUP else GROUP + "|".join(x[0] for x in w[1])
+
+
+#: Cells of a table of common subsequences; larger streams are split at signs that each has once.
+TABLE = 1 << 14
+
+
+def _matches(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of a common subsequence of two streams, a longest one of short streams."""
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    inner = _between(a[head : len(a) - tail], b[head : len(b) - tail])
+    ends = [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
+    return [(k, k) for k in range(head)] + [(head + x, head + y) for x, y in inner] + ends
+
+
+def _between(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    if not a or not b:
+        return []
+    if len(a) * len(b) <= TABLE:
+        return _longest(a, b)
+    in_a, in_b = Counter(a), Counter(b)
+    where = {s: j for j, s in enumerate(b) if in_b[s] == 1}
+    anchors = _rising([(i, where[s]) for i, s in enumerate(a) if in_a[s] == 1 and s in where])
+    if not anchors:
+        return _next_found(a, b)
+    out, i, j = [], 0, 0
+    for x, y in anchors:
+        out += [(i + p, j + q) for p, q in _matches(a[i:x], b[j:y])] + [(x, y)]
+        i, j = x + 1, y + 1
+    return out + [(i + p, j + q) for p, q in _matches(a[i:], b[j:])]
+
+
+def _longest(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    out, i, j = [], 0, 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            out.append((i, j))
             i, j = i + 1, j + 1
-        elif j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):
-            out.append([*a[i][:2], True, *a[i][3:]])
+        elif best[i + 1][j] >= best[i][j + 1]:
             i += 1
         else:
-            out.append([*b[j][:2], True, *b[j][3:]])
             j += 1
-    return _fold(out)
+    return out
+
+
+def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """A longest run of pairs whose second numbers rise as the first do."""
+    ends: list[int] = []  # for each length the pair that ends it with the least number
+    before = [-1] * len(pairs)
+    for k, (_, y) in enumerate(pairs):
+        at = bisect_left([pairs[e][1] for e in ends], y) if len(ends) < 32 else bisect_left(ends, y, key=lambda e: pairs[e][1])
+        before[k] = ends[at - 1] if at else -1
+        ends[at : at + 1] = [k]
+    out, k = [], ends[-1] if ends else -1
+    while k >= 0:
+        out.append(pairs[k])
+        k = before[k]
+    return out[::-1]
+
+
+def _next_found(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Each sign with its next place in the other stream, if that is near."""
+    places: dict[str, list[int]] = {}
+    for j, s in enumerate(b):
+        places.setdefault(s, []).append(j)
+    out, j = [], 0
+    for i, s in enumerate(a):
+        own = places.get(s, [])
+        k = bisect_left(own, j)
+        if k < len(own) and own[k] - j <= 64:
+            out.append((i, own[k]))
+            j = own[k] + 1
+    return out
 
 
 def page_wrapper(text: str) -> Element:
@@ -524,6 +603,9 @@ class HostWrappers:
         known = shapes.get(shape)
         if known is None:
             shapes[shape] = leaves
+            if len(shapes) > MOST_SHAPES:  # so that a host's share of memory is bounded
+                w = merged([x[0] for x in shapes.values()])
+                self.hosts[host] = {_shape(w): list(_leaves(w))}
             return
         for a, b in zip(known, leaves, strict=True):
             a[4] += b[4]

@@ -296,15 +296,23 @@ class Encoded:
     first: np.ndarray
 
 
-def encode_chunk(texts: list[pa.Array], v: Vocabulary) -> Iterator[Encoded]:
+def _keys(data: np.ndarray, start: np.ndarray, end: np.ndarray, known: dict[bytes, int] | None) -> np.ndarray:
+    """What tells pre-tokens apart: their hashes or, where those have failed, their numbers in ``known``."""
+    if known is None:
+        return tb.hash_spans(data, start, end)
+    raw = data.tobytes()
+    return np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip(start.tolist(), end.tolist(), strict=True)], np.uint64)
+
+
+def encode_chunk(texts: list[pa.Array], v: Vocabulary, known: dict[bytes, int] | None = None) -> Iterator[Encoded]:
     """Each of some arrays of texts encoded; their distinct pre-tokens are merged together."""
     cuts: list[tuple[np.ndarray, np.ndarray]] = []
-    seen_h, seen_check, seen_bytes, seen_len = [], [], [], []
+    seen_h, seen_bytes, seen_len = [], [], []
     offset = 0
     for column in texts:
         data, at = tb.text_buffers(column)
         start, end, special = cut_texts(data, at, v)
-        h = tb._hash_words(data, start, end)
+        h = _keys(data, start, end, known)
         if len(h):
             h = np.where(special >= 0, special.astype(np.uint64), h | np.uint64(1 << 63))
         unique, where, which = np.unique(h, return_index=True, return_inverse=True)
@@ -313,14 +321,16 @@ def encode_chunk(texts: list[pa.Array], v: Vocabulary) -> Iterator[Encoded]:
         seen_bytes.append(data[np.repeat(s - total, length) + np.arange(int(length.sum()))])
         seen_h.append(unique)
         seen_len.append(length)
-        check = tb.mix(tb._hash_words(data, s, end[where]) ^ np.uint64(0x5851F42D4C957F2D)) if len(s) else np.empty(0, np.uint64)
-        seen_check.append(check)
-        if (length[which] != end - start).any():
-            raise ValueError("two pre-tokens have one hash")
+        if (length[which] != end - start).any():  # two pre-tokens have one hash
+            yield from encode_chunk(texts, v, {})
+            return
         cuts.append((np.searchsorted(start, at), which.astype(np.int64) + offset))
         offset += len(unique)
     h, length, raw = np.concatenate(seen_h), np.concatenate(seen_len), np.concatenate(seen_bytes)
     _, where, which = np.unique(h, return_index=True, return_inverse=True)
+    if (length[where][which] != length).any():
+        yield from encode_chunk(texts, v, {})
+        return
     begin = np.cumsum(length) - length
     ids, first = merge_words(raw, begin[where], (begin + length)[where], v)
     count = np.diff(first)

@@ -118,17 +118,22 @@ def _hash_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix(value + (end - start).astype(U64))
 
 
-def split_words(column: pa.Array | pa.ChunkedArray, lower: bool = False, solid: np.ndarray | None = None) -> Words:
-    """``solid`` has for each byte whether it belongs to words; white space alone doesn't by default."""
-    data, at = text_buffers(column, lower)
-    start, end = _spans(data, at, ~_SPACE if solid is None else solid) if len(data) else (np.empty(0, np.int64), np.empty(0, np.int64))
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits for each of some spans of bytes, which follow one another."""
     h = np.empty(len(start), U64)
     done = 0
-    while done < len(start):  # one word at least, however long
+    while done < len(start):  # one span at least, however long
         stop = max(done + 1, int(np.searchsorted(end, start[done] + _CHUNK, "right")))
         h[done:stop] = _hash_words(data, start[done:stop], end[done:stop])
         done = stop
-    return Words(data, start, end, h, np.searchsorted(start, at), at)
+    return h
+
+
+def split_words(column: pa.Array | pa.ChunkedArray, lower: bool = False, solid: np.ndarray | None = None) -> Words:
+    """``solid`` has for each byte whether it belongs to words; white space alone doesn't by default."""
+    data, at = text_buffers(column, lower)
+    start, end = _spans(data, at, ~_SPACE if solid is None else solid) if len(data) else (np.empty(0, np.int64), np.empty(0, np.int64))
+    return Words(data, start, end, hash_spans(data, start, end), np.searchsorted(start, at), at)
 
 
 def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -6,7 +6,7 @@ shares, so that a lost executor never costs more than the stage at hand.
 
 Defined results: a document whose text is null or empty fails the quality rules and goes; null
 ``lang`` or ``source`` are groups of their own; of rows that repeat an id or a text one stays, ties
-by the least id; a text that the substring stage empties stays, empty, and counts as one character of
+by the least id, and rows without an id stay; a text that the substring stage empties stays, empty, and counts as one character of
 its source; columns other than those of documents are dropped; an empty table gives an empty one.
 """
 

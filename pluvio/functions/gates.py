@@ -8,6 +8,19 @@ from pyspark.sql import functions as F
 POLL_MINUTES = (1, 11, 21, 31, 41, 51)
 ICONS = {"none": "mdi:weather-cloudy", "light": "mdi:weather-rainy", "moderate": "mdi:weather-pouring", "heavy": "mdi:weather-pouring", "extreme": "mdi:weather-lightning-rainy"}
 STYLES = ("voyager", "osm_standard", "osm_dark", "dark_matter", "esri_imagery")
+#: Icons of the sensors while on and off.
+SENSOR_ICONS = {"imminent": ("mdi:weather-pouring", "mdi:weather-sunny"), "arrival": ("mdi:clock-alert-outline", "mdi:clock-outline")}
+#: Where the tiles of the map styles are (zoom, column, row); the last style has
+#: overlays, and row before column.
+_ESRI = "https://server.arcgisonline.com/ArcGIS/rest/services/"
+TILE_URLS = {
+    "voyager": ("https://basemaps.cartocdn.com/rastertiles/voyager/%1$d/%2$d/%3$d.png",),
+    "osm_standard": ("https://tile.openstreetmap.org/%1$d/%2$d/%3$d.png",),
+    "osm_dark": ("https://tile.openstreetmap.org/%1$d/%2$d/%3$d.png",),
+    "dark_matter": ("https://basemaps.cartocdn.com/dark_all/%1$d/%2$d/%3$d.png",),
+    "esri_imagery": tuple(f"{_ESRI}{layer}/MapServer/tile/%1$d/%3$d/%2$d" for layer in ("World_Imagery", "Reference/World_Transportation", "Reference/World_Boundaries_and_Places")),
+}
+OPTION_KEYS = ("latitude", "longitude", "location_name", "lookahead_minutes", "map_style", "forecast_enabled", "satellite_enabled")
 
 
 def pop_multiplier(pop: Column) -> Column:
@@ -54,6 +67,48 @@ def backoff(attempt: Column, base: float = 5.0, factor: float = 2.0, most: float
     return F.least(F.lit(base) * F.pow(F.lit(factor), attempt), F.lit(most))
 
 
+def retry_delay(status: Column, attempt: Column, retry_after: Column, base: float = 1.0, most: int = 3) -> Column:
+    """Seconds until the next try of a request, null where there is none; ``retry_after`` is the
+    header of that name, which counts for status 429 if it is a number."""
+    own = F.when(status == 429, retry_after.try_cast("double"))
+    return F.when(retryable(status) & (attempt < most), F.coalesce(own, F.lit(base) * F.pow(F.lit(2.0), attempt)))
+
+
+def poll_backoff(failures: Column, base: float = 5.0, factor: float = 2.0, most: float = 60.0) -> Column:
+    """Seconds to wait after so many failures in a row, null where the poll gives up: as soon as
+    the wait would reach ``most``."""
+    wait = F.lit(base) * F.pow(F.lit(factor), failures - 1)
+    return F.when(wait < most, wait)
+
+
+def gate_if(enabled: Column, multiplier: Column) -> Column:
+    """A gate's multiplier, 1 where it is switched off."""
+    return F.when(F.coalesce(enabled, F.lit(False)), multiplier).otherwise(1.0)
+
+
+def merged_options(stored: Column, given: Column) -> dict[str, Column]:
+    """Each editable key: the given value, else the stored one. Both are structs."""
+    return {k: F.coalesce(given[k], stored[k]) for k in OPTION_KEYS}
+
+
+def known_style(style: Column) -> Column:
+    """``style``, an error if it is none of STYLES."""
+    return F.when(style.isin(*STYLES), style).otherwise(F.raise_error(F.concat(F.lit("unknown map style: "), F.coalesce(style, F.lit("null")))).cast("string"))
+
+
+def tile_urls(style: Column, zoom: Column, x: Column, y: Column) -> Column:
+    """Where the layers of a tile are, from the bottom up; null for an unknown style."""
+    urls = F.lit(None).cast("array<string>")
+    for name, layers in TILE_URLS.items():
+        urls = F.when(style == name, F.array(*[F.format_string(u, zoom, x, y) for u in layers])).otherwise(urls)
+    return urls
+
+
+def sensor_icon(sensor: str, on: Column) -> Column:
+    lit, dark = SENSOR_ICONS[sensor]
+    return F.when(on, lit).otherwise(dark)
+
+
 def short_name(name: Column, most: int = 16) -> Column:
     return F.when(F.length(name) > most, F.concat(F.substring(name, 1, most - 1), F.lit("…"))).otherwise(name)
 
@@ -74,7 +129,7 @@ def config_errors(lat: Column, lon: Column, lookahead: Column, name: Column, sty
         F.lit("latitude"), F.when(~lat.between(-90, 90), "invalid_latitude"),
         F.lit("longitude"), F.when(~lon.between(-180, 180), "invalid_longitude"),
         F.lit("lookahead_minutes"), F.when(~lookahead.between(20, 60), "invalid_lookahead"),
-        F.lit("location_name"), F.when(F.length(name) > 16, "name_too_long"),
-        F.lit("map_style"), F.when(~style.isin(*STYLES), "invalid_style"),
+        F.lit("location_name"), F.when(F.length(name) > 16, "location_name_too_long"),
+        F.lit("map_style"), F.when(~style.isin(*STYLES), "invalid_map_style"),
     )
     return F.map_filter(every, lambda _, v: v.isNotNull())

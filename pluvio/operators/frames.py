@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,6 +29,20 @@ def sample_points(pixels: DataFrame, places: DataFrame, height: int, width: int)
     return met.select("session_id", "frame_idx", "location_id", F.coalesce("inten", F.lit(0.0)).alias("inten"))
 
 
+def same_grid(pixels: DataFrame, held: DataFrame, asked: DataFrame) -> DataFrame:
+    """The echo of frames whose held box and shape are those asked for; of other frames nothing,
+    which is a grid of zeros. ``held`` and ``asked``: session_id, frame_idx, box (struct), height, width."""
+    by = ["session_id", "frame_idx"]
+    fits = asked.alias("a").join(held.alias("h"), by).filter("a.box <=> h.box and a.height = h.height and a.width = h.width")
+    return pixels.join(fits.select(*by).distinct(), by, "left_semi")
+
+
+def numbered(frames: DataFrame) -> DataFrame:
+    """Frames of each session with their number from 1 and how many there are."""
+    by = Window.partitionBy("session_id")
+    return frames.select("*", F.row_number().over(by.orderBy("frame_idx")).alias("number"), F.count(F.lit(1)).over(by).alias("n_frames"))
+
+
 def coverage(tiles: DataFrame) -> DataFrame:
     """Per location whether any tile of the first, middle and last frame shows anything."""
     n = tiles.groupBy("location_id").agg(F.max("frame_idx").alias("_last"))
@@ -55,8 +69,6 @@ def transition(pixels: DataFrame, band: Column) -> DataFrame:
 def as_of(events: DataFrame, states: DataFrame, key: str, at: str, state_at: str, value: str) -> DataFrame:
     """Each event with the latest state of its key at or before it, in one pass: both sides are
     sorted together within the key and the last state is carried on."""
-    from pyspark.sql import Window
-
     e = events.withColumn("_at", F.col(at)).withColumn("_kind", F.lit(1)).withColumn("_state", F.lit(None).cast(states.schema[value].dataType))
     s = states.select(key, F.col(state_at).alias("_at"), F.lit(0).alias("_kind"), F.col(value).alias("_state"))
     by = Window.partitionBy(key).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)

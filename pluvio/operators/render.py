@@ -25,3 +25,27 @@ def dimmed_alpha(r: Column, g: Column, b: Column, alpha: Column) -> Column:
 def over(top: Column, alpha: Column, below: Column) -> Column:
     """A channel of a pixel laid over another."""
     return F.round((top * alpha + below * (255 - alpha)) / 255.0).cast("int")
+
+
+def dark_map(r: Column, g: Column, b: Column, saturation: float = 0.75) -> tuple[Column, Column, Column]:
+    """A light map's pixel for a dark map: less saturated, its hue kept, and its value turned
+    round, at least as bright as its luma is dark. Works in bytes as image libraries do."""
+    grey = F.shiftright(r * 19595 + g * 38470 + b * 7471 + 32768, 16)
+    pale = [F.floor(grey + (v - grey) * saturation) for v in (r, g, b)]
+    top, low = F.greatest(*pale), F.least(*pale)
+    span = (top - low).cast("double")
+    to = [(top - v) / span for v in pale]
+    turn = F.when(pale[0] == top, to[2] - to[1]).when(pale[1] == top, 2.0 + to[0] - to[2]).otherwise(4.0 + to[1] - to[0])
+    hue = F.when(span == 0, 0).otherwise(F.floor(F.pmod(turn / 6.0 + 1.0, F.lit(1.0)) * 255.0))
+    sat = F.when(span == 0, 0).otherwise(F.floor(span / top * 255.0)) / 255.0
+    luma8 = F.shiftright((pale[0] * 19595 + pale[1] * 38470 + pale[2] * 7471 + 32768).cast("int"), 16)
+    value = F.greatest(255 - top, 255 - luma8).cast("double")
+    sector = hue * 6.0 / 255.0
+    part = sector - F.floor(sector)
+    p, q, t = (F.floor(value * (1 - sat * k) + 0.5) for k in (F.lit(1.0), part, 1 - part))
+    k = F.floor(sector).cast("int") % 6
+
+    def channel(*six: Column) -> Column:
+        return F.element_at(F.array(*[x.cast("int") for x in six]), k + 1)
+
+    return channel(value, q, p, p, t, value), channel(t, value, value, q, p, p), channel(p, p, t, value, value, q)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pluvio.plans import file_queries, pixel_queries, scalar_queries
+from pluvio.plans import file_queries, pixel_queries, rule_queries, scalar_queries
 
-QUERIES = {**pixel_queries.QUERIES, **scalar_queries.QUERIES, **file_queries.QUERIES}
-SQL = {**pixel_queries.SQL, **scalar_queries.SQL, **file_queries.SQL}
+QUERIES = {**pixel_queries.QUERIES, **scalar_queries.QUERIES, **rule_queries.QUERIES, **file_queries.QUERIES}
+SQL = {**pixel_queries.SQL, **scalar_queries.SQL, **rule_queries.SQL, **file_queries.SQL}

@@ -50,7 +50,7 @@ def coverage(tiles: DataFrame) -> DataFrame:
     return met.groupBy("location_id").agg(F.bool_or(F.col("alpha") > 10).alias("covered"))
 
 
-def cloud_fraction(pixels: DataFrame, reach: int, least: float = 120.0, size: int = 256) -> DataFrame:
+def cloud_fraction(pixels: DataFrame, reach: int, least: float | Column = 120.0, size: int = 256) -> DataFrame:
     """Per place the share of bright pixels in the square around it, cut off at the tile's edges;
     ``pixels`` carry loc_row and loc_col."""
     inside = pixels.filter(F.col("row").between(F.col("loc_row") - reach, F.col("loc_row") + reach) & F.col("col").between(F.col("loc_col") - reach, F.col("loc_col") + reach))

@@ -142,3 +142,49 @@ def forecast_scan(spark, sf_dir):
     j.repartition(31, "value").write.option("maxRecordsPerFile", 1).text(f"{folder}/in")
     out = files.hourly_forecast(spark, f"{folder}/in")
     return out.select(F.unix_seconds("valid_ts").alias("valid"), "pop")
+
+
+def _manifests(spark: SparkSession, sf_dir: str, folder: str) -> str:
+    """A manifest file for each session: all frames with echo, the newest again as a nowcast."""
+    f = tables.pixels(spark, sf_dir).select("session_id", "frame_idx").distinct()
+    each = F.struct(tables.frame_epoch(F.col("session_id"), F.col("frame_idx")).alias("time"), F.concat_ws("/", F.lit(""), F.col("session_id").cast("string"), F.col("frame_idx").cast("string")).alias("path"))
+    past = F.array_sort(F.collect_list(each))
+    m = f.groupBy("session_id").agg(past.alias("past"))
+    j = F.to_json(F.struct(F.lit("2.0").alias("version"), F.struct("past", F.slice("past", -1, 1).alias("nowcast")).alias("radar")))
+    m.select("session_id", j.alias("value")).write.partitionBy("session_id").option("maxRecordsPerFile", 1).text(f"{folder}/in")
+    return f"{folder}/in/*/"
+
+
+def _listed(f: DataFrame) -> DataFrame:
+    parts = F.split("path", "/")
+    return f.select(parts[1].cast("long").alias("session_id"), parts[2].cast("long").alias("frame_idx"), F.unix_seconds("frame_ts").alias("epoch"))
+
+
+_LISTED = ", f as (select distinct session_id, frame_idx from pixels), k as (select *, row_number() over (partition by session_id order by frame_idx desc) as back from f)"
+_EPOCH = "(1704067200 + session_id*86400 + frame_idx*600)::bigint as epoch"
+
+
+@query(sql("p", f"{_LISTED} select session_id, frame_idx, {_EPOCH} from k where back <= 5"))
+def manifest_frames(spark, sf_dir):
+    """The last five frames that each manifest file names."""
+    return _listed(files.frames(spark, _manifests(spark, sf_dir, _folder(spark)), 5))
+
+
+@query(sql("p", f"{_LISTED} select session_id, frame_idx, {_EPOCH} from (select * from k union all select * from k where back = 1)"))
+def manifest_with_nowcast(spark, sf_dir):
+    """Past frames and then those of the nowcast; one that both name stands twice."""
+    return _listed(files.frames(spark, _manifests(spark, sf_dir, _folder(spark)), 100, nowcast=True))
+
+
+@query("select epoch(date_trunc('hour', ts))::bigint as hour, case when (floor(max(value))::bigint % 4) <> 0 then ((floor(max(value))::bigint % 101)/10.0)::double end as mm from events group by 1")
+def current_precipitation(spark, sf_dir):
+    """What falls now, from the service's JSON; null where the answer lacks it."""
+    folder = _folder(spark)
+    e = tables.table(spark, sf_dir, "events")
+    hour = F.unix_seconds(F.date_trunc("hour", F.col("ts").cast("timestamp")))
+    v = e.groupBy(hour.alias("hour")).agg(F.floor(F.max("value")).alias("v"))
+    mm = F.when(F.col("v") % 4 != 0, F.col("v") % 101 / 10.0)
+    j = F.to_json(F.struct(F.struct(mm.alias("precipitation")).alias("current")))
+    v.select("hour", j.alias("value")).repartition("hour").write.partitionBy("hour").text(f"{folder}/in")
+    out = files.current_precipitation(spark, f"{folder}/in/*/")
+    return out.select(F.regexp_extract("file", "hour=(\\d+)", 1).cast("long").alias("hour"), F.col("mm"))

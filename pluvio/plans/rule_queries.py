@@ -68,10 +68,10 @@ def pop_stage(spark, sf_dir):
     return _events(spark, sf_dir).select("event_id", gates.gate_if(enabled, gates.pop_multiplier(pop)).alias("multiplier"))
 
 
-@query(scalar_queries.SQL["cloud_fraction"].replace("with ", "with f as (with ", 1) + ") select n_nationkey::bigint as location_id, fraction, (case when n_nationkey%4 <> 0 and fraction < 0.1 then 3.0 else 1.0 end)::double as multiplier from nation left join f on f.location_id = n_nationkey")
+@query(scalar_queries.SQL["cloud_fraction"].replace("with ", "with f as (with ", 1).replace(">= 120", ">= case when p.location_id%2 = 0 then 200 else 120 end") + ") select n_nationkey::bigint as location_id, fraction, (case when n_nationkey%4 <> 0 and fraction < 0.1 then 3.0 else 1.0 end)::double as multiplier from nation left join f on f.location_id = n_nationkey")
 def satellite_stage(spark, sf_dir):
     """The gate of the satellite image by the measured share of clouds; a place without image passes."""
-    clouds = scalar_queries.QUERIES["cloud_fraction"](spark, sf_dir)
+    clouds = scalar_queries.bright_share(spark, sf_dir, F.when(F.col("location_id") % 2 == 0, 200.0).otherwise(120.0))
     every = tables.locations(spark, sf_dir).select("location_id").join(clouds, "location_id", "left")
     enabled = F.col("location_id") % 4 != 0
     return every.select("location_id", "fraction", gates.gate_if(enabled, gates.cloud_multiplier(F.col("fraction"))).alias("multiplier"))

@@ -139,10 +139,15 @@ def coverage_probe(spark, sf_dir):
 
 @query(f"with {COLOURS} select p.location_id, round(avg(((r+g+b)/3.0 >= 120)::int),6) as fraction from colours c join (select n_nationkey::bigint as location_id, (n_nationkey*13)%64 as loc_row, (n_nationkey*29)%64 as loc_col from nation) p on abs(c.row-loc_row) <= 8 and abs(c.col-loc_col) <= 8 where frame_idx = 0 group by all")
 def cloud_fraction(spark, sf_dir):
+    return bright_share(spark, sf_dir)
+
+
+def bright_share(spark, sf_dir, *least):
+    """The share of bright pixels around each place, with the operator's own limit or a given one."""
     ir = tables.colours(spark, sf_dir).filter("frame_idx = 0")
     places = tables.locations(spark, sf_dir).select("location_id", F.col("row").alias("loc_row"), F.col("col").alias("loc_col"))
     near = places.withColumn("row", F.explode(F.sequence((F.col("loc_row") - 8).cast("int"), (F.col("loc_row") + 8).cast("int"))))
-    return frames.cloud_fraction(ir.join(near, "row"), 8).select("location_id", *_r("fraction"))
+    return frames.cloud_fraction(ir.join(near, "row"), 8, *least).select("location_id", *_r("fraction"))
 
 
 # Geometry
@@ -286,14 +291,8 @@ _HOURS = "hours as (select epoch(date_trunc('hour', ts))::bigint as hour, (floor
 _POP = "case when {0} is null then 1.0 when {0} < 5 then 3.0 when {0} < 30 then 2.0 else 1.0 end"
 
 
-@query(f"with {_HOURS}, nows as (select distinct epoch(date_trunc('minute', ts))::bigint as now from events where event_id % 50 = 0), m as (select now, max(pop) as pop from nows left join hours on hour between now and now+3600 group by 1) select now, pop, ({_POP.format('pop')})::double as multiplier from m")
-def pop_multiplier(spark, sf_dir):
-    """Of every 50th event, as its twin has it; ``pop_multiplier_all`` is the whole job."""
-    return _multipliers(spark, sf_dir, tables.table(spark, sf_dir, "events").filter("event_id % 50 = 0"))
-
-
 @query(f"with {_HOURS}, nows as (select distinct epoch(date_trunc('minute', ts))::bigint as now from events), near as (select now, unnest([now - now%3600, now - now%3600 + 3600]) as hour from nows), m as (select now, max(pop) as pop from near left join hours using (hour) where hour between now and now+3600 group by 1) select now, pop, ({_POP.format('pop')})::double as multiplier from m")
-def pop_multiplier_all(spark, sf_dir):
+def pop_multiplier(spark, sf_dir):
     return _multipliers(spark, sf_dir, tables.table(spark, sf_dir, "events"))
 
 

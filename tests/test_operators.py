@@ -1,11 +1,13 @@
 """Operators one at a time."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pluvio.functions import gates, palette
 from pluvio.operators import components, filters, frames, qc, tracking, verify
 from pluvio.sources import files, state
+from pluvio.streaming import clutter
 
 PIXEL = "session_id long, frame_idx long, r long, c long, inten double"
 
@@ -134,7 +136,7 @@ def test_every_minute_of_events_has_a_multiplier(spark, sf_dir):
     from pluvio.plans import registry
 
     minutes = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.unix_seconds(F.date_trunc("minute", F.col("ts").cast("timestamp"))).alias("now")).distinct()
-    got = registry.QUERIES["pop_multiplier_all"](spark, sf_dir)
+    got = registry.QUERIES["pop_multiplier"](spark, sf_dir)
     assert sorted(r.now for r in got.collect()) == sorted(r.now for r in minutes.collect())
 
 
@@ -169,8 +171,6 @@ def _tiles(spark, tiles):
 
 
 def test_tiles_decode_by_their_colours(spark):
-    import numpy as np
-
     from pluvio.functions.palette import TIERS
     from pluvio.sources import files
 
@@ -193,7 +193,6 @@ def test_tiles_decode_by_their_colours(spark):
 def test_a_large_tile_decodes_fast():
     import time
 
-    import numpy as np
 
     from pluvio.sources import files
 
@@ -211,8 +210,6 @@ def _seconds(time, f):
 
 
 def test_tiles_stitch_to_a_grid(spark):
-    import numpy as np
-
     from pluvio.config import Bounds
     from pluvio.sources import files
 
@@ -231,10 +228,30 @@ def test_tiles_stitch_to_a_grid(spark):
 
 
 def test_resizing_keeps_even_surfaces():
-    import numpy as np
-
     from pluvio.sources import files
 
     even = np.full((10, 14), 96, np.uint8)
     assert (files.resized(even, 7, 5) == 96).all() and (files.resized(even, 23, 31) == 96).all()
     assert files.resized(even, 10, 14) is not None and (files.resized(even, 10, 14) == even).all()
+
+
+def test_an_unknown_map_style_is_an_error(spark):
+    styles = spark.createDataFrame([("voyager",), ("none",)], "style string")
+    assert styles.filter("style = 'voyager'").select(gates.known_style(F.col("style")).alias("s")).first().s == "voyager"
+    with pytest.raises(Exception, match="unknown map style: none"):
+        styles.select(gates.known_style(F.col("style")).alias("s")).collect()
+
+
+def test_late_echoes_of_a_square_count_as_in_time():
+    counts, cycles = np.zeros(4), np.zeros(4, np.int64)
+    clutter.folded(counts, cycles, np.array([1, 1, 2]), np.array([3, 5, 4]), 0.5)
+    clutter.folded(counts, cycles, np.array([1, 2, 2]), np.array([4, 4, 6]), 0.5)
+    assert counts.tolist() == [0.0, 0.25 + 1 + 0.5, 0.25 + 0.25 + 1, 0.0] and cycles.tolist() == [0, 5, 6, 0]
+
+
+def test_functions_have_sql_names(spark):
+    from pluvio.functions import registration
+
+    assert "pluvio_rain_intensity" in registration.register(spark)
+    got = spark.sql("select pluvio_rain_intensity(255, 68, 0, 255) a, pluvio_rain_intensity(255, 68, 0, 9) b, pluvio_intensity_label(0.5) c, pluvio_circular_variance(array(0D, pi())) d").first()
+    assert (got.a, got.b, got.c) == (0.77, 0.0, "heavy") and got.d == pytest.approx(1.0)

@@ -1,8 +1,11 @@
 """Quality rules whose limits come from the corpus itself (operator 9).
 
 Base statistics of every text are plain column expressions. For each language and source a
-mergeable KLL sketch of each metric is built, the sketches of one language are merged from
-those of its sources, and the limits are Tukey-style fences read from the sketches: a metric's
+mergeable quantile sketch of each metric is built, the sketches of one language are merged from
+those of its sources, and the limits are Tukey-style fences read from the sketches. A sketch is a
+set of counts in buckets whose borders grow by a constant ratio (Masson, Rim and Lee 2019): a
+quantile is off by a fixed relative error at most, sketches merge by adding counts, and no order of
+rows or tasks, nor a task done twice, changes one, so that every run draws the same limits. A metric's
 reach is followed outward from the median, quantile by quantile, as far as they lie together, so
 that a long tail widens its group's fence and a bulk of junk apart from the rest doesn't. The
 limits are joined back and decide. Only DataFrame functions run; no Python touches a row.
@@ -14,16 +17,19 @@ columns of the input named like a result column are replaced by it.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pluvio.llm.shared import cut, words
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 METRICS = ("symbols_per_word", "dup_lines_per_word", "repeat_share", "chars_per_word")
+#: The bucket of the value 0.
+ZERO = -(2**31)
 
 
 @dataclass(frozen=True)
@@ -34,7 +40,8 @@ class QualityLimits:
     only where a group has no spread) and grows to the distance of each quantile of ``ranks`` that
     lies within ``spread`` times the reach so far. The fence stands ``spread`` times the reach
     from the median. Groups with fewer than ``min_group`` documents that pass
-    the base rule use the limits of their whole language."""
+    the base rule use the limits of their whole language. ``accuracy`` is the relative error of the sketches'
+    quantiles."""
 
     min_words: int = 50
     max_repeat_percent: int = 50
@@ -42,7 +49,12 @@ class QualityLimits:
     floor: tuple[float, ...] = (0.01, 0.005, 0.02, 0.1)
     ranks: tuple[float, ...] = (0.75, 0.8, 0.85, 0.9, 0.95, 0.98, 0.99)
     min_group: int = 30
-    sketch_k: int = 200
+    accuracy: float = 0.001
+
+    @property
+    def ratio(self) -> float:
+        """Between the borders of a bucket of the sketches."""
+        return (1 + self.accuracy) / (1 - self.accuracy)
 
 
 def base_statistics(docs: DataFrame) -> DataFrame:
@@ -85,27 +97,48 @@ def base_failed(limits: QualityLimits) -> Column:
     return (n < limits.min_words) | (100 * F.col("n_repeat_words") > limits.max_repeat_percent * n)
 
 
+def sketches(stats: DataFrame, limits: QualityLimits) -> DataFrame:
+    """Per (lang, source, metric) the counts ``n`` of ``bucket``, over documents that pass the base rule."""
+    ok = stats.filter(~base_failed(limits)).select("lang", "source", *_metrics())
+    bucket = F.when(F.col("value") > 0, F.ceil(F.log("value") / math.log(limits.ratio)).cast("int")).otherwise(ZERO)
+    each = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in METRICS])
+    rows = ok.select("lang", "source", F.inline(each))
+    return rows.groupBy("lang", "source", "metric", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _quantiles(sketch: DataFrame, by: list[str], limits: QualityLimits) -> DataFrame:
+    """Per ``by``: ``total``, ``middle``, and the distances ``up`` and ``down`` to the quantiles of ``limits.ranks``."""
+    whole = Window.partitionBy(*by)
+    upto = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    c = sketch.groupBy(*by, "bucket").agg(F.sum("n").alias("n"))
+    value = F.when(F.col("bucket") == ZERO, 0.0).otherwise(2 * F.pow(F.lit(limits.ratio), F.col("bucket")) / (limits.ratio + 1))
+    c = c.select(*by, value.alias("_v"), F.sum("n").over(upto).alias("_upto"), F.sum("n").over(whole).alias("total"))
+
+    def at(q: float) -> Column:
+        return F.min(F.when(F.col("_upto") >= F.ceil(q * F.col("total")), F.col("_v")))
+
+    ups, downs = [at(q) for q in limits.ranks], [at(round(1 - q, 9)) for q in limits.ranks]
+    q = c.groupBy(*by).agg(F.first("total").alias("total"), at(0.5).alias("middle"), F.array(*ups).alias("_up"), F.array(*downs).alias("_down"))
+    return q.select(*by, "total", "middle", F.transform("_up", lambda x: x - F.col("middle")).alias("up"), F.transform("_down", lambda x: F.col("middle") - x).alias("down"))
+
+
 def thresholds(stats: DataFrame, limits: QualityLimits) -> DataFrame:
     """Per (lang, source): the fences of each metric over documents that pass the base rule.
 
-    One row per language and source; a group's sketches have a fixed size, partial sketches of
-    the same group merge before and after the shuffle, and a language's sketch is the merge of
-    its sources'. A hot source is thus reduced to one row in every task that meets it."""
-    ok = stats.filter(~base_failed(limits)).select("lang", "source", *_metrics())
-    per_source = ok.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(m, F.lit(limits.sketch_k)).alias(m) for m in METRICS])
-    per_lang = per_source.groupBy("lang").agg(*[F.kll_merge_agg_double(m, F.lit(limits.sketch_k)).alias(f"{m}_all") for m in METRICS])
-    both = per_source.join(per_lang.withColumnRenamed("lang", "_lang"), F.col("lang").eqNullSafe(F.col("_lang"))).drop("_lang")
+    The counts of a group have no more buckets than the range of a metric has steps of the ratio.
+    Partial counts merge before and after the shuffle, so that a hot source is reduced to those in
+    every task that meets it; a language's sketch adds up its sources'."""
+    counts = cut(sketches(stats, limits))
+    own = _quantiles(counts, ["lang", "source", "metric"], limits)
+    lang = _quantiles(counts, ["lang", "metric"], limits).select(F.col("lang").alias("_lang"), F.col("metric").alias("_metric"), *[F.col(c).alias(f"{c}_all") for c in ("middle", "up", "down")])
+    both = own.join(lang, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("metric") == F.col("_metric")))
+    many = F.col("total") >= limits.min_group
+    used = both.select("lang", "source", "metric", *[F.when(many, F.col(c)).otherwise(F.col(f"{c}_all")).alias(c) for c in ("middle", "up", "down")])
     out = []
     for m, floor in zip(METRICS, limits.floor, strict=True):
-        sketch = F.when(F.col("n") >= limits.min_group, F.col(m)).otherwise(F.col(f"{m}_all"))
-
-        def at(q: float, sketch: Column = sketch) -> Column:
-            return F.kll_sketch_get_quantile_double(sketch, F.lit(q))
-
-        middle = at(0.5)
-        up, down = F.array(*[at(q) - middle for q in limits.ranks]), F.array(*[middle - at(1 - q) for q in limits.ranks])
-        out += [(middle - _fence(down, floor, limits)).alias(f"{m}_low"), (middle + _fence(up, floor, limits)).alias(f"{m}_high")]
-    return both.select("lang", "source", *out)
+        this, middle = F.col("metric") == m, F.col("middle")
+        out += [F.max(F.when(this, middle - _fence(F.col("down"), floor, limits))).alias(f"{m}_low"), F.max(F.when(this, middle + _fence(F.col("up"), floor, limits))).alias(f"{m}_high")]
+    return used.groupBy("lang", "source").agg(*out)
 
 
 def _fence(distances: Column, floor: float, limits: QualityLimits) -> Column:

@@ -1,5 +1,6 @@
 """Tokens, chat, quality, mixing and toxicity."""
 
+import math
 import random
 
 import pytest
@@ -118,6 +119,51 @@ def test_sources_judge_by_their_own_distribution(spark):
     assert all(got[i] for i in range(200)) and all(got[1000 + i] for i in range(200)) and not any(got[3000 + i] for i in range(20))
 
 
+def _exact_fences(values, floor, limits):
+    """The fences by exact quantiles; None where a step is so near its bound that the sketch may take it otherwise."""
+    at = [sorted(values)[max(math.ceil(round(q * len(values), 9)), 1) - 1] for q in (0.5, *limits.ranks, *(1 - q for q in limits.ranks))]
+    middle, n = at[0], len(limits.ranks)
+    reach = [floor, floor]
+    for side, found in enumerate(([middle - x for x in at[n + 1 :]], [x - middle for x in at[1 : n + 1]])):
+        for d in found:
+            if d > reach[side] and abs(d - limits.spread * reach[side]) <= 4 * limits.accuracy * (middle + d):
+                return None
+            if reach[side] < d <= limits.spread * reach[side]:
+                reach[side] = d
+    return middle - limits.spread * reach[0], middle + limits.spread * reach[1]
+
+
+def test_kept_follows_exact_quantiles(spark, sf_dir):
+    """Every document away from a fence by more than the sketch can err is judged as with exact quantiles."""
+    limits = quality_rules.QualityLimits()
+    docs = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    rows = quality_rules.judge(docs, carry=["doc_id", "lang", "source"]).collect()
+    assert sorted((r.doc_id, r.kept) for r in quality_rules.judge(docs.repartition(7)).select("doc_id", "kept").collect()) == sorted((r.doc_id, r.kept) for r in rows)
+
+    def metrics(r):
+        n = max(r.n_words, 1)
+        return r.n_symbols / n, r.n_dup_lines / n, r.n_repeat_words / n, r.word_chars / n
+
+    by_group, by_lang, checked = {}, {}, 0
+    for r in rows:
+        if not r.base_failed:
+            by_group.setdefault((r.lang, r.source), []).append(metrics(r))
+            by_lang.setdefault(r.lang, []).append(metrics(r))
+    fences = {}
+    for (lang, source), own in by_group.items():
+        used = own if len(own) >= limits.min_group else by_lang[lang]
+        fences[lang, source] = [_exact_fences([v[i] for v in used], limits.floor[i], limits) for i in range(4)]
+    for r in rows:
+        if r.base_failed:
+            assert not r.kept
+            continue
+        edges = fences[r.lang, r.source]
+        if all(pair and all(abs(v - e) > 8 * limits.accuracy * (abs(e) + v) for e in pair) for v, pair in zip(metrics(r), edges, strict=True)):
+            checked += 1
+            assert r.kept == all(low <= v <= high for v, (low, high) in zip(metrics(r), edges, strict=True)), (r, edges)
+    assert checked > 0.5 * sum(not r.base_failed for r in rows)
+
+
 def test_mixing_meets_its_rates(spark):
     rows = [(i, "x" * 100, "big" if i % 10 else None) for i in range(4000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("copy", F.lit("clash"))

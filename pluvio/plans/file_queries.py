@@ -56,7 +56,8 @@ def stream_frames_dedupe(spark, sf_dir):
     return out.groupBy("location_id").agg(F.count(F.lit(1)).alias("n"), F.sum("n_echo").alias("n_echo"))
 
 
-@query()
+@query(sql("p", f"""{_F}, w as (select location_id, e - e%600 - k*600 as start, n_echo from f, range(8) x(k))
+select location_id, start::bigint as start, count(*) as n_frames, sum(n_echo)::bigint as n_echo from w where start + 4800 <= (select max(e) from f) - 4800 group by all"""))
 def stream_sliding(spark, sf_dir):
     """Windows that the watermark has closed. One micro-batch reads all files, so that no order of theirs makes a frame late."""
     folder = _folder(spark)

@@ -439,3 +439,14 @@ def false_alarms_by_arrival(spark, sf_dir):
     wrong = d.join(_rain_within(spark, sf_dir, int(PX)), ["session_id", "location_id"], "left").filter(~F.coalesce("rain", F.lit(False)))
     bucket = F.when(F.col("arrival_s") <= 0, "overhead").when(F.col("arrival_s") <= 1500, "soon").otherwise("later")
     return wrong.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(sql("pcmtla", """select d.session_id, location_id, d.confidence, n_frames as frame_count, session_id%5 <> 0 and d.confidence <> 'unavailable' as available,
+  case when session_id%5 <> 0 then 1704067200 + session_id*86400 + 4200 end::bigint as last_success from detections d join sessions using (session_id)"""))
+def sensor_attributes(spark, sf_dir):
+    """What goes with a sensor's state; it is there while the latest poll succeeded and has a result."""
+    n = _sessions(tables.pixels(spark, sf_dir))
+    d = QUERIES["detect"](spark, sf_dir).join(n, "session_id")
+    polled = F.col("session_id") % 5 != 0
+    last = F.when(polled, tables.frame_epoch(F.col("session_id"), F.lit(LAST)))
+    return d.select("session_id", "location_id", "confidence", F.col("n_frames").alias("frame_count"), (polled & (F.col("confidence") != "unavailable")).alias("available"), last.alias("last_success"))

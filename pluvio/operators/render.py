@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pluvio.functions.palette import RENDERER_DISTANCE, nearest
@@ -27,25 +27,28 @@ def over(top: Column, alpha: Column, below: Column) -> Column:
     return F.round((top * alpha + below * (255 - alpha)) / 255.0).cast("int")
 
 
-def dark_map(r: Column, g: Column, b: Column, saturation: float = 0.75) -> tuple[Column, Column, Column]:
-    """A light map's pixel for a dark map: less saturated, its hue kept, and its value turned
-    round, at least as bright as its luma is dark. Works in bytes as image libraries do."""
-    grey = F.shiftright(r * 19595 + g * 38470 + b * 7471 + 32768, 16)
-    pale = [F.floor(grey + (v - grey) * saturation) for v in (r, g, b)]
-    top, low = F.greatest(*pale), F.least(*pale)
-    span = (top - low).cast("double")
-    to = [(top - v) / span for v in pale]
-    turn = F.when(pale[0] == top, to[2] - to[1]).when(pale[1] == top, 2.0 + to[0] - to[2]).otherwise(4.0 + to[1] - to[0])
-    hue = F.when(span == 0, 0).otherwise(F.floor(F.pmod(turn / 6.0 + 1.0, F.lit(1.0)) * 255.0))
-    sat = F.when(span == 0, 0).otherwise(F.floor(span / top * 255.0)) / 255.0
-    luma8 = F.shiftright((pale[0] * 19595 + pale[1] * 38470 + pale[2] * 7471 + 32768).cast("int"), 16)
-    value = F.greatest(255 - top, 255 - luma8).cast("double")
-    sector = hue * 6.0 / 255.0
-    part = sector - F.floor(sector)
-    p, q, t = (F.floor(value * (1 - sat * k) + 0.5) for k in (F.lit(1.0), part, 1 - part))
-    k = F.floor(sector).cast("int") % 6
-
-    def channel(*six: Column) -> Column:
-        return F.element_at(F.array(*[x.cast("int") for x in six]), k + 1)
-
-    return channel(value, q, p, p, t, value), channel(t, value, value, q, p, p), channel(p, p, t, value, value, q)
+def _grey(r: Column, g: Column, b: Column) -> Column:
+    return F.shiftright((r * 19595 + g * 38470 + b * 7471 + 32768).cast("int"), 16)
+
+
+def dark_map(pixels: DataFrame, saturation: float = 0.75) -> DataFrame:
+    """``pixels`` (r, g, b) with dark_r, dark_g, dark_b: less saturated, of the same hue, and the
+    value turned round, at least as bright as the luma is dark. Works in bytes as image libraries
+    do, step by step, so that no step is computed anew for each that uses it."""
+    red, green, blue = (F.col(f"_{n}") for n in "rgb")
+    d = pixels.withColumn("_grey", _grey(F.col("r"), F.col("g"), F.col("b")))
+    d = d.withColumns({f"_{n}": F.floor(F.col("_grey") + (F.col(n) - F.col("_grey")) * saturation) for n in "rgb"})
+    d = d.withColumns({"_top": F.greatest(red, green, blue), "_luma": _grey(red, green, blue)})
+    d = d.withColumn("_span", (F.col("_top") - F.least(red, green, blue)).cast("double"))
+    turn = F.when(red == F.col("_top"), (green - blue) / F.col("_span")).when(green == F.col("_top"), 2.0 + (blue - red) / F.col("_span")).otherwise(4.0 + (red - green) / F.col("_span"))
+    colourless = F.col("_span") == 0
+    d = d.withColumns({
+        "_sector": F.when(colourless, 0.0).otherwise(F.floor(F.pmod(turn / 6.0 + 1.0, F.lit(1.0)) * 255.0)) * 6.0 / 255.0,
+        "_sat": F.when(colourless, 0.0).otherwise(F.floor(F.col("_span") / F.col("_top") * 255.0)) / 255.0,
+        "_v": F.greatest(255 - F.col("_top"), 255 - F.col("_luma")).cast("int"),
+    })
+    part = F.col("_sector") - F.floor("_sector")
+    d = d.withColumns({n: F.floor(F.col("_v") * (1 - F.col("_sat") * k) + 0.5).cast("int") for n, k in (("_p", F.lit(1.0)), ("_q", part), ("_t", 1 - part))})
+    at = F.floor("_sector").cast("int") % 6 + 1
+    out = {f"dark_{n}": F.element_at(F.array(*[f"_{x}" for x in six]), at) for n, six in (("r", "vqpptv"), ("g", "tvvqpp"), ("b", "pptvvq"))}
+    return d.select(*pixels.columns, *[v.alias(n) for n, v in out.items()])

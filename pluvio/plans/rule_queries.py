@@ -185,9 +185,7 @@ d6 as (select r, g, b, v::int as v, floor(sector)::int%6 as k, floor(v*(1-s)+0.5
 
 @query(f"with {COLOURS}, {_DARK} select r, g, b, ([v,q,p,p,t,v])[k+1]::int as dark_r, ([t,v,v,q,p,p])[k+1]::int as dark_g, ([p,p,t,v,v,q])[k+1]::int as dark_b from d6")
 def dark_map_colours(spark, sf_dir):
-    c = tables.colours(spark, sf_dir).select("r", "g", "b").distinct()
-    dark = render.dark_map(F.col("r"), F.col("g"), F.col("b"))
-    return c.select("r", "g", "b", *[v.alias(f"dark_{n}") for v, n in zip(dark, "rgb", strict=True)])
+    return render.dark_map(tables.colours(spark, sf_dir).select("r", "g", "b").distinct())
 
 
 _FRAMES = ", f as (select distinct session_id, frame_idx from pixels)"

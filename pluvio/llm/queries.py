@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pluvio.llm import ann, bpe, chat_format, html_wrappers, mixing, ngram_join, quality_rules, substring_dedup, toxicity, unigram_counts
+from pluvio.llm import ann, bpe, chat_format, html_wrappers, merkle, mixing, ngram_join, quality_rules, substring_dedup, toxicity, unigram_counts
 from pluvio.llm.shared import read
 
 
@@ -70,6 +70,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ann, op2_html, op3_token_counts, op4_chat_format, op5_toxicity, op6_mixing, op7_ngram_join, op8_bpe, op9_quality_rules, op10_substring_dedup)}
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(merkle.documents_manifest(read(spark, sf_dir, "documents")))
 
-ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.MIX_SQL, "op10_substring_dedup": substring_dedup.REPEATS_SQL}
+
+QUERIES = {f.__name__: f for f in (op1_ann, op2_html, op3_token_counts, op4_chat_format, op5_toxicity, op6_mixing, op7_ngram_join, op8_bpe, op9_quality_rules, op10_substring_dedup, op13_merkle)}
+
+ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.MIX_SQL, "op10_substring_dedup": substring_dedup.REPEATS_SQL, "op13_merkle": merkle.MANIFEST_SQL}

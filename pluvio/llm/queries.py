@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pluvio.llm import ann, bpe, chat_format, html_wrappers, merkle, mixing, ngram_join, norm_buckets, quality_rules, substring_dedup, toxicity, unigram_counts
+from pluvio.llm import ann, bpe, chat_format, hard_negatives, html_wrappers, merkle, mixing, ngram_join, norm_buckets, quality_rules, substring_dedup, toxicity, unigram_counts
 from pluvio.llm.shared import read
 
 
@@ -70,6 +70,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 def op12_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return norm_buckets.top_products(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -78,6 +84,6 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(merkle.documents_manifest(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_ann, op2_html, op3_token_counts, op4_chat_format, op5_toxicity, op6_mixing, op7_ngram_join, op8_bpe, op9_quality_rules, op10_substring_dedup, op12_top_products, op13_merkle)}
+QUERIES = {f.__name__: f for f in (op1_ann, op2_html, op3_token_counts, op4_chat_format, op5_toxicity, op6_mixing, op7_ngram_join, op8_bpe, op9_quality_rules, op10_substring_dedup, op11_hard_negatives, op12_top_products, op13_merkle)}
 
-ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.MIX_SQL, "op10_substring_dedup": substring_dedup.REPEATS_SQL, "op12_top_products": norm_buckets.TOP_SQL, "op13_merkle": merkle.MANIFEST_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.MIX_SQL, "op10_substring_dedup": substring_dedup.REPEATS_SQL, "op11_hard_negatives": hard_negatives.NEGATIVES_SQL, "op12_top_products": norm_buckets.TOP_SQL, "op13_merkle": merkle.MANIFEST_SQL}

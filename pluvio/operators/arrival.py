@@ -67,42 +67,59 @@ def _trend(each: DataFrame, d: Detector) -> DataFrame:
     )
 
 
-def _eta(t: DataFrame, ok: Column, least_km: float, d: Detector) -> Column:
+def _eta(ok: Column, least_km: float, d: Detector, proximity_km: Column | float, lookahead_s: Column | int) -> Column:
     closing = F.col("first_km") - F.col("last_km")
     rate = closing / F.nullif(F.col("duration_s"), F.lit(0.0)) * 3600
-    left = F.col("last_km") - d.proximity_km
+    left = F.col("last_km") - proximity_km
     eta = left / rate * 3600
-    return F.when(ok & (closing >= least_km) & (rate <= d.max_speed_kmh), F.when(left <= 0, 0.0).when(eta <= d.lookahead_s, eta))
+    return F.when(ok & (closing >= least_km) & (rate <= d.max_speed_kmh), F.when(left <= 0, 0.0).when(eta <= lookahead_s, eta))
 
 
-def closing_distance(trend: DataFrame, d: Detector) -> DataFrame:
-    """``w04_s``: arrival from a centroid that closes in, oblique or not."""
+def closing_eta(d: Detector, proximity_km: Column | float | None = None, lookahead_s: Column | int | None = None) -> Column:
+    """Seconds until a centroid that closes in arrives, oblique or not; from n, first_km, before_km, last_km, duration_s."""
     ok = ((F.col("n") < 3) | (F.col("last_km") < F.col("before_km"))) & (F.col("duration_s") > 0) & (F.col("first_km") > F.col("last_km"))
-    return trend.select(*PLACED, _eta(trend, ok, d.centroid_min_closing_km, d).alias("w04_s"))
+    return _eta(ok, d.centroid_min_closing_km, d, d.proximity_km if proximity_km is None else proximity_km, d.lookahead_s if lookahead_s is None else lookahead_s)
 
 
-def leading_edge(trend: DataFrame, d: Detector) -> DataFrame:
-    """``w05_s``: arrival from the nearest pixel, closing overall and in the last step."""
+def edge_eta(d: Detector, proximity_km: Column | float | None = None, lookahead_s: Column | int | None = None) -> Column:
+    """The same of the nearest pixel, closing overall and in the last step."""
     ok = (F.col("n") >= 2) & (F.col("last_km") < F.col("first_km")) & (F.col("last_km") < F.col("before_km"))
-    return trend.select(*PLACED, _eta(trend, ok, d.edge_min_closing_km, d).alias("w05_s"))
+    return _eta(ok, d.edge_min_closing_km, d, d.proximity_km if proximity_km is None else proximity_km, d.lookahead_s if lookahead_s is None else lookahead_s)
 
 
-def rain_at_location(effective: DataFrame, places: DataFrame, d: Detector, last_frame: int, with_confidence: bool = False) -> DataFrame:
-    """Per (session, place): the newest of the last frames with rain in the square around the
-    place, and the greatest intensity there. With confidence, a frame whose brightest pixel (the
-    first in raster order) is doubtful gives way to the frame before."""
-    reach = int(d.proximity_px)
+def closing_distance(trend: DataFrame, d: Detector) -> DataFrame:
+    """``w04_s``: arrival from a centroid that closes in."""
+    return trend.select(*PLACED, closing_eta(d).alias("w04_s"))
+
+
+def leading_edge(trend: DataFrame, d: Detector) -> DataFrame:
+    """``w05_s``: arrival from the nearest pixel."""
+    return trend.select(*PLACED, edge_eta(d).alias("w05_s"))
+
+
+def rain_by_frame(effective: DataFrame, places: DataFrame, d: Detector, with_confidence: bool = False) -> DataFrame:
+    """Per (session, place, frame) with rain in the square around the place the greatest intensity there.
+    With confidence, frames whose brightest pixel (the first in raster order) is doubtful have none.
+    ``places`` may have proximity_km, and variant to tell apart rows of one place."""
     grid = d.grid
-    own = ["session_id"] if "session_id" in places.columns else []
+    own = [c for c in ("session_id", "variant") if c in places.columns]
+    km = F.col("proximity_km") if "proximity_km" in places.columns else F.lit(d.proximity_km)
     inside = places.filter(F.col("loc_row").between(0, grid.height - 1) & F.col("loc_col").between(0, grid.width - 1))
-    near = F.explode(F.expr(f"flatten(transform(sequence(-{reach}, {reach}), i -> transform(sequence(-{reach}, {reach}), j -> struct(i, j))))"))
-    window = inside.select(*own, "location_id", "loc_row", "loc_col", near.alias("n"))
-    window = window.select(*own, "location_id", (F.col("loc_row") + F.col("n.i")).alias("r"), (F.col("loc_col") + F.col("n.j")).alias("c"))
-    recent = effective.filter(F.col("frame_idx") > last_frame - d.recent_frames)
-    met = recent.join(window, [*own, "r", "c"])
+    reach = F.floor(km / grid.km_per_px).cast("int")
+    rows = inside.select(*own, "location_id", "loc_col", reach.alias("_k"), F.explode(F.sequence(F.col("loc_row") - reach, F.col("loc_row") + reach)).alias("r"))
+    window = rows.select(*own, "location_id", "r", F.explode(F.sequence(F.col("loc_col") - F.col("_k"), F.col("loc_col") + F.col("_k"))).alias("c"))
+    met = effective.join(window, [*(c for c in own if c == "session_id"), "r", "c"])
     raster = F.col("r") * grid.width + F.col("c")
     conf = F.coalesce(F.col("conf"), F.lit(1.0)) if with_confidence else F.lit(1.0)
-    each = met.groupBy("session_id", "location_id", "frame_idx").agg(F.max(F.struct(F.col("inten"), (-raster).alias("p"), conf.alias("conf"))).alias("_m"))
-    good = each.filter((F.col("_m.inten") >= d.intensity) & (F.col("_m.conf") >= d.min_confidence))
-    newest = good.groupBy("session_id", "location_id").agg(F.max(F.struct("frame_idx", F.col("_m.inten").alias("inten"))).alias("_n"))
+    keys = ["session_id", *(c for c in own if c != "session_id"), "location_id", "frame_idx"]
+    each = met.groupBy(*keys).agg(F.max(F.struct(F.col("inten"), (-raster).alias("p"), conf.alias("conf"))).alias("_m"))
+    return each.filter((F.col("_m.inten") >= d.intensity) & (F.col("_m.conf") >= d.min_confidence)).select(*keys, F.col("_m.inten").alias("inten"))
+
+
+def rain_at_location(effective: DataFrame, places: DataFrame, d: Detector, last_frame: int, with_confidence: bool = False) -> DataFrame:
+    """Per (session, place): the newest of the last frames with rain in the square around the
+    place, and the greatest intensity there. A doubtful frame gives way to the frame before."""
+    recent = effective.filter(F.col("frame_idx") > last_frame - d.recent_frames)
+    good = rain_by_frame(recent, places, d, with_confidence)
+    newest = good.groupBy("session_id", "location_id").agg(F.max(F.struct("frame_idx", "inten")).alias("_n"))
     return newest.select("session_id", "location_id", F.col("_n.frame_idx").alias("rain_frame"), F.col("_n.inten").alias("rain_intensity"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pluvio.config import Detector
@@ -69,6 +69,12 @@ def evaluate(a: Analysis, places: DataFrame, d: Detector, last_frame: int, multi
     w05 = arrival.leading_edge(arrival.edge_trend(edges, d), d)
     every = placed.join(w04, [*TRACK, "location_id"], "left").join(w05, [*TRACK, "location_id"], "left")
 
+    return decided(every, d, [*TRACK, "location_id"])
+
+
+def decided(every: DataFrame, d: Detector, keys: list[str]) -> DataFrame:
+    """The rules over the estimates of each tracked cell and place (overhead, coherent, w04_s, w05_s, w06_s, ...);
+    ``keys`` tell the rows apart."""
     fast = F.coalesce(F.col("speed_kmh"), F.lit(0.0)) > d.max_speed_kmh
     eta = (
         F.when(F.col("overhead"), 0.0)
@@ -83,8 +89,7 @@ def evaluate(a: Analysis, places: DataFrame, d: Detector, last_frame: int, multi
     )
     sure = F.col("mean_conf") >= d.min_confidence
     return every.filter(~dropped).select(
-        *TRACK,
-        "location_id",
+        *keys,
         "row_c",
         "col_c",
         F.when(F.col("overhead"), "overhead").otherwise("approaching").alias("kind"),
@@ -112,12 +117,17 @@ def detect(pixels: DataFrame, places: DataFrame, sessions: DataFrame, d: Detecto
     rain = arrival.rain_at_location(effective, places, d, last, confidence is not None)
     reduced = found.groupBy("session_id", "location_id").agg(F.min("arrival_s").alias("arrival_s"), F.max("contribution").alias("contribution"), F.count(F.lit(1)).alias("n_cells"))
     every = arrival.at_places(sessions, places).drop("loc_row", "loc_col").join(reduced, ["session_id", "location_id"], "left").join(rain, ["session_id", "location_id"], "left")
-    when_rain = (F.col("rain_frame") - last) * float(d.frame_s)
+    return reported(every, d, F.lit(last), ["session_id", "location_id"])
+
+
+def reported(every: DataFrame, d: Detector, end: Column, keys: list[str]) -> DataFrame:
+    """What is reported of each place from the best of its cells and the rain at it (arrival_s, contribution,
+    n_cells, rain_frame, rain_intensity) in the n_frames frames up to ``end``."""
+    when_rain = (F.col("rain_frame") - end) * float(d.frame_s)
     enough = F.col("n_frames") >= 2
     best = F.when(enough, F.least("arrival_s", when_rain))
     return every.select(
-        "session_id",
-        "location_id",
+        *keys,
         best.isNotNull().alias("rain_expected"),
         best.alias("arrival_s"),
         F.when(best.isNotNull(), F.greatest(F.coalesce("contribution", F.lit(0.0)), F.coalesce("rain_intensity", F.lit(0.0)))).otherwise(0.0).alias("max_intensity"),

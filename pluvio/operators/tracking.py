@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructType
 
@@ -147,3 +147,14 @@ def gate(summaries: DataFrame, d: Detector, last_frame: int, multiplier: float =
     need = F.ceil(F.lit(d.min_frames * multiplier))
     strong = (F.col("length") >= d.bypass_frames) & (F.col("track_peak") >= d.bypass_intensity)
     return summaries.filter((F.col("last_frame") == last_frame) & ((F.col("length") >= need) | strong))
+
+
+def diagnosed(summaries: DataFrame, d: Detector, last_frame: int, multiplier: float | Column = 1.0) -> DataFrame:
+    """``summaries`` with status and reason: too short for the frames that the gate asks for, else ended
+    before the last frame, else accepted; and whether a short one counts all the same, as it is strong."""
+    need = F.ceil(F.lit(d.min_frames) * (multiplier if isinstance(multiplier, Column) else F.lit(multiplier)))
+    short, early = F.col("length") < need, F.col("last_frame") != last_frame
+    strong = (F.col("length") >= d.bypass_frames) & (F.col("track_peak") >= d.bypass_intensity)
+    status = F.when(short | early, "dropped").otherwise("accepted")
+    reason = F.when(short, "too_short").when(early, "ended_early")
+    return summaries.withColumns({"status": status, "reason": reason, "accepted_by_bypass": ~early & short & strong})

@@ -37,9 +37,22 @@ def scores(counted: DataFrame) -> DataFrame:
     return counted.withColumns({"pod": ratio(h, h + m), "far": ratio(f, h + f), "csi": ratio(h, h + m + f), "bias": ratio(h + f, h + m)})
 
 
-def scorecard(judged: DataFrame) -> DataFrame:
-    """Scores of every station and of all together, from pooled counts."""
-    return scores(judged.rollup("station").agg(*counts()))
+def scorecard(judged: DataFrame, key: str = "station") -> DataFrame:
+    """Scores of every station (or other ``key``) and of all together, from pooled counts."""
+    return scores(judged.rollup(key).agg(*counts()))
+
+
+def scorable(replayed: DataFrame, length: int, last_frame: int, ahead: int) -> DataFrame:
+    """Windows of a replay that have all their frames, and after them the ``ahead`` frames of the
+    lookahead, with what was predicted and what came."""
+    whole = replayed.filter((F.col("n_frames") == length) & (F.col("end_frame") + ahead <= last_frame))
+    return whole.withColumn("predicted", F.col("rain_expected")).withColumn("observed", F.col("actual_s").isNotNull())
+
+
+def arrival_error(judged: DataFrame, key: str) -> DataFrame:
+    """Of the hits, the mean of predicted less actual arrival in minutes."""
+    hits = judged.filter("predicted and observed").groupBy(key)
+    return hits.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("arrival_s") - F.col("actual_s")) / 60.0).alias("mean_error_min"))
 
 
 def delta(card: DataFrame, baseline: DataFrame, key: str = "station") -> DataFrame:

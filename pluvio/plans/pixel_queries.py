@@ -226,53 +226,13 @@ def last_rain_state(spark, sf_dir):
     return d.groupBy("location_id").agg(F.max(F.when(F.col("arrival_s") == 0, tables.frame_epoch(F.col("session_id"), F.lit(LAST)))).alias("last_rain_epoch"))
 
 
-@query(sql("pcmt", f"""select {KEYS}, case when length < 4 then 'dropped' when last_frame <> 7 then 'dropped' else 'accepted' end as status,
-  case when length < 4 then 'too_short' when last_frame <> 7 then 'ended_early' end as reason, last_frame = 7 and length < 4 and length >= {D.bypass_frames} and track_peak >= {D.bypass_intensity} as accepted_by_bypass,
+@query(sql("pcmt", f"""select {KEYS}, case when length < {D.min_frames} then 'dropped' when last_frame <> 7 then 'dropped' else 'accepted' end as status,
+  case when length < {D.min_frames} then 'too_short' when last_frame <> 7 then 'ended_early' end as reason, last_frame = 7 and length < {D.min_frames} and length >= {D.bypass_frames} and track_peak >= {D.bypass_intensity} as accepted_by_bypass,
   round(speed_kmh,6) speed_kmh, first_peak, last_peak from summary left join velocity using ({KEYS})"""))
 def track_diagnostics(spark, sf_dir):
     a = _analysis(spark, sf_dir)
     s = tracking.summary(a.entries).join(tracking.velocity(a.steps, D).select(*TRACK, "speed_kmh"), TRACK, "left")
-    short, early = F.col("length") < 4, F.col("last_frame") != LAST
-    bypass = ~early & short & (F.col("length") >= D.bypass_frames) & (F.col("track_peak") >= D.bypass_intensity)
-    return s.select(*TRACK, F.when(short | early, "dropped").otherwise("accepted").alias("status"), F.when(short, "too_short").when(early, "ended_early").alias("reason"), bypass.alias("accepted_by_bypass"), *_r("speed_kmh"), "first_peak", "last_peak")
-
-
-@query(sql("pcmtla", "select session_id, location_id, max(speed_kmh) is not null as any_cell, round(max(speed_kmh),6) as max_speed from evaluated group by all"))
-def max_cell_confidence(spark, sf_dir):
-    out = detect.evaluate(_analysis(spark, sf_dir), _places(spark, sf_dir), D, LAST)
-    cells = out.groupBy("session_id", "location_id").agg(F.collect_list(F.struct("speed_kmh", "mean_conf")).alias("tracked"))
-    return cells.select("session_id", "location_id", F.array_max(F.transform("tracked", lambda x: x["mean_conf"])).isNotNull().alias("any_cell"), F.round(F.array_max(F.transform("tracked", lambda x: x["speed_kmh"])), 6).alias("max_speed"))
-
-
-def _truth(reach: int) -> str:
-    return f"""select session_id, location_id, bool_or(abs(r-loc_row) <= {reach} and abs(c-loc_col) <= {reach} and inten >= {D.intensity}) as rain from pixels cross join places where frame_idx >= 4 group by all"""
-
-
-@query(sql("pl", _truth(int(PX))))
-def radar_truth_verifier(spark, sf_dir):
-    """Whether a pixel with rain comes within proximity of a place in the later frames."""
-    return _rain_within(spark, sf_dir, int(PX))
-
-
-def _rain_within(spark, sf_dir, reach: int):
-    pixels, places = tables.pixels(spark, sf_dir).filter("frame_idx >= 4"), _places(spark, sf_dir)
-    near = F.expr(f"flatten(transform(sequence(-{reach}, {reach}), i -> transform(sequence(-{reach}, {reach}), j -> struct(i, j))))")
-    window = places.select("location_id", "loc_row", "loc_col", F.explode(near).alias("n")).select("location_id", (F.col("loc_row") + F.col("n.i")).alias("r"), (F.col("loc_col") + F.col("n.j")).alias("c"))
-    hit = filters.threshold(pixels).join(window, ["r", "c"]).select("session_id", "location_id").distinct().withColumn("_h", F.lit(True))
-    every = pixels.select("session_id").distinct().crossJoin(places.select("location_id"))
-    return every.join(hit, ["session_id", "location_id"], "left").select("session_id", "location_id", F.coalesce("_h", F.lit(False)).alias("rain"))
-
-
-_RADII = (15.0, 10.0, 7.5, 5.0, 2.5)
-
-
-@query(sql("pl", " union all ".join(f"select {k}::double as radius_km, count(*) filter (where rain) as n_rain, count(*) as n from ({_truth(int(k / KM))})" for k in _RADII)))
-def proximity_sweep(spark, sf_dir):
-    parts = [_rain_within(spark, sf_dir, int(k / KM)).agg(F.lit(k).alias("radius_km"), F.count_if("rain").alias("n_rain"), F.count(F.lit(1)).alias("n")) for k in _RADII]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    return tracking.diagnosed(s, D, LAST).select(*TRACK, "status", "reason", "accepted_by_bypass", *_r("speed_kmh"), "first_peak", "last_peak")
 
 
 # Quality control
@@ -432,15 +392,6 @@ def track_frames(spark, sf_dir):
     return seen.join(tracking.velocity(a.steps, D).select(*TRACK, "bearing"), TRACK, "left").select(*TRACK, "frame_indices", *_r("bearing"))
 
 
-@query(sql("pcmtla", "select case when arrival_s <= 0 then 'overhead' when arrival_s <= 1500 then 'soon' else 'later' end as bucket, count(*) as n from detections d left join truth t using (session_id, location_id) where rain_expected and not coalesce(t.rain, false) group by all").replace("\nselect case", ", truth as (" + _truth(int(PX)) + ")\nselect case"))
-def false_alarms_by_arrival(spark, sf_dir):
-    """False alarms of the detection by when they predicted the arrival."""
-    d = QUERIES["detect"](spark, sf_dir).filter("rain_expected")
-    wrong = d.join(_rain_within(spark, sf_dir, int(PX)), ["session_id", "location_id"], "left").filter(~F.coalesce("rain", F.lit(False)))
-    bucket = F.when(F.col("arrival_s") <= 0, "overhead").when(F.col("arrival_s") <= 1500, "soon").otherwise("later")
-    return wrong.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(sql("pcmtla", """select d.session_id, location_id, d.confidence, n_frames as frame_count, session_id%5 <> 0 and d.confidence <> 'unavailable' as available,
   case when session_id%5 <> 0 then 1704067200 + session_id*86400 + 4200 end::bigint as last_success from detections d join sessions using (session_id)"""))
 def sensor_attributes(spark, sf_dir):

@@ -125,12 +125,6 @@ def mockup_filter(spark, sf_dir):
     return tables.colours(spark, sf_dir).select("frame_idx", "row", "col", F.when(near, F.least(F.col("alpha") + 40, F.lit(255))).otherwise(0).cast("int").alias("alpha"))
 
 
-@query(f"with {COLOURS} select frame_idx, count(*) as n from colours where r = 252 and g = 204 and b = 170 and alpha > 10 group by all")
-def exact_colour_count(spark, sf_dir):
-    c = tables.colours(spark, sf_dir).filter("r = 252 and g = 204 and b = 170 and alpha > 10")
-    return c.groupBy("frame_idx").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(f"with {COLOURS} select (row % 5)::int as location_id, bool_or(alpha > 10) as covered from colours group by all")
 def coverage_probe(spark, sf_dir):
     t = tables.colours(spark, sf_dir).withColumn("location_id", F.col("row") % 5)
@@ -374,15 +368,6 @@ def device_names(spark, sf_dir):
     return _places(spark, sf_dir).select("location_id", gates.device_name(name, F.col("lat"), F.col("lon")).alias("name"))
 
 
-@query("select event_id, (value between -90 and 90) as lat_ok, (event_id%70 between 20 and 60) as lookahead_ok, event_id%5<>0 as style_ok, (case when not value between -90 and 90 then 1 else 0 end + case when not event_id%70 between 20 and 60 then 1 else 0 end + case when event_id%5=0 then 1 else 0 end)::int as n_errors from events")
-def config_validation(spark, sf_dir):
-    i, v = F.col("event_id"), F.col("value")
-    style = F.when(i % 5 == 0, "unknown").otherwise("voyager")
-    errors = gates.config_errors(v, F.lit(10.0), i % 70, F.lit("Home"), style)
-    e = tables.table(spark, sf_dir, "events").select("event_id", errors.alias("e"))
-    return e.select("event_id", *[(~F.map_contains_key("e", F.lit(k))).alias(n) for k, n in (("latitude", "lat_ok"), ("lookahead_minutes", "lookahead_ok"), ("map_style", "style_ok"))], F.size("e").alias("n_errors"))
-
-
 @query("select c_custkey, coalesce(case when c_custkey%3=0 then 45 end, 30)::int as lookahead_minutes, coalesce(case when c_custkey%4=0 then 'osm_dark' end, 'voyager') as map_style, c_custkey%3=0 or c_custkey%4=0 as changed from customer")
 def config_merge(spark, sf_dir):
     """Options laid over the stored configuration; what isn't given stays."""
@@ -402,15 +387,6 @@ def location_config(spark, sf_dir):
     return _places(spark, sf_dir).select("location_id", look.alias("lookahead_s"), F.lit(d.max_speed_kmh).alias("max_speed_kmh"), F.lit(d.intensity).alias("intensity"), F.lit(d.grid.width).alias("width"), F.lit(d.grid.height).alias("height"))
 
 
-@query("select n_nationkey::bigint as location_id, (array['voyager','osm_standard','osm_dark','dark_matter','esri_imagery'])[(n_nationkey%5)::int+1] as style, n_nationkey%5 in (2,3) as is_dark, case when n_nationkey%5=4 then '7/'||(n_nationkey*2)||'/'||n_nationkey else '7/'||n_nationkey||'/'||(n_nationkey*2) end as tile_path from nation")
-def style_dimension(spark, sf_dir):
-    dim = spark.createDataFrame([(i, s, s in ("osm_dark", "dark_matter"), s == "esri_imagery") for i, s in enumerate(gates.STYLES)], "k long, style string, is_dark boolean, y_first boolean")
-    n = tables.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("location_id"), (F.col("n_nationkey") % 5).cast("long").alias("k"))
-    x, y = F.col("location_id"), F.col("location_id") * 2
-    path = F.when(F.col("y_first"), F.format_string("7/%d/%d", y, x)).otherwise(F.format_string("7/%d/%d", x, y))
-    return n.join(dim, "k").select("location_id", "style", "is_dark", path.alias("tile_path"))
-
-
 @query(f"with {GEO} select location_id, round(lat,1) as lat, round(lon,1) as lon from geod")
 def diagnostics_json(spark, sf_dir):
     """Coordinates are coarse in diagnostics; the JSON is read back."""
@@ -515,11 +491,6 @@ def obs_window_sweep(spark, sf_dir):
     return s.select("extra_s", "hits", "misses", "false_alarms", "correct_negatives", *_r("pod", "far", "csi", "bias", "conversion"))
 
 
-@query(f"with {OBS}, {PRED}, {_observed(_AFTER)} select station, count(*) as n, round(avg((900-(first_obs-t))/60.0),6) as mean_error_min from seen where predicted and observed group by all")
-def lead_time_error(spark, sf_dir):
-    return verify.lead_time(tables.predictions(spark, sf_dir), tables.observations(spark, sf_dir), _AFTER).select("station", "n", *_r("mean_error_min"))
-
-
 _HAV = "2*6371.0*asin(sqrt(pow(sin(radians(s_lat-lat)/2),2)+cos(radians(lat))*cos(radians(s_lat))*pow(sin(radians(s_lon-lon)/2),2)))"
 
 
@@ -535,12 +506,6 @@ def window_gap_enumeration(spark, sf_dir):
     return verify.windows(f, 4, 0, 7)
 
 
-@query(f"with {OBS}, {PRED}, {_observed(_AFTER)}, k as (select case when predicted then (event_id%80)-5 end as m from seen where predicted and not observed) select case when m is null then 'none' when m<=0 then 'overhead' when m<10 then 'imminent' when m<=25 then 'near' when m<30 then 'between' else 'far' end as kind, count(*) as n from k group by all")
-def false_alarm_taxonomy(spark, sf_dir):
-    fa = _judged(spark, sf_dir).filter("predicted and not observed")
-    return fa.groupBy(verify.alarm_kind(F.col("event_id") % 80 - 5).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(f"with {OBS}, {PRED}, {_observed(_AFTER)}, i as (select *, not predicted and observed as miss, sum((not (not predicted and observed))::int) over (partition by station order by t, event_id rows unbounded preceding) as island from seen) select station, count(*) as length, min(t) as first_t, max(t) as last_t from i where miss group by station, island")
 def miss_runs(spark, sf_dir):
     return verify.miss_runs(_judged(spark, sf_dir))

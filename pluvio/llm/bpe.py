@@ -304,6 +304,26 @@ def _keys(data: np.ndarray, start: np.ndarray, end: np.ndarray, known: dict[byte
     return np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip(start.tolist(), end.tolist(), strict=True)], np.uint64)
 
 
+#: Bytes that are compared at once.
+COMPARED = 4 << 20
+
+
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> bool:
+    """Whether the spans of ``length`` bytes at ``a`` and ``b`` hold the same."""
+    other = np.flatnonzero(a != b)
+    a, b, length = a[other], b[other], length[other]
+    ends = np.cumsum(length)
+    low = 0
+    while low < len(a):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + COMPARED, "right")))
+        n = length[low:high]
+        inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        if (data[np.repeat(a[low:high], n) + inside] != data[np.repeat(b[low:high], n) + inside]).any():
+            return False
+        low = high
+    return True
+
+
 def encode_chunk(texts: list[pa.Array], v: Vocabulary, known: dict[bytes, int] | None = None) -> Iterator[Encoded]:
     """Each of some arrays of texts encoded; their distinct pre-tokens are merged together."""
     cuts: list[tuple[np.ndarray, np.ndarray]] = []
@@ -321,17 +341,17 @@ def encode_chunk(texts: list[pa.Array], v: Vocabulary, known: dict[bytes, int] |
         seen_bytes.append(data[np.repeat(s - total, length) + np.arange(int(length.sum()))])
         seen_h.append(unique)
         seen_len.append(length)
-        if (length[which] != end - start).any():  # two pre-tokens have one hash
+        if (length[which] != end - start).any() or not same_bytes(data, start, s[which], end - start):  # two pre-tokens have one hash
             yield from encode_chunk(texts, v, {})
             return
         cuts.append((np.searchsorted(start, at), which.astype(np.int64) + offset))
         offset += len(unique)
     h, length, raw = np.concatenate(seen_h), np.concatenate(seen_len), np.concatenate(seen_bytes)
     _, where, which = np.unique(h, return_index=True, return_inverse=True)
-    if (length[where][which] != length).any():
+    begin = np.cumsum(length) - length
+    if (length[where][which] != length).any() or not same_bytes(raw, begin, begin[where][which], length):
         yield from encode_chunk(texts, v, {})
         return
-    begin = np.cumsum(length) - length
     ids, first = merge_words(raw, begin[where], (begin + length)[where], v)
     count = np.diff(first)
     ordinary = h[where] >> np.uint64(63) == 1

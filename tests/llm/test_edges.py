@@ -78,7 +78,7 @@ def test_pre_tokens_of_one_hash_are_told_apart(monkeypatch):
     import pyarrow as pa
 
     v = bpe.load(vocabulary("byte_bpe_50k.json"))
-    texts = [pa.array(["one two three", "ab"]), pa.array(["three four", None])]
+    texts = [pa.array(["one two three", "ab", "cd", "ab cd"]), pa.array(["three four", None]), pa.array(["cd"]), pa.array(["ab"])]
     want = [(e.ids.tolist(), e.first.tolist()) for e in bpe.encode_chunk(texts, v)]
     monkeypatch.setattr(bpe.tb, "hash_spans", lambda data, start, end: np.ones(len(start), np.uint64))
     assert [(e.ids.tolist(), e.first.tolist()) for e in bpe.encode_chunk(texts, v)] == want

@@ -6,39 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pluvio.config import Grid, Quality
+from pluvio.operators import tiled
 
 PIXEL = ("session_id", "frame_idx", "r", "c")
 
 
-def _mirrored(at: Column, size: int) -> Column:
-    """An index beyond an edge as the one inside that the edge mirrors."""
-    return F.when(at < 0, -at - 1).when(at >= size, 2 * size - 1 - at).otherwise(at)
-
-
-def texture(pixels: DataFrame, q: Quality | None = None, grid: Grid | None = None) -> DataFrame:
-    """``texture`` of each echo pixel: 1 in smooth surroundings, 0 in rough ones.
-
-    A pixel of echo adds to the sums of the windows that see it, itself or mirrored at an edge;
-    summing those by target gives a box filter over a sparse grid with one exchange."""
+def texture(pixels: DataFrame, q: Quality | None = None, grid: Grid | None = None, side: int = 64) -> DataFrame:
+    """``texture`` of each echo pixel: 1 in smooth surroundings, 0 in rough ones. A task holds a tile of
+    ``side`` pixels with its margin."""
     q, grid = q or Quality(), grid or Grid()
-    h = q.kernel // 2
-    offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-h, h + 1) for j in range(-h, h + 1)])
-
-    def images(at: Column, size: int) -> Column:
-        # where this index is also seen from beyond an edge
-        return F.array_compact(F.array(at, F.when(at < h, -at - 1), F.when(at >= size - h, 2 * size - 1 - at)))
-
-    seen = pixels.select("session_id", "frame_idx", "inten", F.explode(images(F.col("r"), grid.height)).alias("_r"), F.col("c").alias("_c0"))
-    seen = seen.select("session_id", "frame_idx", "inten", "_r", F.explode(images(F.col("_c0"), grid.width)).alias("_c"))
-    to = seen.select("session_id", "frame_idx", "inten", "_r", "_c", F.explode(offsets).alias("o"))
-    to = to.select("session_id", "frame_idx", (F.col("_r") + F.col("o.i")).alias("r"), (F.col("_c") + F.col("o.j")).alias("c"), "inten")
-    inside = to.filter(F.col("r").between(0, grid.height - 1) & F.col("c").between(0, grid.width - 1))
-    n = float(q.kernel * q.kernel)
-    sums = inside.groupBy(*PIXEL).agg((F.sum("inten") / n).alias("_m"), (F.sum(F.col("inten") * F.col("inten")) / n).alias("_s"))
-    std = F.sqrt(F.greatest(F.col("_s") - F.col("_m") * F.col("_m"), F.lit(0.0)))
+    around = tiled.focal(pixels, q.kernel, grid, side)
+    std = F.sqrt(F.greatest(F.col("mean_square") - F.col("mean") * F.col("mean"), F.lit(0.0)))
     score = 1 - F.least(F.greatest((std - q.texture_low) / (q.texture_high - q.texture_low), F.lit(0.0)), F.lit(1.0))
-    echo = pixels.filter(F.col("inten") > 0).select(*PIXEL)
-    return sums.join(echo, list(PIXEL), "left_semi").select(*PIXEL, score.alias("texture"))
+    return around.select(*PIXEL, score.alias("texture"))
 
 
 def temporal(pixels: DataFrame, q: Quality | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pluvio.config import Detector, Quality
-from pluvio.operators import arrival, components, filters, qc, tracking
+from pluvio.operators import arrival, components, filters, qc, tiled, tracking
 from pluvio.operators.tracking import TRACK
 from pluvio.plans import detect
 from pluvio.plans.oracle import KM, PX, sql
@@ -66,6 +66,12 @@ def component_labels(spark, sf_dir):
     return components.label(filters.threshold(tables.pixels(spark, sf_dir))).select("session_id", "frame_idx", "r", "c", "label")
 
 
+@query(SQL["component_labels"])
+def component_labels_tiled(spark, sf_dir):
+    """The same, as of a raster that no task can hold: labelled by tiles and merged over their borders."""
+    return tiled.label(filters.threshold(tables.pixels(spark, sf_dir)), 16, 24).select("session_id", "frame_idx", "r", "c", "label")
+
+
 @query(sql("pc", "select session_id, frame_idx, r, c from labelled join cells using (session_id, frame_idx, label) where area >= 4"))
 def area_filter(spark, sf_dir):
     labelled = components.label(filters.threshold(tables.pixels(spark, sf_dir)))
@@ -265,6 +271,12 @@ def qc_texture(spark, sf_dir):
     return qc.texture(tables.pixels(spark, sf_dir)).select("session_id", "frame_idx", "r", "c", *_r("texture"))
 
 
+@query(sql("p", f", {_TEXTURE} select session_id, frame_idx, r, c, round(texture,6) as texture from texture"))
+def qc_texture_tiled(spark, sf_dir):
+    """The same in tiles of 16 x 16 pixels with the margins of their neighbours."""
+    return qc.texture(tables.pixels(spark, sf_dir), side=16).select("session_id", "frame_idx", "r", "c", *_r("texture"))
+
+
 @query(sql("p", f", {_TEMPORAL} select session_id, frame_idx, r, c, round(temporal,6) as temporal from seen"))
 def qc_temporal(spark, sf_dir):
     return qc.temporal(tables.pixels(spark, sf_dir)).select("session_id", "frame_idx", "r", "c", *_r("temporal"))

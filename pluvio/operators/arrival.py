@@ -97,17 +97,25 @@ def leading_edge(trend: DataFrame, d: Detector) -> DataFrame:
     return trend.select(*PLACED, edge_eta(d).alias("w05_s"))
 
 
-def rain_by_frame(effective: DataFrame, places: DataFrame, d: Detector, with_confidence: bool = False) -> DataFrame:
-    """Per (session, place, frame) with rain in the square around the place the greatest intensity there.
-    With confidence, frames whose brightest pixel (the first in raster order) is doubtful have none.
-    ``places`` may have proximity_km, and variant to tell apart rows of one place."""
+def squares(places: DataFrame, d: Detector) -> DataFrame:
+    """The pixels of the square around each place on the grid; ``places`` may have session_id, variant and
+    proximity_km."""
     grid = d.grid
     own = [c for c in ("session_id", "variant") if c in places.columns]
     km = F.col("proximity_km") if "proximity_km" in places.columns else F.lit(d.proximity_km)
     inside = places.filter(F.col("loc_row").between(0, grid.height - 1) & F.col("loc_col").between(0, grid.width - 1))
     reach = F.floor(km / grid.km_per_px).cast("int")
     rows = inside.select(*own, "location_id", "loc_col", reach.alias("_k"), F.explode(F.sequence(F.col("loc_row") - reach, F.col("loc_row") + reach)).alias("r"))
-    window = rows.select(*own, "location_id", "r", F.explode(F.sequence(F.col("loc_col") - F.col("_k"), F.col("loc_col") + F.col("_k"))).alias("c"))
+    return rows.select(*own, "location_id", "r", F.explode(F.sequence(F.col("loc_col") - F.col("_k"), F.col("loc_col") + F.col("_k"))).alias("c"))
+
+
+def rain_by_frame(effective: DataFrame, places: DataFrame, d: Detector, with_confidence: bool = False) -> DataFrame:
+    """Per (session, place, frame) with rain in the square around the place the greatest intensity there.
+    With confidence, frames whose brightest pixel (the first in raster order) is doubtful have none.
+    ``places`` may have proximity_km, and variant to tell apart rows of one place."""
+    grid = d.grid
+    own = [c for c in ("session_id", "variant") if c in places.columns]
+    window = squares(places, d)
     met = effective.join(window, [*(c for c in own if c == "session_id"), "r", "c"])
     raster = F.col("r") * grid.width + F.col("c")
     conf = F.coalesce(F.col("conf"), F.lit(1.0)) if with_confidence else F.lit(1.0)

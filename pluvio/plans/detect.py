@@ -115,6 +115,16 @@ def detect(pixels: DataFrame, places: DataFrame, sessions: DataFrame, d: Detecto
     if confidence is not None:
         effective = effective.join(confidence.select(*qc.PIXEL, "conf"), list(qc.PIXEL), "left")
     rain = arrival.rain_at_location(effective, places, d, last, confidence is not None)
+    return _merged(found, rain, places, sessions, d, last)
+
+
+def detect_analysed(a: Analysis, places: DataFrame, sessions: DataFrame, d: Detector, frames: int = 8) -> DataFrame:
+    """``detect`` from what is known already; rain at a place is that of pixels in cells."""
+    found = evaluate(a, places, d, frames - 1)
+    return _merged(found, arrival.rain_at_location(a.labelled, places, d, frames - 1), places, sessions, d, frames - 1)
+
+
+def _merged(found: DataFrame, rain: DataFrame, places: DataFrame, sessions: DataFrame, d: Detector, last: int) -> DataFrame:
     reduced = found.groupBy("session_id", "location_id").agg(F.min("arrival_s").alias("arrival_s"), F.max("contribution").alias("contribution"), F.count(F.lit(1)).alias("n_cells"))
     every = arrival.at_places(sessions, places).drop("loc_row", "loc_col").join(reduced, ["session_id", "location_id"], "left").join(rain, ["session_id", "location_id"], "left")
     return reported(every, d, F.lit(last), ["session_id", "location_id"])

@@ -8,10 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pluvio.operators import arrival, filters
 from pluvio.plans import detect, pixel_queries
-from pluvio.plans.oracle import sql
+from pluvio.plans.oracle import PX, D, sql
 from pluvio.sources import files, state, tables
-from pluvio.streaming import clutter, frames
+from pluvio.streaming import clutter, frames, tracks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -67,27 +68,70 @@ def stream_sliding(spark, sf_dir):
     return out.select("location_id", F.unix_seconds("start").alias("start"), "n_frames", "n_echo")
 
 
+def _polled(spark: SparkSession, sf_dir: str, folder: str, files_per_trigger: int) -> DataFrame:
+    """A stream of frames with their pixels: in files that mix sessions and frames, each of them twice."""
+    f = tracks.frames(tables.pixels(spark, sf_dir))
+    f.repartition(3, "session_id", "frame_idx").write.parquet(f"{folder}/in")
+    f.repartition(2, "frame_idx").write.mode("append").parquet(f"{folder}/in")
+    return spark.readStream.schema(tracks.FRAME).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{folder}/in")
+
+
+def _to_end(stream: DataFrame, folder: str, each: Callable[[DataFrame, int], None]) -> None:
+    with state.rocksdb(stream.sparkSession):
+        q = stream.writeStream.foreachBatch(each).outputMode("update").option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start()
+        q.awaitTermination()
+
+
+@query(pixel_queries.SQL["tracks"])
+def stream_tracks(spark, sf_dir, files_per_trigger=2):
+    """Tracks as frames arrive, out of order and twice, from a bounded store of frames."""
+    folder = _folder(spark)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.select("session_id", "frame_idx", "seq", "label", "root_frame", "root_label").write.mode("append").parquet(f"{folder}/out")
+
+    _to_end(tracks.track_stream(_polled(spark, sf_dir, folder, files_per_trigger)), folder, keep)
+    rows = spark.read.parquet(f"{folder}/out")
+    last = rows.groupBy("session_id", "frame_idx").agg(F.max_by(F.arrays_zip("label", "root_frame", "root_label"), "seq").alias("m"))
+    return last.select("session_id", "frame_idx", F.explode("m").alias("x")).select("session_id", "frame_idx", "x.label", "x.root_frame", "x.root_label")
+
+
 @query(pixel_queries.SQL["detect"])
-def stream_detect(spark, sf_dir, files_per_trigger=ALL_FILES):
-    """Detection as frames arrive: each micro-batch detects anew the sessions that it has frames of."""
+def stream_detect(spark, sf_dir, files_per_trigger=2):
+    """Detection as frames arrive: pixels come with the stream, and each micro-batch detects from the frames,
+    cells and tracks that the state holds of the sessions it changes."""
     folder = _folder(spark)
-    _frames(spark, sf_dir).write.parquet(f"{folder}/in")
-    pixels = tables.pixels(spark, sf_dir)
-    places = pixel_queries._places(spark, sf_dir)
+    places, d = pixel_queries._places(spark, sf_dir), pixel_queries.D
 
     def detected(batch: DataFrame, number: int) -> None:
-        met = batch.select(F.col("location_id").alias("session_id")).distinct()
-        p = pixels.join(met, "session_id", "left_semi")
-        out = detect.detect(p, places, pixel_queries._sessions(p), pixel_queries.D)
-        out.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{folder}/out")
+        held = state.stage(batch)  # several branches read it, and the state is asked once
+        sessions = held.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_frames"), F.max("seq").alias("seq"))
+        out = detect.detect_analysed(tracks.analysis_of(held, d), places, sessions.drop("seq"), d)
+        out.join(sessions.select("session_id", "seq"), "session_id").write.mode("append").parquet(f"{folder}/out")
 
-    frames.detect_batches(frames.read_frames(spark, f"{folder}/in", files_per_trigger), f"{folder}/cp", detected)
+    _to_end(tracks.track_stream(_polled(spark, sf_dir, folder, files_per_trigger)), folder, detected)
     rows = spark.read.parquet(f"{folder}/out")
-    kept = [c for c in rows.columns if c not in ("session_id", "location_id", "batch")]
-    last = rows.groupBy("session_id", "location_id").agg(F.max_by(F.struct(*kept), "batch").alias("m")).select("session_id", "location_id", "m.*")
+    kept = [c for c in rows.columns if c not in ("session_id", "location_id", "seq")]
+    last = rows.groupBy("session_id", "location_id").agg(F.max_by(F.struct(*kept), "seq").alias("m")).select("session_id", "location_id", "m.*")
     return last.withColumns({c: F.round(c, 6) for c in ("arrival_s", "max_intensity")})
 
 
+@query(sql("pl", f"select location_id, max(1704067200 + session_id*86400 + frame_idx*600)::bigint as last_rain_epoch from pixels join places on abs(r-loc_row) <= {int(PX)} and abs(c-loc_col) <= {int(PX)} where inten >= {D.intensity} group by all"))
+def stream_last_rain(spark, sf_dir, files_per_trigger=2):
+    """When it last rained near each place, kept as state of the stream."""
+    folder = _folder(spark)
+    each = _polled(spark, sf_dir, folder, files_per_trigger).select("session_id", "frame_idx", F.explode(F.arrays_zip("r", "c", "inten")).alias("x"))
+    pixels = filters.threshold(each.select("session_id", "frame_idx", "x.r", "x.c", "x.inten"), D.intensity)
+    near = pixels.join(F.broadcast(arrival.squares(pixel_queries._places(spark, sf_dir), D)), ["r", "c"])  # the configured places of a run
+    hits = near.select("location_id", tables.frame_epoch(F.col("session_id"), F.col("frame_idx")).alias("epoch"))
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("append").parquet(f"{folder}/out")
+
+    _to_end(tracks.last_rain_stream(hits), folder, keep)
+    return spark.read.schema("location_id long, epoch long").parquet(f"{folder}/out").groupBy("location_id").agg(F.max("epoch").alias("last_rain_epoch"))
+
+
 def _cycles(spark, sf_dir):
     p = tables.pixels(spark, sf_dir)
     return p.select(F.col("session_id").alias("location_id"), F.col("frame_idx").cast("long").alias("cycle"), "r", "c", "inten")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,3 +56,17 @@ def clutter_frequency(state: DataFrame, cycle: int, decay: float = 0.99966) -> D
     updates = (1 - decay ** (cycle + 1)) / (1 - decay)
     now = F.col("echo_count") * F.pow(F.lit(decay), (F.lit(cycle) - F.col("last_cycle")).cast("double"))
     return state.select("location_id", "r", "c", F.least(now / updates, F.lit(1.0)).alias("freq"))
+
+
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams that start within keep their state in RocksDB, as maps of state ask for."""
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(_PROVIDER, before)

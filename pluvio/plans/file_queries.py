@@ -5,13 +5,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pluvio.operators import arrival, filters
 from pluvio.plans import detect, pixel_queries
 from pluvio.plans.oracle import PX, D, sql
-from pluvio.sources import files, state, tables
+from pluvio.sources import files, manifest_source, state, tables
 from pluvio.streaming import clutter, frames, tracks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -189,14 +189,14 @@ def forecast_scan(spark, sf_dir):
     return out.select(F.unix_seconds("valid_ts").alias("valid"), "pop")
 
 
-def _manifests(spark: SparkSession, sf_dir: str, folder: str) -> str:
+def _manifests(spark: SparkSession, sf_dir: str, folder: str, which: Column | None = None) -> str:
     """A manifest file for each session: all frames with echo, the newest again as a nowcast."""
-    f = tables.pixels(spark, sf_dir).select("session_id", "frame_idx").distinct()
+    f = tables.pixels(spark, sf_dir).select("session_id", "frame_idx").distinct().filter(F.lit(True) if which is None else which)
     each = F.struct(tables.frame_epoch(F.col("session_id"), F.col("frame_idx")).alias("time"), F.concat_ws("/", F.lit(""), F.col("session_id").cast("string"), F.col("frame_idx").cast("string")).alias("path"))
     past = F.array_sort(F.collect_list(each))
     m = f.groupBy("session_id").agg(past.alias("past"))
     j = F.to_json(F.struct(F.lit("2.0").alias("version"), F.struct("past", F.slice("past", -1, 1).alias("nowcast")).alias("radar")))
-    m.select("session_id", j.alias("value")).write.partitionBy("session_id").option("maxRecordsPerFile", 1).text(f"{folder}/in")
+    m.select("session_id", j.alias("value")).write.mode("append").partitionBy("session_id").option("maxRecordsPerFile", 1).text(f"{folder}/in")
     return f"{folder}/in/*/"
 
 
@@ -221,6 +221,41 @@ def manifest_with_nowcast(spark, sf_dir):
     return _listed(files.frames(spark, _manifests(spark, sf_dir, _folder(spark)), 100, nowcast=True))
 
 
+def _named(f: DataFrame) -> DataFrame:
+    parts = F.split("path", "/")
+    return f.select("kind", "place", parts[1].cast("long").alias("session_id"), parts[2].cast("long").alias("frame_idx"), "epoch")
+
+
+_NAMED = sql("p", f"""{_LISTED} select 'past' as kind, (row_number() over (partition by session_id order by frame_idx) - 1)::int as place, session_id, frame_idx, {_EPOCH} from k
+union all select 'nowcast', 0::int, session_id, frame_idx, {_EPOCH} from k where back = 1""")
+
+
+@query(_NAMED)
+def manifest_source_scan(spark, sf_dir):
+    """All that manifests name, by the data source, one partition a file."""
+    folder = _folder(spark)
+    _manifests(spark, sf_dir, folder)
+    manifest_source.register(spark)
+    return _named(spark.read.format(manifest_source.NAME).option("path", f"{folder}/in").option("pattern", "*.txt").load())
+
+
+@query(_NAMED)
+def manifest_stream(spark, sf_dir):
+    """The same as manifests arrive: half of the sessions, a stop, then the rest; each counts once."""
+    folder = _folder(spark)
+    manifest_source.register(spark)
+
+    def poll() -> None:
+        stream = spark.readStream.format(manifest_source.NAME).option("path", f"{folder}/in").option("pattern", "*.txt").option("log", f"{folder}/log").load()
+        q = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    for half in (0, 1):
+        _manifests(spark, sf_dir, folder, F.col("session_id") % 2 == half)
+        poll()
+    return _named(spark.read.schema(manifest_source.SCHEMA).parquet(f"{folder}/out"))
+
+
 @query("select epoch(date_trunc('hour', ts))::bigint as hour, case when (floor(max(value))::bigint % 4) <> 0 then ((floor(max(value))::bigint % 101)/10.0)::double end as mm from events group by 1")
 def current_precipitation(spark, sf_dir):
     """What falls now, from the service's JSON; null where the answer lacks it."""

@@ -60,8 +60,10 @@ WITHIN_ARTICLE = frozenset("header masthead alert overlay legal".split())
 #: Words that go with one of LEFT_OUT_WORDS in a compound such as related-posts or share-buttons.
 CARRIERS = frozenset(
     "list lists section area box block bar bars container wrapper wrap inner outer button buttons link links icon icons post posts article articles story stories item items form panel slot unit "
-    "top bottom left right main site page reader user inline mobile desktop primary secondary".split()
+    "top bottom left right main site page reader user inline mobile desktop primary secondary thread".split()
 )
+#: These name what readers say wherever they stand, as an id of a section too.
+ALWAYS_APART = frozenset("comments commentlist disqus respond".split())
 #: Words that alone also name parts of real texts; a block so named is left out in an article only if most of it is links.
 WEAK_WORDS = frozenset("copyright replies reply share skip rail discussion search promotion subscription".split())
 #: Of an id, these too, as ids are made from headings.
@@ -137,7 +139,7 @@ def _key(tag: str, attributes: str) -> str:
     words += [w.lower() for t in classes for w in _WORD.findall(t)]
     of_ids = [w.lower() for t in ids for w in _WORD.findall(t)]
     if tag == "section" or "section" in classes:
-        marks |= {_mark(t, WEAK_ID_WORDS) and "linked" for t in ids}
+        marks |= {_mark(t, WEAK_ID_WORDS) and ("linked" if ALWAYS_APART.isdisjoint(map(str.lower, _WORD.findall(t))) else "apart") for t in ids}
         of_ids = [w for w in of_ids if w not in LEFT_OUT_WORDS]
     else:
         marks |= {_mark(t, WEAK_ID_WORDS) for t in ids}
@@ -148,6 +150,28 @@ def _key(tag: str, attributes: str) -> str:
 
 def read_page(text: str) -> Element:
     """The tree of a page, however its tags are closed."""
+    root = _parsed(text)
+    _open_forms(root)
+    return root
+
+
+def _open_forms(root: Element) -> None:
+    """Forms that hold a page's heading or most of its text are containers, as those of some servers are."""
+    todo, forms = [root], []
+    while todo:
+        for c in todo.pop()[1]:
+            if isinstance(c, list):
+                if _tag(c) == "form":
+                    forms.append(c)
+                todo.append(c)
+    if forms:
+        every = _length(root)
+        for form in forms:
+            if _holds_article(form) or 2 * _length(form) > every:
+                form[0] = "div" + form[0][len("form") :]
+
+
+def _parsed(text: str) -> Element:
     root: Element = ["html", []]
     stack = [root]
     is_open: Counter[str] = Counter()
@@ -235,11 +259,24 @@ def _length(element: Element) -> int:
     return n
 
 
+def _outermost(element: Element) -> list[Element]:
+    """The outermost articles and main elements of a page's element."""
+    found, todo = [], [element]
+    while todo:
+        for c in todo.pop()[1]:
+            if isinstance(c, list):
+                (found if any(want(c) for want in MARKED_MAIN) else todo).append(c)
+    return found
+
+
 def _as_wrapper(element: Element | str, depth: int = 1) -> Element:
     if isinstance(element, str):
         return [TEXT, None, False, False, 1, len(" ".join(html.unescape(element).split()))]
     if depth == DEEPEST:
-        return [element[0], [[TEXT, None, False, False, 1, _length(element)]], False, False, 1, 0]
+        # of what lies deeper, only how long it is and whether it is marked as the main text
+        marked = [[c[0], [[TEXT, None, False, False, 1, _length(c)]], False, False, 1, 0] for c in _outermost(element)]
+        rest = _length(element) - sum(c[1][0][5] for c in marked)
+        return [element[0], [[TEXT, None, False, False, 1, rest], *marked], False, False, 1, 0]
     children = [_as_wrapper(c, depth + 1) for c in element[1] if not isinstance(c, str) or not c.isspace()]
     return [element[0], _fold(children), False, False, 1, 0]
 
@@ -433,32 +470,50 @@ def _holds_article(w: Element) -> bool:
     return False
 
 
-def _dropped(w: Element, in_article: bool, mild: bool = False) -> bool:
-    """Whether an element is left out with all it holds."""
+def _dropped(w: Element, in_article: bool, mild: bool = False, strict: bool = True) -> bool:
+    """Whether an element is left out with all it holds. An article goes by its own marks, as a comment or a
+    card does, and with what is so marked by a whole name around it; unless ``strict``, for pages whose
+    only article lies in such an element, no article goes."""
     tag = _tag(w)
-    if tag in ("html", "article", "main", TEXT, GROUP):
+    if tag in ("html", "main", TEXT, GROUP):
+        return False
+    if tag == "article":
+        return strict and "mark=apart" in w[0].split(" ")
+    if not _left_out(w, in_article, in_article or mild):
         return False
-    return _left_out(w, in_article, in_article or mild) and (in_article or tag in LEFT_OUT or not _holds_article(w))
+    return in_article or tag in LEFT_OUT or not _holds_article(w) or (strict and "mark=apart" in w[0].split(" "))
 
 
-def _roots(w: Element, want: Any, found: list[Element]) -> None:
+def _roots(w: Element, want: Any, found: list[Element], strict: bool) -> None:
     """Which elements that ``want`` selects stand outermost."""
     for c in w[1]:
-        if not isinstance(c, list) or c[0] == TEXT or _dropped(c, False):
+        if not isinstance(c, list) or c[0] == TEXT or _dropped(c, False, False, strict):
             continue
         if want(c):
             found.append(c)
         else:
-            _roots(c, want, found)
+            _roots(c, want, found, strict)
 
 
-def _mass(w: Element) -> int:
+def _mass(w: Element, strict: bool = True) -> int:
     """Characters of text that aren't links, menus and the like."""
     if w[0] == TEXT:
         return w[5]
-    if _dropped(w, False) or _tag(w) == "a":
+    if _dropped(w, False, False, strict) or _tag(w) == "a":
         return 0
-    return sum(map(_mass, w[1]))
+    return sum(_mass(c, strict) for c in w[1])
+
+
+def _page_mass(tree: Element) -> int:
+    """The same of a page's tree."""
+    n, todo = 0, [tree]
+    while todo:
+        for c in todo.pop()[1]:
+            if isinstance(c, str):
+                n += len(" ".join(html.unescape(c).split())) if not c.isspace() else 0
+            elif _tag(c) != "a" and not _dropped(c, False):
+                todo.append(c)
+    return n
 
 
 def _chars(w: Element) -> int:
@@ -469,38 +524,45 @@ def _says_main(w: Element) -> bool:
     return "role=main" in w[0] or not MAIN_WORDS.isdisjoint(w[0].split(" ")[1:])
 
 
-def main_elements(w: Element) -> set[int]:
-    """The elements of a wrapper that hold the main text."""
-    for want in (
-        lambda c: _tag(c) == "article",
-        lambda c: _tag(c) == "main" or "role=main" in c[0],
-        lambda c: _says_main(c) and 2 * _mass(c) >= _mass(w),
-    ):
+#: How pages mark their main text by elements alone, the better way first.
+MARKED_MAIN = (lambda c: _tag(c) == "article", lambda c: _tag(c) == "main" or "role=main" in c[0])
+
+
+def main_elements(w: Element, strict: bool = True) -> tuple[set[int], Any]:
+    """The elements of a wrapper that hold the main text, and by which mark of elements, if by one."""
+    for want in (*MARKED_MAIN, lambda c: _says_main(c) and 2 * _mass(c, strict) >= _mass(w, strict)):
         found: list[Element] = []
-        _roots(w, want, found)
+        _roots(w, want, found, strict)
         if any(map(_chars, found)):
-            return set(map(id, found))
-    node, total = w, _mass(w)
+            return set(map(id, found)), want if want in MARKED_MAIN else None
+    node, total = w, _mass(w, strict)
     while True:  # down to where the text is
-        inner = [c for c in node[1] if c[0] not in (TEXT,) and _tag(c) not in INLINE and not _dropped(c, False)]
-        top = max(inner, key=_mass, default=None)
-        if top is None or top[3] or _tag(top) == "p" or 10 * _mass(top) < 9 * total:
-            return {id(node)}
+        inner = [c for c in node[1] if c[0] not in (TEXT,) and _tag(c) not in INLINE and not _dropped(c, False, False, strict)]
+        top = max(inner, key=lambda c: _mass(c, strict), default=None)
+        if top is None or top[3] or _tag(top) == "p" or 10 * _mass(top, strict) < 9 * total:
+            return {id(node)}, None
         node = top
 
 
 class Reader:
     """A host's wrapper, ready to read pages."""
 
-    def __init__(self, wrapper: Element) -> None:
-        self.wrapper = wrapper
-        self.main = main_elements(wrapper)
+    def __init__(self, wrapper: Element, strict: bool = True) -> None:
+        self.wrapper, self.strict = wrapper, strict
+        self.main, self.mark = main_elements(wrapper, strict)
 
     def text(self, page: str) -> str:
-        """Of a page in which no text stands where the wrapper has the main text (another layout
-        of the same host), the page's own wrapper decides."""
+        """Where the wrapper's main text holds less than half of a page's own (another layout of the same
+        host), the page's own wrapper decides, if it finds twice as much."""
         tree = read_page(page)
-        return self._read(tree) or Reader(_as_wrapper(tree))._read(tree)
+        found = self._read(tree)
+        if found and 2 * len(found) >= _page_mass(tree):
+            return found
+        own = _as_wrapper(tree)
+        other = Reader(own)._read(tree)
+        if len(other) > 2 * len(found):
+            found = other
+        return found or Reader(own, False)._read(tree)
 
     def _read(self, tree: Element) -> str:
         blocks: list[list[str]] = [[]]
@@ -527,9 +589,10 @@ class Reader:
                 continue
             own = matcher.next(c[0])
             tag = _tag(c)
-            if _dropped(c, in_article, mild) or _is_label(c, element):
+            if _dropped(c, in_article, mild, self.strict) or _is_label(c, element):
                 continue
-            is_main = own is not None and id(own) in self.main
+            deep = len(todo) >= DEEPEST and self.mark is not None and self.mark(c)
+            is_main = deep or (own is not None and id(own) in self.main)
             if in_article and tag == "header":  # of an article's own header the headings belong to it
                 c = [c[0], [x for x in c[1] if isinstance(x, list) and re.match(r"h[1-6]\b", x[0])]]
             if tag not in INLINE:

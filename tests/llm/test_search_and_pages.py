@@ -1,5 +1,8 @@
 """Neighbours against brute force, and pages of several templates."""
 
+import json
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -112,16 +115,16 @@ def test_texts_that_all_pages_share_are_kept(spark):
 
 PARTS = """<h1>Head</h1><section id='discussion'><p>A</p></section><h2 id='search-results'>B</h2><h2 id='social-history'>C</h2><p id='related-work'>D</p>
 <h3 id='comment-on-method'>E</h3><div class='promotion-rules'>F</div><table class='prices'><tr class='copyright'><td class='share'>G</td></tr></table><div class='replies'><p>H</p></div>
-<div class='skip'>I</div><div class='rail'>J</div><section id='comments'><p>K</p></section><div class='section' id='related'>L</div>"""
+<div class='skip'>I</div><div class='rail'>J</div><div class='section' id='related'>L</div>"""
 LEAVE = """<div class='related-posts'>x</div><ul class='comment-list'><li>x</li></ul><div class='share-buttons'>x</div><div class='share'><a>x</a> <a>x</a></div><div class='ad'>x</div>
-<div id='comments'>x</div><div class='newsletterBox'>x</div><section id='related'><a>x</a></section><div class='site-navigation'>x</div>"""
+<div id='comments'>x</div><div class='newsletterBox'>x</div><section id='related'><a>x</a></section><div class='site-navigation'>x</div><section id='comments'><p>K</p></section>"""
 
 
 @pytest.mark.parametrize("around", ["<article>PARTS</article>", "<main>PARTS</main>", "<div class='post-content'>PARTS</div>"])
 def test_names_of_an_article_s_parts(around):
     page = "<body><nav>x</nav>" + around.replace("PARTS", PARTS + LEAVE) + "<div class='comments'>x</div></body>"
     got = html_wrappers.Reader(html_wrappers.page_wrapper(page)).text(page)
-    assert got.split("\n") == ["Head", *"ABCDEFGHIJKL"]
+    assert got.split("\n") == ["Head", *"ABCDEFGHIJL"]
 
 
 @pytest.mark.parametrize("depth", [100, 119, 130, 4000])
@@ -132,3 +135,58 @@ def test_text_after_and_in_deep_elements(depth):
     assert got == "Head\ndeep\nmore\nagain\nafter"
     below = "<div>" * depth + "<nav>menu</nav><article>text</article>" + "</div>" * depth
     assert html_wrappers.Reader(html_wrappers.page_wrapper(below)).text(below) == "text"
+
+
+STORY = "<p>" + "real words of the story go on and on. " * 8 + "</p>"
+TOLD = " ".join(("real words of the story go on and on. " * 8).split())
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    (f"<article><h1>T</h1>{STORY}<section id='comments'><p>nice post</p></section></article>", f"T\n{TOLD}"),
+    (f"<article><h1>T</h1>{STORY}<div id='disqus_thread'><p>nice post</p></div></article>", f"T\n{TOLD}"),
+    (f"<article><h1>T</h1>{STORY}</article><section class='comments'><article class='comment'><p>nice post</p></article></section>", f"T\n{TOLD}"),
+    (f"<article><h1>T</h1>{STORY}</article><section class='related-posts'><article class='card'><p>teaser</p></article></section>", f"T\n{TOLD}"),
+    (f"<article><h1>T</h1>{STORY}</article><div class='sidebar'><article><p>teaser</p></article></div>", f"T\n{TOLD}"),
+    (f"<div class='sidebar'><article><h1>T</h1>{STORY}</article></div>", f"T\n{TOLD}"),
+    (f"<form id='aspnetForm'><div class='content'><h1>T</h1>{STORY}</div></form>", f"T\n{TOLD}"),
+    (f"<article>{STORY}<form><label>Your name</label><p>send it</p></form></article>", TOLD),
+    (f"<article><h1>T</h1>{STORY}<section id='discussion'><p>of results</p></section></article>", f"T\n{TOLD}\nof results"),
+    ("<div>" * 130 + f"<main><h1>T</h1>{STORY}</main><div><p>other stuff</p></div>" + "</div>" * 130, f"T\n{TOLD}"),
+    ("<div>" * 13 + f"<main><h1>T</h1>{STORY}</main><div><p>other stuff</p></div>" + "</div>" * 13, f"T\n{TOLD}"),
+])
+def test_what_belongs_to_an_article(page, want):
+    assert html_wrappers.Reader(html_wrappers.page_wrapper(page)).text(page) == want
+
+
+def test_a_page_of_another_layout_keeps_its_text():
+    pages = [f"<div class='content'><h1>T{i}</h1>{STORY}{STORY}</div>" for i in range(5)]
+    odd = f"<div class='content'><h1>T</h1><p>short</p></div><div class='story'>{STORY}</div>"
+    reader = html_wrappers.Reader(html_wrappers.merged([html_wrappers.page_wrapper(p) for p in [*pages, odd]]))
+    assert TOLD in reader.text(odd)
+    assert [reader.text(p) for p in pages] == [f"T{i}\n{TOLD}\n{TOLD}" for i in range(5)]
+
+
+@pytest.mark.parametrize("bounds", [{"MOST_SHAPES": 3}, {"MOST_SHAPES": 10**9}, {"TABLE": 4}, {"TABLE": 1 << 40}])
+def test_bounds_of_memory_do_not_change_texts(monkeypatch, bounds):
+    r = random.Random(1)
+    pages = []
+    for i in range(90):
+        parts = [f"<p>word{i} text of part {k} that goes on for a while</p>" + r.choice(["", "<ul><li>a</li><li>b</li></ul>", "<h2>x</h2>", "<blockquote>q</blockquote>"]) for k in range(r.randrange(1, 9))]
+        tail = r.choice(["<aside>more</aside>", "<div class='share-buttons'>share</div>", ""])
+        pages.append(f"<body><nav>menu</nav><article><h1>t{i}</h1>{''.join(parts)}</article>{tail}<footer>foot</footer></body>")
+
+    def texts(some):
+        held = html_wrappers.HostWrappers()
+        for p in some:
+            held.add("h", html_wrappers.page_wrapper(p))
+        (row,) = held.leave()
+        return html_wrappers.Reader(json.loads(row["wrapper"]))
+
+    reader = texts(pages)
+    plain = {p: reader.text(p) for p in pages}
+    for name, value in bounds.items():
+        monkeypatch.setattr(html_wrappers, name, value)
+    for seed in (1, 2):
+        shuffled = random.Random(seed).sample(pages, len(pages))
+        reader = texts(shuffled)
+        assert {p: reader.text(p) for p in pages} == plain

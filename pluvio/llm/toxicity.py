@@ -156,6 +156,11 @@ class Sample:
     chosen: np.ndarray
 
 
+def once(rows: DataFrame) -> DataFrame:
+    """One text of each id, the least, so that rows that repeat an id don't come without bound."""
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"))
+
+
 def sample(docs: DataFrame, labels: DataFrame, t: Training) -> Sample | None:
     """Features of the positives and of the unlabelled texts, and the prior. The driver gets the
     few features that enter of at most about ``positives + unlabelled`` texts."""
@@ -166,10 +171,10 @@ def sample(docs: DataFrame, labels: DataFrame, t: Training) -> Sample | None:
     by = F.xxhash64(F.lit("sample"), F.col("doc_id"))
     picked = learn.filter(F.col("toxic") == 1).select("doc_id").distinct().orderBy(by, "doc_id").limit(t.positives)
     own = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    positive = own.join(F.broadcast(picked), "doc_id", "left_semi").select("text", F.lit(1).alias("toxic"))
+    positive = once(own.join(F.broadcast(picked), "doc_id", "left_semi")).select("text", F.lit(1).alias("toxic"))
     rate = min(1.0, t.unlabelled / max(own.count(), 1))
     bound = F.lit(int(rate * 2**32))
-    free = own.filter(F.pmod(F.xxhash64(F.lit("unlabelled"), F.col("doc_id")), F.lit(1 << 32)) < bound).select("text", F.lit(0).alias("toxic"))
+    free = once(own.filter(F.pmod(F.xxhash64(F.lit("unlabelled"), F.col("doc_id")), F.lit(1 << 32)) < bound)).select("text", F.lit(0).alias("toxic"))
     rows = cut(positive.union(free))
     chosen = choose(rows, t)
     packed = rows.mapInArrow(lambda b: _packed(b, t.bits, chosen), "toxic int, words binary").collect()

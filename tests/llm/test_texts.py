@@ -202,3 +202,8 @@ def test_toxicity_finds_held_out(spark):
     assert got[5000].predicted == 0 and got[5000].score == got[5001].score
     nothing = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {x.score for x in toxicity.score(docs, nothing).collect()} == {0.0}
+
+
+def test_rows_that_repeat_an_id_are_sampled_once(spark):
+    docs = spark.createDataFrame([(i % 3, f"text {i}") for i in range(300)] + [(None, "x")] * 50 + [(7, None)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in toxicity.once(docs.filter("doc_id is not null")).collect()) == [(0, "text 0"), (1, "text 1"), (2, "text 101"), (7, None)]

@@ -162,7 +162,10 @@ class _Digest:
 
     def take(self, output: str) -> None:
         self.chars += len(output)
-        for role, text in parse(output) or ():
+        turns = parse(output)
+        if turns is None:
+            raise ValueError("a part of the output isn't one of turns")
+        for role, text in turns:
             self.n += 1
             self.turns.update(f"{role or ''}\n{text}\n".encode())
             if role == "assistant":

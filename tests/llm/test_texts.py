@@ -207,3 +207,8 @@ def test_toxicity_finds_held_out(spark):
 def test_rows_that_repeat_an_id_are_sampled_once(spark):
     docs = spark.createDataFrame([(i % 3, f"text {i}") for i in range(300)] + [(None, "x")] * 50 + [(7, None)], "doc_id long, text string")
     assert sorted((r.doc_id, r.text) for r in toxicity.once(docs.filter("doc_id is not null")).collect()) == [(0, "text 0"), (1, "text 1"), (2, "text 101"), (7, None)]
+
+
+def test_an_output_that_does_not_parse_is_an_error():
+    with pytest.raises(ValueError, match="turns"):
+        chat_format._Digest(1).take("no turn at all")

@@ -15,7 +15,8 @@ and a vector leaves a block but the ``k`` nearest.
 
 Defined results: vectors that are null or zero or hold null or non-finite components take no
 part, neither as query nor as candidate; a null id takes no part; vectors are searched among those
-of their own length; an id that repeats is asked once; ties of equal distance go to the smaller
+of their own length; an id that repeats is asked once, by its
+least vector; ties of equal distance go to the smaller
 id; rows that repeat an id other than the query's are candidates of their own; with fewer than
 ``k`` candidates all are returned; an empty table gives an empty one.
 """
@@ -150,7 +151,8 @@ def nearest(vectors: DataFrame, is_query: Column, settings: Settings | None = No
     sizes = F.broadcast(sizes.select("dim", F.ceil(n / rows).alias("blocks"), F.greatest(F.ceil(F.col("q") / s.pack), F.lit(1)).alias("packs")))
     # rows that repeat an id still spread: the vector has its part in the hash
     placed = every.join(sizes, "dim").withColumn("b", F.pmod(F.xxhash64("vec_id", "v"), F.col("blocks")).cast("int")).select("vec_id", "v", "dim", "b")
-    queries = every.filter(is_query).dropDuplicates(["vec_id"]).join(sizes, "dim").withColumn("pack", F.pmod(F.xxhash64("vec_id"), F.col("packs")).cast("int"))
+    once = every.filter(is_query).groupBy("vec_id").agg(F.min(F.struct("v", "dim")).alias("q"))
+    queries = once.select("vec_id", "q.v", "q.dim").join(sizes, "dim").withColumn("pack", F.pmod(F.xxhash64("vec_id"), F.col("packs")).cast("int"))
     packed = queries.select("vec_id", "v", "dim", "blocks", "pack").groupBy("dim", "blocks", "pack").applyInArrow(_packs, "dim int, blocks long, ids binary, vectors binary")
     sent = packed.select("dim", "ids", "vectors", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("b"))
     near = placed.groupBy("dim", "b").cogroup(sent.groupBy("dim", "b")).applyInArrow(search_block(s), NEAR)

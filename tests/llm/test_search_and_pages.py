@@ -190,3 +190,11 @@ def test_bounds_of_memory_do_not_change_texts(monkeypatch, bounds):
         shuffled = random.Random(seed).sample(pages, len(pages))
         reader = texts(shuffled)
         assert {p: reader.text(p) for p in pages} == plain
+
+
+def test_an_id_that_repeats_is_asked_by_its_least_vector(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(1, 40)] + [(100, [30.0, 1.0]), (100, [5.0, 1.0]), (100, [20.0, 1.0])]
+    for parts in (1, 3):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(parts)
+        got = sorted((r["rank"], r.vec_id) for r in ann.nearest(df, F.col("vec_id") == 100).collect())
+        assert [i for _, i in got][:3] == [5, 4, 6]

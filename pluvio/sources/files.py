@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pluvio.config import Bounds
 from pluvio.functions.palette import DETECTOR_DISTANCE, TIERS
+from pluvio.operators import mosaic
 
 MANIFEST = "version string, generated long, host string, radar struct<past:array<struct<time:long,path:string>>,nowcast:array<struct<time:long,path:string>>>"
 FORECAST = "hourly struct<time:array<string>,precipitation_probability:array<double>>, current struct<precipitation:double>"
@@ -111,61 +112,22 @@ def tile_levels(tile_rows: DataFrame) -> DataFrame:
     return tile_rows.filter(F.col("channels") == 4).select("epoch", "x", "y", "width", "height", "data").mapInArrow(_decoded, LEVELS)
 
 
-def _weights(size: int, wanted: int) -> np.ndarray:
-    """What each of ``size`` pixels adds to each of ``wanted``: a triangle as wide as a step, or as
-    a pixel where the image grows."""
-    scale = size / wanted
-    centre = (np.arange(wanted) + 0.5) * scale
-    away = np.abs(np.arange(size)[None] + 0.5 - centre[:, None]) / max(scale, 1.0)
-    w = np.maximum(1 - away, 0.0)
-    return w / w.sum(1, keepdims=True)
-
-
-def resized(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """An image of bytes in another size, bilinear, rounded after each direction."""
-    if image.shape[1] != width:
-        image = np.floor(image @ _weights(image.shape[1], width).T + 0.5)
-    if image.shape[0] != height:
-        image = np.floor(_weights(image.shape[0], height) @ image + 0.5)
-    return image.astype(np.uint8)
-
-
-GRID = "epoch long, r long, c long, inten double"
-_GRID = pa.schema([("epoch", pa.int64()), ("r", pa.int64()), ("c", pa.int64()), ("inten", pa.float64())])
-
-
 def stitched(decoded: DataFrame, zoom: int, bounds: Bounds, width: int, height: int) -> DataFrame:
-    """epoch, r, c, inten of the pixels with echo of the box ``bounds``, from the tiles around its
-    centre that overlap it. Rows count as linear in latitude within the stitched tiles; a tile that
-    is missing is empty. A frame is one group, bounded by the 5 x 5 tiles that may take part."""
-    cx, cy = tile_at((bounds.lat_min + bounds.lat_max) / 2, (bounds.lon_min + bounds.lon_max) / 2, zoom)
-    near = {(cx + i, cy + j): tile_box(cx + i, cy + j, zoom) for i in range(-2, 3) for j in range(-2, 3)}
-    wanted = {t for t, b in near.items() if b.lon_max > bounds.lon_min and b.lon_min < bounds.lon_max and b.lat_max > bounds.lat_min and b.lat_min < bounds.lat_max}
-    if not wanted:
-        return decoded.sparkSession.createDataFrame([], GRID)
-    (x0, x1), (y0, y1) = ((min(v), max(v)) for v in zip(*wanted, strict=True))
-    west, east = near[x0, y0].lon_min, near[x1, y0].lon_max
-    north, south = near[x0, y0].lat_max, near[x0, y1].lat_min
-
-    def frame(table: pa.Table) -> pa.Table:
-        tiles = table.to_pylist()
-        side = tiles[0]["width"]
-        canvas = np.zeros(((y1 - y0 + 1) * side, (x1 - x0 + 1) * side), np.uint8)
-        for t in tiles:
-            top, left = (t["y"] - y0) * side, (t["x"] - x0) * side
-            canvas[top : top + side, left : left + side] = np.frombuffer(t["levels"], np.uint8).reshape(side, side)
-        h, w = canvas.shape
-        rows = [int((north - lat) / (north - south) * h) for lat in (bounds.lat_max, bounds.lat_min)]
-        cols = [int((lon - west) / (east - west) * w) for lon in (bounds.lon_min, bounds.lon_max)]
-        crop = canvas[max(0, rows[0]) : min(h, rows[1]), max(0, cols[0]) : min(w, cols[1])]
-        if not crop.size:
-            return _GRID.empty_table()
-        image = resized(crop, height, width)
-        r, c = np.nonzero(image)
-        return pa.table([pa.array(np.full(len(r), tiles[0]["epoch"])), pa.array(r), pa.array(c), pa.array(image[r, c] / 255.0)], schema=_GRID)
-
-    inside = decoded.filter(F.col("x").between(x0, x1) & F.col("y").between(y0, y1))
-    return inside.groupBy("epoch").applyInArrow(frame, GRID)
+    """epoch, r, c, inten of the pixels with echo of the box ``bounds``, from the tiles around its centre
+    that overlap it."""
+    box = decoded.sparkSession.createDataFrame([(0, bounds.lat_min, bounds.lat_max, bounds.lon_min, bounds.lon_max)], "view_id long, lat_min double, lat_max double, lon_min double, lon_max double")
+    return stitched_at(decoded, box, zoom, width, height).drop("view_id")
+
+
+def stitched_at(decoded: DataFrame, boxes: DataFrame, zoom: int, width: int, height: int, side: int | None = None) -> DataFrame:
+    """The same of many boxes (view_id, lat_min, lat_max, lon_min, lon_max): view_id, epoch, r, c, inten.
+    Tiles of another size than ``side`` (by default that of most) are brought to it first."""
+    if side is None:
+        most = decoded.groupBy("width").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "width").first()  # one row
+        side = most["width"] if most else 256
+    views = mosaic.analysis_views(boxes, zoom, width, height, side)
+    images = mosaic.mosaic(decoded.withColumnRenamed("levels", "data"), views, 1, side)
+    return mosaic.pixels(images, 1).filter("level > 0").select("view_id", "epoch", F.col("row").alias("r"), F.col("col").alias("c"), (F.col("level") / 255.0).alias("inten"))
 
 
 def tile_at(lat: float, lon: float, zoom: int) -> tuple[int, int]:

@@ -228,7 +228,7 @@ def test_tiles_stitch_to_a_grid(spark):
 
 
 def test_resizing_keeps_even_surfaces():
-    from pluvio.sources import files
+    from pluvio.operators import mosaic as files
 
     even = np.full((10, 14), 96, np.uint8)
     assert (files.resized(even, 7, 5) == 96).all() and (files.resized(even, 23, 31) == 96).all()

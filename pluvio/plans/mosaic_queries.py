@@ -4,6 +4,7 @@ Tiles are those of ``events`` as a raster 256 pixels wide: 16 x 16 pixels, 16 of
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -11,10 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pluvio.operators import mosaic
+from pluvio.operators import frames, mosaic
 from pluvio.plans.oracle import COLOURS, GEO, NEAREST
 from pluvio.plans.scalar_queries import _LAT, _X, _Y
-from pluvio.sources import files, tables
+from pluvio.sources import files, state, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -161,3 +162,53 @@ def stitched_grid(spark, sf_dir):
     images = mosaic.mosaic(decoded, mosaic.analysis_views(box, ZOOM, *_GRID, SIDE), 1, SIDE)
     level = mosaic.pixels(images, 1).filter("level > 0")
     return level.select("view_id", "epoch", F.col("row").alias("r"), F.col("col").alias("c"), F.round(F.col("level") / 255.0, 6).alias("inten"))
+
+
+# Tiles as files, some of them damaged
+
+
+def _files(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """A folder of tiles as PNG files, of which by a rule some are cut off, empty or absent; and the tiles wanted."""
+
+    def encoded(batches):
+        for batch in batches:
+            rows = []
+            for t in batch.to_pylist():
+                data = files.png(np.frombuffer(t["data"], np.uint8).reshape(t["height"], t["width"], 4))
+                kind = (t["epoch"] + t["x"] + t["y"]) % 5
+                rows.append({"epoch": t["epoch"], "zoom": ZOOM, "x": t["x"], "y": t["y"], "scheme": 2, "content": data[: len(data) // 2] if kind == 1 else b"" if kind == 2 else data})
+            yield from pa.Table.from_pylist(rows, schema=pa.schema([*((n, pa.int64()) for n in files.TILE_KEY), ("content", pa.binary())])).to_batches()
+
+    made = tiles(spark, sf_dir)
+    folder = f"{state.shared_folder(spark)}/tiles-{uuid.uuid4().hex}"
+    files.write_tiles(made.filter("(epoch + x + y) % 5 <> 3").mapInArrow(encoded, files.TILE_FILE), folder)
+    return folder, made.select("epoch", F.lit(ZOOM).cast("long").alias("zoom"), "x", "y", F.lit(2).cast("long").alias("scheme"))
+
+
+_TILE_LIST = f"tile_list as (select distinct epoch, x//{SIDE} as tx, y//{SIDE} as ty from raster)"
+_STATUS = "case (epoch+tx+ty)%5 when 1 then 'unreadable' when 2 then 'empty' when 3 then 'absent' else 'ok' end"
+
+
+@query(f"with {COLOURS}, {_RASTER}, {_TILE_LIST} select epoch::bigint as epoch, tx::bigint as x, ty::bigint as y, {_STATUS} as status from tile_list")
+def fetch_status(spark, sf_dir):
+    """What came of each tile that was wanted."""
+    folder, wanted = _files(spark, sf_dir)
+    return files.fetched(spark, folder, wanted).select("epoch", "x", "y", "status")
+
+
+@query(f"with {COLOURS}, {_RASTER}, {_TILE_LIST} select epoch::bigint as epoch, count(*) as n_tiles, count(*) filter (where {_STATUS} = 'ok') as n_ok, count(*) filter (where {_STATUS} = 'ok') > 0 as fetch_ok from tile_list group by 1")
+def fetch_frames(spark, sf_dir):
+    """Whether a frame counts, by the tiles that came."""
+    folder, wanted = _files(spark, sf_dir)
+    return files.frame_fetches(files.fetched(spark, folder, wanted))
+
+
+@query(f"""with {COLOURS}, {_RASTER}, {_TILE_LIST}, tile_pixels as (select l.epoch, tx, ty, i, j, coalesce((r+g+b)/3.0, 0) as luma from tile_list l cross join range(3, 14) a(i) cross join range(3, 14) b(j) left join raster p on p.epoch = l.epoch and p.y = ty*{SIDE}+i and p.x = tx*{SIDE}+j)
+select epoch::bigint as epoch, tx::bigint as x, ty::bigint as y, round(case when {_STATUS} = 'ok' then avg((luma >= 120)::int) end, 6) as fraction from tile_pixels group by epoch, tx, ty""")
+def ir_fraction(spark, sf_dir):
+    """The share of bright pixels around the middle of each infrared tile; null where the tile didn't come."""
+    folder, wanted = _files(spark, sf_dir)
+    met = files.fetched(spark, folder, wanted)
+    bright = files.tile_pixels(met.filter("status = 'ok'")).withColumn("location_id", F.struct("epoch", "x", "y")).withColumns({"loc_row": F.lit(8), "loc_col": F.lit(8)})
+    share = frames.cloud_fraction(bright, 5, 120.0, SIDE).select("location_id.*", "fraction")
+    return met.select("epoch", "x", "y").join(share, ["epoch", "x", "y"], "left").select("epoch", "x", "y", F.round("fraction", 6).alias("fraction"))

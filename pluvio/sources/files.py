@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,10 +52,11 @@ def observations(spark: SparkSession, path: str) -> DataFrame:
 def tiles(spark: SparkSession, path: str) -> DataFrame:
     """epoch, zoom, x, y, scheme, width, height, data of PNG tiles, by Spark's image source;
     files that don't decode have no row. Bytes are blue, green, red, alpha."""
-    t = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(path)
+    t = spark.read.format("image").option("dropInvalid", True).option("ignoreCorruptFiles", True).option("recursiveFileLookup", True).load(path)
     origin = F.col("image.origin")
-    parts = [F.regexp_extract(origin, TILE_NAME, i).cast("long").alias(n) for i, n in enumerate(("epoch", "zoom", "x", "y", "scheme"), 1)]
-    return t.select(*parts, F.col("image.width").alias("width"), F.col("image.height").alias("height"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
+    parts = [F.regexp_extract(origin, TILE_NAME, i).try_cast("long").alias(n) for i, n in enumerate(("epoch", "zoom", "x", "y", "scheme"), 1)]
+    named = t.select(*parts, F.col("image.width").alias("width"), F.col("image.height").alias("height"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
+    return named.filter("epoch is not null")  # other files are no tiles
 
 
 PIXELS = "epoch long, x long, y long, row int, col int, r int, g int, b int, alpha int"
@@ -146,3 +150,67 @@ def write_layers(frames_df: DataFrame, folder: str, classify) -> None:
     """Bronze rows as they come, and silver ones with a class, both by frame."""
     frames_df.write.mode("overwrite").partitionBy("frame_idx").parquet(f"{folder}/bronze")
     frames_df.withColumn("classification", classify).write.mode("overwrite").partitionBy("frame_idx").parquet(f"{folder}/silver")
+
+
+def png(rgba: np.ndarray) -> bytes:
+    """An image of four channels as a PNG file."""
+    h, w, _ = rgba.shape
+
+    def chunk(kind: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    rows = np.concatenate([np.zeros((h, 1), np.uint8), rgba.reshape(h, -1)], 1)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows.tobytes())) + chunk(b"IEND", b"")
+
+
+TILE_FILE = "epoch long, zoom long, x long, y long, scheme long, content binary"
+
+
+def write_tiles(tile_files: DataFrame, folder: str) -> None:
+    """Files of tiles (TILE_FILE) under ``folder``/epoch, named as the scan expects. A task that runs again writes
+    the same files."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for t in batch.to_pylist():
+                system.create_dir(f"{root}/{t['epoch']}", recursive=True)
+                with system.open_output_stream(tile_file(root, t)) as f:
+                    f.write(t["content"])
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    tile_files.select(*[c.split()[0] for c in TILE_FILE.split(", ")]).mapInArrow(write, "n long").agg(F.sum("n")).collect()  # one number
+
+
+TILE_KEY = ("epoch", "zoom", "x", "y", "scheme")
+
+
+def tile_file(root: str, t: dict) -> str:
+    return f"{root}/{t['epoch']}/{t['zoom']}_{t['x']}_{t['y']}_s{t['scheme']}.png"
+
+
+def fetched(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
+    """``wanted`` tiles (TILE_KEY) with status (ok, absent, empty or unreadable) and, where ok, their image.
+    A file that is cut off or isn't an image costs its own tile and no more. Spark's scans pass over empty
+    files, so the tasks ask for the size of each."""
+
+    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            found = system.get_file_info([tile_file(root, t) for t in batch.to_pylist()])
+            sizes = [f.size if f.type == fs.FileType.File else None for f in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64())], names=[*TILE_KEY, "length"])
+
+    key = [F.col(c).cast("long").alias(c) for c in TILE_KEY]
+    there = wanted.select(*key).mapInArrow(sized, ", ".join(f"{c} long" for c in (*TILE_KEY, "length")))
+    images = tiles(spark, folder).dropDuplicates(list(TILE_KEY)).withColumn("_read", F.lit(True))
+    met = there.join(images, list(TILE_KEY), "left")
+    status = F.when(F.col("length").isNull(), "absent").when(F.col("length") == 0, "empty").when(F.col("_read").isNull(), "unreadable").otherwise("ok")
+    return met.withColumn("status", status).drop("_read", "length")
+
+
+def frame_fetches(fetched_tiles: DataFrame) -> DataFrame:
+    """Per frame how many of its tiles are there, and whether it counts (a frame of which nothing came
+    does not; its grid is one of zeros)."""
+    n = fetched_tiles.groupBy("epoch").agg(F.count(F.lit(1)).alias("n_tiles"), F.count_if(F.col("status") == "ok").alias("n_ok"))
+    return n.withColumn("fetch_ok", F.col("n_ok") > 0)

@@ -34,6 +34,29 @@ def load_clutter(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], CLUTTER)
 
 
+def clutter_or_warning(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The saved clutter state and a relation of warnings (path, warning). State that can't be read counts as none:
+    each file is tried for itself, so that detection goes on without it."""
+    empty, none = spark.createDataFrame([], CLUTTER), spark.createDataFrame([], "path string, warning string")
+    try:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path", "length")
+        n_files = files.count()
+    except AnalysisException:
+        return empty, none  # nothing saved yet
+    if not n_files:
+        return empty, none
+    whole = spark.read.schema(CLUTTER).option("ignoreCorruptFiles", True).parquet(path)
+    read = whole.select(F.input_file_name().alias("path")).distinct()
+    bare = F.regexp_replace("path", "^file:/*", "/")
+    lost = files.withColumn("_p", bare).join(read.select(bare.alias("_p")), "_p", "left_anti")
+    # a file without rows isn't lost; it still has Parquet's mark at both ends
+    ends = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path", F.substring("content", 1, 4).alias("head"), F.expr("substring(content, -4, 4)").alias("tail"))
+    mark = F.lit(bytearray(b"PAR1"))
+    broken = ends.join(lost.select("path"), "path", "left_semi").filter((F.col("head") != mark) | (F.col("tail") != mark))
+    warnings = broken.select("path", F.lit("clutter state is unreadable; going on without it").alias("warning"))
+    return (empty if not warnings.isEmpty() else whole), warnings
+
+
 def save_clutter(state: DataFrame, path: str) -> None:
     state.select(*[c.split()[0] for c in CLUTTER.split(", ")]).write.mode("overwrite").parquet(path)
 

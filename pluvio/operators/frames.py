@@ -64,13 +64,3 @@ def transition(pixels: DataFrame, band: Column) -> DataFrame:
     first = b.filter("frame_idx = 0").select("row", "col", F.col("band").alias("band0"))
     second = b.filter("frame_idx = 1").select("row", "col", F.col("band").alias("band1"))
     return first.join(second, ["row", "col"]).groupBy("band0", "band1").agg(F.count(F.lit(1)).alias("n"))
-
-
-def as_of(events: DataFrame, states: DataFrame, key: str, at: str, state_at: str, value: str) -> DataFrame:
-    """Each event with the latest state of its key at or before it, in one pass: both sides are
-    sorted together within the key and the last state is carried on."""
-    e = events.withColumn("_at", F.col(at)).withColumn("_kind", F.lit(1)).withColumn("_state", F.lit(None).cast(states.schema[value].dataType))
-    s = states.select(key, F.col(state_at).alias("_at"), F.lit(0).alias("_kind"), F.col(value).alias("_state"))
-    by = Window.partitionBy(key).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    both = e.unionByName(s, allowMissingColumns=True).withColumn(value, F.last("_state", ignorenulls=True).over(by))
-    return both.filter("_kind = 1").drop("_at", "_kind", "_state")

@@ -98,3 +98,11 @@ def refine(labelled: DataFrame, conf: DataFrame, cells: DataFrame, q: Quality |
     post = q.speed_weight * speed_score(F.col("speed_kmh"), q) + q.motion_weight * motion_score(F.col("cell_conf"), q)
     value = (pre * F.col("conf") + post) / (pre + q.speed_weight + q.motion_weight)
     return at.select(*PIXEL, F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)).alias("refined"))
+
+
+def by_position(evaluated: DataFrame) -> DataFrame:
+    """Tracked cells (TRACK, location_id, speed_kmh, mean_conf) as ``refine`` takes them, with labels by their
+    place in the list of a location's cells instead of their own: the first has label 1. Earlier releases
+    mapped cells so; where a cell was left out, later ones lend their scores to other cells."""
+    by = Window.partitionBy("session_id", "location_id").orderBy("root_frame", "root_label")
+    return evaluated.select("session_id", "location_id", F.row_number().over(by).alias("label"), "speed_kmh", F.col("mean_conf").alias("cell_conf"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pluvio.functions.geo import haversine_km
+from pluvio.operators import nearest, scans
 
 
 def observed(predictions: DataFrame, observations: DataFrame, after_s: int, least_mm: float = 0.2, before_s: int = 0) -> DataFrame:
@@ -87,12 +87,8 @@ def lead_time(predictions: DataFrame, observations: DataFrame, after_s: int, lea
 
 
 def nearest_station(places: DataFrame, stations: DataFrame) -> DataFrame:
-    """Per place the nearest station, of equal distances the lesser id. Stations are a small
-    dimension; Spark broadcasts them while their size allows."""
-    met = places.crossJoin(stations)
-    km = haversine_km(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon"))
-    best = met.groupBy("location_id").agg(F.min(F.struct(km.alias("km"), F.col("station"))).alias("_b"))
-    return best.select("location_id", F.col("_b.station").alias("station"), F.col("_b.km").alias("km"))
+    """Per place the nearest station, of equal distances the lesser id."""
+    return nearest.nearest(places, stations, "location_id", "station")
 
 
 def windows(frames: DataFrame, length: int, first: int, last: int) -> DataFrame:
@@ -110,9 +106,8 @@ def alarm_kind(arrival_min: Column) -> Column:
 
 def miss_runs(judged: DataFrame) -> DataFrame:
     """Runs of consecutive misses of a station: islands between other outcomes."""
-    by = Window.partitionBy("station").orderBy("t", "event_id")
     miss = ~F.col("predicted") & F.col("observed")
-    each = judged.withColumn("_m", miss).withColumn("_island", F.sum((~miss).cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    each = scans.running_sum(judged.withColumn("_m", miss), "station", "t", ["t", "event_id"], (~F.col("_m")).cast("int"), "_island")
     runs = each.filter("_m").groupBy("station", "_island").agg(F.count(F.lit(1)).alias("length"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
     return runs.drop("_island")
 

@@ -379,6 +379,20 @@ def detect_accelerated(spark, sf_dir):
     return _detected(spark, sf_dir, replace(D, accelerate=True))
 
 
+_OWN_PLACE = "location_id = session_id % 25"
+
+
+@query(sql_qc("mtlA", f", tracked as (select session_id, row_number() over (partition by session_id order by root_frame, root_label)::int as label, speed_kmh, mean_conf as cell_conf from evaluated where {_OWN_PLACE}),\nrefined as" + _REFINED.partition("refined as")[2] + " select session_id, frame_idx, r, c, round(refined,6) as refined from refined"))
+def qc_refine_compat(spark, sf_dir):
+    """Refinement with cells mapped to labels by their place in the list; each session has one place of its own."""
+    pixels, conf = tables.pixels(spark, sf_dir), _confidence(spark, sf_dir)
+    a = detect.analyse(qc.effective(pixels, conf), D, pixels)
+    own = pixels.select("session_id").distinct().withColumn("location_id", F.col("session_id") % 25).join(_places(spark, sf_dir), "location_id")
+    cells = qc.by_position(detect.evaluate(a, own, D, LAST, confidence=conf)).drop("location_id")
+    last = a.labelled.filter(F.col("frame_idx") == LAST)
+    return qc.refine(last, conf.filter(F.col("frame_idx") == LAST), cells).select("session_id", "frame_idx", "r", "c", *_r("refined"))
+
+
 @query(sql_qc("mtlA", "select session_id, location_id, round(max(mean_conf),6) as max_confidence, count(*) as n_cells from evaluated group by all"))
 def tracked_confidence(spark, sf_dir):
     """The greatest mean confidence of the cells tracked for a place."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pluvio.config import Grid
 from pluvio.functions import gates, geo, palette
-from pluvio.operators import frames, render, verify
+from pluvio.operators import frames, render, scans, verify
 from pluvio.plans.oracle import COLOURS, GEO, NEAREST, OBS, PLACES, PRED, sql
 from pluvio.sources import tables
 
@@ -520,5 +520,5 @@ def curated_subset(spark, sf_dir):
 def latest_observation(spark, sf_dir):
     """The latest observation of its station at or before each prediction (as-of join)."""
     s = tables.observations(spark, sf_dir).groupBy("station", "obs").agg(F.sum("rain_mm").alias("last_mm"))
-    out = frames.as_of(tables.predictions(spark, sf_dir), s, "station", "t", "obs", "last_mm")
+    out = scans.as_of(tables.predictions(spark, sf_dir), s, "station", "t", "obs", "last_mm")
     return out.select("event_id", "station", "t", "last_mm")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pluvio.functions import gates, palette
-from pluvio.operators import components, filters, frames, qc, tracking, verify
+from pluvio.operators import components, filters, frames, qc, scans, tracking, verify
 from pluvio.sources import files, state
 from pluvio.streaming import clutter
 
@@ -94,7 +94,7 @@ def test_forward_window_excludes_its_start(spark):
 def test_as_of_takes_the_latest_at_or_before(spark):
     e = spark.createDataFrame([(1, 10), (1, 5), (2, 10)], "k long, t long")
     s = spark.createDataFrame([(1, 6, 0.5), (1, 10, 0.7), (1, 11, 0.9)], "k long, t long, v double")
-    got = {(r.k, r.t): r.v for r in frames.as_of(e, s, "k", "t", "t", "v").collect()}
+    got = {(r.k, r.t): r.v for r in scans.as_of(e, s, "k", "t", "t", "v").collect()}
     assert got == {(1, 10): 0.7, (1, 5): None, (2, 10): None}
 
 

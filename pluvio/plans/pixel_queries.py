@@ -159,27 +159,6 @@ def forward_projection(spark, sf_dir):
     return arrival.projection(placed, D).filter("w06_s is not null").select(*TRACK, "location_id", "w06_s")
 
 
-def _paths(spark, sf_dir):
-    a = _analysis(spark, sf_dir)
-    gated = tracking.gate(tracking.summary(a.entries), D, LAST).select(*TRACK)
-    return a, a.entries.join(gated, TRACK, "left_semi"), _places(spark, sf_dir)
-
-
-@query(sql("pcmtla", f"select {KEYS}, location_id, round(w04_s,6) w04_s from closing where w04_s is not null"))
-def closing_distance(spark, sf_dir):
-    _, entries, places = _paths(spark, sf_dir)
-    out = arrival.closing_distance(arrival.centroid_trend(entries.crossJoin(places), D), D)
-    return out.filter("w04_s is not null").select(*TRACK, "location_id", *_r("w04_s"))
-
-
-@query(sql("pcmtla", f"select {KEYS}, location_id, round(w05_s,6) w05_s from edge where w05_s is not null"))
-def leading_edge(spark, sf_dir):
-    a, entries, places = _paths(spark, sf_dir)
-    pixels = a.labelled.join(entries.select(*TRACK, "frame_idx", "label"), ["session_id", "frame_idx", "label"]).crossJoin(places)
-    out = arrival.leading_edge(arrival.edge_trend(pixels, D), D)
-    return out.filter("w05_s is not null").select(*TRACK, "location_id", *_r("w05_s"))
-
-
 @query(sql("pcmtla", "select session_id, location_id, rain_frame, rain_intensity from rain"))
 def rain_at_location(spark, sf_dir):
     return arrival.rain_at_location(tables.pixels(spark, sf_dir), _places(spark, sf_dir), D, LAST)

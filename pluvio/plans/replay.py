@@ -101,8 +101,9 @@ def _edges(placed: DataFrame, labelled: DataFrame, d: Detector) -> DataFrame:
     return met.agg(*[F.max(F.when(F.col("i") == i, F.col("km"))).alias(c) for i, c in enumerate(("edge_first", "edge_before", "edge_last"))])
 
 
-def evaluate(a: detect.Analysis, where: DataFrame, d: Detector, length: int, gates: DataFrame | None = None, ends: DataFrame | None = None) -> DataFrame:
-    """Per window, gated track and spot what ``detect.decided`` says of it."""
+def estimates(a: detect.Analysis, where: DataFrame, d: Detector, length: int, gates: DataFrame | None = None, ends: DataFrame | None = None, every_edge: bool = False) -> DataFrame:
+    """Per window, gated track and spot the estimates of its arrival: by its way (w06_s), its centroid (w04_s) and
+    its edge (w05_s; unless ``every_edge``, only where it decides)."""
     tracks = ended_tracks(a.entries, d, length)
     if ends is not None:
         tracks = tracks.join(ends.select(*WINDOW), WINDOW, "left_semi")
@@ -131,12 +132,17 @@ def evaluate(a: detect.Analysis, where: DataFrame, d: Detector, length: int, gat
     down = F.greatest(F.col("r_min") - F.col("loc_row"), F.col("loc_row") - F.col("r_max"), F.lit(0))
     across = F.greatest(F.col("c_min") - F.col("loc_col"), F.col("loc_col") - F.col("c_max"), F.lit(0))
     # the edge decides where neither the way ahead nor the centroid does
-    asked = ~F.col("overhead") & (F.col("n") > 1) & (~F.col("coherent") | (F.col("w06_s").isNull() & F.col("w04_s").isNull()))
+    decides = ~F.col("overhead") & (~F.col("coherent") | (F.col("w06_s").isNull() & F.col("w04_s").isNull()))
+    asked = (F.col("n") > 1) & (F.lit(True) if every_edge else decides)
     edges = _edges(placed.filter(asked & (F.sqrt(down * down + across * across) <= far)), a.labelled, d)
     keys = [*TRACK, "end_frame", *SPOT]
     every = placed.join(edges, keys, "left").withColumns({"first_km": F.col("edge_first"), "before_km": F.col("edge_before"), "last_km": F.col("edge_last")})
-    every = every.withColumn("w05_s", arrival.edge_eta(d, F.col("proximity_km"), F.col("lookahead_s"))).withColumn("mean_conf", F.lit(1.0))
-    return detect.decided(every, d, keys)
+    return every.withColumn("w05_s", arrival.edge_eta(d, F.col("proximity_km"), F.col("lookahead_s"))).withColumn("mean_conf", F.lit(1.0))
+
+
+def evaluate(a: detect.Analysis, where: DataFrame, d: Detector, length: int, gates: DataFrame | None = None, ends: DataFrame | None = None) -> DataFrame:
+    """Per window, gated track and spot what ``detect.decided`` says of it."""
+    return detect.decided(estimates(a, where, d, length, gates, ends), d, [*TRACK, "end_frame", *SPOT])
 
 
 def windows(frames: DataFrame, length: int, first: int, last: int) -> DataFrame:

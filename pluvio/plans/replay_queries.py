@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pluvio.operators import arrival, filters, tracking, verify
 from pluvio.plans import detect, replay, scalar_queries
 from pluvio.plans.oracle import ARRIVALS, D, KM, PIXELS, PX, TRACKS, sql
-from pluvio.plans.pixel_queries import LAST, _places, _r
+from pluvio.plans.pixel_queries import KEYS, LAST, _places, _r
 from pluvio.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,6 +151,29 @@ def detection_sweep(spark, sf_dir):
     return radius.select("radius_km", "session_id", "location_id", "rain_expected", *_r("arrival_s", "max_intensity"), "rain_at_location", "n_cells")
 
 
+# Estimates of the arrival of all gated tracks at all places, of the window that is a whole session
+
+
+def _estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = tables.pixels(spark, sf_dir)
+    where = replay.spots(_places(spark, sf_dir), D)
+    return replay.estimates(detect.analyse(pixels, D), where, D, tables.FRAMES, ends=replay.windows(pixels, tables.FRAMES, LAST, LAST), every_edge=True)
+
+
+def _root(e: DataFrame, *names: str) -> DataFrame:
+    return e.select("session_id", F.col("first.frame_idx").alias("root_frame"), F.col("first.label").alias("root_label"), "location_id", *names)
+
+
+@query(sql("pcmtla", f"select {KEYS}, location_id, round(w04_s,6) w04_s from closing where w04_s is not null"))
+def closing_distance(spark, sf_dir):
+    return _root(_estimates(spark, sf_dir).filter("w04_s is not null"), *_r("w04_s"))
+
+
+@query(sql("pcmtla", f"select {KEYS}, location_id, round(w05_s,6) w05_s from edge where w05_s is not null"))
+def leading_edge(spark, sf_dir):
+    return _root(_estimates(spark, sf_dir).filter("w05_s is not null"), *_r("w05_s"))
+
+
 # Gates by place and poll
 
 _GATES = f"""{scalar_queries._HOURS},

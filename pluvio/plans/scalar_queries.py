@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pluvio.config import Grid
 from pluvio.functions import gates, geo, palette
-from pluvio.operators import frames, render, scans, verify
+from pluvio.operators import filters, frames, render, scans, verify
 from pluvio.plans.oracle import COLOURS, GEO, NEAREST, OBS, PLACES, PRED, sql
 from pluvio.sources import tables
 
@@ -431,13 +431,11 @@ def fetch_guard(spark, sf_dir):
     return frames.fetch_guard(_cache(spark, sf_dir))
 
 
-@query("select session_id, frame_idx from (select session_id, frame_idx, row_number() over (partition by session_id order by frame_idx desc) as k from (select distinct date_diff('day', timestamp '2024-01-01', ts) as session_id, (event_id//7)%8 as frame_idx from events where event_id%20<>0)) where k <= 5")
+@query(sql("p", "select session_id, frame_idx from (select session_id, frame_idx, row_number() over (partition by session_id order by frame_idx desc) as k from (select distinct session_id, frame_idx from pixels)) where k <= 5"))
 def manifest_latest_frames(spark, sf_dir):
-    from pluvio.operators.filters import last_frames
+    """The five newest frames of each session."""
+    return filters.last_frames(tables.pixels(spark, sf_dir).select("session_id", "frame_idx").distinct(), 5)
 
-    e = tables.table(spark, sf_dir, "events").filter("event_id % 20 <> 0")
-    f = e.select(tables._session(F.col("ts")).alias("session_id"), (F.expr("event_id div 7") % 8).alias("frame_idx")).distinct()
-    return last_frames(f, 5)
 
 
 # Verification

@@ -9,10 +9,6 @@ import pytest
 from pluvio.plans import registry
 from tests.conftest import SMALL
 
-#: Those that only reduce what another query of this list returns, and take as long.
-DERIVED = {"earliest_arrival", "sensor_states", "last_rain_state", "max_cell_confidence", "qc_last_frame_refine", "speed_cap", "track_peak", "track_gate", "qc_per_frame", "fetch_guard", "proximity_sweep"}
-
-
 def rows(frame):
     def plain(v):
         if hasattr(v, "tolist"):
@@ -35,7 +31,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", [n for n in registry.SQL if n not in DERIVED])
+@pytest.mark.parametrize("name", [n for n in registry.SQL if n not in registry.OTHER_NAMES])
 def test_twin(spark, duck, name):
     got = registry.QUERIES[name](spark, SMALL).toPandas()
     want = duck.execute(registry.SQL[name]).df()

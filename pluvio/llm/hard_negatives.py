@@ -21,8 +21,8 @@ of the row (documented bound; every row is indexed). The index is written once.
 waves of anchors have bounded sizes, and anchors travel in packs; only the best of each anchor or
 window leave a task.
 
-Defined results: rows with a null id or label, a null vector, or null or non-finite components take
-no part; components and scores beyond 64 bits count as the last that fits; vectors meet those with as
+Defined results: rows with a null id or label, a vector that is null or empty, or null or non-finite
+components take no part; components and scores beyond 64 bits count as the last that fits; vectors meet those with as
 many components; an id that repeats is an anchor once, by its least vector and label, while all of its
 rows are positives and negatives for others; ties go to the smaller id, and a positive that repeats
 has a window each time; an anchor without another row of its label, or a window without rows, has no

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from pluvio.operators import arrival, filters
 from pluvio.plans import detect, pixel_queries
-from pluvio.plans.oracle import PX, D, sql
+from pluvio.plans.oracle import GEO, PX, D, sql
+from pluvio.plans.scalar_queries import _X, _Y
 from pluvio.sources import files, manifest_source, state, tables
 from pluvio.streaming import clutter, frames, tracks
 
@@ -256,6 +257,25 @@ def manifest_stream(spark, sf_dir):
     return _named(spark.read.schema(manifest_source.SCHEMA).parquet(f"{folder}/out"))
 
 
+@query(sql("p", f""", n as (select count(distinct (session_id, frame_idx)) as past from pixels), {GEO}, t as (select location_id, lat, lon, trunc({_X})::int as x, trunc({_Y})::int as y from geod)
+select location_id, round(lat,6) as lat, round(lon,6) as lon, n_name as name, x as center_x, y as center_y, (select past from n)::int as past, (select past from n)::int + 2 as frames, 25 as n_tiles, (x-2) || '/' || (y-2) || ' ' || (x+2) || '/' || (y-2) || ' ' || (x+2) || '/' || (y+2) as corners from t join nation on n_nationkey = location_id"""))
+def capture_documents(spark, sf_dir):
+    """What was captured of each place, written as documents and read back."""
+    folder = _folder(spark)
+    past = tables.pixels(spark, sf_dir).select("session_id", "frame_idx").distinct().agg(F.count(F.lit(1)).alias("past"))
+    named = tables.places(spark, sf_dir).join(tables.locations(spark, sf_dir).select("location_id", "name"), "location_id")
+    captured = named.crossJoin(F.broadcast(past)).withColumns({"captured": F.lit("2026-04-10 20:40:00").cast("timestamp"), "nowcast": F.lit(2)})  # one row
+    files.write_capture_info(files.capture_info(captured, 7), f"{folder}/info")
+    j = spark.read.schema(files.CAPTURE).option("recursiveFileLookup", True).json(f"{folder}/info").withColumn("location_id", F.regexp_extract(F.input_file_name(), "location_id=(\\d+)", 1).cast("long"))
+
+    def corner(i: int):
+        t = F.col("tile_coords")[i]
+        return F.concat_ws("/", t["x"].cast("string"), t["y"].cast("string"))
+
+    return j.select("location_id", F.round("location.lat", 6).alias("lat"), F.round("location.lon", 6).alias("lon"), "location.name", F.col("center_tile.x").alias("center_x"), F.col("center_tile.y").alias("center_y"),
+                    F.col("past_frame_count").alias("past"), F.col("frame_count").alias("frames"), F.size("tile_coords").alias("n_tiles"), F.concat_ws(" ", corner(0), corner(4), corner(24)).alias("corners"))
+
+
 @query("select epoch(date_trunc('hour', ts))::bigint as hour, case when (floor(max(value))::bigint % 4) <> 0 then ((floor(max(value))::bigint % 101)/10.0)::double end as mm from events group by 1")
 def current_precipitation(spark, sf_dir):
     """What falls now, from the service's JSON; null where the answer lacks it."""

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pluvio.config import Detector, Quality
+from pluvio.functions.geo import pixel_location
 from pluvio.operators import arrival, components, filters, qc, tiled, tracking
 from pluvio.operators.tracking import TRACK
 from pluvio.plans import detect
@@ -358,6 +359,24 @@ def detect_accelerated(spark, sf_dir):
     return _detected(spark, sf_dir, replace(D, accelerate=True))
 
 
+_B = D.grid.bounds
+_LINE = "  #%d: (%.2f, %.2f) speed=%.0fkm/h bearing=%.0f conf=%.2f"
+
+
+@query(sql_qc("mtlA", f"""select session_id, location_id, number::int as number, printf('{_LINE.replace("%d", "%s")}', number::varchar, lat, lon, speed_kmh, bearing, mean_conf) as line from (
+  select v.session_id, location_id, row_number() over (partition by v.session_id, location_id order by v.root_frame, v.root_label) as number, {_B.lat_max}::double - s.row_c/64.0*({_B.lat_max}::double-({_B.lat_min}::double)) as lat, {_B.lon_min}::double + s.col_c/64.0*({_B.lon_max}::double-{_B.lon_min}::double) as lon,
+    round(speed_kmh,6) as speed_kmh, round(bearing,6) as bearing, round(mean_conf,6) as mean_conf from evaluated v join summary s using (session_id, root_frame, root_label))"""))
+def report_cells(spark, sf_dir):
+    """The lines of a report that name the cells tracked for each place, in the order of their tracks."""
+    pixels, conf = tables.pixels(spark, sf_dir), _confidence(spark, sf_dir)
+    a = detect.analyse(qc.effective(pixels, conf), D, pixels)
+    found = detect.evaluate(a, _places(spark, sf_dir), D, LAST, confidence=conf)
+    number = F.row_number().over(Window.partitionBy("session_id", "location_id").orderBy("root_frame", "root_label"))
+    lat, lon = pixel_location(F.col("row_c"), F.col("col_c"), D.grid)
+    values = [lat, lon, *(F.round(c, 6) for c in ("speed_kmh", "bearing", "mean_conf"))]
+    return found.select("session_id", "location_id", number.alias("number"), F.format_string(_LINE, number, *values).alias("line"))
+
+
 _OWN_PLACE = "location_id = session_id % 25"
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pluvio.config import Bounds
+from pluvio.functions import geo
 from pluvio.functions.palette import DETECTOR_DISTANCE, TIERS
 from pluvio.operators import mosaic
 
@@ -214,3 +215,24 @@ def frame_fetches(fetched_tiles: DataFrame) -> DataFrame:
     does not; its grid is one of zeros)."""
     n = fetched_tiles.groupBy("epoch").agg(F.count(F.lit(1)).alias("n_tiles"), F.count_if(F.col("status") == "ok").alias("n_ok"))
     return n.withColumn("fetch_ok", F.col("n_ok") > 0)
+
+
+CAPTURE = "location struct<lat:double,lon:double,name:string>, capture_time_utc string, zoom int, center_tile struct<x:int,y:int>, grid_half int, tile_coords array<struct<x:int,y:int>>, detection_colour_scheme int, render_colour_scheme int, frame_count int, past_frame_count int, nowcast_frame_count int"
+
+
+def capture_info(places: DataFrame, zoom: int, half: int = 2, schemes: tuple[int, int] = (6, 2)) -> DataFrame:
+    """What was captured of each place (location_id, name, lat, lon, captured, past, nowcast): its document (CAPTURE)."""
+    x, y = geo.tile_xy(F.col("lat"), F.col("lon"), zoom)
+    around = F.sequence(F.lit(-half), F.lit(half))
+    tiles_of = F.flatten(F.transform(around, lambda dy: F.transform(around, lambda dx: F.struct((F.col("_x") + dx).alias("x"), (F.col("_y") + dy).alias("y")))))
+    p = places.withColumn("_x", x).withColumn("_y", y)
+    return p.select(
+        "location_id", F.struct("lat", "lon", "name").alias("location"), F.date_format("captured", "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("capture_time_utc"), F.lit(zoom).alias("zoom"),
+        F.struct(F.col("_x").alias("x"), F.col("_y").alias("y")).alias("center_tile"), F.lit(half).alias("grid_half"), tiles_of.alias("tile_coords"), F.lit(schemes[0]).alias("detection_colour_scheme"),
+        F.lit(schemes[1]).alias("render_colour_scheme"), (F.col("past") + F.col("nowcast")).cast("int").alias("frame_count"), F.col("past").cast("int").alias("past_frame_count"), F.col("nowcast").cast("int").alias("nowcast_frame_count"))
+
+
+def write_capture_info(info: DataFrame, folder: str) -> None:
+    """One JSON document for each place, in a folder of its own."""
+    fields = [c for c in info.columns if c != "location_id"]
+    info.select("location_id", F.to_json(F.struct(*fields)).alias("value")).repartition("location_id").write.mode("overwrite").partitionBy("location_id").text(folder)

@@ -39,28 +39,40 @@ def clutter_state(pixels: DataFrame, frames: int, q: Quality | None = None) -> D
     return s.select("session_id", "r", "c", "echo_count", F.lit(updates).alias("update_count"), freq.alias("freq"))
 
 
-def confidence(pixels: DataFrame, frames: int, q: Quality | None = None, grid: Grid | None = None, with_clutter: bool = True) -> DataFrame:
-    """``conf`` of each pixel of every frame, from the factors that are known.
+def confidence(pixels: DataFrame, frames: int, q: Quality | None = None, grid: Grid | None = None, with_clutter: bool = True, maturity: float | None = None) -> DataFrame:
+    """``conf`` of each pixel of every frame, from the factors that are known. ``maturity`` (0 to 1) of a clutter
+    statistic that is older than these frames; by default that of the frames alone.
 
     While the clutter statistic is young its weight moves to the other factors, and everything
     is a little less sure. Frame i sees the frames up to i; the clutter is the same for all."""
     q = q or Quality()
-    base = pixels.select(*PIXEL, "inten")
-    met = base.join(texture(pixels, q, grid), list(PIXEL), "left").join(temporal(pixels, q), list(PIXEL), "left")
+    mature = 0.0
+    if with_clutter:
+        mature = min(1.0, (1 - q.decay**frames) / (1 - q.decay) / q.mature_updates) if maturity is None else maturity
+    met = factors(pixels, frames, q, grid, with_clutter)
+    return met.select(*PIXEL, "inten", combined(q, mature, with_clutter).alias("conf"))
+
+
+def factors(pixels: DataFrame, frames: int, q: Quality, grid: Grid | None = None, with_clutter: bool = True) -> DataFrame:
+    """``pixels`` with texture, temporal and freq (null where unknown)."""
+    met = pixels.select(*PIXEL, "inten").join(texture(pixels, q, grid), list(PIXEL), "left").join(temporal(pixels, q), list(PIXEL), "left")
+    if not with_clutter:
+        return met
+    return met.join(clutter_state(pixels, frames, q).select("session_id", "r", "c", "freq"), ["session_id", "r", "c"], "left")
+
+
+def combined(q: Quality, mature: float, with_clutter: bool = True) -> Column:
+    """The confidence that follows from the factors of a pixel."""
     t, p = F.coalesce("texture", F.lit(0.0)), F.coalesce("temporal", F.lit(0.0))
     wt, wp, wc = q.texture_weight, q.temporal_weight, q.clutter_weight
-    mature = 0.0
     if with_clutter:
-        mature = min(1.0, (1 - q.decay**frames) / (1 - q.decay) / q.mature_updates)
         moved = wc * (1 - mature)
         wt, wp, wc = wt + moved * wt / (wt + wp), wp + moved * wp / (wt + wp), wc * mature
-        met = met.join(clutter_state(pixels, frames, q).select("session_id", "r", "c", "freq"), ["session_id", "r", "c"], "left")
         clutter = F.when(F.col("inten") > 0, 1 - F.coalesce("freq", F.lit(0.0))).otherwise(0.0)
         total = (wt * t + wp * p + wc * clutter) / (wt + wp + wc)
     else:
         total = (wt * t + wp * p) / (wt + wp)
-    penalty = 1.0 if mature >= 0.5 else 1.0 - 0.08 * (1.0 - mature * 2)
-    return met.select(*PIXEL, "inten", (total * penalty).alias("conf"))
+    return total * (1.0 if mature >= 0.5 else 1.0 - 0.08 * (1.0 - mature * 2))
 
 
 def effective(pixels: DataFrame, conf: DataFrame) -> DataFrame:

@@ -272,6 +272,27 @@ def qc_confidence(spark, sf_dir):
     return qc.confidence(tables.pixels(spark, sf_dir), tables.FRAMES).select("session_id", "frame_idx", "r", "c", *_r("conf"))
 
 
+_MATURITIES = (0.0, 0.25, 0.5, 0.75, 1.0)
+
+
+def _mature(m: float) -> str:
+    """The twin's confidence under a clutter statistic of some maturity."""
+    moved, w = Q.clutter_weight * (1 - m), Q.texture_weight + Q.temporal_weight
+    wt, wp, wc = Q.texture_weight + moved * Q.texture_weight / w, Q.temporal_weight + moved * Q.temporal_weight / w, Q.clutter_weight * m
+    penalty = 1.0 if m >= 0.5 else 1.0 - 0.08 * (1.0 - m * 2)
+    return f"""select {m}::double as maturity, p.session_id, p.frame_idx, ({wt!r}*coalesce(texture,0) + {wp!r}*coalesce(temporal,0) + {wc!r}*(case when p.inten > 0 then 1-coalesce(freq,0) else 0 end)) / ({wt!r}+{wp!r}+{wc!r}) * {penalty!r} as conf
+  from pixels p left join texture using (session_id, frame_idx, r, c) left join seen using (session_id, frame_idx, r, c) left join clutter using (session_id, r, c)"""
+
+
+@query(sql("p", f", {_TEXTURE}, {_TEMPORAL}, {_CLUTTER}, every as ({' union all '.join(map(_mature, _MATURITIES))}) select maturity, session_id, frame_idx, count(*) as n, round(avg(conf),6) as mean_conf, round(min(conf),6) as min_conf, round(max(conf),6) as max_conf from every group by all"))
+def qc_maturity(spark, sf_dir):
+    """Confidence of each frame while the clutter statistic grows up: its weight comes, the penalty of youth goes."""
+    known = qc.factors(tables.pixels(spark, sf_dir), tables.FRAMES, Q)
+    each = [F.struct(F.lit(m).alias("maturity"), qc.combined(Q, m).alias("conf")) for m in _MATURITIES]
+    out = known.select("session_id", "frame_idx", F.explode(F.array(*each)).alias("x")).select("session_id", "frame_idx", "x.*")
+    return out.groupBy("maturity", "session_id", "frame_idx").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("conf"), 6).alias("mean_conf"), F.round(F.min("conf"), 6).alias("min_conf"), F.round(F.max("conf"), 6).alias("max_conf"))
+
+
 @query(sql("p", f", {_CONF} select frame_idx, count(*) as n, round(avg(conf),6) as mean_conf, round(min(conf),6) as min_conf, round(max(conf),6) as max_conf from conf group by all"))
 def qc_per_frame(spark, sf_dir):
     c = qc.confidence(tables.pixels(spark, sf_dir), tables.FRAMES)

@@ -26,20 +26,35 @@ def _distance(row: str, col: str) -> Column:
     return F.sqrt(dr * dr + dc * dc)
 
 
-def projection(motions: DataFrame, d: Detector) -> DataFrame:
-    """``motions`` (row_c, col_c, vy, vx, loc_row, loc_col; ay, ax if the motion accelerates) with
-    ``w06_s``: the first step of ``step_s`` seconds at which the moving centroid is within proximity,
-    null if none is."""
-    p = d.proximity_px
+def first_near(d: Detector, proximity_px: Column, lookahead_s: Column) -> Column:
+    """The first step of ``step_s`` seconds within the lookahead at which a moving centroid (row_c, col_c, vy, vx; ay, ax
+    if the motion accelerates) is within proximity of its place, null if none is.
+
+    On a straight way the steps within proximity follow one another, and the first is where the way enters
+    the circle; it and its neighbours are tried, as rounding may move it by one."""
     ay, ax = (F.col("ay"), F.col("ax")) if d.accelerate else (F.lit(0.0), F.lit(0.0))
 
     def near(t: Column) -> Column:
         dr = F.col("row_c") + F.col("vy") * t + 0.5 * ay * t * t - F.col("loc_row")
         dc = F.col("col_c") + F.col("vx") * t + 0.5 * ax * t * t - F.col("loc_col")
-        return F.sqrt(dr * dr + dc * dc) <= p
+        return F.sqrt(dr * dr + dc * dc) <= proximity_px
+
+    last = F.floor(lookahead_s / d.step_s).cast("int")
+    if d.accelerate:
+        return F.array_min(F.filter(F.transform(F.sequence(F.lit(0), last), lambda k: k * d.step_s), near)).cast("double")
+    r, c = F.col("row_c") - F.col("loc_row"), F.col("col_c") - F.col("loc_col")
+    speed2 = F.col("vy") * F.col("vy") + F.col("vx") * F.col("vx")
+    along = r * F.col("vy") + c * F.col("vx")
+    inside = F.greatest(along * along - speed2 * (r * r + c * c - proximity_px * proximity_px), F.lit(0.0))
+    enters = F.when(speed2 > 0, (-along - F.sqrt(inside)) / speed2 / d.step_s).otherwise(0.0)
+    step = F.ceil(F.greatest(F.least(enters, last + 2.0), F.lit(-2.0))).cast("int")
+    tried = F.sequence(F.least(F.greatest(step - 1, F.lit(0)), last), F.least(F.greatest(step + 1, F.lit(0)), last))
+    return F.when(F.col("vy").isNotNull(), F.array_min(F.filter(F.transform(tried, lambda k: k * d.step_s), near))).cast("double")
 
-    times = F.sequence(F.lit(0), F.lit(d.lookahead_s), F.lit(d.step_s))
-    return motions.withColumn("w06_s", F.array_min(F.filter(times, near)).cast("double"))
+
+def projection(motions: DataFrame, d: Detector) -> DataFrame:
+    """``motions`` (row_c, col_c, vy, vx, loc_row, loc_col; ay, ax if the motion accelerates) with ``w06_s``."""
+    return motions.withColumn("w06_s", first_near(d, F.lit(d.proximity_px), F.lit(d.lookahead_s)))
 
 
 def centroid_trend(entries: DataFrame, d: Detector) -> DataFrame:

@@ -114,16 +114,7 @@ def estimates(a: detect.Analysis, where: DataFrame, d: Detector, length: int, ga
     placed = gated(placed, d, gates)
     centre = _km("row_c", "col_c", d)
     placed = placed.withColumn("last_km", centre).withColumn("overhead", centre / d.grid.km_per_px <= F.col("proximity_km") / d.grid.km_per_px)
-    p = F.col("proximity_km") / d.grid.km_per_px
-    ay, ax = (F.col("ay"), F.col("ax")) if d.accelerate else (F.lit(0.0), F.lit(0.0))
-
-    def within(t: Column) -> Column:
-        dr = F.col("row_c") + F.col("vy") * t + 0.5 * ay * t * t - F.col("loc_row")
-        dc = F.col("col_c") + F.col("vx") * t + 0.5 * ax * t * t - F.col("loc_col")
-        return F.sqrt(dr * dr + dc * dc) <= p
-
-    times = F.sequence(F.lit(0), F.col("lookahead_s").cast("int"), F.lit(d.step_s))
-    placed = placed.withColumn("w06_s", F.array_min(F.filter(times, within)).cast("double"))
+    placed = placed.withColumn("w06_s", arrival.first_near(d, F.col("proximity_km") / d.grid.km_per_px, F.col("lookahead_s")))
     placed = placed.withColumn("first_km", _km("first.row_c", "first.col_c", d)).withColumn("before_km", F.when(F.col("n") > 1, _km("before.row_c", "before.col_c", d)))
     placed = placed.withColumn("duration_s", ((F.col("end_frame") - F.col("first.frame_idx")) * d.frame_s).cast("double"))
     placed = stage(placed.withColumn("w04_s", arrival.closing_eta(d, F.col("proximity_km"), F.col("lookahead_s"))))

@@ -123,6 +123,12 @@ def device_name(name: Column, lat: Column, lon: Column) -> Column:
     return F.when(F.length(F.trim(F.coalesce(name, F.lit("")))) > 0, F.trim(name)).otherwise(place)
 
 
+def printed(value: Column, places: int) -> Column:
+    """``value`` with so many decimal places, as C and Python print it: by its exact binary value, halves to even.
+    ``format_string`` goes by the shortest decimal and takes halves up."""
+    return F.call_function("format_number", value, F.lit(f"0.{'0' * places}" if places else "0"))
+
+
 def config_errors(lat: Column, lon: Column, lookahead: Column, name: Column, style: Column) -> Column:
     """A map from field to error code; empty where all is well."""
     every = F.create_map(
